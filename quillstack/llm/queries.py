@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import chat_prefix, simhash_trie
+from quillstack.llm import byte_bpe, chat_prefix, prefix_tokens, quality_ngram, simhash_trie
 from quillstack.llm.oracles import SQL
 
+TOKEN_LIMIT = 1024
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,9 +28,23 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_ngram.judged(docs, keep=["doc_id"])
+
+
+def op7_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return prefix_tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT, keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_simhash_trie)
+    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op7_matrix_bpe, op9_prefix_token_counts)
 }
 
 __all__ = ["QUERIES", "SQL"]
