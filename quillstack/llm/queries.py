@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, chat_prefix, prefix_tokens, quality_ngram, simhash_trie
+from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, simhash_trie
 from quillstack.llm.oracles import SQL
 
 TOKEN_LIMIT = 1024
@@ -33,6 +34,10 @@ def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ngram.judged(docs, keep=["doc_id"])
 
 
+def op5_pivot_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -44,7 +49,7 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op7_matrix_bpe, op9_prefix_token_counts)
+    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op5_pivot_distance_topk, op7_matrix_bpe, op9_prefix_token_counts)
 }
 
 __all__ = ["QUERIES", "SQL"]
