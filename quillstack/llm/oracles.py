@@ -39,3 +39,36 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5"""
+
+SQL["op6_warc_sequential"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest, max(page_id) OVER (PARTITION BY sha1(h)) AS last FROM p),
+b AS (SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(digest, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT)) AS five FROM d)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(five, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b"""
+
+SQL["op10_sampled_splitters"] = """
+WITH tbl AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+                        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) r(i))),
+b AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(strlen(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+    lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM b, tbl),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(md5(text), '') AS g, crc FROM c),
+t AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY g) AS bytes FROM d),
+k AS (SELECT *, g || CASE WHEN bytes * 8 * 64 > total THEN md5(coalesce(CAST(doc_id AS VARCHAR), '')) ELSE '' END AS key FROM t),
+o AS (
+  SELECT *, sum(size) OVER (ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         row_number() OVER (ORDER BY key, doc_id) AS nth FROM k),
+s AS (SELECT *, CAST(least(((upto - 1) * 8) // total, 7) AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard,
+       nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, simhash_trie
+from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, shard_split, simhash_trie, warc_seq
 from quillstack.llm.oracles import SQL
 
 TOKEN_LIMIT = 1024
@@ -38,6 +38,10 @@ def op5_pivot_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_warc_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_seq.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,9 +51,14 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT, keep=["doc_id"])
 
 
+def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_split.shards(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op5_pivot_distance_topk, op7_matrix_bpe, op9_prefix_token_counts)
+    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op5_pivot_distance_topk, op6_warc_sequential, op7_matrix_bpe, op9_prefix_token_counts, op10_sampled_splitters)
 }
 
 __all__ = ["QUERIES", "SQL"]
