@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from quillstack.llm import secret_links as sl
 from quillstack.llm.chat_prefix import CONTROL, END, ESCAPE, START
 
 SQL: dict[str, str] = {}
 
 
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _chat() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
     added = " + ".join(f"(length(t) - length(replace(t, {quote(c)}, ''))) // {len(c)}" for c in (*CONTROL, ESCAPE))
     return f"""
 WITH turns AS (
@@ -72,3 +76,46 @@ s AS (SELECT *, CAST(least(((upto - 1) * 8) // total, 7) AS INTEGER) AS shard FR
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard,
        nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s"""
+
+
+def _secrets() -> str:
+    def kind(i: int, pattern: str, keep: str = "true") -> str:
+        p = quote(pattern)
+        return f"""
+SELECT rid, {i} AS kind, CAST(upto - length(m) AS INTEGER) AS s, CAST(upto AS INTEGER) AS e FROM (
+  SELECT rid, m, k, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY k) AS upto FROM (
+    SELECT rid, unnest(regexp_extract_all(t, {p}, 0)) AS m, unnest(string_split_regex(t, {p})) AS g, generate_subscripts(string_split_regex(t, {p}), 1) AS k
+    FROM d WHERE regexp_matches(t, {p})) WHERE m IS NOT NULL)
+WHERE m IS NOT NULL AND ({keep})"""
+
+    has = lambda *c: " AND ".join(f"regexp_matches(m, '[{x}]')" for x in c)
+    base = " UNION ALL ".join([
+        kind(0, sl.ASSIGN, f"length(regexp_extract(m, {quote(sl.ASSIGN)}, 2)) >= 8"), kind(1, sl.ACCESS), kind(2, sl.HEX)])
+    weak = " UNION ".join([
+        kind(3, sl.NAMED_ID), kind(3, sl.BARE_ID, f"length(m) BETWEEN 16 AND 24 AND {has('A-Z', '0-9')}"),
+        kind(4, sl.KEY, f"length(m) = 40 AND {has('A-Z', 'a-z', '0-9')}"), kind(5, sl.ENDPOINT)])
+    names = "[" + ", ".join(quote(k) for k in sl.KINDS) + "]"
+    text = f"{names}[kind + 1] || ':' || s || ':' || e"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({base}),
+weak AS MATERIALIZED ({weak}),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+seen AS (
+  SELECT w.rid, w.kind, w.s, w.e, bool_or(p.kind IN (1, 3)) AS id, bool_or(p.kind IN (0, 2, 4)) AS secret,
+         bool_or(p.kind < 3 AND p.s < w.e AND w.s < p.e) AS covered
+  FROM weak w JOIN parts p ON w.rid = p.rid AND p.s <= w.e + {sl.SCOPE} AND w.s <= p.e + {sl.SCOPE} GROUP BY ALL),
+linked AS (
+  SELECT rid, kind, s, e FROM seen
+  WHERE NOT covered AND CASE kind WHEN 3 THEN secret WHEN 4 THEN id ELSE id AND secret END),
+b AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg({text}, ',' ORDER BY s, kind) AS l FROM base GROUP BY rid),
+a AS (
+  SELECT rid, string_agg({text}, ',' ORDER BY s, kind, e) AS l FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b.l, '')) AS base_sha256, coalesce(a.l, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
+
+
+SQL["op8_secret_links"] = _secrets()

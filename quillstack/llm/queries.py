@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, shard_split, simhash_trie, warc_seq
+from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, secret_links, shard_split, simhash_trie, warc_seq
 from quillstack.llm.oracles import SQL
 
 TOKEN_LIMIT = 1024
@@ -46,6 +46,10 @@ def op7_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return prefix_tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT, keep=["doc_id"])
@@ -58,7 +62,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op5_pivot_distance_topk, op6_warc_sequential, op7_matrix_bpe, op9_prefix_token_counts, op10_sampled_splitters)
+    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op5_pivot_distance_topk, op6_warc_sequential, op7_matrix_bpe, op8_secret_links, op9_prefix_token_counts, op10_sampled_splitters)
 }
 
 __all__ = ["QUERIES", "SQL"]
