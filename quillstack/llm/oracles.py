@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstack.llm import secret_links as sl
+from quillstack.llm import source_mix as mix
 from quillstack.llm.chat_prefix import CONTROL, END, ESCAPE, START
 
 SQL: dict[str, str] = {}
@@ -119,3 +120,34 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 
 
 SQL["op8_secret_links"] = _secrets()
+
+SQL["op4_temperature_mix"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce('s' || source, '') AS src,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n_tokens FROM documents),
+z AS MATERIALIZED (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY src),
+m AS (SELECT CAST(max(tokens) AS DOUBLE) / min(tokens) AS ratio, CAST(max(tokens) AS DOUBLE) AS high FROM z WHERE tokens > 0),
+b(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(ratio, 1 - (lo + hi) / 2) > 2.0 THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN pow(ratio, 1 - (lo + hi) / 2) > 2.0 THEN hi ELSE (lo + hi) / 2 END
+  FROM b, m WHERE i < {mix.ROUNDS}),
+e AS (SELECT round(hi, 6) AS a FROM b WHERE i = {mix.ROUNDS}),
+f AS (SELECT a, sum(pow(CAST(tokens AS DOUBLE), a)) AS norm FROM z, e WHERE tokens > 0 GROUP BY a),
+p AS (
+  SELECT src, tokens, CASE WHEN tokens > 0 THEN round(pow(CAST(tokens AS DOUBLE), a) / norm, 9) ELSE 0 END AS weight,
+         CASE WHEN tokens > 0 THEN CAST(round(round(pow(CAST(tokens AS DOUBLE), a) / norm * pow(high, 1 - a) * norm / tokens, 6) * 1000000) AS BIGINT) ELSE 1000000 END AS micro,
+         greatest(1, least({mix.MAX_BLOCKS}, CAST(ceil(tokens / {mix.BLOCK_TOKENS}) AS BIGINT))) AS blocks
+  FROM z LEFT JOIN (SELECT * FROM f, m) ON tokens > 0),
+q AS (
+  SELECT *, micro // 1000000 AS whole,
+         (tokens // 1000000) * (micro % 1000000) + ((tokens % 1000000) * (micro % 1000000)) // 1000000 AS remaining FROM p),
+k AS (
+  SELECT d.*, q.weight, q.whole, q.remaining, q.blocks, epoch,
+         CAST('0x' || substr(md5('17|' || d.src || '|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS place
+  FROM d JOIN q USING (src), range(1, 10) r(epoch) WHERE epoch <= whole + 1),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY place) AS upto FROM k)
+SELECT doc_id, source, n_tokens, weight, CAST(epoch AS INTEGER) AS epoch,
+       CAST(floor(place * blocks / {1 << 52}) AS INTEGER) AS block, place
+FROM u WHERE epoch <= whole OR (remaining > 0 AND upto <= remaining)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, secret_links, shard_split, simhash_trie, warc_seq
+from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, secret_links, shard_split, simhash_trie, source_mix, warc_seq
 from quillstack.llm.oracles import SQL
 
 TOKEN_LIMIT = 1024
@@ -34,6 +34,11 @@ def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ngram.judged(docs, keep=["doc_id"])
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return source_mix.mixed(docs.select("doc_id", "source", "text")).drop("text")
+
+
 def op5_pivot_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -62,7 +67,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op5_pivot_distance_topk, op6_warc_sequential, op7_matrix_bpe, op8_secret_links, op9_prefix_token_counts, op10_sampled_splitters)
+    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op4_temperature_mix, op5_pivot_distance_topk, op6_warc_sequential, op7_matrix_bpe, op8_secret_links, op9_prefix_token_counts, op10_sampled_splitters)
 }
 
 __all__ = ["QUERIES", "SQL"]
