@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstack.llm import byte_bpe, quality_ngram, secret_links, simhash_trie, source_mix
 from quillstack.llm._tables import written
+from quillstack.shipping import ensure_on_workers
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +54,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_on_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())

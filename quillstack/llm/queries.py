@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstack.llm import byte_bpe, chat_prefix, pivot_index, prefix_tokens, quality_ngram, secret_links, shard_split, simhash_trie, source_mix, warc_seq
 from quillstack.llm.oracles import SQL
+from quillstack.shipping import ensure_on_workers
 
 TOKEN_LIMIT = 1024
 
@@ -65,9 +67,29 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_on_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_simhash_trie, op3_ngram_quality, op4_temperature_mix, op5_pivot_distance_topk, op6_warc_sequential, op7_matrix_bpe, op8_secret_links, op9_prefix_token_counts, op10_sampled_splitters)
+    f.__name__: _shipped(f)
+    for f in (
+        op1_chat_prefix_targets,
+        op2_simhash_trie,
+        op3_ngram_quality,
+        op4_temperature_mix,
+        op5_pivot_distance_topk,
+        op6_warc_sequential,
+        op7_matrix_bpe,
+        op8_secret_links,
+        op9_prefix_token_counts,
+        op10_sampled_splitters,
+    )
 }
 
 __all__ = ["QUERIES", "SQL"]
