@@ -149,5 +149,5 @@ k AS (
   FROM d JOIN q USING (src), range(1, 10) r(epoch) WHERE epoch <= whole + 1),
 u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY place) AS upto FROM k)
 SELECT doc_id, source, n_tokens, weight, CAST(epoch AS INTEGER) AS epoch,
-       CAST(floor(place * blocks / {1 << 52}) AS INTEGER) AS block, place
+       CAST(((place >> 16) * blocks) >> 36 AS INTEGER) AS block, place
 FROM u WHERE epoch <= whole OR (remaining > 0 AND upto <= remaining)"""

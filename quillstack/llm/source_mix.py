@@ -34,7 +34,7 @@ def _order(seed: int, epoch: Column) -> Column:
 
 
 def _block(order: Column) -> Column:
-    return F.floor(order * F.col("__blocks") / (1 << _ORDER_BITS)).cast("int")
+    return F.shiftright(F.shiftright(order, 16) * F.col("__blocks"), _ORDER_BITS - 16).cast("int")  # below 2 ** 52 throughout
 
 
 def _sum(items: Column, of) -> Column:
@@ -72,7 +72,7 @@ def plan(sizes: DataFrame, max_epochs: float, target_entropy: float | None, budg
     budget = F.lit(float(budget_tokens)) if budget_tokens is not None else F.pow("high", 1 - F.col("exponent")) * F.col("norm")
     found = found.withColumn("budget", budget)  # one row
 
-    out = sizes.join(F.broadcast(found), F.col("tokens") > 0, "left")
+    out = sizes.withColumn("some", F.col("tokens") > 0).join(F.broadcast(found.withColumn("some", F.lit(True))), "some", "left")
     weight = F.pow(F.col("tokens").cast("double"), "exponent") / F.col("norm")
     epochs = F.round(weight * F.col("budget") / F.col("tokens"), 6)
     micro = F.round(epochs * 1_000_000).cast("long")

@@ -72,3 +72,8 @@ def test_blocks_beyond_one(spark, monkeypatch):
     used = sum(r.n_tokens for r in part)
     assert room - 12 <= used <= room + 1
     assert max(r.block for r in b) > 5
+
+
+def test_many_blocks_do_not_overflow(spark):
+    top = spark.range(1).select(F.lit((1 << 52) - 1).alias("order"), F.lit(m.MAX_BLOCKS).alias("__blocks"))
+    assert top.select(m._block(F.col("order"))).first()[0] == m.MAX_BLOCKS - 1
