@@ -109,14 +109,15 @@ def score_bars(results_: DataFrame) -> DataFrame:
 
 
 def histogram(results_: DataFrame, bins: int = 8) -> DataFrame:
-    """Equal-width bins of scores, at most as many as rows; edges are min + i * width, the last bin is closed."""
+    """Equal-width bins of scores, at most as many as rows; edges are min + i * width. The last bin takes all from its edge
+    up, so that no score is lost to rounding of the upper edge."""
     one = results_.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"), F.collect_list("score").alias("s")).where("n > 0")
     one = one.withColumn("bins", F.least(F.lit(bins), F.col("n").cast("int")))
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(0.001)
     one = one.withColumn("width", span / F.col("bins")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     low = F.col("low") + F.col("bin") * F.col("width")
     one = one.withColumn("from", low).withColumn("to", low + F.col("width"))
-    inside = F.filter("s", lambda x: (x >= F.col("from")) & ((x < F.col("to")) | ((F.col("bin") == F.col("bins") - 1) & (x <= F.col("to")))))
+    inside = F.filter("s", lambda x: (x >= F.col("from")) & ((x < F.col("to")) | (F.col("bin") == F.col("bins") - 1)))
     return one.select("bin", F.round("from", 3).alias("label"), F.size(inside).cast("long").alias("n_results"))
 
 

@@ -136,7 +136,7 @@ WITH {HITS},
 o AS (SELECT min(score) AS low, max(score) AS high, count(*) AS n, least(8, count(*)) AS bins FROM hits),
 w AS (SELECT *, CASE WHEN high > low THEN high - low ELSE 0.001 END / bins AS width FROM o),
 b AS (SELECT CAST(i AS INTEGER) AS bin, low + i * width AS a, low + i * width + width AS z, i = bins - 1 AS is_last FROM w, range(8) r(i) WHERE i < bins)
-SELECT bin, round(a, 3) AS label, (SELECT count(*) FROM hits WHERE score >= a AND (score < z OR (is_last AND score <= z))) AS n_results FROM b"""
+SELECT bin, round(a, 3) AS label, (SELECT count(*) FROM hits WHERE score >= a AND (score < z OR is_last)) AS n_results FROM b"""
 SQL["search_prompt"] = f"""
 WITH {HITS},
 c AS (SELECT coalesce(string_agg('[' || rank || '] ' || document_name || ' | ' || heading || ' | ' || (sequence_index + 1) || chr(10) || contextualized_text || chr(10), chr(10) ORDER BY rank), '') AS x FROM hits)

@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 ALLOWED_TYPES = [t.PDF, t.DOCX, t.PPTX, t.MARKDOWN, t.PLAIN]
 ALLOWED_EXTENSIONS = [".pdf", ".docx", ".pptx", ".md", ".markdown", ".txt"]
 INLINE_LIMIT = 360
-JOB = F.lit("job-1")
+JOB = "job-1"
 
 
 def query(f: Query) -> Query:
@@ -132,7 +132,7 @@ def vector_invalid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
-    stored = chunk.hybrid_storage(fx.chunks(spark, d), INLINE_LIMIT, JOB)
+    stored = chunk.hybrid_storage(fx.chunks(spark, d), INLINE_LIMIT, F.lit(JOB))
     return verify.pairs(stored, fx.embeddings(spark, d))
 
 
@@ -180,15 +180,15 @@ def chunk_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_hybrid_storage(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk.hybrid_storage(fx.chunks(spark, d), INLINE_LIMIT, JOB)
+    c = chunk.hybrid_storage(fx.chunks(spark, d), INLINE_LIMIT, F.lit(JOB))
     return c.select("id", "text_storage_key", "contextualized_text_storage_key", "text_bytes", F.length("text").cast("int").alias("inline_chars"), chunk.text_source(F.col("text"), F.col("text_storage_key")).alias("source"))
 
 
 @query
 def chunk_resolved_text(spark: SparkSession, d: str) -> DataFrame:
     all_ = fx.chunks(spark, d)
-    stored = chunk.hybrid_storage(all_, INLINE_LIMIT, JOB)
-    key = keys.chunk_key(F.col("owner_user_id"), F.col("parsed_document_id"), JOB, F.col("sequence_index"), "text")
+    stored = chunk.hybrid_storage(all_, INLINE_LIMIT, F.lit(JOB))
+    key = keys.chunk_key(F.col("owner_user_id"), F.col("parsed_document_id"), F.lit(JOB), F.col("sequence_index"), "text")
     files = all_.where("id % 3 <> 0").select(key.alias("storage_key"), F.col("text").alias("content"))
     r = chunk.resolve_text(stored, files)
     return r.select("id", "text_source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
