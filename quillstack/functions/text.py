@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
+    return ~F.coalesce(text.rlike(r"[^\s\p{Z}]"), F.lit(False))
 
 
 def first_nonempty(*columns: Column) -> Column:
@@ -51,7 +51,10 @@ def first_nonempty(*columns: Column) -> Column:
 def is_noise(text: Column) -> Column:
     """Blank, a table-of-contents marker, or nothing but such markers."""
     rest = reduce(lambda t, part: F.replace(t, F.lit(part), F.lit("")), NOISE_PARTS, text)
-    return is_blank(text) | F.upper(strip(text)).isin(*NOISE_WHOLE) | is_blank(rest)
+    whole = "|".join(f"\\Q{w}\\E" for w in NOISE_WHOLE)
+    marked = text.rlike(rf"(?i)^[\s\p{{Z}}]*(?:{whole})[\s\p{{Z}}]*$") | is_blank(rest)
+    # most texts end at the first test: they have no bracket
+    return is_blank(text) | (F.contains(text, F.lit("[")) & marked)
 
 
 def cut(text: Column, n: int, mark: str = "") -> Column:

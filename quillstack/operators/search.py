@@ -60,8 +60,11 @@ def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, uploa
     chunk, document or upload is gone don't take a place, hence the semi join before the limit."""
     alive = chunks.join(documents.join(uploads, documents.uploaded_file_id == uploads.id, "left_semi").select(F.col("id").alias("__d")), F.col("parsed_document_id") == F.col("__d"), "left_semi")
     known = embeddings.join(alive.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    hits = within(top_k(known, query, k), max_distance, max_best)
-    return ranked(named(hits, chunks, documents, uploads))
+    top = within(top_k(known, query, k), max_distance, max_best).drop("embedding", "preview")
+    found = top.collect()  # k rows at most: their ids prune the scan of texts
+    hits = top.sparkSession.createDataFrame(found, top.schema)
+    some = chunks.where(F.col("id").isin([r["chunk_id"] for r in found]))
+    return ranked(named(hits, some, documents, uploads))
 
 
 def ranked(hits: DataFrame, key: str = "id") -> DataFrame:
