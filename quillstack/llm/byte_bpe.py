@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from quillstack.llm._pieces import IntTable, read_ranks, splitter
 from quillstack.llm._tables import fresh
 
-LONG, CACHE, ROWS = 256, 400_000, 1 << 14
+LONG, CACHE, ROWS = 256, 200_000, 1 << 14
 _NONE = np.int32(2**31 - 1)
 
 
@@ -47,7 +48,6 @@ class Codec:
         self.byte = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         # every way to put a token together from two others; its rank is its id
         pairs = [(rank[t[:i]], rank[t[i:]], r) for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank]
-        self.pairs = {(a, b): r for a, b, r in pairs}
         self.table = IntTable(len(pairs))
         self.table.put(np.array([(a << 32) | b for a, b, _ in pairs], np.int64), np.array([r for *_, r in pairs], np.int32))
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
@@ -55,6 +55,12 @@ class Codec:
         self.all = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """The same table for single lookups; made when a long piece comes."""
+        key = self.table.keys[self.table.keys >= 0]
+        return dict(zip(zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist()), self.table.get(key).tolist()))
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; ``_NONE`` where they don't merge or one is padding (-1)."""
         out = np.full(left.size, _NONE, np.int32)
@@ -159,21 +165,26 @@ class Codec:
         return self.all[np.repeat(self.starts[ids], size) + within]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``ids`` array<int>."""
-    docs_kept = fresh(docs, "ids")
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``ids`` array<int> and, on demand, ``decoded``: the bytes that the ids stand for,
+    made from them in the same pass."""
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), *[T.StructField("decoded", T.BinaryType(), False)] * decoded]
+    docs_kept = fresh(docs, *[f.name for f in made])
     kept = [c for c in docs_kept.columns if keep is None or c in keep]
-    schema = T.StructType([*docs_kept.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([*docs_kept.select(*kept).schema.fields, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):  # ids take more room than their text
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 512):  # ids take more room than their text
+                batch = whole.slice(at, 512)
                 ids = list(codec.encode(batch.column(batch.num_columns - 1).to_pylist()))
                 offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*kept, "ids"])
+                columns = [*batch.columns[:-1], lists]
+                if decoded:
+                    columns.append(pa.array([codec.decode(np.frombuffer(x, "<i4")).tobytes() for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs_kept.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
 
@@ -197,7 +208,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: texts encoded, then decoded from the ids."""
-    both = decode(encode(docs, path, pattern, keep=["doc_id"]), path, pattern)
+    both = encode(docs, path, pattern, keep=["doc_id"], decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

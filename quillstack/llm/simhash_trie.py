@@ -38,6 +38,7 @@ SHINGLE, MAX_DIFF, SEED = 4, 4, 42
 ORDERS = 3
 LEADING = 21  # bits of a rotation within which MAX_DIFF // ORDERS errors are allowed
 CELL = 1024  # fingerprints aimed at in a cell
+BLOCK = 1 << 18  # bytes of text hashed together
 LEAF = 64  # pairs compared directly below a node pair
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -89,7 +90,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.num_columns - 1))
-            made = [fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets, 1 << 20)]
+            made = [fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets, BLOCK)]
             prints = np.concatenate(made) if made else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*kept, out])
 
@@ -236,15 +237,21 @@ def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays (nulls last)."""
-    columns = docs.columns
-    base = written(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), out="__fp"), "fingerprinted")
-    prints = base.select("doc_id", F.col("__fp").alias("fp"), "__row")
+    """``docs`` without near-duplicates: of each component one row with the smallest doc_id stays (nulls last).
+
+    Rows are known by doc_id and the digest of their text, so only numbers are written and the texts move once."""
+    name = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    prints = written(with_fingerprint(docs.select("doc_id", "text", name.alias("__name")), keep=["doc_id", "__name"]), "fingerprints")
     # pre-aggregated by fingerprint first: a group of copies is never gathered
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__name").alias("name"))
     best = written(prints.groupBy("fp").agg(F.min(rank).alias("best")), "best")
-    groups = best.select("fp")
-    roots = written(components(links(groups, best.count(), max_diff)), "roots")
+    roots = written(components(links(best.select("fp"), best.count(), max_diff)), "roots")
     rooted = best.join(roots, best.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    stay = written(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")), "stay")
-    return base.join(stay, "__row", "left_semi").select(*columns)
+    stay = written(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.name"), "stay")
+    named = docs.withColumn("__name", name)
+    kept = named.join(stay, named["doc_id"].eqNullSafe(stay["id"]) & (named["__name"] == stay["name"]), "left_semi")
+    # repeated rows share the name: of those one stays
+    twice = prints.join(stay, prints["doc_id"].eqNullSafe(stay["id"]) & (prints["__name"] == stay["name"]), "left_semi")
+    if twice.groupBy("doc_id", "__name").count().where("count > 1").isEmpty():
+        return kept.select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "__name"]).select(*docs.columns)

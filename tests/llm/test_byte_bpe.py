@@ -71,6 +71,8 @@ def test_odd_rows(spark, odd_docs):
     assert dict(got.dtypes)["ids"] == "array<int>"
     for r in got.collect():
         assert r.ids == LIB.encode_ordinary(r.text or "")
+    apart = b.decode(b.encode(odd_docs, PATH, P.PATTERN, keep=["text"]), PATH, P.PATTERN)
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in apart.collect())
     digests = b.digests(odd_docs, PATH, P.PATTERN)
     assert digests.where((F.col("doc_id") == 3) & (F.col("n_tokens") == 0)).count() == 1
     assert b.digests(odd_docs.limit(0), PATH, P.PATTERN).count() == 0
