@@ -23,8 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+def _top(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillstack/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillstack/{name}-{uuid.uuid4().hex}"
+    return f"{_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has written here; to be called once results are stored elsewhere."""
+    _delete(spark, _top(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,11 +51,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written``."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:

@@ -10,7 +10,7 @@ is allowed at its depth. The fingerprints are read in ``ORDERS`` rotations: of 4
 of the word holds at most one, so within the leading third one error is allowed and 4 in all. Every link is
 found in at least one rotation. Cells are the nodes at the first ``depth`` levels: a task holds one node's
 fingerprints and those of nodes whose prefix has one bit cleared, and returns a spanning forest of the links
-rather than the pairs. Depth follows the number of distinct fingerprints, so a cell holds some thousand.
+rather than the pairs. Depth follows the number of distinct fingerprints and the most crowded node, so a cell holds some thousand.
 
 Components: alternating large-star and small-star steps over the forests' edges, all in Spark.
 
@@ -37,7 +37,7 @@ from quillstack.llm._text import SEPARATOR, Words, blocks, utf8
 SHINGLE, MAX_DIFF, SEED = 4, 4, 42
 ORDERS = 3
 LEADING = 21  # bits of a rotation within which MAX_DIFF // ORDERS errors are allowed
-CELL = 1024  # fingerprints aimed at in a cell
+CELL, CROWDED = 1024, 16  # fingerprints aimed at in a cell; how many times that call for more levels
 BLOCK = 1 << 18  # bytes of text hashed together
 LEAF = 64  # pairs compared directly below a node pair
 
@@ -168,13 +168,25 @@ def _cell_links(own: np.ndarray, depth: int, turn: int, max_diff: int, leading:
     return back(own[member]).view(np.int64), back(own[label[member]]).view(np.int64)
 
 
+def _depth(each: DataFrame, n: int, cell: int) -> int:
+    """Levels after which the average node has ``cell`` fingerprints, or more while some node has far more: crowded
+    prefixes are divided further, as deep as the leading third goes."""
+    depth = max(4, min(LEADING, math.ceil(math.log2(n / cell)) if n > cell else 4))
+    while depth < LEADING and n > CROWDED * cell:
+        sizes = each.groupBy("turn", F.shiftrightunsigned("key", 64 - depth)).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= CROWDED * cell:
+            break
+        depth = min(LEADING, depth + 3)
+    return depth
+
+
 def links(prints: DataFrame, n: int, max_diff: int = MAX_DIFF, cell: int = CELL) -> DataFrame:
     """Edges (a, b) of a spanning forest of all links between distinct fingerprints ``prints.fp``; ``n`` is their number."""
     lead_diff = max_diff // ORDERS
-    depth = max(4, min(LEADING, math.ceil(math.log2(max(n, 1) / cell)) if n > cell else 4))
     turns = [i * LEADING for i in range(ORDERS)]
     rotate = lambda x, t: F.shiftleft(x, t).bitwiseOR(F.shiftrightunsigned(x, 64 - t)) if t else x
     each = prints.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), rotate(F.col("fp"), t).alias("key")) for t in turns])).alias("x")).select("x.*")
+    depth = _depth(each, n, cell)
     home = F.shiftrightunsigned("key", 64 - depth)
     bits = [F.shiftleft(F.lit(1).cast("long"), i) for i in range(depth)]
     # a guest in every cell whose prefix has one more bit set

@@ -68,11 +68,10 @@ def plan(sizes: DataFrame, max_epochs: float, target_entropy: float | None, budg
     found = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
     exponent = F.round(found["lo" if target_entropy is not None else "hi"], 6)
     found = one.where(F.size("s") > 0).select(exponent.alias("exponent"), "s", high.alias("high"))
-    found = found.select("exponent", norm(F.col("exponent")).alias("norm"), "high")
-    budget = F.lit(float(budget_tokens)) if budget_tokens is not None else F.pow("high", 1 - F.col("exponent")) * F.col("norm")
-    found = found.withColumn("budget", budget)  # one row
-
-    out = sizes.withColumn("some", F.col("tokens") > 0).join(F.broadcast(found.withColumn("some", F.lit(True))), "some", "left")
+    budget = F.lit(float(budget_tokens)) if budget_tokens is not None else F.pow("high", 1 - F.col("exponent")) * norm(F.col("exponent"))
+    # three numbers
+    exponent, total, budget = found.select("exponent", norm(F.col("exponent")), budget).first() or (1.0, 1.0, 0.0)
+    out = sizes.withColumn("exponent", F.lit(exponent)).withColumn("norm", F.lit(total)).withColumn("budget", F.lit(budget))
     weight = F.pow(F.col("tokens").cast("double"), "exponent") / F.col("norm")
     epochs = F.round(weight * F.col("budget") / F.col("tokens"), 6)
     micro = F.round(epochs * 1_000_000).cast("long")

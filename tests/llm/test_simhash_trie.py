@@ -74,6 +74,15 @@ def test_links_of_crowded_fingerprints(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_crowded_prefixes_are_divided(spark):
+    """A third of all fingerprints share their first bits."""
+    r = random.Random(9)
+    prints = [r.getrandbits(64) for _ in range(800)] + [(0x5A5 << 52) | r.getrandbits(52) for _ in range(400)]
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "key long").withColumn("turn", F.lit(0))
+    assert s._depth(df, 1200, 4) >= 12 and s._depth(df, 1200, 400) == 4
+    assert s._depth(df.limit(0), 0, 4) == 4
+
+
 def test_pairs_are_exactly_those_within_the_budget():
     r = np.random.default_rng(1)
     own = np.unique(np.concatenate([(np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)) ^ np.uint64(0xF0F0), r.integers(0, 1 << 63, 50, dtype=np.uint64)]))
