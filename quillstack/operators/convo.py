@@ -70,6 +70,40 @@ def deleted(states: DataFrame, conversation: str) -> DataFrame:
     return states.withColumn("state", F.col("state").withField("conversations", rest).withField("activeConversationId", F.when(now != conversation, now)))
 
 
+def _edited(states: DataFrame, conversation: str, change) -> DataFrame:
+    talks = F.transform("state.conversations", lambda c: F.when(c["id"] == conversation, change(c)).otherwise(c))
+    return states.withColumn("state", F.col("state").withField("conversations", talks))
+
+
+def added(states: DataFrame, conversation: str, title: str, at: str) -> DataFrame:
+    """A new conversation at the head, which becomes the active one."""
+    kind = STATE[STATE.index("array<struct<id") + len("array<") : STATE.index(">>,activeConversationId") + 1]
+    new = F.from_json(F.to_json(F.struct(F.lit(conversation).alias("id"), F.lit(title).alias("title"), F.lit(at).alias("createdAt"), F.lit(at).alias("updatedAt"))), kind)
+    new = new.withField("messages", F.array().cast(f"array<{MESSAGE}>")).withField("bubbles", F.array().cast(f"array<{BUBBLE}>"))
+    state = F.col("state").withField("conversations", F.concat(F.array(new), F.col("state.conversations")))
+    return states.withColumn("state", state.withField("activeConversationId", F.lit(conversation)))
+
+
+def activated(states: DataFrame, conversation: str | None) -> DataFrame:
+    return states.withColumn("state", F.col("state").withField("activeConversationId", F.lit(conversation).cast("string")))
+
+
+def bubble_added(states: DataFrame, conversation: str, bubble: str, query: str, k: int) -> DataFrame:
+    new = F.from_json(F.to_json(F.struct(F.lit(bubble).alias("id"), F.lit(query).alias("query"), F.lit(k).alias("topK"))), BUBBLE)
+    return _edited(states, conversation, lambda c: c.withField("bubbles", F.concat(c["bubbles"], F.array(new))))
+
+
+def bubble_answered(states: DataFrame, conversation: str, bubble: str, response: str | None, error: str | None) -> DataFrame:
+    def change(b: Column) -> Column:
+        return F.when(b["id"] == bubble, b.withField("response", F.lit(response).cast("string")).withField("error", F.lit(error).cast("string"))).otherwise(b)
+
+    return _edited(states, conversation, lambda c: c.withField("bubbles", F.transform(c["bubbles"], change)))
+
+
+def bubbles_cleared(states: DataFrame, conversation: str) -> DataFrame:
+    return _edited(states, conversation, lambda c: c.withField("bubbles", F.array().cast(f"array<{BUBBLE}>")))
+
+
 def content_text(parts: Column, whole: Column) -> Column:
     """Text of a message: the string itself, or its parts' texts joined by newlines."""
     return F.coalesce(whole, F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.to_json(p))), "\n"))

@@ -36,6 +36,18 @@ def supersede_siblings(jobs: DataFrame, parent: Column, keep: Column) -> DataFra
     return jobs.withColumn("status", F.when(old, "superseded").otherwise(F.col("status")))
 
 
+def runnable(jobs: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """Parents' newest jobs that still wait: a job that has run or failed meanwhile is not run again."""
+    return newest(jobs, parent).where(F.col("status") == "queued")
+
+
+def failed(jobs: DataFrame, job: Column, code: str, reason: str) -> DataFrame:
+    """One job, if it is open, fails."""
+    hit = (F.col("id") == job) & F.col("status").isin(*OPEN)
+    out = jobs.withColumn("error_code", F.when(hit, code)).withColumn("error_message", F.when(hit, reason))
+    return out.withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
+
+
 def reconciled(jobs: DataFrame, reason: str, code: str = "process_shutdown") -> DataFrame:
     """Open jobs fail with a code and a reason."""
     open_ = F.col("status").isin(*OPEN)

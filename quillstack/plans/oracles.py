@@ -342,3 +342,37 @@ SQL["scalar_labels"] = f"""
 WITH {UPLOADS} SELECT id, {size_label('(byte_size * (id + 1) * 37)')} AS size, CASE WHEN id * 7 < 1000 THEN (id * 7) || ' ms' ELSE printf('%.1f', round(id * 7 / 1000.0, 1)) || ' s' END AS took,
   month(created_at) || '月' || day(created_at) || '日 ' || strftime(created_at, '%H:%M') AS stamp, 'a|' || owner_user_id || '|b' AS csv, 'db://user:***@host/x' AS url, substr(checksum_sha256, 1, 18) || '…' AS short FROM uploads"""
 SQL["duplicate_places"] = f"WITH {SEGMENTS} SELECT parsed_document_id, CAST(sequence_index % 7 AS INTEGER) AS sequence_index, count(*) AS n FROM segments GROUP BY 1, 2 HAVING count(*) > 1"
+
+# answers, readiness, schema and whole flows
+
+SQL["chat_responses"] = """
+SELECT conv_id * 1000 + turn AS id, CAST(CASE WHEN turn % 5 = 0 OR turn = 7 OR turn % 2 = 1 THEN 0 ELSE length(text) END AS INTEGER) AS n_chars, CASE WHEN turn % 3 > 0 AND turn <> 7 THEN 'm-1' ELSE '' END AS model,
+  CAST(CASE WHEN turn % 4 > 0 AND turn <> 7 THEN turn ELSE 0 END AS INTEGER) AS prompt_tokens, 0 AS total_tokens, CASE WHEN turn = 7 THEN 'not_json' WHEN turn % 5 = 0 THEN 'no_choices' END AS error_code FROM conversations"""
+_STATES = ["ready", "skipped", "loading", "unavailable", "shutting_down", "odd"]
+SQL["readiness_states"] = f"""
+WITH e AS (SELECT CAST(i AS BIGINT) AS id, {pick(_STATES, 'i')} AS a, {pick(_STATES, '(i // 6)')} AS b FROM range(72) r(i)),
+s AS (SELECT *, CASE WHEN id >= 36 OR 'shutting_down' IN (a, b) THEN 'shutting_down' WHEN 'unavailable' IN (a, b) THEN 'unavailable' WHEN 'loading' IN (a, b) THEN 'loading'
+  WHEN a = 'skipped' AND b = 'skipped' THEN 'skipped' WHEN a IN ('ready', 'skipped') AND b IN ('ready', 'skipped') THEN 'ready' ELSE 'unavailable' END AS status FROM e),
+g AS (SELECT *, CASE WHEN status IN ('ready', 'skipped') THEN NULL WHEN status = 'loading' THEN 'loading' ELSE 'unavailable' END AS gate FROM s)
+SELECT id, status, gate, CASE WHEN id % 2 = 1 THEN gate END AS admission FROM g"""
+SQL["schema_faults"] = f"""
+WITH {UPLOADS} SELECT id, concat_ws(',', CASE WHEN id % 50 = 0 THEN 'original_filename' END, CASE WHEN status = 'stored' THEN 'status' END) AS faults FROM uploads"""
+SQL["ids_by_time"] = f"""
+WITH {UPLOADS}, h AS (SELECT id, lpad(lower(to_hex(epoch_ms(created_at))), 12, '0') AS m FROM uploads) SELECT id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-7' AS head, 36 AS n, true AS variant FROM h"""
+SQL["artifact_keys"] = """
+SELECT 'parsed/' || source || '/' || doc_id || '/j/' || n AS storage_key, CAST(CASE WHEN n = 'document.json' THEN length(CAST(json_object('content', text) AS VARCHAR)) ELSE length(text) END AS INTEGER) AS n_chars
+FROM documents, (VALUES ('content.md'), ('content.txt'), ('document.json')) v(n)"""
+SQL["offloaded_files"] = f"""
+WITH {CHUNKS}, {STORED} SELECT text_storage_key AS storage_key, text_bytes AS n_bytes FROM stored WHERE text_storage_key IS NOT NULL
+UNION ALL SELECT s.contextualized_text_storage_key, strlen(c.contextualized_text) FROM stored s JOIN chunks c USING (id) WHERE s.contextualized_text_storage_key IS NOT NULL"""
+_N = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
+SQL["rechunk_all"] = f"""
+WITH d AS (SELECT doc_id AS p, {_N} AS n FROM documents)
+SELECT 'j1/' || p AS id, p AS parent_id, CASE WHEN n = 0 THEN 'failed' WHEN p % 9 = 0 THEN 'succeeded' ELSE 'superseded' END AS status, (n + 63) // 64 AS declared_count, CASE WHEN n = 0 THEN 'chunking_failed' END AS error_code FROM d
+UNION ALL SELECT 'j2/' || p, p, CASE WHEN p % 9 = 0 OR n = 0 THEN 'failed' ELSE 'succeeded' END, CASE WHEN p % 9 = 0 THEN 0 ELSE (n + 31) // 32 END, CASE WHEN p % 9 = 0 OR n = 0 THEN 'chunking_failed' END FROM d"""
+SQL["reembed_all"] = f"""
+WITH {CHUNKS} SELECT parsed_document_id, 'hash-32' AS model, 32 AS dimensions, count(*) AS n, 0 AS n_wrong FROM chunks WHERE sequence_index < 2 GROUP BY 1"""
+SQL["runnable_jobs"] = f"WITH {JOBS}, n AS (SELECT * FROM jobs QUALIFY {_NEW} = 1) SELECT parent_id, id FROM n WHERE status = 'queued'"
+SQL["fail_one_job"] = f"""
+WITH {JOBS}, f AS (SELECT id = 8 AND {_OPEN} AS hit, status FROM jobs)
+SELECT CASE WHEN hit THEN 'failed' ELSE status END AS status, CASE WHEN hit THEN 'process_shutdown' END AS error_code, count(*) AS n FROM f GROUP BY 1, 2"""

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import keys, vectors
 from quillstack.functions import text as t
-from quillstack.operators import catalog, chunk, convo, embed, ingest, jobs, logs, search, verify
+from quillstack import schema
+from quillstack.operators import catalog, chat, chunk, convo, embed, flow, ingest, jobs, logs, search, verify
 from quillstack.shipping import ensure_on_workers
 from quillstack.sources import fixtures as fx
+from quillstack.sources import sinks
 from quillstack.streaming import logs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,6 +590,82 @@ def duplicate_places(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("parsed_document_id", "sequence_index").agg(F.count("*").alias("n")).where("n > 1")
 
 
+# answers, readiness, schema and whole flows
+
+
+@query
+def chat_responses(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.table(spark, d, "conversations")
+    body = F.to_json(F.struct(F.when(F.col("turn") % 3 > 0, F.lit("m-1")).alias("model"), F.when(F.col("turn") % 5 > 0, F.array(F.struct(F.struct("role", F.when(F.col("turn") % 2 == 0, F.col("text")).alias("content")).alias("message")))).alias("choices"), F.when(F.col("turn") % 4 > 0, F.struct(F.col("turn").alias("prompt_tokens"))).alias("usage")))
+    raw = m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") == 7, "<html>").otherwise(body).alias("body"))
+    p = chat.parsed(raw)
+    return p.select("id", F.length("content").alias("n_chars"), "model", "prompt_tokens", "total_tokens", "error_code")
+
+
+@query
+def readiness_states(spark: SparkSession, d: str) -> DataFrame:
+    names = ["ready", "skipped", "loading", "unavailable", "shutting_down", "odd"]
+    e = spark.range(72).select("id", fx.pick(names, F.col("id")).alias("a"), fx.pick(names, F.floor(F.col("id") / 6)).alias("b"), (F.col("id") >= 36).alias("stopping"))
+    s = e.withColumn("status", chat.readiness(F.col("a"), F.col("b"), F.col("stopping")))
+    return s.select("id", "status", chat.gate(F.col("status")).alias("gate"), chat.gate(F.col("status"), fx.pick(["txt", "pdf"], F.col("id"))).alias("admission"))
+
+
+@query
+def schema_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Upload rows with overlong names, and how many."""
+    u = fx.uploads(spark, d).withColumn("original_filename", F.when(F.col("id") % 50 == 0, F.repeat(F.lit("x"), 600)).otherwise(F.col("original_filename")))
+    return u.select("id", F.array_join(schema.faults(u, job=True), ",").alias("faults"))
+
+
+@query
+def ids_by_time(spark: SparkSession, d: str) -> DataFrame:
+    u = fx.uploads(spark, d).select("id", schema.uuid7(F.col("created_at"), F.col("id")).alias("uuid"))
+    return u.select("id", F.substring("uuid", 1, 15).alias("head"), F.length("uuid").alias("n"), F.substring("uuid", 20, 1).isin(*"89ab").alias("variant"))
+
+
+@query
+def artifact_keys(spark: SparkSession, d: str) -> DataFrame:
+    texts = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    p = ingest.parsed(fx.uploads(spark, d), texts).join(fx.uploads(spark, d).select("id", "owner_user_id"), "id")
+    a = sinks.artifacts(p.withColumn("uploaded_file_id", F.col("id")).withColumn("parse_job_id", F.lit("j")))
+    return a.select("storage_key", F.length("content").alias("n_chars"))
+
+
+@query
+def offloaded_files(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.chunks(spark, d)
+    f = sinks.offloaded(chunk.hybrid_storage(c, INLINE_LIMIT, F.lit(JOB)), c)
+    return f.select("storage_key", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query
+def rechunk_all(spark: SparkSession, d: str) -> DataFrame:
+    """Two chunking jobs in a row: the second supersedes the first, except where it fails."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("parsed_document_id"), "text", F.array("source").alias("heading_path"))
+    later = docs.withColumn("text", F.when(F.col("parsed_document_id") % 9 == 0, " ").otherwise(F.col("text")))
+    first = flow.job_rows(docs, flow.rechunked(docs, 64, F.lit("j1")), F.lit("j1"), F.lit("2024-01-01").cast("timestamp"))
+    second = flow.job_rows(later, flow.rechunked(later, 32, F.lit("j2")), F.lit("j2"), F.lit("2024-01-02").cast("timestamp"))
+    return flow.with_new_jobs(first, second).select("id", "parent_id", "status", "declared_count", "error_code")
+
+
+@query
+def reembed_all(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.chunks(spark, d).where("sequence_index < 2")
+    e = flow.reembedded(c, embed.HashEmbedder(32), "hash-32", F.lit("e1"))
+    return e.groupBy("parsed_document_id", "model", "dimensions").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 32).alias("n_wrong"))
+
+
+@query
+def runnable_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.runnable(fx.jobs(spark, d)).select("parent_id", "id")
+
+
+@query
+def fail_one_job(spark: SparkSession, d: str) -> DataFrame:
+    j = jobs.failed(fx.jobs(spark, d), F.lit(8), "process_shutdown", "stopped")
+    return j.groupBy("status", "error_code").agg(F.count("*").alias("n"))
+
+
 def shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_on_workers(spark)
@@ -596,4 +674,5 @@ def shipped(f: Query) -> Query:
     return run
 
 
-QUERIES["embed_hash_udf"] = shipped(QUERIES["embed_hash_udf"])
+for name in ("embed_hash_udf", "reembed_all"):
+    QUERIES[name] = shipped(QUERIES[name])

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import keys, vectors
 from quillstack.functions import text as t
-from quillstack.operators import catalog, chunk, convo, embed, ingest, jobs, logs, search, verify
-from quillstack.sources import files
+from quillstack import schema
+from quillstack.operators import catalog, chat, chunk, convo, embed, ingest, jobs, logs, search, verify
+from quillstack.sources import files, sinks
 from quillstack.streaming import logs as stream
 
 
@@ -172,3 +173,49 @@ def test_state_of_conversations(spark):
 @pytest.mark.parametrize("text, title", [("请帮我总结这篇文章。", "总结这篇文章"), ("想知道我要查", "想知道我要查"), ("？？", "")])
 def test_titles(spark, text, title):
     assert values(spark.range(1).select(t.title(F.lit(text)).alias("x"))) == [title]
+
+
+def test_conversation_edits(spark):
+    df = convo.load_state(spark.createDataFrame([(1, '{"conversations":[]}')], "id long, value string"))
+    df = convo.added(convo.added(df, "a", "A", "t1"), "b", "B", "t2")
+    df = convo.bubble_answered(convo.bubble_added(convo.bubble_added(df, "a", "x", "why?", 5), "a", "y", "how?", 3), "a", "x", "because", None)
+    s = convo.activated(df, "a").first().state
+    assert [c.id for c in s.conversations] == ["b", "a"] and s.activeConversationId == "a"
+    assert [(b.id, b.response) for b in s.conversations[1].bubbles] == [("x", "because"), ("y", None)] and s.conversations[0].bubbles == []
+    assert convo.bubbles_cleared(df, "a").first().state.conversations[1].bubbles == []
+
+
+def test_answers_degrade():
+    class Broken:
+        name = "broken"
+
+        def generate(self, messages):
+            raise RuntimeError("down")
+
+    said = [{"role": "user", "content": "Context:\n[1] a\ntext"}]
+    assert chat.answer(0, 0, said, chat.FirstSource()).status == "no_data"
+    assert chat.answer(5, 0, said, chat.FirstSource()).status == "no_match"
+    assert chat.answer(5, 1, said, None).status == "disabled"
+    assert chat.answer(5, 1, said, chat.FirstSource()).text == "[1] a"
+    failed = chat.answer(5, 1, said, Broken())
+    assert (failed.status, failed.error) == ("failed", "down")
+    for bad in (("", 5), ("x" * 2001, 5), ("x", 0), ("x", 51)):
+        with pytest.raises(ValueError):
+            chat.validate(*bad)
+
+
+def test_schema_and_users(spark):
+    users = schema.seed_user(spark, F.lit("2024-01-01").cast("timestamp"))
+    assert schema.missing(users, "users", spark) == [] and schema.missing(users.drop("email"), "users", spark) == ["email"]
+    assert schema.current_user(users).count() == 1 and schema.current_user(users.withColumn("status", F.lit("off"))).count() == 0
+    assert all(schema.empty(spark, n).count() == 0 for n in schema.TABLES) and len(schema.TABLES) == 9
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "j", "t", "t", "{}", [(0, "document", None, "t")])], "uploaded_file_id long, parse_job_id string, markdown string, text string, doc_json string, segments array<struct<sequence_index int, segment_type string, page_no int, text string>>")
+    documents, segments = sinks.documents_and_segments(rows)
+    sinks.append(segments, str(tmp_path / "s"))
+    sinks.append(segments, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    sinks.replace(documents, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).join(segments, F.col("document_id") == F.col("parsed_document_id")).count() == 1
