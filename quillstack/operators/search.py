@@ -56,7 +56,7 @@ def named(hits: DataFrame, chunks: DataFrame, documents: DataFrame, uploads: Dat
 
 
 def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, uploads: DataFrame, query: list[float], k: int, max_distance: float = 0.5, max_best: float = 0.4) -> DataFrame:
-    """Thresholded results with rank. As the reference semantics have it, the limit counts joined rows: vectors whose
+    """Thresholded results with rank. The limit counts joined rows: vectors whose
     chunk, document or upload is gone don't take a place, hence the semi join before the limit."""
     alive = chunks.join(documents.join(uploads, documents.uploaded_file_id == uploads.id, "left_semi").select(F.col("id").alias("__d")), F.col("parsed_document_id") == F.col("__d"), "left_semi")
     known = embeddings.join(alive.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
