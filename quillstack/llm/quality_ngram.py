@@ -8,9 +8,11 @@ weights. A key packs language and classes into 24 bits, so the arrays that are s
 2 ** 24 entries at most (some 200 MB), whatever the corpus holds: that is their proven bound. The 15 most
 frequent languages have a model of their own, all others share one.
 
-Verdict: a document's log perplexity per character must lie within its language's band. The band is the
-language's median plus and minus ``WIDTH`` robust deviations (at least ``FLOOR``), widened for short texts by
-``SHORT`` over the square root of the number of characters. Too high is gibberish or another language, too low is repetition.
+Verdict: a document's log perplexity per character must lie within its language's band. The lower bound is the
+language's median less ``LOW_WIDTH`` robust deviations of the documents below it; the upper bound is the median plus
+``WIDTH`` robust deviations of all (at least ``FLOOR``, since clean texts with passages in another language lie far above).
+Both are widened for short texts by ``SHORT`` over the square root of the number of characters. Too high is gibberish
+or another language, too low is repetition or junk of symbols, digits and fragments.
 
 Defined cases: null text has no words and fails the base rules; a null language is a language; a document
 without words has perplexity zero; repeated rows are judged alike; empty tables give empty results; columns
@@ -35,6 +37,7 @@ from quillstack.llm._text import Words, blocks, mix, utf8
 ORDER, CLASS_BITS, MODELS = 4, 5, 16
 BLOCK = 1 << 18  # bytes of text counted together; memory is some hundred times that
 WIDTH, FLOOR, SHORT = 8.0, 0.85, 3.0
+LOW_WIDTH = 4.0
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -273,21 +276,26 @@ def _failed() -> Column:
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """(model, mid, mad) of the documents that pass the base rules; ``MODELS`` rows at most."""
+    """(model, mid, mad, low_mad) of the documents that pass the base rules; ``MODELS`` rows at most. ``low_mad`` is
+    the median distance of those at or below ``mid``."""
     good = scored.where(~_failed())
     mid = good.groupBy("model").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
-    off = F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000)
-    return good.join(F.broadcast(mid), "model").groupBy("model").agg(F.first("mid").alias("mid"), off.alias("mad"))
+    off = F.abs(F.col("log_perplexity") - F.col("mid"))
+    below = F.when(F.col("log_perplexity") <= F.col("mid"), off)
+    middle = lambda x: F.percentile_approx(x, 0.5, 10000)
+    by = good.join(F.broadcast(mid), "model").groupBy("model")
+    return by.agg(F.first("mid").alias("mid"), middle(off).alias("mad"), middle(below).alias("low_mad"))
 
 
 def verdicts(scored: DataFrame, by: DataFrame) -> DataFrame:
     """Adds base_failed, the band (``lower``, ``upper``) and kept, given the ``bands``."""
-    scored = fresh(scored, "base_failed", "lower", "upper", "kept", "mid", "mad").withColumn("base_failed", _failed())
+    scored = fresh(scored, "base_failed", "lower", "upper", "kept", "mid", "mad", "low_mad").withColumn("base_failed", _failed())
     out = scored.join(F.broadcast(by), "model", "left")
-    half = F.greatest(WIDTH * 1.4826 * F.col("mad"), F.lit(FLOOR)) + SHORT / F.sqrt(F.greatest("n_grams", F.lit(1)))
-    out = out.withColumn("lower", F.col("mid") - half).withColumn("upper", F.col("mid") + half)
+    short = SHORT / F.sqrt(F.greatest("n_grams", F.lit(1)))
+    low, high = LOW_WIDTH * 1.4826 * F.col("low_mad"), F.greatest(WIDTH * 1.4826 * F.col("mad"), F.lit(FLOOR))
+    out = out.withColumn("lower", F.col("mid") - low - short).withColumn("upper", F.col("mid") + high + short)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return out.withColumn("kept", kept).drop("mid", "mad", "model")
+    return out.withColumn("kept", kept).drop("mid", "mad", "low_mad", "model")
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -115,3 +115,25 @@ def test_odd_rows(spark, odd_docs):
         assert tuple(r[c] for c in q.BASE) == base(r.text)
         assert r.kept in (True, False) and (not r.base_failed or not r.kept)
     assert q.judged(odd_docs.limit(0)).count() == 0
+
+
+def test_lower_band_rejects_symbol_junk(spark):
+    """Words glued to symbols are as predictable as prose is not: planted among clean documents they go, the clean ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    texts = [r.text for r in docs.join(good, "doc_id").where("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    words = re.findall("[a-z]+", " ".join(texts).lower())
+    junk = [(10**6 + i, " ".join(w + "#$%"[j % 3] * 3 for j, w in enumerate(words[300 * i : 300 * i + 300])), "en") for i in range(10)]
+    got = q.judged(docs.unionByName(spark.createDataFrame(junk, docs.schema)), keep=["doc_id"])
+    planted = got.where("doc_id >= 1000000").collect()
+    assert len(planted) == 10 and not any(r.base_failed for r in planted)
+    assert not any(r.kept for r in planted) and all(r.log_perplexity < r.lower for r in planted)
+    assert got.join(good, "doc_id").where("NOT base_failed AND NOT kept").count() == 0
+
+
+def test_bands_have_a_lower_side_of_their_own(spark):
+    """A long upper tail does not widen the lower bound."""
+    devs = [-0.02, -0.01, 0.0, 0.01, 0.02] * 10 + [0.3] * 10
+    rows = [(i, 1, 100, 0, 10_000, 2.0 + d) for i, d in enumerate(devs)] + [(100, 1, 100, 0, 10_000, 1.8), (101, 1, 100, 0, 10_000, 2.8)]
+    scored = spark.createDataFrame(rows, "doc_id long, model int, n_words long, n_repeat_words long, n_grams long, log_perplexity double")
+    assert {r.doc_id for r in q.verdicts(scored, q.bands(scored)).where("NOT kept").collect()} == {100}
