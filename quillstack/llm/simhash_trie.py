@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstack.llm import shingle_sets
 from quillstack.llm._tables import drop_written, fresh, written
 from quillstack.llm._text import SEPARATOR, Words, blocks, utf8
 
@@ -248,22 +249,62 @@ def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, __name, fp, set and bands of ``docs`` (doc_id, __name, text), over shingles of 5 words."""
+    fields = docs.select("doc_id", "__name").schema.fields
+    more = [T.StructField("fp", T.LongType()), T.StructField("set", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*fields, *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            made = [fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle_sets.SHINGLE) for a, b in blocks(offsets, BLOCK)]
+            prints = np.concatenate(made) if made else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), *shingle_sets.sketches(data, offsets)], names=schema.names)
+
+    return docs.select("doc_id", "__name", "text").mapInArrow(run, schema)
+
+
+def _similar(best: DataFrame, named: DataFrame, max_diff: int) -> DataFrame:
+    """Roots (node, root) of the sets of ``best`` (set, best, fp, bands) that are linked: candidates from the trie and from
+    MinHash keys, each checked on whole sets."""
+    prints = written(best.groupBy("fp").agg(F.min("set").alias("lead")), "prints")
+    near = links(prints.select("fp"), prints.count(), max_diff)
+    ends = [prints.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}")) for x in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    same = best.join(prints, "fp").select(F.col("set").alias("a"), F.col("lead").alias("b"))
+    keys = best.select("set", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min("set").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    members = written(keys.join(shared, "band"), "members")
+    pairs = near.unionByName(same).unionByName(members.select(F.col("set").alias("a"), F.col("lead").alias("b")))
+    pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    wanted = best.join(wanted, "set").select("set", F.col("best.id").alias("id"), F.col("best.name").alias("name"))
+    texts = named.join(wanted, named["doc_id"].eqNullSafe(wanted["id"]) & (named["__name"] == wanted["name"])).select("set", "text")
+    sets = written(shingle_sets.with_hashes(texts).groupBy("set").agg(F.first("hashes").alias("hashes")), "sets")
+    edges = written(shingle_sets.checked(pairs, sets), "links")
+    roots = written(components(edges), "roots")
+    more = written(shingle_sets.between_components(members, roots, sets), "links")
+    return roots if more.isEmpty() else written(components(edges.unionByName(more)), "roots")
+
+
 def keep_one(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """``docs`` without near-duplicates: of each component one row with the smallest doc_id stays (nulls last).
+    """``docs`` without near-duplicates: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are
+    linked, and of each component one row with the smallest doc_id stays (nulls last).
 
-    Rows are known by doc_id and the digest of their text, so only numbers are written and the texts move once."""
+    Rows are known by doc_id and the digest of their text, so only numbers and the sets of candidates are written."""
     name = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    prints = written(with_fingerprint(docs.select("doc_id", "text", name.alias("__name")), keep=["doc_id", "__name"]), "fingerprints")
-    # pre-aggregated by fingerprint first: a group of copies is never gathered
+    named = docs.withColumn("__name", name)
+    rows = written(_sketched(named), "sketches")
+    # pre-aggregated by set first: a group of copies is never gathered
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__name").alias("name"))
-    best = written(prints.groupBy("fp").agg(F.min(rank).alias("best")), "best")
-    roots = written(components(links(best.select("fp"), best.count(), max_diff)), "roots")
-    rooted = best.join(roots, best.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
+    best = written(rows.groupBy("set").agg(F.min(rank).alias("best"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "best")
+    roots = _similar(best, named, max_diff)
+    rooted = best.join(roots, best["set"] == roots["node"], "left").select(F.coalesce("root", "set").alias("root"), "best")
     stay = written(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.name"), "stay")
-    named = docs.withColumn("__name", name)
     kept = named.join(stay, named["doc_id"].eqNullSafe(stay["id"]) & (named["__name"] == stay["name"]), "left_semi")
     # repeated rows share the name: of those one stays
-    twice = prints.join(stay, prints["doc_id"].eqNullSafe(stay["id"]) & (prints["__name"] == stay["name"]), "left_semi")
+    twice = rows.join(stay, rows["doc_id"].eqNullSafe(stay["id"]) & (rows["__name"] == stay["name"]), "left_semi")
     if twice.groupBy("doc_id", "__name").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
     return kept.dropDuplicates(["doc_id", "__name"]).select(*docs.columns)
