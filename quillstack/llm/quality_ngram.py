@@ -4,9 +4,9 @@ Model: character 4-grams of every text, case folded into 32 classes (26 letters,
 punctuation, other ASCII, bytes beyond ASCII, start of text), with white space runs as one space. Spark counts
 the 4-grams of all documents by language; lower orders are continuation counts; each language and order
 has its own three discounts. The model is kept as sorted arrays of keys with log probabilities and back-off
-weights. A key packs language and classes into 24 bits, so the arrays that are sent to the executors have
-2 ** 24 entries at most (some 200 MB), whatever the corpus holds: that is their proven bound. The 15 most
-frequent languages have a model of their own, all others share one.
+weights. A key packs the language's number and the classes; the arrays that are sent to the executors have at
+most 2 ** 20 entries of the highest order for each language. Every language has a model and a band of its own: the
+15 most frequent are numbered from 1, which keeps keys narrow, all others by 42 bits of their hash.
 
 Verdict: a document's log perplexity per character must lie within its language's band. The lower bound is the
 language's median less ``LOW_WIDTH`` robust deviations of the documents below it; the upper bound is the median plus
@@ -35,6 +35,7 @@ from quillstack.llm._tables import fresh, written
 from quillstack.llm._text import Words, blocks, mix, utf8
 
 ORDER, CLASS_BITS, MODELS = 4, 5, 16
+NARROW, HASH_BITS = 11, 42  # bits of a model number in a 32-bit key; of a language's hash
 BLOCK = 1 << 18  # bytes of text counted together; memory is some hundred times that
 WIDTH, FLOOR, SHORT = 8.0, 0.85, 3.0
 LOW_WIDTH = 4.0
@@ -103,6 +104,11 @@ def _repeat_words(w: Words) -> np.ndarray:
     return np.bincount(w.doc[np.cumsum(cover)[:-1] > 0], minlength=w.n_docs)
 
 
+def _width(model: np.ndarray) -> type:
+    """The type of keys: 32 bits where all model numbers are small."""
+    return np.int32 if model.max(initial=0) >> NARROW == 0 else np.int64
+
+
 def grams(w: Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the highest order and the document of each; ``model`` is each document's model number."""
     kept = w.word | w.before
@@ -110,7 +116,7 @@ def grams(w: Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(w.n_docs), per_doc)
     c = _CLASS[w.data[kept]]
     at = np.arange(len(c)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    key = (model.astype(np.int32)[doc] << CLASS_BITS * ORDER) | c
+    key = (model.astype(_width(model))[doc] << CLASS_BITS * ORDER) | c
     for back in range(1, ORDER):
         moved = np.zeros_like(c)
         moved[back:] = c[:-back] if back < len(c) else 0
@@ -140,9 +146,10 @@ class KneserNey:
         logp, contexts, backoff, below = [], [], [], None
         for n, (key, count) in enumerate(zip(k, c), 1):
             model = key >> CLASS_BITS * n
-            cut = KneserNey._discounts(model, count)
+            which = np.unique(model, return_inverse=True)[1]
+            cut = KneserNey._discounts(which, count)
             kind = np.minimum(count, 3).astype(np.int64)
-            taken = cut[model, kind]
+            taken = cut[which, kind]
             ctx, first = np.unique(key >> CLASS_BITS, return_index=True)
             which = np.repeat(np.arange(len(ctx)), np.diff(np.r_[first, len(key)]))
             total = np.bincount(which, count, len(ctx))
@@ -154,24 +161,25 @@ class KneserNey:
                 p_low = below[np.searchsorted(k[n - 2], rest)]
             below = (count - taken) / total[which] + left[which] * p_low
             logp.append(np.log(below).astype(np.float32))
-            contexts.append(ctx.astype(np.int32))
+            contexts.append(ctx)
             backoff.append(np.log(left).astype(np.float32))
-        return KneserNey([x.astype(np.int32) for x in k], logp, contexts, backoff)
+        width = _width(k[-1] >> CLASS_BITS * ORDER)
+        return KneserNey([x.astype(width) for x in k], logp, [x.astype(width) for x in contexts], backoff)
 
     @staticmethod
     def _discounts(model: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """By model: what is taken from counts of 0, 1, 2, and 3 or more."""
-        out = np.zeros((MODELS, 4))
-        for m in np.unique(model):
-            n1, n2, n3, n4 = (float(np.sum(count[model == m] == i)) for i in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2) if n1 else 0.5
-            d = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-            out[m, 1:] = [min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95))]
-        return out
+        """By model (numbered from 0 up): what is taken from counts of 0, 1, 2, and 3 or more."""
+        size = int(model.max(initial=-1)) + 1
+        n1, n2, n3, n4 = (np.bincount(model[count == i], minlength=size).astype(np.float64) for i in (1, 2, 3, 4))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = np.where(n1 > 0, n1 / (n1 + 2 * n2), 0.5)
+            d = (np.where(n1 > 0, 1 - 2 * y * n2 / n1, 0.5), np.where(n2 > 0, 2 - 3 * y * n3 / n2, 1.0), np.where(n3 > 0, 3 - 4 * y * n4 / n3, 1.5))
+        return np.stack([np.zeros(size), *(np.clip(x, 0.05, top) for x, top in zip(d, (0.95, 1.95, 2.95)))], axis=1)
 
     def score(self, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
         """Log probabilities of sorted keys; unseen ones back off to the next order."""
         have = self.keys[n - 1]
+        keys = keys.astype(np.promote_types(keys.dtype, have.dtype))
         at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
         seen = have[at] == keys if len(have) else np.zeros(len(keys), bool)
         out = np.where(seen, self.logp[n - 1][at] if len(have) else 0, np.float32(0)).astype(np.float64)
@@ -190,12 +198,12 @@ class KneserNey:
 
 
 def _number(docs: DataFrame, lang: str) -> Column:
-    """Model number of each document: 1 up for the most frequent languages, 0 for the rest."""
+    """Model number of each document: 1 up for the most frequent languages, numbers by hash for the rest."""
     top = docs.groupBy(lang).count().orderBy(F.desc("count"), F.asc_nulls_first(lang)).limit(MODELS - 1)
-    out = F.lit(0)
+    out = F.xxhash64(lang).bitwiseAND((1 << HASH_BITS) - 1) + F.lit(1 << HASH_BITS)
     for i, row in enumerate(top.collect(), 1):
         out = F.when(F.col(lang).eqNullSafe(F.lit(row[0])), i).otherwise(out)
-    return out.cast("int")
+    return out.cast("long")
 
 
 def _words(batch: pa.RecordBatch, text: int, model: int) -> Iterator[tuple[int, int, Words, np.ndarray]]:
@@ -224,9 +232,9 @@ def count_grams(docs: DataFrame, number: Column, text: str) -> DataFrame:
                     parts = [_merge(parts)]
         if parts:
             keys, n = _merge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n)], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
 
-    found = docs.select(F.col(text).alias("__text"), number.alias("__model")).mapInArrow(run, "key int, n long")
+    found = docs.select(F.col(text).alias("__text"), number.alias("__model")).mapInArrow(run, "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -245,7 +253,7 @@ def with_scores(docs: DataFrame, model: Broadcast[KneserNey], number: Column, te
         *docs_kept.select(*kept).schema.fields,
         *[T.StructField(c, T.LongType(), False) for c in (*BASE, "n_grams")],
         T.StructField("log_perplexity", T.DoubleType(), False),
-        T.StructField("model", T.IntegerType(), False),
+        T.StructField("model", T.LongType(), False),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +266,14 @@ def with_scores(docs: DataFrame, model: Broadcast[KneserNey], number: Column, te
                     cols[c][a:b] = x
                 key, doc = grams(w, numbers)
                 # sorted with the document behind the key: each key is looked up once
-                both = np.sort((key.astype(np.int64) << 32) | doc)
-                key, doc = both >> 32, both & 0xFFFFFFFF
+                if key.dtype == np.int32:
+                    both = np.sort((key.astype(np.int64) << 32) | doc)
+                    key, doc = (both >> 32).astype(np.int32), both & 0xFFFFFFFF
+                else:
+                    order = np.lexsort((doc, key))
+                    key, doc = key[order], doc[order]
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-                logp = np.repeat(model.value.score(key[first].astype(np.int32)), np.diff(np.r_[first, len(key)]))
+                logp = np.repeat(model.value.score(key[first]), np.diff(np.r_[first, len(key)]))
                 cols["n_grams"][a:b] = np.bincount(doc, minlength=b - a)
                 loss[a:b] = -np.bincount(doc, logp, b - a) / np.maximum(cols["n_grams"][a:b], 1)
             yield pa.RecordBatch.from_arrays(
@@ -276,7 +288,7 @@ def _failed() -> Column:
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """(model, mid, mad, low_mad) of the documents that pass the base rules; ``MODELS`` rows at most. ``low_mad`` is
+    """(model, mid, mad, low_mad) of the documents that pass the base rules; a row for each language. ``low_mad`` is
     the median distance of those at or below ``mid``."""
     good = scored.where(~_failed())
     mid = good.groupBy("model").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))

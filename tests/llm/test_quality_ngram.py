@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -137,3 +138,22 @@ def test_bands_have_a_lower_side_of_their_own(spark):
     rows = [(i, 1, 100, 0, 10_000, 2.0 + d) for i, d in enumerate(devs)] + [(100, 1, 100, 0, 10_000, 1.8), (101, 1, 100, 0, 10_000, 2.8)]
     scored = spark.createDataFrame(rows, "doc_id long, model int, n_words long, n_repeat_words long, n_grams long, log_perplexity double")
     assert {r.doc_id for r in q.verdicts(scored, q.bands(scored)).where("NOT kept").collect()} == {100}
+
+
+def test_every_language_has_its_own_model_and_band(spark):
+    """Scores and bounds in the rarest of 20 languages are those it has by itself."""
+    r = random.Random(8)
+    rows = []
+    for lang in [*(f"l{i:02}" for i in range(19)), None]:
+        letters = r.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words = ["".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(60)]
+        for _ in range(12 if lang in ("l18", None) else 14):
+            rows.append((len(rows), " ".join(r.choices(words, k=120)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in q.judged(docs, keep=["doc_id"]).collect()}
+    for mine in ("lang = 'l18'", "lang IS NULL"):
+        alone = q.judged(docs.where(mine), keep=["doc_id"]).collect()
+        assert len(alone) >= 12
+        for x in alone:
+            for c in ("log_perplexity", "lower", "upper"):
+                assert got[x.doc_id][c] == pytest.approx(x[c], rel=1e-6)
