@@ -7,22 +7,33 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``; a temporary one only where neither is set and
+    all runs in this process (local tests)."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not (context.master or "").startswith("local") or (context.master or "").startswith("local-cluster"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="quillstack-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
     return f"file://{_own_folder[0]}"
 
 
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """For Python workers: the file system of a folder named by a URI or an absolute path, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
 def _top(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quillstack/{spark.sparkContext.applicationId}"
 
@@ -59,3 +70,13 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     """Drops input columns whose names an operator is about to produce (compared without case, as Spark does)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but ``needed`` put into one, ``__rest``, out of reach of any name that an operator produces, and
+    the expressions that give the columns of ``docs`` back, in order."""
+    used = {n.lower() for n in needed}
+    rest = [c for c in docs.columns if c.lower() not in used]
+    slim = docs.select(*needed, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []))
+    back = [F.col(c) if c.lower() in used else F.col("__rest").getField(c).alias(c) for c in docs.columns]
+    return slim, back

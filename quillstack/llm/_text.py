@@ -47,6 +47,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def hash_longs(values: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """XXH64 of 64-bit integers, as Spark's ``xxhash64`` gives it; the seed of a further column is the hash of those before it."""
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    seed = np.asarray(seed).astype(np.uint64) if not isinstance(seed, int) else np.uint64(seed)
+    h = (seed + (_P5 + np.uint64(8))) ^ (turn(values.view(np.uint64) * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """The code points of UTF-8 bytes, one for each byte that is not a continuation."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.int64)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64)
+    a = padded[at]
+    b, c, d = (padded[at + i] & 0x3F for i in (1, 2, 3))
+    two, three = ((a & 0x1F) << 6) | b, ((a & 0x0F) << 12) | (b << 6) | c
+    four = ((a & 0x07) << 18) | (b << 12) | (c << 6) | d
+    return np.minimum(np.select([a < 0x80, a < 0xE0, a < 0xF0], [a, two, three], four), 0x10FFFF)
+
+
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:

@@ -1,44 +1,53 @@
 """Quality rules with n-gram perplexity under a modified Kneser-Ney model counted by Spark.
 
-Model: character 4-grams of every text, case folded into 32 classes (26 letters, space, digit, sentence
-punctuation, other ASCII, bytes beyond ASCII, start of text), with white space runs as one space. Spark counts
-the 4-grams of all documents by language; lower orders are continuation counts; each language and order
-has its own three discounts. The model is kept as sorted arrays of keys with log probabilities and back-off
-weights. A key packs the language's number and the classes; the arrays that are sent to the executors have at
-most 2 ** 20 entries of the highest order for each language. Every language has a model and a band of its own: the
-15 most frequent are numbered from 1, which keeps keys narrow, all others by 42 bits of their hash.
-
-Verdict: a document's log perplexity per character must lie within its language's band. The lower bound is the
+Model: character 5-grams of every text, one model for each language. Letters are told apart in every script, without
+case; white space runs are one space, sentence punctuation is one symbol, other ASCII signs are one, digits are
+themselves. A symbol has 12 bits, so a 5-gram is a number. Spark counts the 5-grams of all documents and keeps those
+that two different texts hold: a text's own oddities say nothing about it. Lower orders are
+continuation counts; each language and order has three discounts of its own. The model is a table that grows with the
+corpus, and all of the estimation is joins and windows over it; nothing of it is collected or broadcast.
+
+Scoring: documents lie in chunks (``CHUNK_ROWS`` rows of one file). The 5-grams of a chunk meet the model in a join, and the chunk's share of
+it is written as arrays of 64-bit hashes, sorted, with their log probabilities. A task that reads documents
+opens the arrays of their chunk and finds each 5-gram by binary search.
+
+Verdict: a document's log perplexity is the median over its windows of ``SPAN`` characters of their mean loss, so a passage of
+another kind, or a few long keys in a short text, don't decide. It must lie within its language's band. The lower bound is the
 language's median less ``LOW_WIDTH`` robust deviations of the documents below it; the upper bound is the median plus
-``WIDTH`` robust deviations of all (at least ``FLOOR``, since clean texts with passages in another language lie far above).
-Both are widened for short texts by ``SHORT`` over the square root of the number of characters. Too high is gibberish
-or another language, too low is repetition or junk of symbols, digits and fragments.
+``HIGH_WIDTH`` robust deviations of those above. Both are widened by ``SHORT`` over the root of the number of characters
+and by ``FEW`` over the root of the number of the language's documents. Too high is gibberish or another language, too low is repetition or
+junk of symbols and fragments. Medians come from exact counts of scores rounded to ``STEP``.
 
 Defined cases: null text has no words and fails the base rules; a null language is a language; a document
-without words has perplexity zero; repeated rows are judged alike; empty tables give empty results; columns
-whose names clash with those produced are replaced.
+without words has perplexity zero; a text that alone holds its 5-grams is judged by the orders below; very long texts are
+whole; equal scores and repeated rows are judged alike; empty tables give empty results; columns whose names
+clash with those produced are replaced, and names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quillstack.llm._tables import fresh, written
-from quillstack.llm._text import Words, blocks, mix, utf8
+from quillstack.llm._tables import filesystem, fresh, new_path, written
+from quillstack.llm._text import Words, blocks, code_points, hash_longs, mix, utf8
 
-ORDER, CLASS_BITS, MODELS = 4, 5, 16
-NARROW, HASH_BITS = 11, 42  # bits of a model number in a 32-bit key; of a language's hash
+ORDER, BITS = 5, 12
+SYMBOLS = 1 << BITS
+CHUNK_ROWS_BITS = 16
+CHUNK_ROWS = 1 << CHUNK_ROWS_BITS
+SPAN = 64  # characters of a window
 BLOCK = 1 << 18  # bytes of text counted together; memory is some hundred times that
-WIDTH, FLOOR, SHORT = 8.0, 0.85, 3.0
-LOW_WIDTH = 4.0
+LOW_WIDTH, HIGH_WIDTH, SHORT, FEW = 4.0, 8.0, 3.0, 0.5
+STEP = 1e-4
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -46,18 +55,23 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _classes() -> np.ndarray:
-    out = np.full(256, 30, np.int32)
-    for i in range(26):
-        out[65 + i] = out[97 + i] = i + 1
-    out[[0x20, *range(9, 14)]] = 27
-    out[48:58] = 28
-    out[list(b".,;:!?'\"()-")] = 29
-    out[128:] = 31
+def _symbols() -> np.ndarray:
+    """The symbol of every code point; 0 stands before a text's start."""
+    point = np.arange(0x110000, dtype=np.uint64)
+    for c in range(0x10000):
+        low = chr(c).lower()
+        if len(low) == 1:
+            point[c] = ord(low)
+    out = np.where(point < 128, point, 128 + mix(point) % np.uint64(SYMBOLS - 128)).astype(np.int64)
+    ascii_ = np.arange(128)
+    signs = [c for c in ascii_.tolist() if not chr(c).isalnum()]
+    out[signs] = ord("#")
+    out[list(b".,;:!?'\"()-")] = ord(".")
+    out[[0x20, *range(9, 14)]] = ord(" ")
     return out
 
 
-_CLASS = _classes()
+_OF = _symbols()
 
 
 def base_counts(w: Words) -> dict[str, np.ndarray]:
@@ -104,218 +118,256 @@ def _repeat_words(w: Words) -> np.ndarray:
     return np.bincount(w.doc[np.cumsum(cover)[:-1] > 0], minlength=w.n_docs)
 
 
-def _width(model: np.ndarray) -> type:
-    """The type of keys: 32 bits where all model numbers are small."""
-    return np.int32 if model.max(initial=0) >> NARROW == 0 else np.int64
-
-
-def grams(w: Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the highest order and the document of each; ``model`` is each document's model number."""
+def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the highest order, as numbers, and the document of each."""
     kept = w.word | w.before
-    per_doc = w.sums(kept)
+    points, per_doc = code_points(w.data[kept]), w.sums(kept & ((w.data & 0xC0) != 0x80))
     doc = np.repeat(np.arange(w.n_docs), per_doc)
-    c = _CLASS[w.data[kept]]
+    c = _OF[points]
     at = np.arange(len(c)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    key = (model.astype(_width(model))[doc] << CLASS_BITS * ORDER) | c
-    for back in range(1, ORDER):
+    key = c.copy()
+    for back in range(1, min(ORDER, len(c))):
         moved = np.zeros_like(c)
-        moved[back:] = c[:-back] if back < len(c) else 0
+        moved[back:] = c[:-back]
         moved[at < back] = 0
-        key |= moved << (CLASS_BITS * back)
+        key |= moved << (BITS * back)
     return key, doc
 
 
-@dataclass
-class KneserNey:
-    """Sorted keys with log probabilities, and sorted contexts with log back-off weights, from order 1 up."""
-
-    keys: list[np.ndarray]
-    logp: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-
-    @staticmethod
-    def fit(keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-        order = np.argsort(keys)
-        k, c = [keys[order].astype(np.int64)], [counts[order].astype(np.float64)]
-        for n in range(ORDER - 1, 0, -1):
-            model, rest = k[0] >> CLASS_BITS * (n + 1), k[0] & ((1 << CLASS_BITS * n) - 1)
-            lower, times = np.unique((model << CLASS_BITS * n) | rest, return_counts=True)
-            k.insert(0, lower)
-            c.insert(0, times.astype(np.float64))
-        logp, contexts, backoff, below = [], [], [], None
-        for n, (key, count) in enumerate(zip(k, c), 1):
-            model = key >> CLASS_BITS * n
-            which = np.unique(model, return_inverse=True)[1]
-            cut = KneserNey._discounts(which, count)
-            kind = np.minimum(count, 3).astype(np.int64)
-            taken = cut[which, kind]
-            ctx, first = np.unique(key >> CLASS_BITS, return_index=True)
-            which = np.repeat(np.arange(len(ctx)), np.diff(np.r_[first, len(key)]))
-            total = np.bincount(which, count, len(ctx))
-            left = np.bincount(which, taken, len(ctx)) / total
-            if below is None:
-                p_low = np.full(len(key), 1.0 / (1 << CLASS_BITS))
-            else:
-                rest = (model << CLASS_BITS * (n - 1)) | (key & ((1 << CLASS_BITS * (n - 1)) - 1))
-                p_low = below[np.searchsorted(k[n - 2], rest)]
-            below = (count - taken) / total[which] + left[which] * p_low
-            logp.append(np.log(below).astype(np.float32))
-            contexts.append(ctx)
-            backoff.append(np.log(left).astype(np.float32))
-        width = _width(k[-1] >> CLASS_BITS * ORDER)
-        return KneserNey([x.astype(width) for x in k], logp, [x.astype(width) for x in contexts], backoff)
-
-    @staticmethod
-    def _discounts(model: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """By model (numbered from 0 up): what is taken from counts of 0, 1, 2, and 3 or more."""
-        size = int(model.max(initial=-1)) + 1
-        n1, n2, n3, n4 = (np.bincount(model[count == i], minlength=size).astype(np.float64) for i in (1, 2, 3, 4))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            y = np.where(n1 > 0, n1 / (n1 + 2 * n2), 0.5)
-            d = (np.where(n1 > 0, 1 - 2 * y * n2 / n1, 0.5), np.where(n2 > 0, 2 - 3 * y * n3 / n2, 1.0), np.where(n3 > 0, 3 - 4 * y * n4 / n3, 1.5))
-        return np.stack([np.zeros(size), *(np.clip(x, 0.05, top) for x, top in zip(d, (0.95, 1.95, 2.95)))], axis=1)
-
-    def score(self, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
-        """Log probabilities of sorted keys; unseen ones back off to the next order."""
-        have = self.keys[n - 1]
-        keys = keys.astype(np.promote_types(keys.dtype, have.dtype))
-        at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
-        seen = have[at] == keys if len(have) else np.zeros(len(keys), bool)
-        out = np.where(seen, self.logp[n - 1][at] if len(have) else 0, np.float32(0)).astype(np.float64)
-        miss = np.flatnonzero(~seen)
-        if len(miss):
-            key, ctx = keys[miss], self.contexts[n - 1]
-            at = np.minimum(np.searchsorted(ctx, key >> CLASS_BITS), max(len(ctx) - 1, 0))
-            weight = np.where(ctx[at] == key >> CLASS_BITS, self.backoff[n - 1][at], 0.0) if len(ctx) else 0.0
-            if n == 1:
-                out[miss] = weight - np.log(1 << CLASS_BITS)
-            else:
-                lower = ((key >> CLASS_BITS * n) << CLASS_BITS * (n - 1)) | (key & ((1 << CLASS_BITS * (n - 1)) - 1))
-                unique, back = np.unique(lower, return_inverse=True)
-                out[miss] = weight + self.score(unique, n - 1)[back]
-        return out
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts, and where in it runs of equal values begin."""
+    order = np.argsort(hashes)
+    sorted_ = hashes[order]
+    return order, np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.zeros(0, np.int64)
 
 
-def _number(docs: DataFrame, lang: str) -> Column:
-    """Model number of each document: 1 up for the most frequent languages, numbers by hash for the rest."""
-    top = docs.groupBy(lang).count().orderBy(F.desc("count"), F.asc_nulls_first(lang)).limit(MODELS - 1)
-    out = F.xxhash64(lang).bitwiseAND((1 << HASH_BITS) - 1) + F.lit(1 << HASH_BITS)
-    for i, row in enumerate(top.collect(), 1):
-        out = F.when(F.col(lang).eqNullSafe(F.lit(row[0])), i).otherwise(out)
-    return out.cast("long")
+def _in_chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__chunk``, a number that depends on a row's file and place in it alone, so that each reading gives it again.
+    What is not read from Parquet files as it stands is written first."""
+    place = F.xxhash64("_metadata.file_path", F.shiftright("_metadata.row_index", CHUNK_ROWS_BITS)).alias("__chunk")
+    try:
+        return docs.select("*", place)
+    except AnalysisException:  # no file or row number: not a plain scan
+        return written(docs, "texts").select("*", place)
 
 
-def _words(batch: pa.RecordBatch, text: int, model: int) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, text: int, lang: int, chunk: int) -> Iterator[tuple[int, int, int, Words, np.ndarray]]:
+    """(from, to, chunk, words, language numbers) of runs of rows that share a chunk."""
     data, offsets = utf8(batch.column(text))
-    number = batch.column(model).to_numpy(zero_copy_only=False)
-    for a, b in blocks(offsets, BLOCK):
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), number[a:b]
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-
-
-def count_grams(docs: DataFrame, number: Column, text: str) -> DataFrame:
-    """(key, n) of the highest order over all documents."""
+    langs, chunks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (lang, chunk))
+    cuts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True]) if len(chunks) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own = offsets[lo : hi + 1]
+        for a, b in blocks(own, BLOCK):
+            a, b = a + lo, b + lo
+            yield a, b, int(chunks[lo]), Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), langs[a:b]
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Joins (hash, lang, gram, n, low, high); rows of equal hashes become one."""
+    name, lang, gram, n, low, high = (np.concatenate(x) for x in zip(*parts))
+    order, first = _runs(name)
+    if not len(order):
+        return name, lang, gram, n, low, high
+    one = order[first]
+    return name[one], lang[one], gram[one], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(chunk, lang, gram, n, low, high) of ``docs`` (__chunk, __lang, __seen, __text): counts by chunk, and the smallest and
+    largest hash of the texts that hold the n-gram."""
+    schema = "chunk long, lang long, gram long, n long, low int, high int"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
-            for _, _, w, model in _words(batch, 0, 1):
-                key = np.sort(grams(w, model)[0])
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-                parts.append((key[first], np.diff(np.r_[first, len(key)])))
-                if len(parts) == 32:
-                    parts = [_merge(parts)]
-        if parts:
-            keys, n = _merge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
-
-    found = docs.select(F.col(text).alias("__text"), number.alias("__model")).mapInArrow(run, "key long, n long")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fitted(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[Broadcast[KneserNey], Column]:
-    """The model of a corpus, sent to the executors, and the expression for a document's model number."""
-    number = _number(docs, lang)
-    table = count_grams(docs, number, text).toArrow()
-    return docs.sparkSession.sparkContext.broadcast(KneserNey.fit(table["key"].to_numpy(), table["n"].to_numpy())), number
-
-
-def with_scores(docs: DataFrame, model: Broadcast[KneserNey], number: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the counts of ``BASE``, ``n_grams``, ``log_perplexity`` and ``model``."""
-    docs_kept = fresh(docs, *BASE, "n_grams", "log_perplexity", "model")
-    kept = [c for c in docs_kept.columns if keep is None or c in keep]
+            seen = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b, chunk, w, lang in _blocks(batch, 3, 1, 0):
+                gram, doc = grams(w)
+                name = hash_longs(gram, hash_longs(lang)[doc])
+                own = seen[a:b][doc]
+                mine = parts.setdefault(chunk, [])
+                mine.append(_merged([(name, lang[doc], gram, np.ones(len(name), np.int64), own, own)]))
+                if len(mine) == 32:
+                    mine[:] = [_merged(mine)]
+        for chunk, mine in parts.items():
+            _, *columns = _merged(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), chunk)), *map(pa.array, columns)], names=names)
+
+    return docs.select("__chunk", "__lang", "__seen", "__text").mapInArrow(run, schema)
+
+
+def known(counts: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each n-gram occurs, zero where all texts that hold it are equal."""
+    total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return total.select("lang", "gram", F.when(F.col("low") < F.col("high"), F.col("n")).otherwise(0).alias("n"))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): what is taken from counts of 1, 2, and 3 or more."""
+    times = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    of = lambda i, other: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)), F.lit(i - 0.05))).otherwise(other)
+    return level.groupBy("lang").agg(*times).select("lang", of(1, 0.5).alias("d1"), of(2, 1.0).alias("d2"), of(3, 1.5).alias("d3"))
+
+
+def probabilities(table: DataFrame) -> DataFrame:
+    """(lang, gram, p) for every row of the written ``table`` (lang, gram, n): interpolated modified Kneser-Ney, where rows with
+    n = 0 were not counted and take what the orders below give them."""
+    levels = [table]
+    for order in range(ORDER - 1, 0, -1):
+        rest = F.col("gram").bitwiseAND((1 << BITS * order) - 1).alias("gram")
+        levels.insert(0, written(levels[0].groupBy("lang", rest).agg(F.count_if(F.col("n") > 0).alias("n")), f"order{order}"))
+    below: DataFrame | None = None
+    for order, level in enumerate(levels, 1):
+        taken = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        context = Window.partitionBy("lang", "context")  # SYMBOLS rows at most
+        now = level.join(_discounts(level), "lang").withColumn("context", F.shiftright("gram", BITS)).withColumn("taken", taken)
+        now = now.withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("taken").over(context))
+        if below is None:
+            now = now.withColumn("low", F.lit(1.0 / SYMBOLS))
+        else:
+            now = now.withColumn("rest", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(below, ["lang", "rest"])
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("taken")) / F.col("total") + F.col("left") / F.col("total") * F.col("low")).otherwise(F.col("low"))
+        below = now.select("lang", F.col("gram").alias("rest"), p.alias("low"))
+    return below.select("lang", F.col("rest").alias("gram"), F.col("low").alias("p"))
+
+
+def model_arrays(counts: DataFrame, model: DataFrame) -> str:
+    """Writes each chunk's share of ``model`` (lang, gram, p): a folder for a chunk, in it hashes in ascending order with their log
+    probabilities. Returns the path."""
+    path = new_path(counts.sparkSession, "arrays")
+    met = counts.select("chunk", "lang", "gram").join(model, ["lang", "gram"]).dropDuplicates(["lang", "gram", "chunk"])
+    rows = met.select("chunk", F.xxhash64("lang", "gram").alias("hash"), F.ln("p").cast("float").alias("logp"))
+    rows.repartition("chunk").sortWithinPartitions("chunk", "hash").write.partitionBy("chunk").parquet(path)
+    return path
+
+
+class _Arrays:
+    """The arrays of the chunk read last."""
+
+    def __init__(self, path: str):
+        self.path, self.chunk = path, None
+
+    def score(self, chunk: int, hashes: np.ndarray) -> np.ndarray:
+        if chunk != self.chunk:
+            fs, root = filesystem(self.path)
+            t = pq.read_table(f"{root}/chunk={chunk}", filesystem=fs, columns=["hash", "logp"], partitioning=None)
+            self.hash, self.logp, self.chunk = t["hash"].to_numpy(), t["logp"].to_numpy(), chunk
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        if not np.array_equal(self.hash[at], hashes):
+            raise ValueError(f"the arrays of chunk {chunk} lack n-grams of its documents; did the table change while it was read?")
+        return self.logp[at]
+
+
+def typical(loss: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median over windows of ``SPAN`` characters (the last one takes the rest) of their mean loss, for documents of ``n``
+    characters each; zero for empty ones."""
+    some = np.flatnonzero(n)
+    out = np.zeros(len(n))
+    if not len(some):
+        return out
+    size = n[some]
+    windows = np.maximum(size // SPAN, 1)
+    end = np.cumsum(windows)
+    own = np.repeat(np.arange(len(some)), windows)
+    first = (np.cumsum(size) - size)[own] + SPAN * (np.arange(end[-1]) - (end - windows)[own])
+    mean = np.add.reduceat(loss, first) / np.diff(np.r_[first, len(loss)])
+    mean = mean[np.lexsort((mean, own))]
+    out[some] = (mean[end - windows + (windows - 1) // 2] + mean[end - windows + windows // 2]) / 2
+    return out
+
+
+def scored(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` (with __chunk, __lang, __seen, __text) with the counts of ``BASE``, n_grams and log_perplexity by the arrays below ``path``;
+    __lang stays."""
+    kept = [c for c in docs.columns if c not in ("__chunk", "__seen", "__text", "__lang")]
     schema = T.StructType([
-        *docs_kept.select(*kept).schema.fields,
+        *docs.select(*kept).schema.fields,
         *[T.StructField(c, T.LongType(), False) for c in (*BASE, "n_grams")],
         T.StructField("log_perplexity", T.DoubleType(), False),
-        T.StructField("model", T.LongType(), False),
+        T.StructField("__lang", T.LongType(), False),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _Arrays(path)
         for batch in batches:
             n = batch.num_columns
             cols = {c: np.zeros(batch.num_rows, np.int64) for c in (*BASE, "n_grams")}
             loss = np.zeros(batch.num_rows)
-            for a, b, w, numbers in _words(batch, n - 2, n - 1):
+            for a, b, chunk, w, lang in _blocks(batch, n - 1, n - 2, n - 3):
                 for c, x in base_counts(w).items():
                     cols[c][a:b] = x
-                key, doc = grams(w, numbers)
-                # sorted with the document behind the key: each key is looked up once
-                if key.dtype == np.int32:
-                    both = np.sort((key.astype(np.int64) << 32) | doc)
-                    key, doc = (both >> 32).astype(np.int32), both & 0xFFFFFFFF
-                else:
-                    order = np.lexsort((doc, key))
-                    key, doc = key[order], doc[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-                logp = np.repeat(model.value.score(key[first]), np.diff(np.r_[first, len(key)]))
+                gram, doc = grams(w)
+                if not len(gram):
+                    continue
+                name = hash_longs(gram, hash_longs(lang)[doc]).view(np.int64)
+                order, first = _runs(name)
+                logp = np.empty(len(name))
+                logp[order] = np.repeat(arrays.score(chunk, name[order[first]]), np.diff(np.r_[first, len(name)]))
                 cols["n_grams"][a:b] = np.bincount(doc, minlength=b - a)
-                loss[a:b] = -np.bincount(doc, logp, b - a) / np.maximum(cols["n_grams"][a:b], 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n - 2], *[pa.array(x) for x in cols.values()], pa.array(loss), batch.column(n - 1)], names=schema.names
-            )
+                loss[a:b] = typical(-logp, cols["n_grams"][a:b])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], *[pa.array(x) for x in cols.values()], pa.array(loss), batch.column(n - 2)], names=schema.names)
 
-    return docs_kept.select(*kept, F.col(text).alias("__text"), number.alias("__model")).mapInArrow(run, schema)
+    return docs.select(*kept, "__chunk", "__lang", "__text").mapInArrow(run, schema)
+
+
+def with_scores(docs: DataFrame, lang: str = "lang", text: str = "text", keep: list[str] | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the counts of ``BASE``, n_grams, log_perplexity and the language's number __lang, written.
+    The model is that of ``corpus`` (lang, text), or of the documents themselves."""
+    mine = lambda d: (F.xxhash64(lang).alias("__lang"), F.hash(text).alias("__seen"), F.col(text).alias("__text"))
+    slim = fresh(docs, *BASE, "n_grams", "log_perplexity", "__lang", "__seen", "__text", "__chunk")
+    slim = slim.select(*[F.col(f"`{c}`") for c in slim.columns if keep is None or c in keep], *mine(docs))
+    chunks = _in_chunks(slim)
+    counts = written(counted(chunks), "counts")
+    if corpus is None:
+        table = known(counts)
+    else:
+        other = known(counted(_in_chunks(corpus.select(*mine(corpus)))))
+        table = other.unionByName(counts.select("lang", "gram", F.lit(0).alias("n"))).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model = probabilities(written(table, f"order{ORDER}"))
+    return written(scored(chunks, model_arrays(counts, model)), "scores")
 
 
 def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """(model, mid, mad, low_mad) of the documents that pass the base rules; a row for each language. ``low_mad`` is
-    the median distance of those at or below ``mid``."""
-    good = scored.where(~_failed())
-    mid = good.groupBy("model").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
-    off = F.abs(F.col("log_perplexity") - F.col("mid"))
-    below = F.when(F.col("log_perplexity") <= F.col("mid"), off)
-    middle = lambda x: F.percentile_approx(x, 0.5, 10000)
-    by = good.join(F.broadcast(mid), "model").groupBy("model")
-    return by.agg(F.first("mid").alias("mid"), middle(off).alias("mad"), middle(below).alias("low_mad"))
-
-
-def verdicts(scored: DataFrame, by: DataFrame) -> DataFrame:
-    """Adds base_failed, the band (``lower``, ``upper``) and kept, given the ``bands``."""
-    scored = fresh(scored, "base_failed", "lower", "upper", "kept", "mid", "mad", "low_mad").withColumn("base_failed", _failed())
-    out = scored.join(F.broadcast(by), "model", "left")
-    short = SHORT / F.sqrt(F.greatest("n_grams", F.lit(1)))
-    low, high = LOW_WIDTH * 1.4826 * F.col("low_mad"), F.greatest(WIDTH * 1.4826 * F.col("mad"), F.lit(FLOOR))
-    out = out.withColumn("lower", F.col("mid") - low - short).withColumn("upper", F.col("mid") + high + short)
+def _median(rows: DataFrame, by: str, value: Column, name: str) -> DataFrame:
+    """(by, name, times): the smallest value, in steps, that at least half of the rows don't exceed, from exact counts."""
+    counts = rows.select(by, F.round(value / STEP).cast("long").alias("step")).groupBy(by, "step").agg(F.count("*").alias("n"))
+    every = Window.partitionBy(by)
+    counts = counts.withColumn("upto", F.sum("n").over(every.orderBy("step"))).withColumn("all", F.sum("n").over(every))
+    found = counts.where("2 * upto >= `all`").groupBy(by).agg(F.min("step").alias("step"), F.first("all").alias("times"))
+    return found.select(by, (F.col("step") * STEP).alias(name), "times")
+
+
+def bands(scores: DataFrame, by: str = "__lang") -> DataFrame:
+    """(by, mid, low_mad, high_mad, times) of the documents that pass the base rules; a row for each language. The deviations are
+    medians of the distances of those at or below ``mid`` and at or above it."""
+    good = scores.where(~_failed()).select(by, "log_perplexity")
+    mid = _median(good, by, F.col("log_perplexity"), "mid")
+    off = good.join(mid, by).withColumn("off", F.round(F.col("log_perplexity") / STEP) * STEP - F.col("mid"))
+    low = _median(off.where(F.col("off") <= STEP / 2), by, -F.col("off"), "low_mad").drop("times")
+    high = _median(off.where(F.col("off") >= -STEP / 2), by, F.col("off"), "high_mad").drop("times")
+    return mid.join(low, by).join(high, by)
+
+
+def verdicts(scores: DataFrame, found: DataFrame, by: str = "__lang") -> DataFrame:
+    """Adds base_failed, the band (``lower``, ``upper``) and kept, given the ``bands``; ``by`` goes."""
+    made = ("base_failed", "lower", "upper", "kept")
+    band = found.select(F.col(by).alias("__by"), F.struct("mid", "low_mad", "high_mad", "times").alias("__band"))
+    out = fresh(scores, *made, "__by", "__band").withColumn("base_failed", _failed())
+    out = out.join(band, out[by] == band["__by"], "left")
+    more = SHORT / F.sqrt(F.greatest("n_grams", F.lit(1))) + FEW / F.sqrt("__band.times")
+    out = out.withColumn("lower", F.col("__band.mid") - LOW_WIDTH * 1.4826 * F.col("__band.low_mad") - more)
+    out = out.withColumn("upper", F.col("__band.mid") + HIGH_WIDTH * 1.4826 * F.col("__band.high_mad") + more)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return out.withColumn("kept", kept).drop("mid", "mad", "low_mad", "model")
-
+    return out.withColumn("kept", kept).drop("__by", "__band", by)
 
-def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, lang) with counts, perplexity, band and verdict.
 
-    With ``keep``, the narrow scores are written once and judged. Without, every column is wanted: then only numbers are
-    written to find the bands, and documents are scored again as they are read, so that no text is stored."""
-    model, number = fitted(docs)
-    scored = written(with_scores(docs, model, number, keep=keep or []), "scores")
-    by = written(bands(scored), "bands")
-    return verdicts(scored if keep is not None else with_scores(docs, model, number), by)
+def judged(docs: DataFrame, keep: list[str] | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, lang), or its columns ``keep``, with counts, perplexity, band and verdict."""
+    scores = with_scores(docs, keep=keep, corpus=corpus)
+    return verdicts(scores, written(bands(scores), "bands"))

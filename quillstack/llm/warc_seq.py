@@ -23,11 +23,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm._tables import new_path, written
+from quillstack.llm._tables import filesystem, new_path, written
 
 MIN_REVISIT = 0
 ARCHIVE = 64 << 20  # bytes of an archive, compressed, after which a new one begins
@@ -133,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     """Writes archives of ``pages`` below ``folder``; returns the written manifest (path, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         out, path, n, size = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
@@ -165,7 +164,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, _ = filesystem(folder)
         for batch in batches:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[dict[str, object]] = []
