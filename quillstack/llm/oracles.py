@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstack.llm import secret_links as sl
+from quillstack.llm import shard_split as sh
 from quillstack.llm import source_mix as mix
 from quillstack.llm.chat_prefix import CONTROL, END, ESCAPE, START
 
@@ -56,7 +57,7 @@ SELECT page_id, n AS payload_bytes,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM b"""
 
-SQL["op10_sampled_splitters"] = """
+SQL["op10_sampled_splitters"] = f"""
 WITH tbl AS (SELECT list(c ORDER BY i) AS t FROM (
   SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
                         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
@@ -69,13 +70,25 @@ c AS (
 d AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(md5(text), '') AS g, crc FROM c),
 t AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY g) AS bytes FROM d),
-k AS (SELECT *, g || CASE WHEN bytes * 8 * 64 > total THEN md5(coalesce(CAST(doc_id AS VARCHAR), '')) ELSE '' END AS key FROM t),
+k AS (SELECT *, g || CASE WHEN bytes * {8 * sh.PER_SHARD} > total THEN md5(coalesce(CAST(doc_id AS VARCHAR), '')) ELSE '' END AS key FROM t),
+z AS (SELECT CAST(pow(2, ceil(log2(greatest({8 * sh.PER_SHARD}, least({sh.MOST}, ceil(max(total) / {sh.RANGE_BYTES}.0)))))) AS BIGINT) AS n FROM k),
+w AS (SELECT key, size * (n * {sh.DRAWS} / total) AS chance, n * {sh.DRAWS} AS most, CAST('0x' || substr(md5(key || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw FROM k, z),
+y AS (SELECT list(key ORDER BY key) AS keys FROM (SELECT key, unnest(range(CAST(least(ceil(chance), most) AS BIGINT))) FROM w WHERE draw < chance)),
+c2 AS (SELECT list_transform(range(1, n), lambda i: keys[CAST(i * len(keys) // n AS BIGINT) + 1]) AS bounds, n FROM y, z),
+r AS (SELECT k.*, n, len(list_filter(bounds, lambda x: x <= key)) AS rng FROM k, c2),
 o AS (
-  SELECT *, sum(size) OVER (ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         row_number() OVER (ORDER BY key, doc_id) AS nth FROM k),
-s AS (SELECT *, CAST(least(((upto - 1) * 8) // total, 7) AS INTEGER) AS shard FROM o)
+  SELECT *, sum(size) OVER v AS held, CASE WHEN substr(min(key) OVER v, 1, 32) = substr(max(key) OVER v, 1, 32) THEN 33 ELSE 1 END AS skip, min(key) OVER v AS low, max(key) OVER v AS high
+  FROM r WINDOW v AS (PARTITION BY rng)),
+x AS (
+  SELECT *, CASE WHEN held * n > 2 * total THEN CAST(floor(
+    ((CAST('0x' || substr(key, skip, 13) AS BIGINT) - CAST('0x' || substr(low, skip, 13) AS BIGINT))::DOUBLE
+      / (CAST('0x' || substr(high, skip, 13) AS BIGINT) - CAST('0x' || substr(low, skip, 13) AS BIGINT) + 1)::DOUBLE)
+    * ceil(held * n / total::DOUBLE)) AS BIGINT) ELSE 0 END AS part FROM o),
+e AS (SELECT rng, part, sum(size) AS bytes FROM x GROUP BY rng, part),
+f AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY rng, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM e),
+s AS (SELECT x.*, CAST((2 * ahead + f.bytes) * 8 // (2 * total) AS INTEGER) AS shard FROM x JOIN f USING (rng, part))
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard,
-       nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY rng, part, key, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s"""
 
 
@@ -124,7 +137,8 @@ SQL["op8_secret_links"] = _secrets()
 SQL["op4_temperature_mix"] = f"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce('s' || source, '') AS src,
-         len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n_tokens FROM documents),
+         len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n_tokens,
+         coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, ''))) AS name FROM documents),
 z AS MATERIALIZED (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY src),
 m AS (SELECT CAST(max(tokens) AS DOUBLE) / min(tokens) AS ratio, CAST(max(tokens) AS DOUBLE) AS high FROM z WHERE tokens > 0),
 b(i, lo, hi) AS (
@@ -138,16 +152,16 @@ f AS (SELECT a, sum(pow(CAST(tokens AS DOUBLE), a)) AS norm FROM z, e WHERE toke
 p AS (
   SELECT src, tokens, CASE WHEN tokens > 0 THEN round(pow(CAST(tokens AS DOUBLE), a) / norm, 9) ELSE 0 END AS weight,
          CASE WHEN tokens > 0 THEN CAST(round(round(pow(CAST(tokens AS DOUBLE), a) / norm * pow(high, 1 - a) * norm / tokens, 6) * 1000000) AS BIGINT) ELSE 1000000 END AS micro,
-         greatest(1, least({mix.MAX_BLOCKS}, CAST(ceil(tokens / {mix.BLOCK_TOKENS}) AS BIGINT))) AS blocks
+         greatest(1, CAST(ceil(tokens / {mix.BLOCK_TOKENS}) AS BIGINT)) AS blocks
   FROM z LEFT JOIN (SELECT * FROM f, m) ON tokens > 0),
 q AS (
   SELECT *, micro // 1000000 AS whole,
          (tokens // 1000000) * (micro % 1000000) + ((tokens % 1000000) * (micro % 1000000)) // 1000000 AS remaining FROM p),
 k AS (
   SELECT d.*, q.weight, q.whole, q.remaining, q.blocks, epoch,
-         CAST('0x' || substr(md5('17|' || d.src || '|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS place
+         CAST('0x' || substr(md5('17|' || d.src || '|' || epoch || '|' || name), 1, 13) AS BIGINT) AS place
   FROM d JOIN q USING (src), range(1, 10) r(epoch) WHERE epoch <= whole + 1),
 u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY place) AS upto FROM k)
 SELECT doc_id, source, n_tokens, weight, CAST(epoch AS INTEGER) AS epoch,
-       CAST(((place >> 16) * blocks) >> 36 AS INTEGER) AS block, place
+       CAST(((place >> 20) * blocks) >> 32 AS INTEGER) AS block, place
 FROM u WHERE epoch <= whole OR (remaining > 0 AND upto <= remaining)"""

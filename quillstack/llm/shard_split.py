@@ -1,14 +1,18 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
 Law ``bytes``: sizes near equal. The key of a row is the digest of its text, so equal texts lie together; rows of a group of equal
-texts with more than ``1 / WHOLE`` of a shard's bytes are keyed by the digest of doc_id as well, as are groups that could not stay whole.
-A size-weighted sample of keys (``SAMPLE`` expected) gives ``RANGES`` - 1 quantile boundaries; rows are dealt to the ranges by
-binary search, and a range with over twice its share is subdivided evenly along the key. Ranges have exact sizes, their running sums
-give each row its place in the whole order, and a shard is an equal part of the bytes. A whole group goes where its last byte
-falls, so shards differ by no more than 1 / WHOLE of their size. The sample decides how work is dealt, never the outcome.
+texts with more than ``1 / PER_SHARD`` of a shard's bytes are keyed by the digest of doc_id as well.
+A size-weighted sample of keys, ``DRAWS`` expected for each range, gives quantile boundaries: the splitters. Ranges are ``PER_SHARD`` for a
+shard, and more where they would exceed ``RANGE_BYTES``, up to ``MOST``; rows are dealt to them by binary search. A range
+with over twice its share is subdivided evenly along the key. Ranges and their parts are what shards are made of: each goes whole
+to the shard that holds the middle of its bytes in key order, so a shard's size differs from an equal share by no more than its parts
+at either end, about 1 / ``PER_SHARD`` of it, unless a single row is larger. Slots count a shard's rows in key order.
+
+Ranges are known by narrow rows: doc_id, size, checksum and key. Texts are read once and never move.
 
 Defined cases: null text has size 1 and the digest of no text; a null doc_id is a key of its own; repeated rows are ordered by
-their row number; fewer rows than shards leave shards empty; an empty table gives an empty result; other columns are ignored.
+their row number; very long texts count whole, and one that exceeds a shard makes its shard larger; fewer rows than shards leave
+shards empty; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,24 +23,42 @@ from pyspark.sql.window import Window
 
 from quillstack.llm._tables import written
 
-SHARDS, WHOLE = 8, 64
-RANGES, SAMPLE, SEARCH_BITS = 256, 8192, 8
+SHARDS, PER_SHARD = 8, 256
+RANGE_BYTES, MOST, DRAWS = 1 << 28, 1 << 15, 16
+_DIGITS = 13  # hex digits that are compared as a number
 
 
-def _range_of(key: Column, bounds: Column) -> Column:
-    """How many of the 2 ** SEARCH_BITS - 1 sorted bounds are at most ``key``: binary search, one step for each bit."""
-    steps = F.sequence(F.lit(SEARCH_BITS - 1), F.lit(0))
+def _range_of(key: Column, bounds: Column, bits: int) -> Column:
+    """How many of the 2 ** bits - 1 sorted bounds are at most ``key``: binary search, one step for each bit."""
 
-    def step(at: Column, bit: Column) -> Column:
-        half = F.lit(1).cast("int") * F.pow(F.lit(2), bit).cast("int")
+    def step(at: Column, half: Column) -> Column:
         return F.when(F.get(bounds, at + half - 1) <= key, at + half).otherwise(at)
 
-    return F.aggregate(steps, F.lit(0), step)
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), F.lit(0), step)
 
 
 def _place(key: Column) -> Column:
     """A key's first 13 hex digits as a number, for even subdivision; monotone in the key."""
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(key, 1, _DIGITS), 16, 10).cast("long")
+
+
+def n_ranges(total: int, n_shards: int) -> int:
+    """A power of two: ``PER_SHARD`` ranges for a shard at least, of ``RANGE_BYTES`` at most while there are fewer than ``MOST``."""
+    wanted = max(n_shards * PER_SHARD, min(MOST, -(-total // RANGE_BYTES)))
+    return 1 << (wanted - 1).bit_length()
+
+
+def splitters(rows: DataFrame, total: int, n: int) -> list[str]:
+    """Up to ``n`` - 1 boundaries: quantiles of a size-weighted sample of ``rows`` (key, doc_id, size) whose sizes add up to ``total``.
+
+    Bounded by ``n``: some ``DRAWS`` keys for each range come to the driver."""
+    chance = F.col("size") * F.lit(n * DRAWS / total)
+    draw = _place(F.md5(F.concat_ws("|", "key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))) / F.lit(float(1 << 4 * _DIGITS))
+    drawn = rows.where(draw < chance).select("key", F.least(F.ceil(chance), F.lit(n * DRAWS)).cast("int").alias("times"))
+    drawn = drawn.withColumn("key", F.explode(F.array_repeat("key", F.col("times"))))
+    keys = drawn.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    at = f"transform(sequence(1, {n} - 1), i -> get(keys, CAST(CAST(i AS bigint) * size(keys) div {n} AS int)))"
+    return keys.select(F.when(F.size("keys") > 0, F.expr(at)).alias("bounds")).first()[0] or []
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
@@ -53,44 +75,36 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    # at most n_shards * WHOLE groups can be that large
-    large = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * n_shards * WHOLE > total)
+    # at most n_shards * PER_SHARD groups can be that large
+    large = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * (n_shards * PER_SHARD) > total)
     rows = rows.join(F.broadcast(large.select("group", F.lit(True).alias("large"))), "group", "left")
     inner = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lpad(F.hex("row"), 16, "0"))
-    rows = rows.select("doc_id", "size", "text_crc32", F.when(F.col("large"), F.concat("group", inner)).otherwise(F.col("group")).alias("key"), "large")
-
-    # a row is drawn as often as its size is due; the sample's size is set by SAMPLE alone
-    chance = F.col("size") * (SAMPLE / total)
-    drawn = (F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) / (1 << 30)) < chance
-    picked = rows.where(drawn).select("key", F.ceil(chance).cast("int").alias("times"))
-    picked = picked.withColumn("key", F.explode(F.array_repeat("key", F.least("times", F.lit(SAMPLE)))))
-    keys = picked.agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    cut = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("keys", (i * F.size("keys") / RANGES).cast("int")))
-    bounds = keys.select(F.when(F.size("keys") > 0, cut).otherwise(F.array().cast("array<string>")).alias("bounds")).first()[0]
-    at = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    rows = written(rows.withColumn("range", _range_of(F.col("key"), at)), "ranged")
+    rows = rows.select("doc_id", "size", "text_crc32", F.when(F.col("large"), F.concat("group", inner)).otherwise(F.col("group")).alias("key"))
+
+    n = n_ranges(total, n_shards)
+    # one literal, made an array when the query is planned
+    bounds = F.split(F.lit(",".join(splitters(rows, total, n))), ",")
+    rows = written(rows.withColumn("range", _range_of(F.col("key"), bounds, n.bit_length() - 1)), "ranged")
 
     # subdivide overfull ranges; one row for each range
     sums = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
-    over = sums.where(F.col("bytes") * RANGES > 2 * total)
+    over = sums.where(F.col("bytes") * n > 2 * total)
     shift = F.when(F.substring("low", 1, 32) == F.substring("high", 1, 32), 32).otherwise(0)
-    over = over.select("range", shift.alias("shift"), F.ceil(F.col("bytes") * RANGES / total).cast("long").alias("parts"), "low", "high")
+    over = over.select("range", shift.alias("shift"), F.ceil(F.col("bytes") * n / total).cast("long").alias("parts"), "low", "high")
     over = over.withColumn("from", _place(F.substr("low", F.col("shift") + 1))).withColumn("to", _place(F.substr("high", F.col("shift") + 1)))
     rows = rows.join(F.broadcast(over.select("range", "shift", "parts", "from", "to")), "range", "left")
     along = (_place(F.substr("key", F.col("shift") + 1)) - F.col("from")) / (F.col("to") - F.col("from") + 1)
     rows = rows.withColumn("part", F.coalesce(F.floor(along * F.col("parts")).cast("long"), F.lit(0).cast("long"))).drop("shift", "parts", "from", "to")
 
-    # one row for each part, RANGES + 2 * RANGES at most: their running sums are the offsets
-    order = Window.orderBy("range", "part")
-    offsets = rows.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("range", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
-    inside = Window.partitionBy("range", "part").orderBy("key")
-    placed = rows.withColumn("end", F.sum("size").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("range", "part").orderBy("key", "doc_id")))
-    placed = placed.join(F.broadcast(offsets), ["range", "part"])
-    shard = F.least(F.floor((F.col("bytes_before") + F.col("end") - 1) * n_shards / F.lit(total)), F.lit(n_shards - 1))
-    placed = placed.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("nth"))
-    placed = written(placed, "placed")
-    first = placed.groupBy("shard").agg(F.min("nth").alias("first"))  # a row for each shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - F.col("first")).alias("slot"))
+    # one row for each part, three times the ranges at most
+    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    parts = parts.withColumn("bytes_before", ahead("bytes")).withColumn("rows_before", ahead("n"))
+    parts = parts.withColumn("shard", F.expr(f"CAST((2 * bytes_before + bytes) * {n_shards} div {2 * total} AS int)"))
+    first = F.min("rows_before").over(Window.partitionBy("shard"))
+    parts = parts.select("range", "part", "shard", (F.col("rows_before") - first).alias("ahead"))
+
+    nth = F.row_number().over(Window.partitionBy("range", "part").orderBy("key", "doc_id"))
+    placed = rows.withColumn("nth", nth).join(F.broadcast(parts), ["range", "part"])
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("ahead") + F.col("nth") - 1).alias("slot"))

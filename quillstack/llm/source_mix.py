@@ -7,11 +7,13 @@ the largest possible), or else the smallest that repeats no source more than ``m
 
 Weights are realised as budgeted permutations: a source is read in epochs, each a permutation of its documents by a digest
 of seed, source, epoch and document, dealt to blocks of about ``BLOCK_TOKENS``. Whole epochs are taken in full, of the last one the documents
-whose running sum stays within the source's budget. The cut is found from the blocks' sums and the one block that it
-falls in, so no source is ever sorted as a whole; documents meet their source's plan in a join of one row per source.
+whose running sum stays within the source's budget. The cut is found from the sums of ``CELLS`` equal parts of the permutation and the one
+part that it falls in, so no source is ever sorted as a whole; documents meet their source's plan in a join of one row per source.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined cases: null text has none; a null source is a source; a source without tokens is
-read once; repeated rows are taken or left together in the last epoch; an empty table gives an empty result; clashing columns are replaced.
+Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined cases: null text has none; a null source is a source; a null doc_id is known by its
+text's digest; a source without tokens is read once; very long texts count whole, so one may end a budget early; repeated rows are taken or
+left together in the last epoch; an empty table gives an empty result; clashing columns are replaced, names that begin with two
+underscores are reserved.
 """
 
 from __future__ import annotations
@@ -22,19 +24,24 @@ from pyspark.sql.window import Window
 
 from quillstack.llm._tables import fresh, written
 
-BLOCK_TOKENS, MAX_BLOCKS = 1 << 14, 1 << 16
+BLOCK_TOKENS = 1 << 14
 ROUNDS = 40
-_ORDER_BITS = 52
+_ORDER_BITS, _CELL_BITS = 52, 16
+CELLS = 1 << _CELL_BITS
 
 
 def _order(seed: int, epoch: Column) -> Column:
     """Place of a document in an epoch's permutation, below 2 ** 52."""
-    name = F.concat_ws("|", F.lit(str(seed)), "__source", epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.concat_ws("|", F.lit(str(seed)), "__source", epoch.cast("string"), F.col("__name"))
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
 
 
 def _block(order: Column) -> Column:
-    return F.shiftright(F.shiftright(order, 16) * F.col("__blocks"), _ORDER_BITS - 16).cast("int")  # below 2 ** 52 throughout
+    return F.shiftright(F.shiftright(order, 20) * F.col("__blocks"), _ORDER_BITS - 20).cast("int")  # below 2 ** 63 up to 2 ** 31 blocks
+
+
+def _cell(order: Column) -> Column:
+    return F.shiftright(order, _ORDER_BITS - _CELL_BITS).cast("int")
 
 
 def _sum(items: Column, of) -> Column:
@@ -80,39 +87,40 @@ def plan(sizes: DataFrame, max_epochs: float, target_entropy: float | None, budg
     part = F.col("micro") % 1_000_000
     # whole tokens, without a product that could overflow
     left = F.floor(F.col("tokens") / 1_000_000).cast("long") * part + F.floor((F.col("tokens") % 1_000_000) * part / 1_000_000).cast("long")
-    blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
     return out.select("__source", "exponent", "weight", F.floor(F.col("micro") / 1_000_000).cast("int").alias("whole"), left.alias("left"), blocks.alias("__blocks"))
 
 
 def mixed(docs: DataFrame, max_epochs: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, seed: int = 17) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, text) as often as it is read, with n_tokens, weight, epoch (from 1), block, place."""
-    docs = fresh(docs, "n_tokens", "weight", "epoch", "block", "place", "exponent", "whole", "left", "__source", "__blocks", "__cut")
+    docs = fresh(docs, "n_tokens", "weight", "epoch", "block", "place", "__source", "__name", "__blocks", "__whole", "__left", "__cell", "__cut", "__times")
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    base = docs.withColumn("__source", source).withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long"))
-    slim = written(base.select("__source", "doc_id", "n_tokens"), "tokens")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+    base = docs.withColumn("__source", source).withColumn("__name", name)
+    base = base.withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long"))
+    slim = written(base.select("__source", "__name", "n_tokens"), "tokens")
     sizes = slim.groupBy("__source").agg(F.sum("n_tokens").alias("tokens"))
     plans = written(plan(sizes, max_epochs, target_entropy, budget_tokens), "plans")
 
     last = slim.join(plans.where("left > 0"), "__source").withColumn("order", _order(seed, F.col("whole") + 1))
-    last = last.withColumn("block", _block(F.col("order")))
-    sums = last.groupBy("__source", "block").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
-    # MAX_BLOCKS rows for a source at most
-    run = Window.partitionBy("__source").orderBy("block")
+    last = last.withColumn("cell", _cell(F.col("order")))
+    sums = last.groupBy("__source", "cell").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
+    # CELLS rows for a source at most
+    run = Window.partitionBy("__source").orderBy("cell")
     sums = sums.withColumn("upto", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = sums.where("upto > left").groupBy("__source").agg(F.min_by(F.struct("block", (F.col("left") - F.col("upto") + F.col("n")).alias("room")), "block").alias("edge"))
-    edge = written(edge.select("__source", "edge.block", "edge.room"), "edges")
-    within = last.join(edge, ["__source", "block"]).groupBy("__source", "order").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+    edge = sums.where("upto > left").groupBy("__source").agg(F.min_by(F.struct("cell", (F.col("left") - F.col("upto") + F.col("n")).alias("room")), "cell").alias("edge"))
+    edge = written(edge.select("__source", "edge.cell", "edge.room"), "edges")
+    within = last.join(edge, ["__source", "cell"]).groupBy("__source", "order").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
     within = within.withColumn("upto", F.sum("n").over(Window.partitionBy("__source").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)))
     cut = within.where("upto <= room").groupBy("__source").agg(F.max("order").alias("order"))
+    # the last place taken; without a cut in the cell, cells before it only
     cuts = plans.join(edge, "__source", "left").join(cut, "__source", "left")
-    # the last place taken; without a cut in the block, blocks before it only
-    cuts = written(cuts.select("__source", "weight", "whole", "left", "__blocks", "block", F.col("order").alias("__cut")), "cuts").withColumnRenamed("block", "__edge")
+    cuts = written(cuts.selectExpr("__source", "weight", "whole AS __whole", "left AS __left", "__blocks", "cell AS __cell", "order AS __cut"), "cuts")
 
     out = base.join(cuts, "__source")
-    order = _order(seed, F.col("whole") + 1)
-    taken = (F.col("left") > 0) & (F.col("__edge").isNull() | (_block(order) < F.col("__edge")) | ((_block(order) == F.col("__edge")) & (order <= F.col("__cut"))))
-    times = F.col("whole") + F.coalesce(taken, F.lit(False)).cast("int")
+    order = _order(seed, F.col("__whole") + 1)
+    taken = (F.col("__left") > 0) & (F.col("__cell").isNull() | (_cell(order) < F.col("__cell")) | ((_cell(order) == F.col("__cell")) & (order <= F.col("__cut"))))
+    times = F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("int")
     out = out.withColumn("__times", times).where("__times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    place = _order(seed, F.col("epoch"))
-    out = out.withColumn("place", place).withColumn("block", _block(F.col("place")))
-    return out.select(*docs.columns, "n_tokens", "weight", "epoch", "block", "place")
+    out = out.withColumn("place", _order(seed, F.col("epoch"))).withColumn("block", _block(F.col("place")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "weight", "epoch", "block", "place")

@@ -27,12 +27,13 @@ def sound(rows, n=8):
     return [sizes.get(i, 0) for i in range(n)]
 
 
-@pytest.mark.parametrize("sample", [16, 8192])
-def test_hot_group_is_divided_and_small_groups_stay(spark, monkeypatch, sample):
-    """The sample's size changes how work is dealt, never the result."""
-    monkeypatch.setattr(s, "SAMPLE", sample)
+def equal_texts(spark):
     rows = [(i, "hot text of a third of all rows") for i in range(3000)] + [(3000 + i, f"pair {i // 2} " + "x" * (i // 2 % 50)) for i in range(6000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_hot_group_is_divided_and_small_groups_stay(spark):
+    df = equal_texts(spark)
     got = s.shards(df).join(df, "doc_id").collect()
     sizes = sound(got)
     assert max(sizes) - min(sizes) <= sum(sizes) / 8 / 32
@@ -42,8 +43,37 @@ def test_hot_group_is_divided_and_small_groups_stay(spark, monkeypatch, sample):
         if r["doc_id"] >= 3000:
             pairs.setdefault(r["text"], set()).add(r["shard"])
     assert all(len(x) == 1 for x in pairs.values())
-    monkeypatch.setattr(s, "SAMPLE", 500)
-    assert rows_of(s.shards(df)) == sorted((tuple(r[c] for c in ("doc_id", "size", "text_crc32", "shard", "slot")) for r in got), key=repr)
+
+
+@pytest.mark.parametrize("draws, within", [(16, 0.01), (1, 0.02), (0.05, 0.05)])
+def test_splitters_decide_shards_of_near_equal_size(spark, monkeypatch, draws, within):
+    """Fewer draws give coarser splitters; overfull ranges are subdivided, so sizes stay near equal."""
+    monkeypatch.setattr(s, "DRAWS", draws)
+    sizes = sound(s.shards(equal_texts(spark)).collect())
+    assert max(abs(x - sum(sizes) / 8) for x in sizes) <= within * sum(sizes) / 8
+
+
+def test_splitters_are_weighted_by_size(spark):
+    """Nine rows of ten are tiny; the bytes, not the rows, are cut into equal parts."""
+    rows = spark.range(20000).selectExpr("id AS doc_id", "md5(CAST(id AS string)) AS key", "CASE WHEN md5(CAST(id AS string)) < '1999' THEN 9000L ELSE 1L END AS size")
+    total = rows.selectExpr("sum(size)").first()[0]
+    bounds = s.splitters(rows, total, 64)
+    assert len(bounds) == 63 and bounds == sorted(bounds)
+    assert sum(b < "1999" for b in bounds) >= 61
+
+
+def test_ranges_grow_with_the_table():
+    assert s.n_ranges(1000, 8) == 2048
+    assert s.n_ranges(2048 * s.RANGE_BYTES, 8) == 2048
+    assert s.n_ranges(2048 * s.RANGE_BYTES + 1, 8) == 4096
+    assert s.n_ranges(10**14, 8) == s.MOST
+
+
+def test_one_text_larger_than_a_shard(spark):
+    df = spark.createDataFrame([(i, "y" * (100_000 if i == 7 else 10)) for i in range(200)], "doc_id long, text string")
+    got = s.shards(df).collect()
+    sizes = sound(got)
+    assert len(got) == 200 and max(sizes) >= 100_001 and sum(sizes) == 199 * 11 + 100_001
 
 
 def test_odd_rows(spark, odd_docs):

@@ -75,5 +75,19 @@ def test_blocks_beyond_one(spark, monkeypatch):
 
 
 def test_many_blocks_do_not_overflow(spark):
-    top = spark.range(1).select(F.lit((1 << 52) - 1).alias("order"), F.lit(m.MAX_BLOCKS).alias("__blocks"))
-    assert top.select(m._block(F.col("order"))).first()[0] == m.MAX_BLOCKS - 1
+    many = 1 << 31
+    top = spark.range(1).select(F.lit((1 << 52) - 1).alias("order"), F.lit(many).cast("long").alias("__blocks"))
+    assert top.select(m._block(F.col("order"))).first()[0] == many - 1
+
+
+def test_input_columns_with_names_of_steps_survive(spark):
+    docs = docs_of(spark, {"a": [7] * 50, "b": [3] * 5}).selectExpr("*", "'mine' AS `left`", "1 AS whole", "2 AS exponent", "3 AS cell", "4 AS `order`")
+    got = m.mixed(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    assert {tuple(r) for r in got.select("left", "whole", "exponent", "cell", "order").distinct().collect()} == {("mine", 1, 2, 3, 4)}
+
+
+def test_documents_without_an_id_are_taken_one_by_one(spark):
+    docs = docs_of(spark, {"a": [10] * 100}).unionByName(spark.createDataFrame([(None, "b", " ".join(["w"] * (5 + i))) for i in range(40)], "doc_id long, source string, text string"))
+    last = m.mixed(docs, max_epochs=1.5).where("source = 'b' AND epoch = 2")
+    assert 0 < last.count() < 40
