@@ -8,7 +8,8 @@ Template: ``<|im_start|>{role}\\n{text}<|im_end|>\\n`` for each turn. Control st
 roles are broken by an escape character, which is itself escaped; ``unescape`` restores them.
 
 Defined cases: null texts and roles are empty; a null conversation id is a conversation; equal turn
-numbers are ordered by role and text; repeated rows are turns of their own; extra columns are ignored.
+numbers are ordered by role and text; repeated rows are turns of their own; extra columns are ignored; an empty
+table gives an empty result; a very long text is whole, within what a row can hold.
 The last example of a conversation holds the whole of it, so a conversation must fit a row, as its
 formatted text must in any case. Prefixes are made one at a time while rows are generated.
 """
@@ -107,7 +108,8 @@ def read_back(examples: DataFrame) -> DataFrame:
     turns = parse_turns(F.col("formatted"))
     digest = F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256)
     parsed = examples.select(
-        "conv_id", "n_turns", "is_last",
+        "conv_id",
+        F.when(F.col("is_last"), F.size(turns)).alias("n_turns"),
         F.length("formatted").alias("chars"),
         F.when(F.col("is_last"), digest).alias("digest"),
         F.struct("target", loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("text")).alias("loss"),
