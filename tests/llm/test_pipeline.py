@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 
 import corpus_pipeline
 import duckdb
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.llm import quality_ngram as q
-from quillstack.llm import secret_links
+from quillstack.llm import secret_links, source_mix
 from quillstack.llm.oracles import SQL
 
 from .conftest import SF
 from .test_byte_bpe import LIB
-from .test_quality_ngram import base, brute_model
+from .test_quality_ngram import base, brute_model, folded
 from .test_secret_links import brute
-from .test_simhash_trie import brute_components, fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,18 +33,38 @@ def keep_good(docs):
         counts = {d["doc_id"]: base(d["text"]) for d in mine}
         good = [d for d in mine if counts[d["doc_id"]][0] >= 10 and 100 * counts[d["doc_id"]][4] <= 20 * counts[d["doc_id"]][0]]
         logp = {d["doc_id"]: score(d["text"]) for d in good}
+        steps = {i: round(x / q.STEP) for i, x in logp.items()}
         middle = lambda x: sorted(x)[-(-len(x) // 2) - 1]
-        mid = middle(logp.values())
-        mad = middle([abs(x - mid) for x in logp.values()])
-        # n_grams only widens the band for short texts; none of these lies between the two
-        half = max(q.WIDTH * 1.4826 * mad, q.FLOOR)
-        out += [d for d in good if abs(logp[d["doc_id"]] - mid) <= half]
+        mid = middle(steps.values())
+        low, high = middle([mid - x for x in steps.values() if x <= mid]), middle([x - mid for x in steps.values() if x >= mid])
+        for d in good:
+            more = q.SHORT / len(folded(d["text"])) ** 0.5 + q.FEW / len(good) ** 0.5
+            if mid * q.STEP - q.LOW_WIDTH * 1.4826 * low * q.STEP - more <= logp[d["doc_id"]] <= mid * q.STEP + q.HIGH_WIDTH * 1.4826 * high * q.STEP + more:
+                out.append(d)
     return out
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
 def dedup(docs):
-    roots = brute_components({d["doc_id"]: fingerprint(d["text"]) for d in docs})
-    return [d for d in docs if roots[d["doc_id"]] == d["doc_id"]]
+    """Every pair of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more is linked."""
+    sets = {d["doc_id"]: shingles(d["text"]) for d in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if a == b or len(a & b) >= 0.8 * len(a | b):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return [d for d in docs if find(d["doc_id"]) == d["doc_id"]]
 
 
 def redact(d):
@@ -71,14 +94,41 @@ def test_run_against_brute_force(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("k", range(4))
-def test_stages_keep_the_columns_and_take_odd_rows(spark, odd_docs, k):
-    docs = odd_docs.select(*COLUMNS)
+def with_clashes(docs):
+    """Columns whose names operators use for results and steps."""
+    names = ["model", "kept", "left", "epoch", "place", "ids", "fp", "id", "name", "base", "spans", "n_words", "log_perplexity", "size", "set", "decoded"]
+    return docs.select("*", *[F.lit(f"my {n}").alias(n) for n in names if n not in docs.columns])
+
+
+@pytest.mark.parametrize("k", range(5))
+@pytest.mark.parametrize("clash", [False, True])
+def test_stages_take_odd_rows_and_any_column(spark, odd_docs, k, clash):
+    docs = with_clashes(odd_docs) if clash else odd_docs.select(*COLUMNS)
     out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
-    assert out.dtypes == docs.dtypes
+    rows = out.collect()
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
+    ids = {r.doc_id for r in docs.collect()}
+    if k == 4:
+        assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+        assert len(rows) == docs.count() and {r.doc_id for r in rows} == ids
+        for r in rows:
+            assert r.n_tokens == len(r.ids) and (r.doc_id != 3 or r.n_tokens == 0)
+        return
+    assert out.dtypes == docs.dtypes
+    if clash:
+        for c in docs.columns[6:]:
+            assert {r[c] for r in rows} == {f"my {c}"}, c
+        assert {(r.doc_id, r.ids) for r in rows} <= {(r.doc_id, r.ids) for r in docs.collect()}
     if k in (2, 3):
-        assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+        assert {r.doc_id for r in rows} == ids
+
+
+def test_mixture_is_written_in_the_order_of_reading(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "m"))
+    got = [i for f in sorted((tmp_path / "m").glob("*.parquet")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    want = [r.doc_id for r in source_mix.mixed(docs, max_epochs=2.0).orderBy("epoch", "place").collect()]
+    assert got == want and len(got) > len(set(got)) == docs.count()
 
 
 def test_stages_take_effect(spark):
