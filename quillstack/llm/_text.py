@@ -68,13 +68,16 @@ def code_points(data: np.ndarray) -> np.ndarray:
     """The code points of UTF-8 bytes, one for each byte that is not a continuation."""
     if not len(data) or data.max() < 128:
         return data.astype(np.int64)
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64)
-    a = padded[at]
-    b, c, d = (padded[at + i] & 0x3F for i in (1, 2, 3))
+    lead = (data & 0xC0) != 0x80
+    out = data[lead].astype(np.int64)
+    long = np.flatnonzero(out > 0x7F)
+    at = np.flatnonzero(lead & (data > 0x7F))
+    padded = np.r_[data, np.zeros(3, np.uint8)]
+    a, (b, c, d) = out[long], (padded[at + i].astype(np.int64) & 0x3F for i in (1, 2, 3))
     two, three = ((a & 0x1F) << 6) | b, ((a & 0x0F) << 12) | (b << 6) | c
     four = ((a & 0x07) << 18) | (b << 12) | (c << 6) | d
-    return np.minimum(np.select([a < 0x80, a < 0xE0, a < 0xF0], [a, two, three], four), 0x10FFFF)
+    out[long] = np.minimum(np.where(a < 0xE0, two, np.where(a < 0xF0, three, four)), 0x10FFFF)
+    return out
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:

@@ -47,7 +47,8 @@ CHUNK_ROWS = 1 << CHUNK_ROWS_BITS
 SPAN = 64  # characters of a window
 BLOCK = 1 << 18  # bytes of text counted together; memory is some hundred times that
 LOW_WIDTH, HIGH_WIDTH, SHORT, FEW = 4.0, 8.0, 3.0, 0.5
-STEP = 1e-4
+STEP = 5e-4
+SALTS = 128
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -124,13 +125,14 @@ def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     points, per_doc = code_points(w.data[kept]), w.sums(kept & ((w.data & 0xC0) != 0x80))
     doc = np.repeat(np.arange(w.n_docs), per_doc)
     c = _OF[points]
-    at = np.arange(len(c)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
     key = c.copy()
     for back in range(1, min(ORDER, len(c))):
-        moved = np.zeros_like(c)
-        moved[back:] = c[:-back]
-        moved[at < back] = 0
-        key |= moved << (BITS * back)
+        key[back:] |= c[:-back] << (BITS * back)
+    # the first characters of a document have nothing before them
+    first = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
+    for at in range(ORDER - 1):
+        here = first[per_doc[per_doc > 0] > at] + at
+        key[here] &= (1 << BITS * (at + 1)) - 1
     return key, doc
 
 
@@ -165,7 +167,7 @@ def _blocks(batch: pa.RecordBatch, text: int, lang: int, chunk: int) -> Iterator
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Joins (hash, lang, gram, n, low, high); rows of equal hashes become one."""
-    name, lang, gram, n, low, high = (np.concatenate(x) for x in zip(*parts))
+    name, lang, gram, n, low, high = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
     order, first = _runs(name)
     if not len(order):
         return name, lang, gram, n, low, high
@@ -173,6 +175,15 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return name[one], lang[one], gram[one], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
+def _counts(name: np.ndarray, lang: np.ndarray, gram: np.ndarray, seen: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``_merged``, of single n-grams; ``lang`` and ``seen`` are by document."""
+    order, first = _runs(name)
+    if not len(order):
+        return name, lang[doc], gram, np.zeros(0, np.int64), seen[doc], seen[doc]
+    one, own = order[first], seen[doc[order]]
+    return name[one], lang[doc[one]], gram[one], np.diff(np.r_[first, len(name)]), np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(chunk, lang, gram, n, low, high) of ``docs`` (__chunk, __lang, __seen, __text): counts by chunk, and the smallest and
     largest hash of the texts that hold the n-gram."""
@@ -186,9 +197,8 @@ def counted(docs: DataFrame) -> DataFrame:
             for a, b, chunk, w, lang in _blocks(batch, 3, 1, 0):
                 gram, doc = grams(w)
                 name = hash_longs(gram, hash_longs(lang)[doc])
-                own = seen[a:b][doc]
                 mine = parts.setdefault(chunk, [])
-                mine.append(_merged([(name, lang[doc], gram, np.ones(len(name), np.int64), own, own)]))
+                mine.append(_counts(name, lang, gram, seen[a:b], doc))
                 if len(mine) == 32:
                     mine[:] = [_merged(mine)]
         for chunk, mine in parts.items():
@@ -223,7 +233,9 @@ def probabilities(table: DataFrame) -> DataFrame:
     for order, level in enumerate(levels, 1):
         taken = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = Window.partitionBy("lang", "context")  # SYMBOLS rows at most
-        now = level.join(_discounts(level), "lang").withColumn("context", F.shiftright("gram", BITS)).withColumn("taken", taken)
+        # a language's rows are met in SALTS parts, since one language may have most of them
+        cut = _discounts(level).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        now = level.withColumn("salt", F.pmod(F.hash("gram"), F.lit(SALTS))).join(cut, ["lang", "salt"]).withColumn("context", F.shiftright("gram", BITS)).withColumn("taken", taken)
         now = now.withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("taken").over(context))
         if below is None:
             now = now.withColumn("low", F.lit(1.0 / SYMBOLS))
