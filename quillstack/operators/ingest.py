@@ -50,3 +50,16 @@ def parsed(uploads: DataFrame, texts: DataFrame, max_pages: int = 100) -> DataFr
     error = F.when(t.is_blank(F.col("text")), "parse_failed")
     segment = F.struct(F.lit(0).alias("sequence_index"), F.lit("document").alias("segment_type"), F.lit(None).cast("int").alias("page_no"), F.col("text"))
     return d.select("id", F.col("text").alias("markdown"), "text", F.to_json(F.struct(F.col("text").alias("content"))).alias("doc_json"), F.lit(None).cast("int").alias("page_count"), F.array(segment).alias("segments"), error.alias("error_code"))
+
+
+# Elements that end a paragraph which has no closing tag.
+BLOCKS = ("address", "article", "aside", "blockquote", "body", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = rf"(?is)</?(?:{'|'.join(BLOCKS)})(?:[\s/>].*|$)"
+
+
+def paragraphs(html: Column) -> Column:
+    """Texts of the paragraphs of a page, from an opening tag to the closing one, the next block or the end, without tags."""
+    parts = F.split(F.coalesce(html, F.lit("")), PARAGRAPH, -1)
+    whole = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.transform(whole, lambda x: F.regexp_replace(F.regexp_replace(x, PARAGRAPH_END, ""), "<[^>]*>", ""))

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 RANK = {"debug": 10, "info": 20, "warn": 30, "error": 40}
 SHORT = {"debug": "DBG", "info": "INF", "warn": "WRN", "error": "ERR"}
-_BUCKETS = 1024
 
 
 def _of(values: dict, column: Column) -> Column:
@@ -24,16 +23,24 @@ def ring(records: DataFrame, n: int, level: str = "info") -> DataFrame:
     return at_least(records, level).orderBy(F.desc("ts"), F.desc("id")).limit(n).orderBy("ts", "id")
 
 
+def _before(rows: DataFrame, ts: str, value: Column, newest_first: bool) -> DataFrame:
+    """(__second, __ahead): the sum of ``value`` over all seconds before each second (or after it). Hours are summed first, so one task
+    orders hours and others the seconds of an hour; no task holds rows."""
+    second, hour = F.date_trunc("second", F.col(ts)), F.date_trunc("hour", F.col("__second"))
+    sums = rows.groupBy(second.alias("__second")).agg(value.alias("__sum")).withColumn("__hour", hour)
+    order = F.desc if newest_first else F.asc
+    ahead = lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = sums.groupBy("__hour").agg(F.sum("__sum").alias("__sum")).select("__hour", ahead(Window.orderBy(order("__hour"))).alias("__start"))
+    inside = sums.select("__hour", "__second", ahead(Window.partitionBy("__hour").orderBy(order("__second"))).alias("__inside"))
+    return inside.join(hours, "__hour").select("__second", (F.col("__start") + F.col("__inside")).alias("__ahead"))
+
+
 def numbered(records: DataFrame, name: str = "number") -> DataFrame:
-    """Places from 0 in order of (ts, id), without one task that holds all rows: hours are counted first, rows are
-    numbered within their hour."""
-    hour = F.date_trunc("hour", F.col("ts"))
-    counts = records.groupBy(hour.alias("__hour")).agg(F.count("*").alias("__n"))  # a row for each hour
-    before = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__hour", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__hour").orderBy("ts", "id")) - 1
-    out = records.withColumn("__hour", hour).join(starts, "__hour").withColumn(name, F.col("__start") + inside)
-    return out.drop("__hour", "__start")
+    """Places from 0 in order of (ts, id), without one task that holds all rows, or an hour's: rows are numbered within their second."""
+    ahead = _before(records, "ts", F.count("*"), False)
+    inside = F.row_number().over(Window.partitionBy("__second").orderBy("ts", "id")) - 1
+    out = records.withColumn("__second", F.date_trunc("second", F.col("ts"))).join(ahead, "__second")
+    return out.withColumn(name, F.col("__ahead") + inside).drop("__second", "__ahead")
 
 
 def flush_batches(records: DataFrame, size: int = 100, level: str = "info") -> DataFrame:
@@ -44,16 +51,12 @@ def flush_batches(records: DataFrame, size: int = 100, level: str = "info") -> D
 
 
 def retained(batches: DataFrame, max_bytes: int) -> DataFrame:
-    """Newest batches whose running size from the newest back stays within ``max_bytes``; once over, all older ones go.
-
-    Sizes are summed by hour first, so the window over rows is within an hour and that over hours is short."""
-    hour = F.date_trunc("hour", F.col("created_at"))
-    sums = batches.groupBy(hour.alias("__hour")).agg(F.sum("bytes").alias("__b"))
-    newer = Window.orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__hour", F.coalesce(F.sum("__b").over(newer), F.lit(0)).alias("__newer"))
-    inside = Window.partitionBy("__hour").orderBy(F.desc("created_at"), F.desc("batch")).rowsBetween(Window.unboundedPreceding, 0)
-    out = batches.withColumn("__hour", hour).join(starts, "__hour").withColumn("suffix_bytes", F.col("__newer") + F.sum("bytes").over(inside))
-    return out.where(F.col("suffix_bytes") <= max_bytes).drop("__hour", "__newer")
+    """Newest batches whose running size from the newest back stays within ``max_bytes``; once over, all older ones go."""
+    ahead = _before(batches, "created_at", F.sum("bytes"), True)
+    inside = Window.partitionBy("__second").orderBy(F.desc("created_at"), F.desc("batch")).rowsBetween(Window.unboundedPreceding, 0)
+    out = batches.withColumn("__second", F.date_trunc("second", F.col("created_at"))).join(ahead, "__second")
+    out = out.withColumn("suffix_bytes", F.col("__ahead") + F.sum("bytes").over(inside))
+    return out.where(F.col("suffix_bytes") <= max_bytes).drop("__second", "__ahead")
 
 
 def formatted(records: DataFrame) -> DataFrame:

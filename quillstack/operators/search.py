@@ -1,11 +1,13 @@
 """Exact vector search: top-k by cosine distance, thresholds, results and prompt assembly.
 
-Top-k of given queries over all vectors is one scan: query vectors are literals (their number is a parameter), each partition
-keeps its best rows, and only those are ranked. Names of chunks and documents are joined after the limit, so that joins meet k rows.
+Top-k of one query over all vectors is one scan: each partition keeps its best rows, and only those are ranked. Many queries meet the vectors in
+blocks of both, so neither side is ever whole in one task. Names of chunks and documents are joined to the best candidates alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,8 @@ SYSTEM_RULES = (
 )
 USER_TEMPLATE = "Context:\n%s\nQuestion: %s"
 UNNAMED = "Unnamed document"
+BLOCK = 1 << 14  # vectors, or queries, of a block
+WIDEN, MOST = 8, 1 << 14  # growth and largest number of candidates that are tested for life one by one
 
 
 def literal(vector: list[float]) -> Column:
@@ -30,12 +34,40 @@ def top_k(embeddings: DataFrame, query: list[float], k: int, key: str = "id") ->
     return embeddings.withColumn("score", cosine_distance(F.col("embedding"), literal(query))).orderBy("score", key).limit(k)
 
 
-def top_k_many(embeddings: DataFrame, queries: dict[int, list[float]], k: int, key: str = "id") -> DataFrame:
-    """``top_k`` for several queries in one scan: query, rank and the rows' columns."""
-    scores = F.array(*[F.struct(F.lit(i).alias("query"), cosine_distance(F.col("embedding"), literal(v)).alias("score")) for i, v in queries.items()])
-    out = embeddings.withColumn("__s", F.explode(scores)).select("*", "__s.*").drop("__s", "embedding")
-    order = Window.partitionBy("query").orderBy("score", key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _nearest(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The k nearest of ``rows`` (__key, __v) for each of ``asked`` (query, __q), all of one length."""
+    x, q = (np.array(t[c].to_pylist(), np.float64).reshape(t.num_rows, -1) for t, c in ((rows, "__v"), (asked, "__q")))
+    key, size = rows["__key"].to_numpy(), (x * x).sum(axis=1)
+    query, found, scores = [], [], []
+    for name, v in zip(asked["query"].to_pylist(), q):
+        norm = np.sqrt(size * (v * v).sum())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(norm == 0, np.nan, 1 - (x * v).sum(axis=1) / norm)
+        best = np.lexsort((key, score))[:k]  # NaN comes last, as in Spark
+        query += [name] * len(best)
+        found.append(key[best]), scores.append(score[best])
+    return pa.table({"query": pa.array(query, pa.int64()), "__key": np.concatenate(found), "score": np.concatenate(scores)})
+
+
+def top_k_many(embeddings: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """``top_k`` for every row of ``queries`` (query long, vector): query, rank, key and unrounded score. Vectors of other lengths than a
+    query's are not compared with it."""
+    blocks = lambda d: max(1, -(-d.count() // BLOCK))
+    n, m = blocks(embeddings), blocks(queries)
+    of = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count))
+    all_ = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = embeddings.select(F.col(key).cast("long").alias("__key"), F.col("embedding").alias("__v"), F.size("embedding").alias("__d"), of(key, n).alias("__row"), all_(m).alias("__ask"))
+    right = queries.select(F.col("query").cast("long").alias("query"), F.col("vector").alias("__q"), F.size("vector").alias("__d"), of("query", m).alias("__ask"), all_(n).alias("__row"))
+
+    def run(_: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if rows.num_rows and asked.num_rows:
+            return _nearest(rows, asked, k)
+        return pa.table({"query": pa.array([], pa.int64()), "__key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    by = ["__d", "__row", "__ask"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query long, __key long, score double")
+    order = Window.partitionBy("query").orderBy("score", "__key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", F.col("__key").alias(key), "score")
 
 
 def within(hits: DataFrame, max_distance: float, max_best: float) -> DataFrame:
@@ -56,15 +88,23 @@ def named(hits: DataFrame, chunks: DataFrame, documents: DataFrame, uploads: Dat
 
 
 def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, uploads: DataFrame, query: list[float], k: int, max_distance: float = 0.5, max_best: float = 0.4) -> DataFrame:
-    """Thresholded results with rank. The limit counts joined rows: vectors whose
-    chunk, document or upload is gone don't take a place, hence the semi join before the limit."""
-    alive = chunks.join(documents.join(uploads, documents.uploaded_file_id == uploads.id, "left_semi").select(F.col("id").alias("__d")), F.col("parsed_document_id") == F.col("__d"), "left_semi")
-    known = embeddings.join(alive.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    top = within(top_k(known, query, k), max_distance, max_best).drop("embedding", "preview")
-    found = top.collect()  # k rows at most: their ids prune the scan of texts
-    hits = top.sparkSession.createDataFrame(found, top.schema)
-    some = chunks.where(F.col("id").isin([r["chunk_id"] for r in found]))
-    return ranked(named(hits, some, documents, uploads))
+    """Thresholded results with rank. The limit counts joined rows: vectors whose chunk, document or upload is gone don't take a place.
+
+    The nearest candidates alone are tested for that, more of them while fewer than k live; their ids prune the scans of the other
+    tables. Only where ``MOST`` candidates aren't enough are all vectors joined before the limit."""
+    spark, n = embeddings.sparkSession, 4 * k
+    while n <= MOST:
+        near = top_k(embeddings, query, n).drop("embedding", "preview")
+        rows = near.collect()  # n rows without vectors or texts
+        of = sorted({r["parsed_document_id"] for r in rows})
+        mine = chunks.where(F.col("parsed_document_id").isin(of) & F.col("id").isin([r["chunk_id"] for r in rows]))
+        alive = named(spark.createDataFrame(rows, near.schema), mine, documents.where(F.col("id").isin(of)), uploads)
+        hits = within(alive.orderBy("score", "id").limit(k), max_distance, max_best)
+        if len(rows) < n or alive.count() >= k:
+            return ranked(hits)
+        n *= WIDEN
+    known = named(embeddings.drop("preview"), chunks, documents, uploads)
+    return ranked(within(top_k(known, query, k), max_distance, max_best).drop("embedding"))
 
 
 def ranked(hits: DataFrame, key: str = "id") -> DataFrame:

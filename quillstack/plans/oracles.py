@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillstack.functions import text as t
-from quillstack.operators import jobs, logs, search, verify
+from quillstack.operators import ingest, jobs, logs, search, verify
 from quillstack.plans.queries import ALLOWED_EXTENSIONS, ALLOWED_TYPES, INLINE_LIMIT
 from quillstack.sources import fixtures as fx
 
@@ -108,8 +108,8 @@ ROUND = "round(score, 6) + 0.0"
 TOP = f"{QV}, top AS (SELECT vec_id, {DIST} AS score FROM embeddings, qv ORDER BY score, vec_id LIMIT 5)"
 SQL["search_topk"] = f"WITH {TOP} SELECT vec_id, {ROUND} AS score FROM top"
 SQL["search_topk_many"] = f"""
-WITH s AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8)
-SELECT CAST(query AS INTEGER) AS query, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, {ROUND} AS score FROM s
+WITH s AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, {ROUND} AS score FROM s
 WINDOW w AS (PARTITION BY query ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 3"""
 SQL["search_threshold_after_limit"] = f"WITH {TOP} SELECT vec_id, {ROUND} AS score FROM top WHERE score <= 0.5 AND (SELECT min(score) FROM top) <= 0.4"
 SQL["search_best_score_gate"] = f"WITH {TOP} SELECT vec_id, {ROUND} AS score FROM top WHERE (SELECT min(score) FROM top) <= 0.2"
@@ -262,8 +262,9 @@ _OPEN = f"status IN ({listed(jobs.OPEN)})"
 SQL["jobs_reconcile"] = f"""
 WITH {JOBS} SELECT id, CASE WHEN {_OPEN} THEN 'failed' ELSE status END AS status, CASE WHEN {_OPEN} THEN 'process_shutdown' END AS error_code, CASE WHEN {_OPEN} THEN 'restarted' END AS error_message FROM jobs"""
 SQL["jobs_reconcile_counts"] = f"WITH {JOBS} SELECT {pick(['parse', 'chunk', 'embedding'], 'id')} AS kind, count(*) FILTER ({_OPEN}) AS n_changed, count(*) AS n_jobs FROM jobs GROUP BY 1"
-SQL["jobs_conflicts"] = f"WITH {JOBS} SELECT DISTINCT parent_id FROM jobs WHERE id % 97 = 0 AND {_OPEN}"
-SQL["jobs_admissible"] = f"WITH {JOBS} SELECT DISTINCT parent_id FROM jobs WHERE parent_id NOT IN (SELECT parent_id FROM jobs WHERE id % 97 = 0 AND {_OPEN})"
+_SHARED = f"{JOBS}, own AS (SELECT parent_id * 64 + id % 64 AS parent_id, bool_or({_OPEN}) AS busy FROM jobs GROUP BY 1)"
+SQL["jobs_conflicts"] = f"WITH {_SHARED} SELECT parent_id FROM own WHERE busy"
+SQL["jobs_admissible"] = f"WITH {_SHARED} SELECT parent_id FROM own WHERE NOT busy"
 SQL["jobs_fold"] = f"""
 WITH {JOBS}, f AS (
   SELECT parent_id, arg_max(status, (created_at, id)) AS status, count(*) FILTER (status = 'running') AS attempt_count, min(created_at) FILTER (status = 'running') AS s,
@@ -271,10 +272,10 @@ WITH {JOBS}, f AS (
 SELECT parent_id, status, attempt_count, {iso('s')} AS started, {iso('e')} AS finished, count FROM f"""
 SQL["jobs_status_report"] = f"WITH {JOBS}, s AS (SELECT status, count(*) AS n_jobs, max(created_at) AS m FROM jobs GROUP BY 1) SELECT status, n_jobs, {iso('m')} AS newest FROM s"
 SQL["jobs_declared_counts"] = f"""
-WITH {_ACTIVE}, s AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+WITH {_ACTIVE}, s AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
 SELECT parent_id, id, declared_count, coalesce(n, 0) AS stored_count, declared_count = coalesce(n, 0) AS equal FROM act LEFT JOIN s ON parent_id = user_id"""
 SQL["jobs_stale"] = f"""
-WITH {JOBS}, c AS (SELECT * FROM jobs WHERE status = 'succeeded' AND id % 2 = 0 QUALIFY {_NEW} = 1), e AS (SELECT * FROM jobs WHERE status = 'succeeded' AND id % 2 = 1 AND id % 5 = 1 QUALIFY {_NEW} = 1)
+WITH {JOBS}, c AS (SELECT * FROM jobs WHERE status = 'succeeded' AND id % 2 = 0 QUALIFY {_NEW} = 1), e AS (SELECT * FROM jobs WHERE status = 'succeeded' AND id % 2 = 1 QUALIFY {_NEW} = 1)
 SELECT c.parent_id, c.id AS chunk_job, e.id AS embedding_job FROM c LEFT JOIN e ON c.parent_id = e.parent_id WHERE e.id IS NULL OR e.created_at < c.created_at"""
 SQL["jobs_history"] = f"WITH {JOBS} SELECT parent_id, CAST({_NEW} AS INTEGER) AS age, id, status FROM jobs QUALIFY {_NEW} <= 3"
 SQL["jobs_create"] = """SELECT DISTINCT user_id AS parent_id, 'queued' AS status, '{"max_tokens": 512}' AS config_json, 0 AS count, 0 AS attempt_count FROM events"""
@@ -334,10 +335,11 @@ WITH {LOGS}, h AS (SELECT date_trunc('hour', ts) AS s, level, count(*) AS n_reco
 
 # pages and scalars
 
-SQL["parse_html_pages"] = r"""
-WITH p AS (SELECT page_id, regexp_extract_all(html, '<p[^>]*>([^<]*)</p>', 1) AS s FROM pages),
-x AS (SELECT page_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sequence_index, unnest(s) AS text FROM p)
-SELECT page_id, sequence_index, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS n_chars FROM x"""
+SQL["parse_html_pages"] = f"""
+WITH p AS (SELECT page_id, string_split_regex(coalesce(html, ''), {q(ingest.PARAGRAPH)}) AS s FROM pages),
+x AS (SELECT page_id, CAST(generate_subscripts(s, 1) - 2 AS INTEGER) AS sequence_index, unnest(s) AS part FROM p),
+y AS (SELECT page_id, sequence_index, regexp_replace(regexp_replace(part, {q(ingest.PARAGRAPH_END)}, ''), '<[^>]*>', '', 'g') AS text FROM x WHERE sequence_index >= 0)
+SELECT page_id, sequence_index, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS n_chars FROM y"""
 SQL["scalar_labels"] = f"""
 WITH {UPLOADS} SELECT id, {size_label('(byte_size * (id + 1) * 37)')} AS size, CASE WHEN id * 7 < 1000 THEN (id * 7) || ' ms' ELSE printf('%.1f', round(id * 7 / 1000.0, 1)) || ' s' END AS took,
   month(created_at) || '月' || day(created_at) || '日 ' || strftime(created_at, '%H:%M') AS stamp, 'a|' || owner_user_id || '|b' AS csv, 'db://user:***@host/x' AS url, substr(checksum_sha256, 1, 18) || '…' AS short FROM uploads"""
@@ -371,7 +373,7 @@ WITH d AS (SELECT doc_id AS p, {_N} AS n FROM documents)
 SELECT 'j1/' || p AS id, p AS parent_id, CASE WHEN n = 0 THEN 'failed' WHEN p % 9 = 0 THEN 'succeeded' ELSE 'superseded' END AS status, (n + 63) // 64 AS declared_count, CASE WHEN n = 0 THEN 'chunking_failed' END AS error_code FROM d
 UNION ALL SELECT 'j2/' || p, p, CASE WHEN p % 9 = 0 OR n = 0 THEN 'failed' ELSE 'succeeded' END, CASE WHEN p % 9 = 0 THEN 0 ELSE (n + 31) // 32 END, CASE WHEN p % 9 = 0 OR n = 0 THEN 'chunking_failed' END FROM d"""
 SQL["reembed_all"] = f"""
-WITH {CHUNKS} SELECT parsed_document_id, 'hash-32' AS model, 32 AS dimensions, count(*) AS n, 0 AS n_wrong FROM chunks WHERE sequence_index < 2 GROUP BY 1"""
+WITH {CHUNKS} SELECT parsed_document_id, 'hash-32' AS model, 32 AS dimensions, count(*) AS n, 0 AS n_wrong FROM chunks GROUP BY 1"""
 SQL["runnable_jobs"] = f"WITH {JOBS}, n AS (SELECT * FROM jobs QUALIFY {_NEW} = 1) SELECT parent_id, id FROM n WHERE status = 'queued'"
 SQL["fail_one_job"] = f"""
 WITH {JOBS}, f AS (SELECT id = 8 AND {_OPEN} AS hit, status FROM jobs)

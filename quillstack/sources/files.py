@@ -12,8 +12,13 @@ from quillstack.functions.text import safe_path
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillstack"
+    """A new path below the folder in ``spark.checkpoint.dir`` or given to ``setCheckpointDir``; a temporary one only where neither is set and
+    all runs in this process."""
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not top and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    top = top or f"file://{tempfile.gettempdir()}/quillstack"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

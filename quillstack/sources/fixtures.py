@@ -85,6 +85,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("parent_id"), mapped("event_type", STATUSES).alias("status"), F.col("ts").alias("created_at"), F.floor("value").cast("long").alias("declared_count"))
 
 
+def shared_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs, each user's dealt to 64 parents of their own, so that parents have few jobs."""
+    return jobs(spark, sf_dir).withColumn("parent_id", F.col("parent_id") * 64 + F.col("id") % 64)
+
+
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -36,9 +38,12 @@ def test_ties_go_to_the_smaller_id_and_the_limit_comes_first(spark):
     assert search.within(search.top_k(df, [0.0, 1.0], 3), 0.9, 0.1).count() == 0
 
 
-def test_many_queries_agree_with_single_ones(spark):
+def test_many_queries_agree_with_single_ones(spark, monkeypatch):
     df = spark.createDataFrame([(i, [math.sin(i), math.cos(i * 3), 0.5]) for i in range(60)], "id long, embedding array<double>")
-    many = search.top_k_many(df, {0: [1.0, 0.0, 0.0], 1: [0.0, 1.0, 1.0]}, 4).collect()
+    asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0]), (2, [1.0, 0.0])], "query long, vector array<double>")
+    many = search.top_k_many(df, asked, 4).collect()
+    monkeypatch.setattr(search, "BLOCK", 7)
+    assert sorted(search.top_k_many(df, asked, 4).collect()) == sorted(many) and all(r["query"] < 2 for r in many)
     for k, v in ((0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0])):
         assert [r.id for r in sorted((r for r in many if r["query"] == k), key=lambda r: r["rank"])] == values(search.top_k(df, v, 4), "id")
 
@@ -129,11 +134,57 @@ def test_stream_and_batch_agree_and_late_rows_go(spark, tmp_path):
     rows = [(i, f"2024-01-01 {i % 5:02d}:30:00", ["info", "warn"][i % 2], i) for i in range(50)]
     df = spark.createDataFrame(rows, "id long, ts string, level string, bytes long").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.json(str(tmp_path / "in"))
-    got = stream.drain(stream.counts(stream.read(spark, str(tmp_path / "in"))), "t_counts")
+    got = stream.drain(stream.counts(stream.read(spark, str(tmp_path / "in"))), "t_counts", ["start", "level"])
     want = df.groupBy(F.date_trunc("hour", "ts").alias("start"), "level").agg(F.count("*").alias("n_records"), F.sum("bytes").alias("bytes"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_late_records_are_dropped_and_earlier_updates_replaced(spark, tmp_path):
+    write = lambda name, rows: spark.createDataFrame(rows, "id long, ts string, level string, bytes long").coalesce(1).write.json(str(tmp_path / "in" / name))
+    write("a", [(1, "2024-01-01 00:10:00", "info", 1), (2, "2024-01-01 05:00:00", "info", 2)])
+    write("b", [(3, "2024-01-01 05:10:00", "info", 8)])
+    write("c", [(4, "2024-01-01 00:20:00", "info", 4)])  # the watermark has passed its window
+    for age, name in enumerate("cba"):
+        for f in (tmp_path / "in" / name).glob("*.json"):
+            os.utime(f, (time.time() - 100 * age - 100,) * 2)
+    raw = spark.readStream.schema(stream.SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    got = {r.start.hour: (r.n_records, r.bytes) for r in stream.drain(stream.counts(raw), "late", ["start", "level"]).collect()}
+    assert got == {0: (1, 1), 5: (2, 10)}
+
+
+def test_archive_of_records(spark, tmp_path):
+    rows = [(i, f"2024-01-0{i % 3 + 1} 00:00:00", "info", "m", "x", i) for i in range(30)]
+    spark.createDataFrame(rows, "id long, ts string, level string, module string, message string, bytes long").write.json(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        stream.archive(stream.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    back = spark.read.schema(stream.SCHEMA).json(str(tmp_path / "out"))
+    assert back.count() == 30 and sorted(x.name for x in (tmp_path / "out").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02", "day=2024-01-03"]
+
+
+def test_search_looks_further_where_the_nearest_are_gone(spark, monkeypatch):
+    e = spark.createDataFrame([(i, i, i, [1.0, i / 100.0], 1) for i in range(200)], "id long, chunk_id long, parsed_document_id long, embedding array<double>, token_count int")
+    c = spark.createDataFrame([(i, i, "t", "c", 1, ["h"], 0) for i in range(200) if i >= 90], "id long, parsed_document_id long, text string, contextualized_text string, token_count int, heading_path array<string>, sequence_index int")
+    d = spark.createDataFrame([(i, i) for i in range(200) if i != 95], "id long, uploaded_file_id long")
+    u = spark.createDataFrame([(i, f"f{i}") for i in range(200)], "id long, original_filename string")
+    want = [90, 91, 92, 93, 94, 96]
+    assert [r.id for r in search.search(e, c, d, u, [1.0, 0.0], 6, 0, 0).orderBy("rank").collect()] == want
+    monkeypatch.setattr(search, "MOST", 30)
+    assert [r.id for r in search.search(e, c, d, u, [1.0, 0.0], 6, 0, 0).orderBy("rank").collect()] == want
+
+
+def test_paragraphs(spark):
+    html = "<P class=a>one <b>two</b></p><pre>x</pre><param><p>three<p>four<br/>4<div>no</div><p>five"
+    assert values(spark.range(1).select(ingest.paragraphs(F.lit(html)).alias("x"))) == [["one two", "three", "four4", "five"]]
+    assert values(spark.range(1).select(ingest.paragraphs(F.lit(None).cast("string")).alias("x"))) == [[]]
+
+
+def test_a_busy_hour_is_numbered_in_parts(spark):
+    rows = [(i, (i * 7919) % 5000) for i in range(5000)]
+    r = spark.createDataFrame(rows, "id long, ms long").withColumn("ts", F.timestamp_millis(F.col("ms") * 500))
+    got = {x.id: x.number for x in logs.numbered(r).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])))}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "up").mkdir()
     (tmp_path / "up" / "a.pdf").write_bytes(b"%PDF-1.4 x")
