@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.operators.chunk import text_source
+
 MAX_PAGE = 200
 
 
@@ -43,3 +45,26 @@ def available(documents: DataFrame, uploads: DataFrame, files: DataFrame) -> Dat
     """Documents whose upload's file exists; ``files`` lists storage keys."""
     there = uploads.join(files, "storage_key", "left_semi").select(F.col("id").alias("uploaded_file_id"))
     return documents.join(there, "uploaded_file_id", "left_semi")
+
+
+def paged(rows: DataFrame, order: list[Column | str], limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page whose rows carry the number of all rows; past the end it is empty."""
+    total = rows.agg(F.count("*").alias("total")).withColumn("__k", F.lit(1))
+    return page(rows, order, limit, offset).withColumn("__k", F.lit(1)).join(total, "__k").drop("__k")
+
+
+def chunk_read(chunks: DataFrame) -> DataFrame:
+    """Rows as they are shown: without storage keys; a source says where the text is."""
+    hidden = [c for c in chunks.columns if c.endswith(("_storage_key", "_bytes"))]
+    return chunks.withColumn("text_source", text_source(F.col("text"), F.col("text_storage_key"))).drop(*hidden)
+
+
+def embedding_read(embeddings: DataFrame) -> DataFrame:
+    """Rows as they are shown: without the vector."""
+    return embeddings.drop("embedding", "embedding_json")
+
+
+def document_read(documents: DataFrame, uploads: DataFrame) -> DataFrame:
+    """A document with what is shown of its upload."""
+    u = uploads.select(F.col("id").alias("uploaded_file_id"), F.struct("original_filename", "content_type", "byte_size", "status").alias("uploaded_file"))
+    return documents.drop("text").join(u, "uploaded_file_id")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,65 @@ def answer(n_embeddings: int, n_hits: int, messages: list[dict[str, str]], model
         return Answer("failed", FAILED, error=str(error))
 
 
+class Lost(Exception):
+    """A timeout or a lost connection."""
+
+
+class Refused(Exception):
+    """An answer with an error status; ``retry_after`` in seconds, if the server names one."""
+
+    def __init__(self, status: int, retry_after: float | None = None):
+        super().__init__(f"status {status}")
+        self.status, self.retry_after = status, retry_after
+
+
+def generate(model: ChatModel, messages: list[dict[str, str]], max_retries: int = 3, stream: bool = False, wait: Callable[[float], None] = time.sleep) -> str:
+    """One answer; lost calls, 429 and 5xx are tried again, after what the server names (0.5 to 60 s) or 2 ** attempt seconds, 60 at most."""
+    if stream:
+        raise NotImplementedError("answers come whole")
+    for attempt in range(max_retries + 1):
+        try:
+            return model.generate(messages)
+        except Exception as error:
+            status = getattr(error, "status", None)
+            again = isinstance(error, Lost) or status == 429 or (status is not None and 500 <= status < 600)
+            if not again or attempt == max_retries:
+                raise
+            given = getattr(error, "retry_after", None)
+            wait(min(2.0**attempt, 60.0) if given is None else max(0.5, min(60.0, given)))
+    raise AssertionError
+
+
+def generated(prompts: DataFrame, model: ChatModel, max_retries: int = 3) -> DataFrame:
+    """``prompts`` with ``answer`` and ``error`` for their ``messages`` (array of role and content); a failing call fails its row alone."""
+
+    @F.pandas_udf("answer string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            out = []
+            for messages in column:
+                try:
+                    out.append((generate(model, [dict(m.asDict() if hasattr(m, "asDict") else m) for m in messages], max_retries), None))
+                except Exception as error:  # whatever a client raises
+                    out.append((None, str(error)))
+            yield pd.DataFrame(out, columns=["answer", "error"], index=column.index)
+
+    return prompts.withColumn("__g", run("messages")).select(*prompts.columns, "__g.answer", "__g.error")
+
+
+def request_fault(query: Column, k: Column, max_tokens: Column | None = None) -> Column:
+    """What is wrong with a request, as ``validate`` says; null if nothing is."""
+    out = F.when(~F.coalesce(F.length(query).between(1, 2000), F.lit(False)), "query").when(~F.coalesce(k.between(1, 50), F.lit(False)), "k")
+    return out if max_tokens is None else out.when(max_tokens < 1, "max_tokens")
+
+
+def answer_state(n_embeddings: Column, n_hits: Column, model: Column, answer: Column, error: Column) -> Column:
+    """``answer`` as a column: status, text, model and error."""
+    status = F.when(n_embeddings == 0, "no_data").when(n_hits == 0, "no_match").when(F.coalesce(model, F.lit("")) == "", "disabled").when(error.isNotNull(), "failed").otherwise("ok")
+    text = F.when(status == "no_data", NO_DATA).when(status == "no_match", NO_MATCH).when(status == "disabled", DISABLED).when(status == "failed", FAILED).otherwise(answer)
+    return F.struct(status.alias("status"), text.alias("text"), F.when(status == "ok", model).alias("model"), F.when(status == "failed", error).when(status == "disabled", "Chat generation is disabled").alias("error"))
+
+
 def parsed(responses: DataFrame) -> DataFrame:
     """content, model, token counts and error_code of raw bodies (id, body): null content is empty, null usage is zero."""
     r = F.from_json("body", RESPONSE)
@@ -91,3 +153,10 @@ def gate(status: Column, fmt: Column | None = None) -> Column:
 
 def missing_models(required: Column, present: Column) -> Column:
     return F.array_sort(F.array_except(required, present))
+
+
+def gate_message(status: Column, missing: Column) -> Column:
+    """Why work can't start, in words, with the models that are missing; null if it can."""
+    names = F.array_join(missing, ", ")
+    absent = F.concat(F.lit("Document models are unavailable"), F.when(names != "", F.concat(F.lit(": "), names)).otherwise(""))
+    return F.when(status == "loading", "Document models are still loading").when(status == "unavailable", absent)

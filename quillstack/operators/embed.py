@@ -79,6 +79,11 @@ def backfilled(rows: DataFrame, json_column: str, dimensions: int) -> DataFrame:
     return rows.withColumn("embedding", v).withColumn("sound", F.coalesce(F.size(v) == dimensions, F.lit(False)))
 
 
+def dual(rows: DataFrame) -> DataFrame:
+    """The vector as it is and as JSON text, both from one array."""
+    return rows.withColumn("embedding_json", F.to_json("embedding"))
+
+
 def retry_delay(header: Column, attempt: Column, unit: Column) -> Column:
     """Seconds to wait: a given Retry-After within 0.5 to 60, else ``unit`` (0 to 1) of 2 ** attempt, 60 at most."""
     seconds = header.try_cast("double")

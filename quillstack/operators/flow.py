@@ -34,3 +34,13 @@ def reembedded(chunks: DataFrame, embedder: embed.Embedder, model: str, job: Col
     """Vectors of chunks under a new job, with batch numbers; the contextualised text where there is one."""
     c = embed.embedded(chunks, embedder, first_nonempty(F.col("contextualized_text"), F.col("text")))
     return c.select(F.col("id").alias("chunk_id"), "parsed_document_id", "sequence_index", "embedding", "token_count", F.lit(model).alias("model"), F.lit(embedder.dimensions).alias("dimensions"), job.alias("embedding_job_id"))
+
+
+def embedding_jobs(chunk_counts: DataFrame, vectors: DataFrame, job: Column, as_of: Column) -> DataFrame:
+    """A job for each document with chunks (parent_id, n): succeeded if every chunk has a vector, else failed."""
+    got = vectors.groupBy(F.col("parsed_document_id").alias("parent_id")).agg(F.count("embedding").alias("declared_count"))
+    both = chunk_counts.join(got, "parent_id", "left").withColumn("declared_count", F.coalesce("declared_count", F.lit(0)))
+    whole = F.col("declared_count") == F.col("n")
+    return both.select(
+        F.concat_ws("/", job.cast("string"), F.col("parent_id").cast("string")).alias("id"), "parent_id", F.when(whole, "succeeded").otherwise("failed").alias("status"),
+        F.when(~whole, "invalid_response").alias("error_code"), "declared_count", as_of.alias("created_at"))

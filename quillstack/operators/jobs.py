@@ -108,3 +108,9 @@ def stale(chunk_jobs: DataFrame, embedding_jobs: DataFrame) -> DataFrame:
 
 def rank_in_parent(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("age", F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc("created_at"), F.desc("id"))))
+
+
+def latest_of(parents: DataFrame, children: DataFrame, parent: str) -> DataFrame:
+    """Each row of ``parents`` (id) with its newest succeeded child's id (null without one); ``children`` name it in ``parent``."""
+    best = children.where(F.col("status") == DONE).groupBy(F.col(parent).alias("id")).agg(F.max(F.struct("created_at", F.col("id").alias("child"))).alias("__b"))
+    return parents.join(best, "id", "left").withColumn("child_id", F.col("__b.child")).drop("__b")

@@ -1,0 +1,297 @@
+"""Conversion of files: validation by content, and parsers of DOCX, PPTX and PDF behind a protocol.
+
+Files are converted where they are read, one after the other in Arrow batches; a file that can't be converted is a row with an error code.
+The built-in parser reads the text of Office packages (headings, paragraphs, table rows, slides) and of PDF files whose fonts
+use a Latin encoding; another one, say with layout models or character recognition, takes its place by the same protocol.
+"""
+
+from __future__ import annotations
+
+import io
+import json
+import re
+import zipfile
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+# Package members that tell the format, and encodings tried for texts, in order.
+CONTENT_TYPES = "[Content_Types].xml"
+REQUIRED_MEMBER = {"docx": "word/document.xml", "pptx": "ppt/presentation.xml"}
+ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb2312", "gb18030", "latin-1")
+SAMPLE = 8192
+MAX_MEMBER = 1 << 28  # bytes of one unpacked package member; more is refused
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_RESULT = "id long, error_code string, title string, page_count int, markdown string, text string, doc_json string, pages array<string>"
+
+
+@dataclass
+class Parsed:
+    """What a parser gives; what it leaves out is filled in by ``normalised``."""
+
+    markdown: str | None = None
+    text: str | None = None
+    tree: dict | None = None
+    title: str | None = None
+    pages: list[str] | None = field(default=None)
+
+
+class Parser(Protocol):
+    def parse(self, content: bytes, fmt: str, max_pages: int) -> Parsed: ...
+
+
+class Unsupported(ValueError):
+    """The content isn't what its format says."""
+
+
+class TooManyPages(ValueError):
+    pass
+
+
+def decoded(content: bytes) -> str:
+    for name in ENCODINGS:
+        try:
+            return content.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    raise Unsupported("no encoding fits")
+
+
+def validate(content: bytes, fmt: str) -> None:
+    """Raises ``Unsupported`` where the content can't be of its format."""
+    if fmt == "pdf":
+        if content[:5] != b"%PDF-":
+            raise Unsupported("no PDF header")
+    elif fmt in REQUIRED_MEMBER:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as package:
+                names = set(package.namelist())
+        except (zipfile.BadZipFile, OSError) as error:
+            raise Unsupported("not a package") from error
+        if not {CONTENT_TYPES, REQUIRED_MEMBER[fmt]} <= names:
+            raise Unsupported("package members don't fit the format")
+    elif fmt in ("txt", "markdown"):
+        if b"\x00" in content[:SAMPLE]:
+            raise Unsupported("binary data in a text")
+    else:
+        raise Unsupported(f"format {fmt}")
+
+
+def _xml(package: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    if package.getinfo(name).file_size > MAX_MEMBER:
+        raise ValueError(f"{name} is too large")
+    data = package.read(name)
+    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+        raise ValueError(f"{name} declares entities")
+    return ElementTree.fromstring(data)
+
+
+def _run_text(paragraph: ElementTree.Element, ns: str) -> str:
+    marks = {f"{ns}tab": "\t", f"{ns}br": "\n"}
+    return "".join((x.text or "") if x.tag == f"{ns}t" else marks.get(x.tag, "") for x in paragraph.iter())
+
+
+def _docx(content: bytes) -> Parsed:
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        body = _xml(package, "word/document.xml").find(f"{_W}body")
+    plain: list[str] = []
+    marked: list[str] = []
+    title = None
+    for block in [] if body is None else body:
+        if block.tag == f"{_W}p":
+            text, style = _run_text(block, _W), block.find(f"{_W}pPr/{_W}pStyle")
+            level = re.fullmatch(r"Heading([1-6])", style.get(f"{_W}val", "")) if style is not None else None
+            if style is not None and style.get(f"{_W}val") == "Title" and title is None:
+                title = text
+            plain.append(text)
+            marked.append(f"{'#' * int(level[1])} {text}" if level else text)
+        elif block.tag == f"{_W}tbl":
+            rows = [" | ".join(" ".join(_run_text(p, _W) for p in cell.iter(f"{_W}p")) for cell in row.findall(f"{_W}tc")) for row in block.findall(f"{_W}tr")]
+            plain += rows
+            marked += [f"| {r} |" for r in rows]
+    return Parsed("\n".join(marked), "\n".join(plain), {"paragraphs": len(plain)}, title)
+
+
+def _pptx(content: bytes, max_pages: int) -> Parsed:
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        found = [(int(m[1]), n) for n in package.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))]
+        if len(found) > max_pages:
+            raise TooManyPages(f"{len(found)} slides")
+        pages = ["\n".join(_run_text(p, _A) for p in _xml(package, name).iter(f"{_A}p")) for _, name in sorted(found)]
+    return Parsed("\n".join(pages), "\n".join(pages), {"slides": len(pages)}, None, pages)
+
+
+_STREAM = re.compile(rb"stream\r?\n")
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_SHOW = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|T[dDmJj*]|'|\"|-?\d*\.?\d+|\bET\b", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+    unescape = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] == b"\n" else _ESCAPES.get(m[1], m[1])
+    data = re.sub(rb"\\([0-7]{1,3}|\n|.)", unescape, token[1:-1], flags=re.S)
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+
+
+def _pdf_text(stream: bytes) -> str:
+    """Shown strings; a move to another line starts one, and a wide gap in an array of strings is a space."""
+    out, held, numbers = [], [], []
+    in_array = False
+    for token in _SHOW.findall(stream):
+        if token[:1] in b"(<":
+            held.append(_pdf_string(token))
+        elif token == b"[":
+            in_array = True
+        elif token == b"]":
+            in_array = False
+        elif token in (b"Tj", b"TJ", b"'", b'"'):
+            out.append(("\n" if token in b"'\"" else "") + "".join(held))
+            held, numbers = [], []
+        elif token in (b"Td", b"TD", b"T*", b"Tm"):
+            if out and (token in (b"T*", b"Tm") or (numbers and numbers[-1] != 0)):
+                out.append("\n")
+            held, numbers = [], []
+        elif token != b"ET":
+            if in_array and held and float(token) < -200:
+                held.append(" ")
+            numbers.append(float(token))
+    return re.sub(r"\n+", "\n", "".join(out)).strip("\n")
+
+
+def _pdf(content: bytes, max_pages: int) -> Parsed:
+    objects: dict[int, tuple[bytes, bytes]] = {}
+    for match in _OBJECT.finditer(content):
+        body = match[2]
+        begin = _STREAM.search(body)
+        head, data = (body[: begin.start()], body[begin.end() : body.rfind(b"endstream")]) if begin else (body, b"")
+        if b"/FlateDecode" in head:
+            unpack = zlib.decompressobj()
+            data = unpack.decompress(data, MAX_MEMBER)
+        objects[int(match[1])] = (head, data)
+    for head, data in list(objects.values()):  # objects within streams
+        if b"/ObjStm" in head and (n := re.search(rb"/N\s+(\d+)", head)) and (first := re.search(rb"/First\s+(\d+)", head)):
+            index = [int(x) for x in data[: int(first[1])].split()[: 2 * int(n[1])]]
+            starts = [*index[1::2], len(data) - int(first[1])]
+            for name, a, b in zip(index[::2], starts, starts[1:]):
+                objects[name] = (data[int(first[1]) + a : int(first[1]) + b], b"")
+
+    def kids(name: int, seen: set[int]) -> Iterator[bytes]:
+        head = objects.get(name, (b"", b""))[0]
+        if name in seen:
+            return
+        seen.add(name)
+        if re.search(rb"/Type\s*/Pages\b", head):
+            for kid in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Kids\s*\[(.*?)\]", head, re.S) or [b"", b""])[1]):
+                yield from kids(int(kid), seen)
+        elif re.search(rb"/Type\s*/Page\b", head):
+            yield head
+
+    children = {int(x) for head, _ in objects.values() for m in re.findall(rb"/Kids\s*\[(.*?)\]", head, re.S) for x in re.findall(rb"(\d+)\s+\d+\s+R", m)}
+    roots = [n for n, (head, _) in objects.items() if re.search(rb"/Type\s*/Pages\b", head) and n not in children]
+    heads = [h for r in roots for h in kids(r, set())] or [h for h, _ in objects.values() if re.search(rb"/Type\s*/Page\b", h)]
+    if len(heads) > max_pages:
+        raise TooManyPages(f"{len(heads)} pages")
+    pages = []
+    for head in heads:
+        refs = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", head, re.S)
+        names = [] if not refs else [int(refs[2])] if refs[2] else [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])]
+        pages.append(_pdf_text(b"\n".join(objects.get(n, (b"", b""))[1] for n in names)))
+    return Parsed("\n".join(pages), "\n".join(pages), {"pages": len(pages)}, None, pages)
+
+
+class TextParser:
+    """The built-in parser."""
+
+    def parse(self, content: bytes, fmt: str, max_pages: int) -> Parsed:
+        if fmt == "docx":
+            return _docx(content)
+        if fmt == "pptx":
+            return _pptx(content, max_pages)
+        if fmt == "pdf":
+            return _pdf(content, max_pages)
+        text = decoded(content)
+        return Parsed(text, text)
+
+
+def normalised(p: Parsed) -> dict[str, object]:
+    """Text falls back to Markdown, the tree to the text; the page count is that of the pages, null without any."""
+    markdown = p.markdown or ""
+    text = p.text or markdown
+    tree = p.tree or {"content": text}
+    return {"title": p.title, "page_count": None if p.pages is None else len(p.pages), "markdown": markdown, "text": text, "doc_json": json.dumps(tree, ensure_ascii=False), "pages": p.pages}
+
+
+def convert(content: bytes | None, fmt: str | None, parser: Parser, max_pages: int) -> dict[str, object]:
+    """A result row; error_code is unsupported_format, parse_failed (also beyond ``max_pages`` and without any text), or null."""
+    empty = {"title": None, "page_count": None, "markdown": None, "text": None, "doc_json": None, "pages": None}
+    try:
+        validate(content or b"", fmt or "")
+        out = normalised(parser.parse(content or b"", fmt or "", max_pages))
+    except Unsupported:
+        return empty | {"error_code": "unsupported_format"}
+    except Exception:  # whatever a parser raises: the file's row says so
+        return empty | {"error_code": "parse_failed"}
+    return out | {"error_code": None if str(out["text"]).strip() else "parse_failed"}
+
+
+def converted(files: DataFrame, parser: Parser | None = None, max_pages: int = 100) -> DataFrame:
+    """``files`` (id, format, content) as id, error_code, title, page_count, markdown, text, doc_json, pages."""
+    parser = parser or TextParser()
+    names = [x.split()[0] for x in _RESULT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file may be large: a row at a time leaves
+                row = convert(batch.column(2)[i].as_py(), batch.column(1)[i].as_py(), parser, max_pages) | {"id": batch.column(0)[i].as_py()}
+                yield pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds)], names=names)
+
+    return files.select("id", "format", "content").mapInArrow(run, _RESULT)
+
+
+def docx(paragraphs: list[tuple[str | None, str]]) -> bytes:
+    """A package of (style, text) paragraphs."""
+    body = ElementTree.Element(f"{_W}body")
+    for style, text in paragraphs:
+        p = ElementTree.SubElement(body, f"{_W}p")
+        if style:
+            ElementTree.SubElement(ElementTree.SubElement(p, f"{_W}pPr"), f"{_W}pStyle").set(f"{_W}val", style)
+        for i, part in enumerate(text.split("\t")):
+            r = ElementTree.SubElement(p, f"{_W}r")
+            if i:
+                ElementTree.SubElement(r, f"{_W}tab")
+            ElementTree.SubElement(r, f"{_W}t").text = part
+    root = ElementTree.Element(f"{_W}document")
+    root.append(body)
+    return _package({"word/document.xml": ElementTree.tostring(root)})
+
+
+def pptx(slides: list[list[str]]) -> bytes:
+    """A package of slides of paragraphs."""
+    members = {"ppt/presentation.xml": b"<presentation/>"}
+    for i, lines in enumerate(slides, 1):
+        root = ElementTree.Element("sld")
+        for line in lines:
+            p = ElementTree.SubElement(root, f"{_A}p")
+            ElementTree.SubElement(ElementTree.SubElement(p, f"{_A}r"), f"{_A}t").text = line
+        members[f"ppt/slides/slide{i}.xml"] = ElementTree.tostring(root)
+    return _package(members)
+
+
+def _package(members: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, data in {CONTENT_TYPES: b"<Types/>", **members}.items():
+            package.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()

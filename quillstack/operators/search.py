@@ -168,3 +168,13 @@ def statistics(results_: DataFrame, embeddings: DataFrame) -> DataFrame:
     total = embeddings.agg(F.count("*").alias("n_embeddings"))
     found = results_.agg(F.count("*").alias("n_results"), F.count_distinct("document_name").alias("n_documents"), F.round(F.min("score"), 6).alias("best"))
     return found.withColumn("__k", F.lit(1)).join(total.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
+def response(results_: DataFrame, embeddings: DataFrame, query: str, vector: list[float], model: str, k: int) -> DataFrame:
+    """The one nested row of a search: the query with the first components of its vector, totals, and results in order."""
+    total = embeddings.agg(F.count("*").alias("total_searched"), F.count_distinct("parsed_document_id").alias("searched_document_count"))
+    listed = results_.agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_name", "score"))).alias("results"))  # k rows at most
+    one = total.withColumn("__k", F.lit(1)).join(listed.withColumn("__k", F.lit(1)), "__k")
+    return one.select(
+        F.lit(query).alias("query"), literal(vector[:5]).alias("query_embedding_preview"), F.lit(model).alias("embedding_model"), F.lit(len(vector)).alias("embedding_dimensions"), F.lit(k).alias("top_k"),
+        "total_searched", "searched_document_count", "results")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillstack.operators.chunk import text_source
 
 KEY = ["parsed_document_id", "sequence_index"]
+# The names of the checks.
 CHECKS = (
     "chunk_embedding_pairing", "dimension_consistency", "sequence_continuity", "chunk_text_availability",
     "contextualized_text_availability", "token_count_consistency", "model_consistency",
@@ -32,16 +33,27 @@ def _where(condition: Column) -> Column:
     return F.array_sort(F.collect_list(F.when(condition, F.col("sequence_index"))))
 
 
-def checks(paired: DataFrame, expected: Column, readable: Column | None = None) -> DataFrame:
+def with_files(paired: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds text_there and context_there: whether the file of an offloaded text is among ``files`` (storage_key)."""
+    for name, key in (("text_there", "text_storage_key"), ("context_there", "contextualized_text_storage_key")):
+        have = files.select(F.col("storage_key").alias("__key")).distinct().withColumn("__there", F.lit(True))
+        paired = paired.join(have, F.col("chunk")[key] == F.col("__key"), "left").withColumn(name, F.coalesce("__there", F.lit(False))).drop("__key", "__there")
+    return paired
+
+
+def checks(paired: DataFrame, expected: Column, readable: Column | None = None, context_readable: Column | None = None) -> DataFrame:
     """One row for each document and check: passed, offenders (places, sorted), counts used by messages.
 
-    ``expected`` is the dimension that the document's job declares; ``readable`` says whether an offloaded text was read."""
-    readable = F.lit(True) if readable is None else readable
+    ``expected`` is the dimension that the document's job declares; ``readable`` and ``context_readable`` say whether an offloaded text was read. Without
+    them, the pairs' columns of ``with_files`` say so, and where there are none either, files are taken to be there."""
+    known = lambda given, name: given if given is not None else F.col(name) if name in paired.columns else F.lit(True)
+    context_readable = known(readable if context_readable is None else context_readable, "context_there")
+    readable = known(readable, "text_there")
     c, e = F.col("chunk"), F.col("embedding")
     source = text_source(c["text"], c["text_storage_key"])
     context = text_source(c["contextualized_text"], c["contextualized_text_storage_key"])
     has_context = c["contextualized_text"].isNotNull() | c["contextualized_text_storage_key"].isNotNull()
-    got = lambda s: (s == "inline") | ((s == "file") & readable)
+    got = lambda s, read: (s == "inline") | ((s == "file") & read)
     bad_size = e.isNotNull() & ((e["dimensions"] != expected) | (e["size"] != expected))
     one = paired.groupBy("parsed_document_id").agg(
         F.count("*").alias("n_pairs"),
@@ -49,8 +61,8 @@ def checks(paired: DataFrame, expected: Column, readable: Column | None = None)
         _where(e.isNull() & c.isNotNull()).alias("orphan_chunks"),
         _where(bad_size).alias("bad_size"),
         F.array_sort(F.collect_set("sequence_index")).alias("places"),
-        _where(c.isNotNull() & ~got(source)).alias("no_text"),
-        _where(c.isNotNull() & ~got(context) & has_context).alias("no_context"),
+        _where(c.isNotNull() & ~got(source, readable)).alias("no_text"),
+        _where(c.isNotNull() & ~got(context, context_readable) & has_context).alias("no_context"),
         _where((c.isNotNull() & F.coalesce(c["token_count"] == 0, F.lit(True))) | (e.isNotNull() & F.coalesce(e["token_count"] == 0, F.lit(True)))).alias("bad_tokens"),
         F.array_sort(F.collect_set(e["model"])).alias("models"),
     )
@@ -112,7 +124,24 @@ def pair_rows(paired: DataFrame, length: int = 150) -> DataFrame:
         e["id"].alias("embedding_id"), F.coalesce(e["preview"], F.array().cast("array<float>")).alias("vector_preview"))
 
 
-def report(paired: DataFrame, checked: DataFrame) -> DataFrame:
-    """One nested row for each document: verdict, checks and totals."""
-    listed = checked.groupBy("parsed_document_id").agg(F.array_sort(F.collect_list(F.struct("check", "passed", "n_offenders"))).alias("checks"))
-    return listed.join(passed_all(checked), "parsed_document_id").join(stats(paired), "parsed_document_id")
+def report(paired: DataFrame, checked: DataFrame, documents: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
+    """One nested row for each document: verification, pairs and totals, and, where they are given, the document (id, title, original_filename,
+    content_type, byte_size) and its pipeline (parsed_document_id, parse_job, chunk_job, embedding_job)."""
+    order = {name: i for i, name in enumerate(CHECKS)}
+    place = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("check"))
+    listed = checked.groupBy("parsed_document_id").agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), "check", "passed", "n_offenders", preview(F.col("offenders")).alias("offenders")))).alias("__c"),
+        F.bool_and("passed").alias("__p"), F.count_if("passed").alias("__n"), F.count("*").alias("__t"))
+    rows = pair_rows(paired)
+    every = rows.groupBy("parsed_document_id").agg(F.array_sort(F.collect_list(F.struct("sequence_index", *[c for c in rows.columns if c not in KEY]))).alias("pairs"))
+    total = stats(paired)
+    out = listed.join(every, "parsed_document_id").join(total.select("parsed_document_id", F.struct(*total.columns[1:]).alias("stats")), "parsed_document_id")
+    verification = F.struct(F.col("__p").alias("passed"), F.col("__t").alias("total_checks"), F.col("__n").alias("passed_checks"), F.transform("__c", lambda x: x.dropFields("place")).alias("checks"))
+    parts = ["parsed_document_id", verification.alias("verification"), "pairs", "stats"]
+    if documents is not None:
+        d = documents.select(F.col("id").alias("parsed_document_id"), F.struct("title", "original_filename", "content_type", "byte_size").alias("document"))
+        out, parts = out.join(d, "parsed_document_id"), [*parts, "document"]
+    if stages is not None:
+        s = stages.select("parsed_document_id", F.struct("parse_job", "chunk_job", "embedding_job").alias("pipeline"))
+        out, parts = out.join(s, "parsed_document_id"), [*parts, "pipeline"]
+    return out.select(*parts)

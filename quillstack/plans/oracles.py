@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from quillstack.functions import text as t
-from quillstack.operators import ingest, jobs, logs, search, verify
+from quillstack import schema
+from quillstack.functions import labels
+from quillstack.operators import chat, ingest, jobs, logs, search, verify
 from quillstack.plans.queries import ALLOWED_EXTENSIONS, ALLOWED_TYPES, INLINE_LIMIT
 from quillstack.sources import fixtures as fx
 
@@ -378,3 +380,106 @@ SQL["runnable_jobs"] = f"WITH {JOBS}, n AS (SELECT * FROM jobs QUALIFY {_NEW} =
 SQL["fail_one_job"] = f"""
 WITH {JOBS}, f AS (SELECT id = 8 AND {_OPEN} AS hit, status FROM jobs)
 SELECT CASE WHEN hit THEN 'failed' ELSE status END AS status, CASE WHEN hit THEN 'process_shutdown' END AS error_code, count(*) AS n FROM f GROUP BY 1, 2"""
+
+# files, structure, settings and responses
+
+SQL["parse_office"] = r"""
+WITH d AS (SELECT doc_id AS id, doc_id % 2 = 0 AS word, coalesce(text, '') AS t, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+e AS (SELECT *, (n + 19) // 20 AS slides, CASE WHEN id % 11 = 0 OR id % 13 = 0 THEN 'unsupported_format' WHEN NOT word AND (n + 19) // 20 > 30 THEN 'parse_failed' END AS code FROM d),
+f AS (SELECT *, coalesce(code, CASE WHEN regexp_matches(t, '[^\s]') THEN NULL ELSE 'parse_failed' END) AS error_code FROM e)
+SELECT id, error_code, CASE WHEN code IS NULL AND NOT word THEN CAST(slides AS INTEGER) END AS page_count, CASE WHEN code IS NULL AND NOT word THEN CAST(slides AS INTEGER) END AS n_pages,
+       CASE WHEN code IS NULL THEN sha256(t) END AS sha256 FROM f"""
+SQL["chunk_sections"] = r"""
+WITH l AS (
+  SELECT doc_id AS p, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+m AS (SELECT p, i, i // 8 AS seg, CASE WHEN i % 5 = 0 THEN repeat('#', 1 + (i // 5) % 3) || ' H' || (i // 5) ELSE raw END AS t FROM l),
+h AS (SELECT *, length(regexp_extract(t, '^(#{1,6})\s+(.*\S)\s*$', 1)) AS level, regexp_extract(t, '^(#{1,6})\s+(.*\S)\s*$', 2) AS title FROM m),
+a AS (
+  SELECT *, last_value(CASE WHEN level = 1 THEN title WHEN level BETWEEN 1 AND 0 THEN '' END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN title WHEN level BETWEEN 1 AND 1 THEN '' END IGNORE NULLS) OVER w AS h2, last_value(CASE WHEN level = 3 THEN title WHEN level BETWEEN 1 AND 2 THEN '' END IGNORE NULLS) OVER w AS h3, last_value(CASE WHEN level = 4 THEN title WHEN level BETWEEN 1 AND 3 THEN '' END IGNORE NULLS) OVER w AS h4, last_value(CASE WHEN level = 5 THEN title WHEN level BETWEEN 1 AND 4 THEN '' END IGNORE NULLS) OVER w AS h5, last_value(CASE WHEN level = 6 THEN title WHEN level BETWEEN 1 AND 5 THEN '' END IGNORE NULLS) OVER w AS h6
+  FROM h WINDOW w AS (PARTITION BY p ORDER BY i)),
+b AS (
+  SELECT p, i, seg, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS ws, list_filter([h1, h2, h3, h4, h5, h6], lambda x: x IS NOT NULL AND x <> '') AS path FROM a WHERE level = 0),
+c AS (SELECT *, coalesce(path <> lag(path) OVER (PARTITION BY p ORDER BY i), true) AS fresh FROM b WHERE len(ws) > 0),
+s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY p ORDER BY i) AS sec FROM c),
+k AS (SELECT p, sec, i, seg, path, generate_subscripts(ws, 1) AS j, unnest(ws) AS word FROM s),
+o AS (SELECT *, (row_number() OVER (PARTITION BY p, sec ORDER BY i, j) - 1) // 24 AS part FROM k),
+g AS (
+  SELECT p, sec, part, count(*) AS token_count, any_value(path) AS path, string_agg(word, ' ' ORDER BY i, j) AS text,
+         array_to_string(list_sort(list_distinct(list(seg + 1))), ',') AS page_numbers, array_to_string(list_sort(list_distinct(list(seg))), ',') AS source_segment_indices FROM o GROUP BY p, sec, part)
+SELECT p AS parsed_document_id, CAST(row_number() OVER (PARTITION BY p ORDER BY sec, part) - 1 AS INTEGER) AS sequence_index, CAST(token_count AS INTEGER) AS token_count, array_to_string(path, ' > ') AS heading_path,
+       page_numbers, source_segment_indices, sha256(array_to_string(path, chr(10)) || chr(10) || text) AS sha256 FROM g"""
+_GONE = {
+    verify.CHECKS[3]: f"cid IS NOT NULL AND ({SOURCE('text')} = 'unavailable' OR ({SOURCE('text')} = 'file' AND cid % 3 = 0))",
+    verify.CHECKS[4]: f"cid IS NOT NULL AND (contextualized_text IS NOT NULL OR contextualized_text_storage_key IS NOT NULL) AND ({SOURCE('contextualized_text')} = 'unavailable' OR ({SOURCE('contextualized_text')} = 'file' AND cid % 3 = 0))",
+}
+_CHECKED_FILES = CHECKED
+for _name, _rule in _GONE.items():
+    _CHECKED_FILES = _CHECKED_FILES.replace(f"{q(_name)} AS c, list_sort(coalesce(list(sequence_index) FILTER ({BAD[_name]}), []))", f"{q(_name)} AS c, list_sort(coalesce(list(sequence_index) FILTER ({_rule}), []))")
+assert _CHECKED_FILES.count("cid % 3 = 0") == 2
+SQL["verify_checks_with_files"] = f"""
+WITH {_CHECKED_FILES} SELECT parsed_document_id, c AS "check", len(o) = 0 AND m AS passed, len(o) AS n_offenders,
+  array_to_string(o[1:5], ', ') || CASE WHEN len(o) > 5 THEN '...' ELSE '' END AS offenders FROM found"""
+_PLACE = "CASE c " + " ".join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(verify.CHECKS)) + " END"
+SQL["verify_report"] = f"""
+WITH {CHECKED}, {UPLOADS}, {_ACTIVE},
+v AS (SELECT parsed_document_id, bool_and(len(o) = 0 AND m) AS passed, count(*) AS total_checks, count(*) FILTER (len(o) = 0 AND m) AS passed_checks, string_agg(c || '=' || (len(o) = 0 AND m), ';' ORDER BY {_PLACE}) AS checks FROM found GROUP BY 1),
+r AS (SELECT parsed_document_id, CAST(count(*) AS INTEGER) AS n_pairs, array_to_string(list(sequence_index ORDER BY sequence_index)[1:5], ',') AS first_places, CAST(sum(coalesce(ctok, 0)) AS BIGINT) AS chunk_tokens, CAST(sum(coalesce(etok, 0)) AS BIGINT) AS embedding_tokens FROM pairs GROUP BY 1)
+SELECT v.parsed_document_id, substr(d.text, 1, 20) AS title, u.original_filename, u.byte_size, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS parse_job, 'job-1' AS chunk_job, act.id AS embedding_job,
+       passed, total_checks, passed_checks, checks, n_pairs, first_places, chunk_tokens, embedding_tokens
+FROM v JOIN r USING (parsed_document_id) JOIN documents d ON doc_id = v.parsed_document_id JOIN uploads u ON u.id = doc_id LEFT JOIN act ON act.parent_id = doc_id"""
+SQL["search_response"] = f"""
+WITH {HITS}
+SELECT 'What is said?' AS query, (SELECT array_to_string(list_transform(v[1:5], lambda x: printf('%.5f', x)), ',') FROM qv) AS preview, 'model-a' AS embedding_model, 64 AS embedding_dimensions, 20 AS top_k,
+       (SELECT count(*) FROM emb) AS total_searched, (SELECT count(DISTINCT parsed_document_id) FROM emb) AS searched_document_count, coalesce(string_agg(rank || ':' || chunk_id, ',' ORDER BY rank), '') AS results FROM hits"""
+SQL["chunks_page_total"] = f"""
+WITH {CHUNKS} SELECT id, sequence_index, total FROM (SELECT *, count(*) OVER () AS total FROM chunks WHERE parsed_document_id = 4) ORDER BY sequence_index LIMIT 2 OFFSET 1"""
+SQL["chunk_read_rows"] = f"WITH {CHUNKS}, {STORED} SELECT id, {SOURCE('text')} AS text_source, CAST(length(text) AS INTEGER) AS n_chars, false AS shows_keys FROM stored"
+SQL["document_read_rows"] = f"WITH {UPLOADS} SELECT id, substr(text, 1, 20) AS title, original_filename, byte_size, status, false AS shows_text FROM uploads JOIN documents ON doc_id = id"
+SQL["embedding_read_rows"] = f"WITH {EMBEDDINGS} SELECT id, parsed_document_id, sequence_index, chunk_id, model, dimensions, token_count FROM emb"
+SQL["embed_dual"] = "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dims, true AS same FROM embeddings"
+SQL["reembed_supersedes"] = f"""
+WITH {CHUNKS}, n AS (SELECT parsed_document_id AS p, count(*) AS n FROM chunks GROUP BY 1)
+SELECT 'e1/' || p AS id, p AS parent_id, CASE WHEN p % 7 = 0 THEN 'succeeded' ELSE 'superseded' END AS status, NULL AS error_code, n AS declared_count FROM n
+UNION ALL SELECT 'e2/' || p, p, CASE WHEN p % 7 = 0 THEN 'failed' ELSE 'succeeded' END, CASE WHEN p % 7 = 0 THEN 'invalid_response' END, CASE WHEN p % 7 = 0 THEN n - 1 ELSE n END FROM n"""
+SQL["chunk_jobs_with_embedding"] = f"""
+WITH {JOBS}, e AS (SELECT id, id // 6 * 2 AS c FROM jobs WHERE id % 2 = 1 AND status = 'succeeded' QUALIFY row_number() OVER (PARTITION BY id // 6 * 2 ORDER BY created_at DESC, id DESC) = 1)
+SELECT j.id, j.status, e.id AS child_id FROM jobs j LEFT JOIN e ON e.c = j.id WHERE j.id % 2 = 0"""
+SQL["job_self_distance"] = f"""
+WITH {EMBEDDINGS}, f AS (SELECT model, arg_min(embedding, id) AS sample FROM emb GROUP BY 1),
+s AS (SELECT emb.model, id, list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(sample AS DOUBLE[])) AS score FROM emb JOIN f USING (model))
+SELECT model, CAST(row_number() OVER w AS INTEGER) AS rank, id, {ROUND} AS score FROM s WINDOW w AS (PARTITION BY model ORDER BY score, id) QUALIFY row_number() OVER w <= 3"""
+SQL["answer_rows"] = f"""
+WITH s AS (
+  SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'no_data' WHEN turn % 4 = 0 THEN 'no_match' WHEN conv_id % 3 = 0 THEN 'disabled' WHEN conv_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM conversations)
+SELECT conv_id, turn, status, sha256(CASE status WHEN 'no_data' THEN {q(chat.NO_DATA)} WHEN 'no_match' THEN {q(chat.NO_MATCH)} WHEN 'disabled' THEN {q(chat.DISABLED)} WHEN 'failed' THEN {q(chat.FAILED)} ELSE coalesce(text, '') END) AS sha256,
+       CASE WHEN status = 'ok' THEN 'm-1' END AS model, CASE status WHEN 'failed' THEN 'down' WHEN 'disabled' THEN 'Chat generation is disabled' END AS error FROM s"""
+SQL["chat_batch"] = "SELECT conv_id, turn, '[' || turn || '] ' || conv_id AS answer, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role = 'user'"
+SQL["request_faults"] = """
+SELECT conv_id, turn, CASE WHEN turn % 6 = 5 OR text IS NULL OR length(text) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN conv_id % 60 NOT BETWEEN 1 AND 50 THEN 'k' WHEN turn - 1 < 1 THEN 'max_tokens' END AS fault FROM conversations"""
+SQL["missing_models"] = """
+WITH e AS (SELECT CAST(i AS BIGINT) AS id, array_to_string(list_filter([CASE WHEN i % 2 <> 0 THEN 'layout' END, CASE WHEN i % 4 >= 2 THEN 'tables' END], lambda x: x IS NOT NULL), ',') AS missing FROM range(32) r(i))
+SELECT id, missing, CASE WHEN id >= 24 THEN 'Document models are still loading' WHEN missing <> '' THEN 'Document models are unavailable: ' || replace(missing, ',', ', ') END AS message FROM e"""
+SQL["error_rows"] = """
+SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type ELSE 'Unknown error' END AS message, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 200 + 400 AS INTEGER) END AS status_code FROM events"""
+_LABELLED = [(n, labels.CHECK.get(n, n), "check") for n in (*verify.CHECKS, "other")] + [(n, labels.SOURCE.get(n, labels.SOURCE_UNKNOWN), "source") for n in ("inline", "file", "unavailable")]
+SQL["label_rows"] = f"""
+WITH {JOBS}
+SELECT status AS name, {mapped('status', labels.STATUS)} AS label, CASE WHEN status = 'succeeded' THEN 'good' WHEN status = 'failed' THEN 'bad' WHEN {_OPEN} THEN 'open' ELSE 'neutral' END AS colour, count(*) AS n FROM jobs GROUP BY 1
+UNION ALL SELECT role, coalesce({mapped('role', labels.ROLE)}, role), 'role', count(*) FROM conversations GROUP BY 1
+UNION ALL SELECT *, 1 FROM (VALUES {", ".join(f"({listed(x)})" for x in _LABELLED)}) v(name, label, colour)"""
+_SNAPSHOTS = [
+    ("chunk", "tokenizer_model", "words"), ("chunk", "max_tokens", "256"), ("chunk", "merge_peers", "False"), ("chunk", "repeat_table_header", "True"), ("chunk", "inline_text_max_bytes", "2048"),
+    ("embedding", "api_base_url", ""), ("embedding", "model", "hash"), ("embedding", "dimensions", "2560"), ("embedding", "encoding_format", "float"), ("embedding", "batch_size", "7"),
+    ("chat", "api_base_url", ""), ("chat", "model", "m-1"), ("chat", "temperature", "0.5"), ("chat", "max_tokens", "1024"), ("chat", "request_timeout", "60.0"), ("chat", "max_retries", "3"), ("log", "format", "json"),
+]
+SQL["config_snapshots"] = f"SELECT * FROM (VALUES {', '.join(f'({listed(x)})' for x in _SNAPSHOTS)}) v(kind, name, value)"
+SQL["uploads_written"] = f"WITH {UPLOADS} SELECT id, status, original_filename, byte_size, checksum_sha256 FROM uploads"
+SQL["parsed_written"] = "SELECT doc_id AS uploaded_file_id, 0 AS sequence_index, 'document' AS segment_type, CAST(NULL AS INTEGER) AS page_no, sha256(text) AS sha256 FROM documents"
+SQL["files_written"] = """
+SELECT 'parsed/u/' || doc_id || '/j/content.txt' AS storage_key, strlen(coalesce(text, '')) AS byte_size, strlen(coalesce(text, '')) > 20000 AS too_large, CASE WHEN strlen(coalesce(text, '')) <= 20000 THEN sha256(coalesce(text, '')) END AS checksum_sha256,
+       CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars FROM documents"""
+SQL["active_users"] = "SELECT c_custkey AS id, c_name AS display_name FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"
+SQL["default_user"] = f"SELECT {q(schema.DEFAULT_USER)} AS id, 'Default user' AS display_name, 'active' AS status, '2024-01-01T00:00:00Z' AS created"
+_GAPS = [("uploaded_files", c, "missing") for c in ("storage_key", "error_message", "updated_at")] + [("document_segments", c, "missing") for c in ("id", "owner_user_id", "segment_type", "page_no", "heading_path", "metadata")]
+SQL["schema_gaps"] = f"""SELECT * FROM (VALUES {', '.join(f'({listed(x)})' for x in _GAPS)}) v("table", "column", gap)"""
+SQL["conversation_edits"] = "SELECT DISTINCT conv_id AS id, 'n/new/x=because,y=?;o/old/' AS talks, 'o' AS active FROM conversations"

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillstack.functions import keys, vectors
+from quillstack.functions import keys, labels, vectors
 from quillstack.functions import text as t
 from quillstack import schema
-from quillstack.operators import catalog, chat, chunk, convo, embed, flow, ingest, jobs, logs, search, verify
+from quillstack.operators import catalog, chat, chunk, convo, embed, flow, ingest, jobs, logs, parsers, search, structure, verify
+from quillstack.settings import Settings
 from quillstack.shipping import ensure_on_workers
 from quillstack.sources import fixtures as fx
 from quillstack.sources import sinks
+from quillstack.sources.files import binary, shared_folder
+from quillstack.sources.files import texts as file_texts
 from quillstack.streaming import logs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,6 +670,279 @@ def fail_one_job(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("status", "error_code").agg(F.count("*").alias("n"))
 
 
+# files, structure, settings and responses
+
+
+def office_kind() -> Column:
+    return F.when(F.col("doc_id") % 2 == 0, "docx").otherwise("pptx")
+
+
+def office_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a Word or a presentation file; some are cut short, some named as the other kind."""
+    rows = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), office_kind().alias("kind"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = []
+            for i, kind, lines in zip(*(b.column(n).to_pylist() for n in range(3))):
+                whole = parsers.docx([(None, x) for x in lines]) if kind == "docx" else parsers.pptx([lines[n : n + 20] for n in range(0, len(lines), 20)])
+                made.append(whole[:50] if i % 11 == 0 else whole)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "kind", "content"])
+
+    files = rows.mapInArrow(run, "id long, kind string, content binary")
+    other = F.when(F.col("kind") == "docx", "pptx").otherwise("docx")
+    return files.select("id", F.when(F.col("id") % 13 == 0, other).otherwise(F.col("kind")).alias("format"), "content")
+
+
+@query
+def parse_office(spark: SparkSession, d: str) -> DataFrame:
+    """Word and presentation files made of all documents, converted back; at most 30 slides."""
+    out = parsers.converted(office_files(spark, d), max_pages=30)
+    return out.select("id", "error_code", "page_count", F.size("pages").cast("int").alias("n_pages"), F.sha2("text", 256).alias("sha256"))
+
+
+def marked_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown segments, a page each of eight lines: every fifth line is a heading of level 1 to 3."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("parsed_document_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))
+    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), 1 + F.floor(i / 5).cast("int") % 3), F.lit(" H"), F.floor(i / 5).cast("string"))).otherwise(x)
+    docs = docs.withColumn("l", F.transform("l", line))
+    at = F.posexplode(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 8).cast("int"))).alias("sequence_index", "p")
+    return docs.select("parsed_document_id", "l", at).select("parsed_document_id", "sequence_index", (F.col("p") + 1).alias("page_no"), F.array_join(F.slice("l", F.col("p") * 8 + 1, F.lit(8)), "\n").alias("text"))
+
+
+@query
+def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks within one heading path, 24 tokens at most, with their pages."""
+    c = structure.section_chunks(marked_segments(spark, d), 24)
+    listed = lambda n: F.array_join(F.col(n).cast("array<string>"), ",").alias(n)
+    return c.select("parsed_document_id", "sequence_index", "token_count", F.array_join("heading_path", " > ").alias("heading_path"), listed("page_numbers"), listed("source_segment_indices"), F.sha2("contextualized_text", 256).alias("sha256"))
+
+
+@query
+def verify_checks_with_files(spark: SparkSession, d: str) -> DataFrame:
+    """The checks where the files of every third chunk have been deleted."""
+    all_ = fx.chunks(spark, d)
+    files = sinks.offloaded(chunk.hybrid_storage(all_, INLINE_LIMIT, F.lit(JOB)).where("id % 3 <> 0"), all_).select("storage_key")
+    c = verify.checks(verify.with_files(paired(spark, d), files), F.lit(64))
+    return c.select("parsed_document_id", "check", "passed", "n_offenders", verify.preview(F.col("offenders")).alias("offenders"))
+
+
+@query
+def verify_report(spark: SparkSession, d: str) -> DataFrame:
+    """The nested report, flattened to be compared."""
+    p = paired(spark, d)
+    u = fx.uploads(spark, d)
+    docs = fx.parsed_documents(spark, d).select("id", "title", "uploaded_file_id").join(u.select(F.col("id").alias("uploaded_file_id"), "original_filename", "content_type", "byte_size"), "uploaded_file_id")
+    j = fx.jobs(spark, d)
+    newest = jobs.active(j).select(F.col("parent_id").alias("parsed_document_id"), F.struct("id", "declared_count").alias("embedding_job"))
+    stages = fx.parsed_documents(spark, d).select(F.col("id").alias("parsed_document_id"), F.col("parse_job_id").alias("parse_job")).withColumn("chunk_job", F.lit(JOB)).join(newest, "parsed_document_id", "left")
+    r = verify.report(p, verify.checks(p, F.lit(64)), docs, stages)
+    v = F.col("verification")
+    return r.select(
+        "parsed_document_id", "document.title", "document.original_filename", "document.byte_size", "pipeline.parse_job", "pipeline.chunk_job", F.col("pipeline.embedding_job.id").alias("embedding_job"),
+        v["passed"].alias("passed"), v["total_checks"].alias("total_checks"), v["passed_checks"].alias("passed_checks"), F.array_join(F.transform(v["checks"], lambda x: F.concat(x["check"], F.lit("="), x["passed"].cast("string"))), ";").alias("checks"),
+        F.size("pairs").cast("int").alias("n_pairs"), F.array_join(F.transform(F.slice("pairs", 1, 5), lambda x: x["sequence_index"].cast("string")), ",").alias("first_places"), "stats.chunk_tokens", "stats.embedding_tokens")
+
+
+@query
+def search_response(spark: SparkSession, d: str) -> DataFrame:
+    r = search.response(hits(spark, d), fx.embeddings(spark, d), "What is said?", query_vector(spark, d), "model-a", 20)
+    preview = F.array_join(F.transform("query_embedding_preview", lambda x: F.format_string("%.5f", x)), ",")
+    ranks = F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["chunk_id"].cast("string"))), ",")
+    return r.select("query", preview.alias("preview"), "embedding_model", "embedding_dimensions", "top_k", "total_searched", "searched_document_count", ranks.alias("results"))
+
+
+@query
+def chunks_page_total(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.chunks(spark, d).where("parsed_document_id = 4")
+    return catalog.paged(c, ["sequence_index"], 2, 1).select("id", "sequence_index", "total")
+
+
+@query
+def chunk_read_rows(spark: SparkSession, d: str) -> DataFrame:
+    stored = chunk.hybrid_storage(fx.chunks(spark, d), INLINE_LIMIT, F.lit(JOB))
+    r = catalog.chunk_read(stored)
+    return r.select("id", "text_source", F.length("text").cast("int").alias("n_chars"), F.lit(any(c.endswith("storage_key") for c in r.columns)).alias("shows_keys"))
+
+
+@query
+def document_read_rows(spark: SparkSession, d: str) -> DataFrame:
+    r = catalog.document_read(fx.parsed_documents(spark, d), fx.uploads(spark, d))
+    return r.select("id", "title", "uploaded_file.original_filename", "uploaded_file.byte_size", "uploaded_file.status", F.lit("text" in r.columns).alias("shows_text"))
+
+
+@query
+def embedding_read_rows(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.embedding_read(embed.dual(fx.embeddings(spark, d)))
+
+
+@query
+def embed_dual(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as JSON and read again are the vectors."""
+    e = embed.dual(fx.embeddings(spark, d)).withColumn("again", vectors.from_json(F.col("embedding_json")))
+    return e.select("id", F.size("embedding").cast("int").alias("dims"), (F.col("again") == F.col("embedding")).alias("same"))
+
+
+@query
+def reembed_supersedes(spark: SparkSession, d: str) -> DataFrame:
+    """Two embedding jobs for all chunks: the second supersedes the first, except where it left vectors out."""
+    c = fx.chunks(spark, d)
+    counts = c.groupBy(F.col("parsed_document_id").alias("parent_id")).agg(F.count("*").alias("n"))
+    vectors_ = flow.reembedded(c, embed.HashEmbedder(8), "hash-8", F.lit("e1"))
+    partial = vectors_.withColumn("embedding", F.when((F.col("parsed_document_id") % 7 != 0) | (F.col("sequence_index") > 0), F.col("embedding")))
+    first = flow.embedding_jobs(counts, vectors_, F.lit("e1"), F.lit("2024-01-01").cast("timestamp"))
+    second = flow.embedding_jobs(counts, partial, F.lit("e2"), F.lit("2024-01-02").cast("timestamp"))
+    return flow.with_new_jobs(first, second).select("id", "parent_id", "status", "error_code", "declared_count")
+
+
+@query
+def chunk_jobs_with_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunking job (even ids) with the newest succeeded embedding job (odd ids) that names it."""
+    j = fx.jobs(spark, d)
+    children = j.where("id % 2 = 1").withColumn("chunk_job_id", F.floor(F.col("id") / 6) * 2)
+    return jobs.latest_of(j.where("id % 2 = 0").select("id", "status"), children, "chunk_job_id").select("id", "status", "child_id")
+
+
+@query
+def job_self_distance(spark: SparkSession, d: str) -> DataFrame:
+    """For each model's vectors, the nearest three to the first of them."""
+    e = fx.embeddings(spark, d)
+    first = e.groupBy("model").agg(F.min_by("embedding", "id").alias("sample"))  # a row for each job
+    scored = e.join(F.broadcast(first), "model").withColumn("score", vectors.cosine_distance(F.col("embedding"), F.col("sample")))
+    rank = F.row_number().over(Window.partitionBy("model").orderBy("score", "id"))
+    return scored.select("model", rank.alias("rank"), "id", F.round("score", 6).alias("score")).where("rank <= 3")
+
+
+@query
+def answer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Answers and their fixed texts where there is nothing to ground them on."""
+    m = fx.table(spark, d, "conversations")
+    n, model = F.col("turn") % 4, F.when(F.col("conv_id") % 3 > 0, "m-1")
+    state = chat.answer_state(F.col("conv_id") % 5, n, model, F.col("text"), F.when(F.col("conv_id") % 7 == 0, "down"))
+    s = m.select("conv_id", "turn", state.alias("a"))
+    return s.select("conv_id", "turn", "a.status", F.sha2(F.coalesce("a.text", F.lit("")), 256).alias("sha256"), "a.model", "a.error")
+
+
+@query
+def chat_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A model over all conversations at once: it answers with the first source of its context."""
+    m = fx.table(spark, d, "conversations").where("role = 'user'")
+    content = F.concat(F.lit("Context:\n["), F.col("turn").cast("string"), F.lit("] "), F.col("conv_id").cast("string"))
+    prompts = m.select("conv_id", "turn", F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"))
+    return chat.generated(prompts, chat.FirstSource()).select("conv_id", "turn", "answer", "error")
+
+
+@query
+def request_faults(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.table(spark, d, "conversations")
+    return m.select("conv_id", "turn", chat.request_fault(F.when(F.col("turn") % 6 != 5, F.col("text")), F.col("conv_id") % 60, F.col("turn") - 1).alias("fault"))
+
+
+@query
+def missing_models(spark: SparkSession, d: str) -> DataFrame:
+    """Gates with the models that aren't there."""
+    e = spark.range(32)
+    have = F.filter(F.array(F.when(F.col("id") % 2 == 0, "layout"), F.when(F.col("id") % 4 < 2, "tables"), F.when(F.col("id") % 8 < 4, "extra")), lambda x: x.isNotNull())
+    gone = chat.missing_models(F.array(F.lit("tables"), F.lit("layout")), have)
+    status = F.when(F.col("id") >= 24, "loading").when(F.size(gone) > 0, "unavailable").otherwise("ready")
+    return e.select("id", F.array_join(gone, ",").alias("missing"), chat.gate_message(status, gone).alias("message"))
+
+
+@query
+def error_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "events")
+    kind, status = fx.pick(["status", "timeout", "connection"], F.col("event_id")), (F.col("event_id") % 200 + 400).cast("int")
+    return e.select("event_id", chat.error_row(kind, status, F.when(F.col("event_id") % 4 > 0, F.col("event_type"))).alias("e")).select("event_id", "e.*")
+
+
+@query
+def label_rows(spark: SparkSession, d: str) -> DataFrame:
+    j = fx.jobs(spark, d).select(F.col("status").alias("name"), labels.label(F.col("status"), labels.STATUS).alias("label"), labels.status_colour(F.col("status")).alias("colour"))
+    c = spark.createDataFrame([(x,) for x in (*verify.CHECKS, "other")], "name string").select("name", labels.label(F.col("name"), labels.CHECK).alias("label"), F.lit("check").alias("colour"))
+    r = fx.table(spark, d, "conversations").select(F.col("role").alias("name"), labels.label(F.col("role"), labels.ROLE).alias("label"), F.lit("role").alias("colour"))
+    s = spark.createDataFrame([(x,) for x in ("inline", "file", "unavailable")], "name string").select("name", labels.label(F.col("name"), labels.SOURCE, labels.SOURCE_UNKNOWN).alias("label"), F.lit("source").alias("colour"))
+    return j.unionByName(c).unionByName(r).unionByName(s).groupBy("name", "label", "colour").agg(F.count("*").alias("n"))
+
+
+@query
+def config_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """What jobs keep of settings that were read from texts; no snapshot holds a key."""
+    given = {"CHUNK_MAX_TOKENS": " 256", "chunk_merge_peers": "off", "EMBEDDING_API_KEY": "hidden", "embedding_batch_size": "7", "chat_model": "m-1", "chat_temperature": "0.5", "debug": "production", "unknown": "x"}
+    s = Settings.read(given)
+    kinds = {"chunk": s.chunk_snapshot(), "embedding": s.embedding_snapshot(), "chat": s.chat_snapshot(), "log": {"format": s.effective_log_format}}
+    return spark.createDataFrame([(k, n, str(v)) for k, snapshot in kinds.items() for n, v in snapshot.items()], "kind string, name string, value string")
+
+
+@query
+def uploads_written(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads appended in two commits, a folder for each status, and read back."""
+    path, u = shared_folder(spark, "uploads"), fx.uploads(spark, d)
+    sinks.append(u.where("id % 2 = 0"), path, ["status"])
+    sinks.append(u.where("id % 2 = 1"), path, ["status"])
+    return spark.read.schema(u.schema).parquet(path).select("id", "status", "original_filename", "byte_size", "checksum_sha256")
+
+
+@query
+def parsed_written(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their segments written as two tables that an id ties, and joined again."""
+    texts = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    p = ingest.parsed(fx.uploads(spark, d), texts).withColumn("uploaded_file_id", F.col("id")).withColumn("parse_job_id", F.lit("j"))
+    path = shared_folder(spark, "parsed")
+    for name, rows in zip(("documents", "segments"), sinks.documents_and_segments(p)):
+        sinks.replace(rows, f"{path}/{name}")
+    documents, segments = (spark.read.parquet(f"{path}/{n}") for n in ("documents", "segments"))
+    both = documents.select("document_id", "uploaded_file_id").join(segments, F.col("document_id") == F.col("parsed_document_id"))
+    return both.select("uploaded_file_id", "sequence_index", "segment_type", "page_no", F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def files_written(spark: SparkSession, d: str) -> DataFrame:
+    """Artefacts of documents written as files below one folder, scanned as binary files and read as texts under their storage keys."""
+    texts = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    path = shared_folder(spark, "files")
+    sinks.write_files(texts.select(keys.parsed_key(F.lit("u"), F.col("id"), F.lit("j"), "content.txt").alias("storage_key"), F.col("text").alias("content")), path)
+    scanned = binary(spark, path, 20_000).select(F.regexp_extract("path", "(parsed/.*)$", 1).alias("storage_key"), "byte_size", "too_large", "checksum_sha256")
+    return scanned.join(file_texts(spark, path).withColumnRenamed("content", "t"), "storage_key").select("storage_key", "byte_size", "too_large", "checksum_sha256", F.length("t").alias("n_chars"))
+
+
+@query
+def active_users(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as users: who may act."""
+    c = fx.table(spark, d, "customer")
+    gone = F.when(F.col("c_custkey") % 5 == 0, F.lit("2024-01-01").cast("timestamp"))
+    u = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("display_name"), F.when(F.col("c_custkey") % 3 == 0, "disabled").otherwise("active").alias("status"), gone.alias("deleted_at"))
+    return schema.acting(u).select("id", "display_name")
+
+
+@query
+def default_user(spark: SparkSession, d: str) -> DataFrame:
+    u = schema.seed_user(spark, F.lit("2024-01-01").cast("timestamp"))
+    return schema.current_user(u).select("id", "display_name", "status", t.utc_iso(F.col("created_at")).alias("created"))
+
+
+@query
+def schema_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """What tables of the engine lack and have beyond their schema; an upgrade leaves no gap."""
+    u, s = fx.uploads(spark, d), fx.segments(spark, d)
+    again = schema.gaps(schema.upgraded(s, "document_segments", spark), "document_segments", spark)
+    rows = schema.gaps(u, "uploaded_files", spark).unionByName(schema.gaps(s, "document_segments", spark)).unionByName(again.withColumn("gap", F.lit("left")))
+    return rows.select("table", "column", "gap")
+
+
+@query
+def conversation_edits(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation added to each state, two bubbles in it, one answered, another state's cleared."""
+    ids = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    s = convo.load_state(ids.withColumn("value", F.lit('{"conversations":[{"id":"o","title":"old","messages":[],"bubbles":[{"id":"z"}]}]}')))
+    s = convo.bubble_added(convo.bubble_added(convo.added(s, "n", "new", "t"), "n", "x", "why?", 5), "n", "y", "how?", 3)
+    s = convo.bubbles_cleared(convo.bubble_answered(s, "n", "x", "because", None), "o")
+    s = convo.activated(s, "o")
+    talk = lambda c: F.concat(c["id"], F.lit("/"), c["title"], F.lit("/"), F.array_join(F.transform(c["bubbles"], lambda b: F.concat(b["id"], F.lit("="), F.coalesce(b["response"], F.lit("?")))), ","))
+    return s.select("id", F.array_join(F.transform("state.conversations", talk), ";").alias("talks"), F.col("state.activeConversationId").alias("active"))
+
+
 def shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_on_workers(spark)
@@ -674,5 +951,5 @@ def shipped(f: Query) -> Query:
     return run
 
 
-for name in ("embed_hash_udf", "reembed_all", "search_topk_many"):
+for name in ("embed_hash_udf", "reembed_all", "reembed_supersedes", "search_topk_many", "parse_office", "chat_batch", "files_written"):
     QUERIES[name] = shipped(QUERIES[name])

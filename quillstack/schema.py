@@ -45,7 +45,12 @@ def seed_user(spark: SparkSession, as_of: Column) -> DataFrame:
 
 
 def current_user(users: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
-    return users.where((F.col("id") == user) & (F.col("status") == "active") & F.col("deleted_at").isNull())
+    return acting(users.where(F.col("id") == user))
+
+
+def acting(users: DataFrame) -> DataFrame:
+    """Users who may act: active and not deleted."""
+    return users.where((F.col("status") == "active") & F.col("deleted_at").isNull())
 
 
 def uuid7(ts: Column, seed: Column) -> Column:
@@ -54,3 +59,24 @@ def uuid7(ts: Column, seed: Column) -> Column:
     h = F.sha2(seed.cast("string"), 256)
     variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (F.conv(F.substring(h, 4, 1), 16, 10).cast("int") % 4) + 1)
     return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(h, 1, 3), F.lit("-"), variant, F.substring(h, 5, 3), F.lit("-"), F.substring(h, 8, 12))
+
+
+def gaps(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
+    """The columns that ``df`` lacks of a table, and those it has beyond it, a row each."""
+    want, have = empty(spark, name).dtypes, {c.lower() for c in df.columns}
+    rows = [(name, c, kind, "missing") for c, kind in want if c.lower() not in have]
+    rows += [(name, c, kind, "extra") for c, kind in df.dtypes if c.lower() not in {w for w, _ in want}]
+    return spark.createDataFrame(rows, "table string, column string, type string, gap string")
+
+
+def upgraded(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
+    """``df`` with every column of a table, new ones null, in the table's order and types; extra columns come last."""
+    want = empty(spark, name).schema.fields
+    have = {c.lower() for c in df.columns}
+    rest = [c for c in df.columns if c.lower() not in {f.name for f in want}]
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want], *rest)
+
+
+def downgraded(df: DataFrame, added: list[str]) -> DataFrame:
+    """``df`` without the columns that an upgrade added."""
+    return df.drop(*added)

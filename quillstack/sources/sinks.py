@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +42,28 @@ def offloaded(stored: DataFrame, whole: DataFrame) -> DataFrame:
     pair = lambda n: F.struct(F.col(f"{n}_storage_key").alias("storage_key"), F.col(n).alias("content"))
     rows = both.select(F.explode(F.array(pair("text"), pair("contextualized_text"))).alias("f")).select("f.*")
     return rows.where(F.col("storage_key").isNotNull())
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Writes ``rows`` (storage_key, content) as one file each below ``root``, a URI; keys that would leave it are refused.
+
+    Tasks write under names of their own and rename, so a retried task or a second attempt leaves whole files only."""
+    from quillstack.functions.text import safe_path
+
+    bad = rows.where(~safe_path(F.col("storage_key"))).limit(1).count()
+    if bad:
+        raise ValueError("a storage key would leave its root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(root)
+        for b in batches:
+            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                path = f"{top}/{key}"
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content if isinstance(content, bytes) else (content or "").encode())
+                fs.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows.select("storage_key", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -87,7 +87,12 @@ def test_verification(spark):
     unread = verify.checks(p, F.lit(2), F.lit(False)).where("parsed_document_id = 1 AND check = 'chunk_text_availability'").first()
     assert unread.offenders == [2]
     rep = {r.parsed_document_id: r for r in verify.report(p, verify.checks(p, F.lit(2))).collect()}
-    assert rep[1].n_passed == 1 and rep[1].total_pairs == 3 and rep[1].chunk_tokens == 5 and len(rep[1].checks) == 7
+    assert rep[1].verification.passed_checks == 1 and rep[1].stats.total_pairs == 3 and rep[1].stats.chunk_tokens == 5
+    assert [x.check for x in rep[1].verification.checks] == list(verify.CHECKS) and [x.sequence_index for x in rep[1].pairs] == [0, 2, 4]
+    there = verify.with_files(p, spark.createDataFrame([("other",)], "storage_key string"))
+    assert verify.checks(there, F.lit(2)).where("parsed_document_id = 1 AND check = 'chunk_text_availability'").first().offenders == [2]
+    there = verify.with_files(p, spark.createDataFrame([("k",), ("k",)], "storage_key string"))
+    assert there.count() == p.count() and verify.checks(there, F.lit(2)).where("parsed_document_id = 1 AND check = 'chunk_text_availability'").first().passed
 
 
 def test_supersede_twice_is_once(spark):
