@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from functools import cache
 
 import numpy as np
 import regex
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 
 @cache
@@ -15,9 +18,25 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, path: str) -> None:
+    """Sends a vocabulary file to the executors, once for each application; there ``local`` finds it."""
+    name = (spark.sparkContext.applicationId, path)
+    if name not in _sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _sent.add(name)
+
+
+def local(path: str) -> str:
+    """Where a worker can open the file: the path itself, or what was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file, by id."""
-    with open(path, "rb") as f:
+    with open(local(path), "rb") as f:
         pairs = [line.split() for line in f if line.strip()]
     out = [b""] * (max(int(r) for _, r in pairs) + 1)
     for token, rank in pairs:
@@ -34,7 +53,7 @@ def _byte_letters() -> dict[str, int]:
 
 def read_json(path: str) -> tuple[list[tuple[bytes, bytes]], set[bytes], list[str]]:
     """Merges in order, the vocabulary, and the special strings of a json vocabulary."""
-    with open(path, encoding="utf-8") as f:
+    with open(local(path), encoding="utf-8") as f:
         whole = json.load(f)
     letters = _byte_letters()
     raw = lambda s: bytes(letters[c] for c in s)

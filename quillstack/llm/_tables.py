@@ -44,10 +44,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes all that this application has written here; to be called once results are stored elsewhere."""
-    _delete(spark, _top(spark))
+    delete(spark, _top(spark))
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def delete(spark: SparkSession, name: str) -> None:
+    """Deletes a folder that ``new_path`` named."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -63,7 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written``."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        delete(df.sparkSession, folder)
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm._pieces import IntTable, read_ranks, splitter
+from quillstack.llm._pieces import IntTable, read_ranks, ship, splitter
 from quillstack.llm._tables import fresh
 
 LONG, CACHE, ROWS = 256, 200_000, 1 << 14
@@ -172,6 +172,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     docs_kept = fresh(docs, *[f.name for f in made])
     kept = [c for c in docs_kept.columns if keep is None or c in keep]
     schema = T.StructType([*docs_kept.select(*kept).schema.fields, *made])
+    ship(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -194,6 +195,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     encoded = fresh(encoded, "decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
     at = encoded.columns.index("ids")
+    ship(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)

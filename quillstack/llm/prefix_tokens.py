@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm._pieces import IntTable, read_json, splitter
+from quillstack.llm._pieces import IntTable, read_json, ship, splitter
 from quillstack.llm._tables import fresh
 from quillstack.llm._text import mix
 
@@ -37,6 +37,13 @@ _CUT = ("'re", "'ve", "'ll")  # contractions whose middle prefix is two pieces
 _RUN = regex.compile(r"\s{2,}(?=\S)")
 
 
+def _byte_steps(steps: np.ndarray) -> bytes:
+    """Differences as bytes. A step is below the length of the longest token, which must be under 128 bytes more than it saves."""
+    if len(steps) and (steps.max() > 127 or steps.min() < -128):
+        raise ValueError("the vocabulary's tokens are too long for prefix differences of one byte")
+    return steps.astype(np.int8).tobytes()
+
+
 class Counter:
     """Prefix counts under one vocabulary; made once in each Python worker."""
 
@@ -156,15 +163,15 @@ class Counter:
         raw = sorted(((p.encode(), p) for p in pieces), key=lambda x: -len(x[0]))
         short = next((i for i, x in enumerate(raw) if len(x[0]) <= SHORT), len(raw))
         for b, p in raw[:short]:
-            self.cache[p] = np.diff(self.single(b)).astype(np.int8).tobytes()
+            self.cache[p] = _byte_steps(np.diff(self.single(b)))
         for at in range(short, len(raw), 1 << 15):
             some = raw[at : at + (1 << 15)]
-            steps = np.diff(self.rows([b for b, _ in some]), axis=1).astype(np.int8)
+            steps = np.diff(self.rows([b for b, _ in some]), axis=1)
             for row, (b, p) in zip(steps, some):
-                self.cache[p] = row[: len(b)].tobytes()
+                self.cache[p] = _byte_steps(row[: len(b)])
         for p in set(pieces).intersection(_CUT):
             n = int(np.frombuffer(self.cache[p], np.int8).sum())
-            self.cache[p] = np.array([1, 1, n - 2], np.int8).tobytes()
+            self.cache[p] = _byte_steps(np.array([1, 1, n - 2]))
 
     def steps(self, texts: list[str]) -> Iterator[bytes]:
         """The differences between neighbouring prefix counts of each text, a byte for each of its bytes."""
@@ -219,11 +226,14 @@ class Counter:
         return int(np.flatnonzero(ok)[-1])
 
 
-def with_counts(docs: DataFrame, path: str, pattern: str, limit: int, text: str = "text", keep: list[str] | None = None, prefixes: bool = False) -> DataFrame:
+def with_counts(docs: DataFrame, path: str, pattern: str, limit: int, text: str = "text", keep: list[str] | None = None, prefixes: bool = False, steps: bool = False) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_bytes, n_tokens, over_limit, fit_bytes (the longest prefix within ``limit``
-    tokens) and, with ``prefixes``, prefix_counts array<int> (by bytes, from the empty prefix)."""
+    tokens) and, with ``prefixes``, prefix_counts array<int> (by bytes, from the empty prefix), or, with ``steps``, prefix_steps: their
+    differences, a signed byte for each byte of the text, whose running sums are the counts."""
     made = [T.StructField("n_bytes", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False), T.StructField("over_limit", T.BooleanType(), False), T.StructField("fit_bytes", T.LongType(), False)]
     made += [T.StructField("prefix_counts", T.ArrayType(T.IntegerType(), False), False)] * prefixes
+    made += [T.StructField("prefix_steps", T.BinaryType(), False)] * steps
+    ship(docs.sparkSession, path)
     docs_kept = fresh(docs, *[f.name for f in made])
     kept = [c for c in docs_kept.columns if keep is None or c in keep]
     schema = T.StructType([*docs_kept.select(*kept).schema.fields, *made])
@@ -235,21 +245,31 @@ def with_counts(docs: DataFrame, path: str, pattern: str, limit: int, text: str
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                size, count, fit, arrays = [], [], [], []
+                size, count, fit, arrays, bytes_ = [], [], [], [], []
                 for t, s in zip(texts, list(counter.steps(texts))):
                     size.append(len(s))
                     count.append(int(np.frombuffer(s, np.int8).sum(dtype=np.int64)))
                     fit.append(len(s) if count[-1] <= limit else counter.fitting(t, s, limit))
                     if prefixes:
                         arrays.append(counter.prefix_counts(t, s))
+                    if steps:
+                        # running sums are exact but at the end of a run of white space
+                        bytes_.append(_byte_steps(np.diff(counter.prefix_counts(t, s))) if _RUN.search(t) else s)
                 out = [pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array([c > limit for c in count], pa.bool_()), pa.array(fit, pa.int64())]
                 if prefixes:
                     out.append(pa.array(arrays, pa.list_(pa.int32())))
+                if steps:
+                    out.append(pa.array(bytes_, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=schema.names)
 
     return docs_kept.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
 
 
+def counts_of(steps: bytes) -> np.ndarray:
+    """Token counts at every byte prefix, from stored differences."""
+    return np.r_[0, np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)]
+
+
 def longest_within(counted: DataFrame, limit: int) -> DataFrame:
     """Adds ``fit_bytes`` for another limit from stored ``prefix_counts``, without encoding."""
     fits = F.filter(F.transform("prefix_counts", lambda n, i: F.when(n <= limit, i)), lambda i: i.isNotNull())

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillstack.llm._tables import filesystem, fresh, new_path, written
+from quillstack.llm._tables import delete, drop_written, filesystem, fresh, new_path, written
 from quillstack.llm._text import Words, blocks, code_points, hash_longs, mix, utf8
 
 ORDER, BITS = 5, 12
@@ -222,13 +222,18 @@ def _discounts(level: DataFrame) -> DataFrame:
     return level.groupBy("lang").agg(*times).select("lang", of(1, 0.5).alias("d1"), of(2, 1.0).alias("d2"), of(3, 1.5).alias("d3"))
 
 
-def probabilities(table: DataFrame) -> DataFrame:
-    """(lang, gram, p) for every row of the written ``table`` (lang, gram, n): interpolated modified Kneser-Ney, where rows with
-    n = 0 were not counted and take what the orders below give them."""
-    levels = [table]
+def _levels(top: DataFrame) -> list[DataFrame]:
+    """Continuation counts of every order from 1 up, below the written counts ``top`` (lang, gram, n) of the highest."""
+    levels = [top]
     for order in range(ORDER - 1, 0, -1):
         rest = F.col("gram").bitwiseAND((1 << BITS * order) - 1).alias("gram")
         levels.insert(0, written(levels[0].groupBy("lang", rest).agg(F.count_if(F.col("n") > 0).alias("n")), f"order{order}"))
+    return levels
+
+
+def probabilities(levels: list[DataFrame]) -> DataFrame:
+    """(lang, gram, p) for every row of the highest of ``levels``: interpolated modified Kneser-Ney, where rows with
+    n = 0 were not counted and take what the orders below give them."""
     below: DataFrame | None = None
     for order, level in enumerate(levels, 1):
         taken = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -338,8 +343,14 @@ def with_scores(docs: DataFrame, lang: str = "lang", text: str = "text", keep: l
     else:
         other = known(counted(_in_chunks(corpus.select(*mine(corpus)))))
         table = other.unionByName(counts.select("lang", "gram", F.lit(0).alias("n"))).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    model = probabilities(written(table, f"order{ORDER}"))
-    return written(scored(chunks, model_arrays(counts, model)), "scores")
+    top = written(table, f"order{ORDER}")
+    levels = _levels(top)
+    path = model_arrays(counts, probabilities(levels))
+    for done in (counts, *levels):
+        drop_written(done)
+    out = written(scored(chunks, path), "scores")
+    delete(docs.sparkSession, path)
+    return out
 
 
 def _failed() -> Column:

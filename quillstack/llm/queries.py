@@ -59,7 +59,7 @@ def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return prefix_tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT, keep=["doc_id"])
+    return prefix_tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT, keep=["doc_id"], steps=True)
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstack.llm._tables import written
+from quillstack.llm._tables import drop_written, written
 
 SHARDS, PER_SHARD = 8, 256
 RANGE_BYTES, MOST, DRAWS = 1 << 28, 1 << 15, 16
@@ -71,7 +71,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("")).alias("group"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = written(rows, "sizes")
+    rows = sizes = written(rows, "sizes")
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -85,6 +85,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     # one literal, made an array when the query is planned
     bounds = F.split(F.lit(",".join(splitters(rows, total, n))), ",")
     rows = written(rows.withColumn("range", _range_of(F.col("key"), bounds, n.bit_length() - 1)), "ranged")
+    drop_written(sizes)
 
     # subdivide overfull ranges; one row for each range
     sums = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))

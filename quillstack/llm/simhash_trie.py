@@ -10,7 +10,9 @@ is allowed at its depth. The fingerprints are read in ``ORDERS`` rotations: of 4
 of the word holds at most one, so within the leading third one error is allowed and 4 in all. Every link is
 found in at least one rotation. Cells are the nodes at the first ``depth`` levels: a task holds one node's
 fingerprints and those of nodes whose prefix has one bit cleared, and returns a spanning forest of the links
-rather than the pairs. Depth follows the number of distinct fingerprints and the most crowded node, so a cell holds some thousand.
+rather than the pairs. Depth follows the number of distinct fingerprints and the most crowded node, so a cell holds some thousand. A cell that stays over
+``LIMIT`` although the prefix is as deep as it goes is divided by the bits behind it: cut into one piece more than bits may differ, one piece is equal
+in any two linked fingerprints, so they meet in the group of that piece; groups that are still too large are divided again.
 
 Components: alternating large-star and small-star steps over the forests' edges, all in Spark.
 
@@ -41,6 +43,8 @@ LEADING = 21  # bits of a rotation within which MAX_DIFF // ORDERS errors are al
 CELL, CROWDED = 1024, 16  # fingerprints aimed at in a cell; how many times that call for more levels
 BLOCK = 1 << 18  # bytes of text hashed together
 LEAF = 64  # pairs compared directly below a node pair
+PAIRS = 1 << 20  # pairs compared at once
+LIMIT = 1 << 16  # fingerprints of a cell that one task compares; more are divided
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,7 +118,7 @@ def _pairs(own: np.ndarray, depth: int, max_diff: int, lead_diff: int, leading:
     ones = {}
     while stack:
         d, l1, h1, l2, h2, diff = stack.pop()
-        if len(l1) > 1 << 18:
+        if len(l1) > 1 and (len(l1) > 1 << 18 or np.minimum((h1 - l1) * (h2 - l2), LEAF).sum() > PAIRS):
             half = len(l1) // 2
             stack += [(d, *(x[half:] for x in (l1, h1, l2, h2, diff))), (d, *(x[:half] for x in (l1, h1, l2, h2, diff)))]
             continue
@@ -156,7 +160,7 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
                 break
             i, j, a, b = i[open_], j[open_], a[open_], b[open_]
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (nxt := label[label]).tolist() != label.tolist():
+            while not np.array_equal(nxt := label[label], label):
                 label = nxt
     return label
 
@@ -181,6 +185,31 @@ def _depth(each: DataFrame, n: int, cell: int) -> int:
     return depth
 
 
+def _divided(cells: DataFrame, each: DataFrame, n: int, depth: int, pieces: int) -> DataFrame:
+    """``cells`` (turn, cell, key) with ``part``: 0, or a group within a cell of more than ``LIMIT`` fingerprints."""
+    cells = cells.withColumn("part", F.lit(0).cast("long"))
+    if n <= LIMIT:
+        return cells
+    most = each.groupBy("turn", F.shiftrightunsigned("key", 64 - depth)).count().agg(F.max("count")).first()[0] or 0
+    if most * (depth + 1) <= LIMIT:  # a cell holds its own node and ``depth`` others at most
+        return cells
+    width = 64 - depth
+    cells = cells.withColumn("rest", F.col("key").bitwiseAND((1 << width) - 1))
+    place = ["turn", "cell", "part"]
+    while (w := width // pieces) >= 1:
+        large = written(cells.groupBy(*place).count().where(F.col("count") > LIMIT).select(*place), "large")
+        if large.isEmpty():
+            break
+        piece = lambda i: F.shiftright("rest", i * w).bitwiseAND((1 << w) - 1)
+        left = lambda i: F.shiftleft(F.shiftright("rest", (i + 1) * w), i * w).bitwiseOR(F.col("rest").bitwiseAND((1 << i * w) - 1))
+        groups = F.explode(F.array(*[F.struct(F.xxhash64("part", F.lit(i), piece(i)).alias("part"), left(i).alias("rest")) for i in range(pieces)])).alias("g")
+        crowded = cells.join(large, place, "left_semi").select("turn", "cell", "key", groups).select("turn", "cell", "key", "g.part", "g.rest")
+        calm = cells.join(large, place, "left_anti")
+        cells = written(calm.select("turn", "cell", "key", "part", "rest").unionByName(crowded), "cells")
+        width -= w
+    return cells.drop("rest")
+
+
 def links(prints: DataFrame, n: int, max_diff: int = MAX_DIFF, cell: int = CELL) -> DataFrame:
     """Edges (a, b) of a spanning forest of all links between distinct fingerprints ``prints.fp``; ``n`` is their number."""
     lead_diff = max_diff // ORDERS
@@ -194,6 +223,8 @@ def links(prints: DataFrame, n: int, max_diff: int = MAX_DIFF, cell: int = CELL)
     cells = F.array(F.col("home"), *[F.when(F.col("home").bitwiseAND(b) == 0, F.col("home").bitwiseOR(b)) for b in bits])
     spread = each.withColumn("home", home).withColumn("cell", F.explode(F.filter(cells, lambda c: c.isNotNull()))).select("turn", "cell", "key")
 
+    spread = _divided(spread, each, n, depth, max_diff + 1)
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         own = table.column("key").to_numpy().view(np.uint64)
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -202,7 +233,7 @@ def links(prints: DataFrame, n: int, max_diff: int = MAX_DIFF, cell: int = CELL)
             a, b = _cell_links(own, depth, key[0].as_py(), max_diff, LEADING, lead_diff)
         return pa.table({"a": a, "b": b})
 
-    return spread.groupBy("turn", "cell").applyInArrow(run, "a long, b long").distinct()
+    return spread.groupBy("turn", "cell", "part").applyInArrow(run, "a long, b long").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -239,6 +270,8 @@ def with_component(prints: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
     # only fingerprints with a partner need the component's smallest id
     ids = written(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "ids")
     named = written(joined.join(ids, "root").select("fp", "component_id"), "named")
+    for done in (groups, roots, joined, ids):
+        drop_written(done)
     return fresh(prints, "component_id").join(named, "fp", "left")
 
 

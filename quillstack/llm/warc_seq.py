@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from quillstack.llm._tables import filesystem, new_path, written
 
 MIN_REVISIT = 0
+SALTS = 16
 ARCHIVE = 64 << 20  # bytes of an archive, compressed, after which a new one begins
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,7 +124,10 @@ def with_targets(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     # only payloads that repeat are kept, and no payload moves to find them
     again = base.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     again = written(again.select("digest", "last"), "repeated")
-    out = base.join(again, "digest", "left")
+    # where it is too large to be sent to all, payloads move: those of one digest, say of empty pages, in SALTS parts
+    base = base.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    again = again.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    out = base.join(again, ["digest", "__salt"], "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return out.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
 

@@ -1,4 +1,6 @@
+import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -56,6 +58,24 @@ def test_stored_prefixes_answer_other_limits(spark):
     assert got == {1: len("one two three"), 2: 0}
 
 
+def test_stored_steps_are_the_counts_at_every_prefix(spark):
+    texts = ["one  two", f"a{SPECIAL}b   c", "a   b \n\n  c　  d", "", None, "é" * 40 + "  x", "don't  we're"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in p.with_counts(docs, PATH, P.PATTERN, 1024, steps=True).collect():
+        counts = p.counts_of(r.prefix_steps)
+        text = r.text or ""
+        inside = {k + j for k in range(len(text)) if text.startswith(SPECIAL, k) for j in range(1, len(SPECIAL))}
+        assert len(counts) == r.n_bytes + 1 and counts[-1] == r.n_tokens
+        for i in set(range(len(text) + 1)) - inside:
+            assert counts[len(text[:i].encode())] == size(text[:i]), text[:i]
+
+
+def test_steps_that_need_more_than_a_byte_are_refused():
+    assert p._byte_steps(np.array([127, -128, 0])) == b"\x7f\x80\x00" and p._byte_steps(np.zeros(0, np.int64)) == b""
+    with pytest.raises(ValueError):
+        p._byte_steps(np.array([128]))
+
+
 def test_odd_rows_and_cache(spark, odd_docs, monkeypatch):
     for r in p.with_counts(odd_docs, PATH, P.PATTERN, 1024).collect():
         assert r.n_tokens == size(r.text or "") and r.n_bytes == len((r.text or "").encode())

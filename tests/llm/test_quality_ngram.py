@@ -109,7 +109,7 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     some.append((some[0][0], int("".join(f"{ord(c):012b}" for c in "qxqx"), 2)))  # a context never seen falls back to shorter ones
     all_ = spark.createDataFrame(some, "lang long, context long").selectExpr("lang", f"context * {q.SYMBOLS} AS first").crossJoin(spark.range(q.SYMBOLS))
     table = table.unionByName(all_.selectExpr("lang", "first + id AS gram", "0L AS n")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    p = q.probabilities(q.written(table, "test"))
+    p = q.probabilities(q._levels(q.written(table, "test")))
     sums = p.join(all_.selectExpr("lang", "first + id AS gram").distinct(), ["lang", "gram"]).groupBy("lang", F.shiftright("gram", q.BITS)).agg(F.sum("p").alias("p")).collect()
     assert len(sums) == 6 and all(r.p == pytest.approx(1, rel=1e-9) for r in sums)
 

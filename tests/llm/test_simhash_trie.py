@@ -83,6 +83,39 @@ def test_crowded_prefixes_are_divided(spark):
     assert s._depth(df.limit(0), 0, 4) == 4
 
 
+def test_cells_beyond_the_deepest_prefix_are_divided(spark, monkeypatch):
+    """Most fingerprints share 40 bits; with a small limit their cells are divided several times, and no link is lost."""
+    r = random.Random(12)
+    prints = {(0xABCDE12345 << 24) | r.getrandbits(24) for _ in range(600)} | {r.getrandbits(64) for _ in range(100)}
+    prints |= {x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in list(prints)[:60]}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = s.written(spark.createDataFrame([(signed(x),) for x in prints], "fp long"), "test")
+    whole = s.links(df, len(prints)).collect()
+    monkeypatch.setattr(s, "LIMIT", 20)
+    monkeypatch.setattr(s, "CELL", 4)
+    divided = []
+    keep = s.written
+    monkeypatch.setattr(s, "written", lambda d, name: divided.append(name) or keep(d, name))
+    again = s.links(df, len(prints)).collect()
+    assert divided.count("cells") >= 2
+
+    def roots(edges):
+        root = {signed(x): signed(x) for x in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    assert roots(whole) == roots(again)
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 64 for a, b in again)
+
+
 def test_pairs_are_exactly_those_within_the_budget():
     r = np.random.default_rng(1)
     own = np.unique(np.concatenate([(np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)) ^ np.uint64(0xF0F0), r.integers(0, 1 << 63, 50, dtype=np.uint64)]))

@@ -53,3 +53,17 @@ def test_reader_takes_any_step_and_finds_damage():
     for bad in (member.replace(b"payload\r\n", b"Payload\r\n"), member[:-1], member.replace(b"WARC/1.1", b"XARC/1.1")):
         with pytest.raises(ValueError):
             w.parse(bad)
+
+
+def test_a_hot_payload_is_met_in_parts(spark):
+    """Without broadcasts, as for very many repeated payloads."""
+    rows = [(i, f"u{i}", "" if i % 3 else f"own {i // 6}") for i in range(300)] + [(None, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r.page_id is None, r.page_id, r.revisit, r.refers_to) for r in w.with_targets(pages).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = w.with_targets(pages)
+        assert sorted((r.page_id is None, r.page_id, r.revisit, r.refers_to) for r in got.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(x[2], x[3]) for x in want if x[1] is not None and x[1] % 3 and x[1] != 299} == {(True, 299)} and (True, None, True, 299) in want
