@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -19,6 +20,7 @@ def ensure_on_workers(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     with tempfile.TemporaryDirectory(prefix="quillstack-ship-") as own:
         shutil.copytree(root, f"{own}/src/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
-        keep = tempfile.mkdtemp(prefix="quillstack-zip-")  # read by executors until the application ends
+        keep = tempfile.mkdtemp(prefix="quillstack-zip-")  # on the driver; executors fetch it until the application ends
+        atexit.register(shutil.rmtree, keep, True)
         context.addPyFile(shutil.make_archive(f"{keep}/{root.name}", "zip", f"{own}/src"))
     _shipped.add(context.applicationId)
