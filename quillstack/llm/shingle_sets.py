@@ -5,9 +5,9 @@ words: the whole sequence). A text is known by a hash of its set; texts with the
 
 Candidates: MinHash, ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity 0.8 shares no key with a probability of
 (1 - 0.8 ** ROWS) ** BANDS, 3 in a million, and less above. Callers may add pairs of their own. Every candidate is checked on
-whole sets, so no pair below 0.8 is linked. Members of a key are checked against its smallest member first, in a join; only
-keys of three members or more that are then in several components are gathered, and there all pairs across components are checked. Known
-bound: such a key is one task, and its work grows with the square of its members.
+whole sets, so no pair below 0.8 is linked. Members of a key are checked against its smallest member first, in a join; only in
+keys of three members or more that are then in several components are all pairs across components checked. Such a key is dealt to blocks of
+some ``MEMBERS``, and a task compares two blocks, so none holds a whole key.
 
 Defined cases: texts without words, nulls among them, have the same empty set; they have no key and no pair.
 """
@@ -26,6 +26,7 @@ from quillstack.llm._text import Words, blocks, mix, utf8
 SHINGLE = 5
 ROWS, BANDS = 4, 24
 BLOCK = 1 << 18  # bytes of text taken together
+MEMBERS = 512  # of a key, compared with as many in a task
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -111,21 +112,24 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(similar(F.col("left"), F.col("right"))).select("a", "b")
 
 
-def _across(sets: list[np.ndarray], root: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the similar pairs between components, given each set's component."""
+def _across(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs between components, given each set's component; with ``side``, of pairs across the two sides."""
     sizes = np.array([len(x) for x in sets])
     _, which = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(sizes) - sizes
     root = np.unique(root, return_inverse=True)[1]
     mark = np.zeros(which.max() + 1, np.int64)
     for i in range(len(sets)):
-        if not (root != root[i]).any():
+        open_ = root != root[i]
+        if side is not None:
+            open_ &= side & ~side[i]  # from the first side to the second
+        if not open_.any():
             continue
         own = which[first[i] : first[i] + sizes[i]]
         mark[own] = 1
         both = np.add.reduceat(mark[which], first)
         mark[own] = 0
-        for j in np.flatnonzero((9 * both >= 4 * (sizes + sizes[i])) & (root != root[i])):
+        for j in np.flatnonzero((9 * both >= 4 * (sizes + sizes[i])) & open_):
             if root[i] != root[j]:
                 yield i, int(j)
                 root[root == root[j]] = root[i]
@@ -136,13 +140,19 @@ def between_components(members: DataFrame, roots: DataFrame, sets: DataFrame) ->
     rooted = members.join(roots, members["set"] == roots["node"], "left").select("band", "set", F.coalesce("root", "set").alias("root"))
     # a pair is checked already; of keys with the same members one is enough
     about = F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("who"), F.sum(F.col("set") % 1000003).alias("sum")
-    several = rooted.groupBy("band").agg(*about).where("low < high AND n > 2").groupBy("n", "who", "sum").agg(F.min("band").alias("band")).select("band")
-
-    def run(table: pa.Table) -> pa.Table:
+    several = rooted.groupBy("band").agg(*about).where("low < high AND n > 2").groupBy("n", "who", "sum").agg(F.min("band").alias("band")).select("band", "n")
+    # a member meets every block of its key
+    several = several.select("band", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
+    dealt = rooted.join(several, "band").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "set", "root", F.least("own", "met").alias("first"), F.greatest("own", "met").alias("second"), (F.col("own") > F.col("met")).alias("later"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         name = table.column("set").to_numpy()
-        found = list(_across([np.asarray(x.values) for x in table.column("hashes")], table.column("root").to_numpy()))
+        side = table.column("later").to_numpy(zero_copy_only=False) if key[1].as_py() != key[2].as_py() else None
+        found = list(_across([np.asarray(x.values) for x in table.column("hashes")], table.column("root").to_numpy(), side))
         pair = name[np.array(found, np.int64).reshape(-1, 2)]
         pa.default_memory_pool().release_unused()
         return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
 
-    return rooted.join(several, "band").join(sets, "set").groupBy("band").applyInArrow(run, "a long, b long").distinct()
+    return dealt.join(sets, "set").groupBy("band", "first", "second").applyInArrow(run, "a long, b long").distinct()

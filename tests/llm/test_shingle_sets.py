@@ -61,6 +61,28 @@ def test_stage_on_documents_against_brute_force(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == brute_kept(texts)
 
 
+def test_hot_keys_are_compared_block_by_block(spark, monkeypatch):
+    """Chains of copies in one key whose ends are not similar: blocks of two members find the same components as whole keys."""
+    base = np.arange(200)
+    sets = {100 * c + i: np.r_[c * 1000, base[7 * i : 7 * i + 100]] for c in range(3) for i in range(9)}
+    members = spark.createDataFrame([(k, 1) for k in sets], "set long, band long")
+    hashes = spark.createDataFrame([(k, v.tolist()) for k, v in sets.items()], "set long, hashes array<long>")
+    roots = spark.createDataFrame([], "node long, root long")
+
+    def components():
+        root = {k: k for k in sets}
+        for r in ss.between_components(members, roots, hashes).collect():
+            assert len(np.intersect1d(sets[r.a], sets[r.b])) >= 0.8 * len(np.union1d(sets[r.a], sets[r.b]))
+            low, high = sorted((root[r.a], root[r.b]))
+            root = {k: low if x == high else x for k, x in root.items()}
+        return root
+
+    whole = components()
+    assert len(set(whole.values())) < len(sets)
+    monkeypatch.setattr(ss, "MEMBERS", 2)
+    assert components() == whole
+
+
 def test_pairs_across_components_without_a_similar_leader():
     """A chain whose ends are not similar: the middle joins them, whichever is the leader."""
     sets = [np.arange(0, 100), np.arange(8, 108), np.arange(16, 116), np.arange(500, 600)]
