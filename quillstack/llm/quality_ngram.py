@@ -357,24 +357,26 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _median(rows: DataFrame, by: str, value: Column, name: str) -> DataFrame:
-    """(by, name, times): the smallest value, in steps, that at least half of the rows don't exceed, from exact counts."""
-    counts = rows.select(by, F.round(value / STEP).cast("long").alias("step")).groupBy(by, "step").agg(F.count("*").alias("n"))
+def _median(counts: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name, times) of ``counts`` (by, step, n): the smallest step that at least half of the rows don't exceed, and their number."""
     every = Window.partitionBy(by)
     counts = counts.withColumn("upto", F.sum("n").over(every.orderBy("step"))).withColumn("all", F.sum("n").over(every))
-    found = counts.where("2 * upto >= `all`").groupBy(by).agg(F.min("step").alias("step"), F.first("all").alias("times"))
-    return found.select(by, (F.col("step") * STEP).alias(name), "times")
+    return counts.where("2 * upto >= `all`").groupBy(by).agg(F.min("step").alias(name), F.first("all").alias("times"))
 
 
 def bands(scores: DataFrame, by: str = "__lang") -> DataFrame:
     """(by, mid, low_mad, high_mad, times) of the documents that pass the base rules; a row for each language. The deviations are
-    medians of the distances of those at or below ``mid`` and at or above it."""
-    good = scores.where(~_failed()).select(by, "log_perplexity")
-    mid = _median(good, by, F.col("log_perplexity"), "mid")
-    off = good.join(mid, by).withColumn("off", F.round(F.col("log_perplexity") / STEP) * STEP - F.col("mid"))
-    low = _median(off.where(F.col("off") <= STEP / 2), by, -F.col("off"), "low_mad").drop("times")
-    high = _median(off.where(F.col("off") >= -STEP / 2), by, F.col("off"), "high_mad").drop("times")
-    return mid.join(low, by).join(high, by)
+    medians of the distances of those at or below ``mid`` and at or above it.
+
+    Documents are counted by step first; a language's task holds its steps, however many documents they stand for."""
+    step = F.round(F.col("log_perplexity") / STEP).cast("long").alias("step")
+    counts = scores.where(~_failed()).groupBy(by, step).agg(F.count("*").alias("n"))
+    mid = _median(counts, by, "mid")
+    off = counts.join(mid.select(by, "mid"), by).select(by, (F.col("step") - F.col("mid")).alias("off"), "n")
+    low = _median(off.where("off <= 0").select(by, (-F.col("off")).alias("step"), "n"), by, "low_mad").drop("times")
+    high = _median(off.where("off >= 0").select(by, F.col("off").alias("step"), "n"), by, "high_mad").drop("times")
+    value = [(F.col(c) * STEP).alias(c) for c in ("mid", "low_mad", "high_mad")]
+    return mid.join(low, by).join(high, by).select(by, *value, "times")
 
 
 def verdicts(scores: DataFrame, found: DataFrame, by: str = "__lang") -> DataFrame:
