@@ -3,8 +3,9 @@
 The texts of a batch are cut into pieces; pieces not met before are grouped by length and laid into padded
 matrices of token ids. In each round every row merges its leftmost pair of minimum rank: ranks come from a hash
 table of id pairs, and rows are compacted after the merge; rows without a mergeable pair leave the
-matrix. A row of n bytes takes at most n rounds, so pieces over ``LONG`` bytes go through a heap of
-pairs instead (n log n), which gives the same merges. Encoded pieces are kept in a bounded cache.
+matrix. A piece over ``LONG`` bytes is a row by itself, where one round stands for many: it merges all pairs of the minimum rank from the left,
+up to the first merge that makes a pair of a lower rank, which is next. These are the merges of as many single rounds, and
+rounds number about the different ranks in the row, not its bytes. Encoded pieces are kept in a bounded cache.
 
 Defined cases: null text is empty and has no ids; repeated rows are encoded alike; long texts are whole; extra
 columns are kept, those that clash with the produced columns are replaced; empty tables give empty results.
@@ -12,9 +13,7 @@ columns are kept, those that clash with the produced columns are replaced; empty
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +54,6 @@ class Codec:
         self.all = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.cache: dict[str, bytes] = {}
 
-    @cached_property
-    def pairs(self) -> dict[tuple[int, int], int]:
-        """The same table for single lookups; made when a long piece comes."""
-        key = self.table.keys[self.table.keys >= 0]
-        return dict(zip(zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist()), self.table.get(key).tolist()))
-
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; ``_NONE`` where they don't merge or one is padding (-1)."""
         out = np.full(left.size, _NONE, np.int32)
@@ -103,25 +96,29 @@ class Codec:
         return done
 
     def encode_long(self, piece: bytes) -> np.ndarray:
-        """The same merges over a linked list and a heap of (rank, position)."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = nxt[i]
-            if ids[i] < 0 or j >= n or self.pairs.get((ids[i], ids[j])) != r:
-                continue
-            ids[i], ids[j], nxt[i] = r, -1, nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-                if (s := self.pairs.get((r, ids[nxt[j]]))) is not None:
-                    heapq.heappush(heap, (s, i))
-            if prv[i] >= 0 and (s := self.pairs.get((ids[prv[i]], r))) is not None:
-                heapq.heappush(heap, (s, prv[i]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        """Ids of one piece as a row of its own; a round merges all pairs of its minimum rank."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        ranks = self.lookup(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            # of pairs that overlap every other one is left once those before it are merged
+            new = np.r_[True, np.diff(at) != 1]
+            nth = np.arange(len(at))
+            at = at[(nth - np.maximum.accumulate(np.where(new, nth, 0))) % 2 == 0]
+            # the pairs that each merge makes, with what stands before it merged and what follows not yet
+            after_merge = np.r_[False, np.diff(at) == 2]
+            before = np.where(after_merge, best, np.where(at > 0, ids[at - 1], -1))
+            behind = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            merged = np.full(len(at), best, np.int32)
+            lower = (self.lookup(before, merged) < best) | (self.lookup(merged, behind) < best)
+            if lower.any():  # that pair comes first
+                at = at[: lower.argmax() + 1]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            place = at - np.arange(len(at))
+            for pair in (place[place > 0] - 1, place[place < len(ranks)]):
+                ranks[pair] = self.lookup(ids[pair], ids[pair + 1])
+        return ids
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces that aren't in the cache, by length."""
