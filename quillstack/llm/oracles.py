@@ -165,3 +165,28 @@ u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY place) AS u
 SELECT doc_id, source, n_tokens, weight, CAST(epoch AS INTEGER) AS epoch,
        CAST(((place >> 20) * blocks) >> 32 AS INTEGER) AS block, place
 FROM u WHERE epoch <= whole OR (remaining > 0 AND upto <= remaining)"""
+
+SQL["op12_phrase_arrays"] = """
+WITH pieces AS (
+  SELECT row_number() OVER () AS pid, lang, words FROM (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents))
+  WHERE len(words) > 0),
+f AS MATERIALIZED (
+  SELECT lang, k, list_aggregate(words[i : i + k - 1], 'string_agg', ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, range(1, 6) r(k)) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, a, k, list_aggregate(w[1:k], 'string_agg', ' ') AS first, list_aggregate(w[k + 1:], 'string_agg', ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN n ON n.lang = cuts.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS size FROM c WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM kept
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000"""
