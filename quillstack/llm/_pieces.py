@@ -44,7 +44,7 @@ def read_ranks(path: str) -> list[bytes]:
     return out
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in the json vocabulary: itself if printable, else from U+0100 up."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -55,7 +55,7 @@ def read_json(path: str) -> tuple[list[tuple[bytes, bytes]], set[bytes], list[st
     """Merges in order, the vocabulary, and the special strings of a json vocabulary."""
     with open(local(path), encoding="utf-8") as f:
         whole = json.load(f)
-    letters = _byte_letters()
+    letters = byte_letters()
     raw = lambda s: bytes(letters[c] for c in s)
     special = [t["content"] for t in whole["added_tokens"]]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else m for m in whole["model"]["merges"]]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, chat_prefix, phrase_arrays, pivot_index, prefix_tokens, quality_ngram, secret_links, shard_split, simhash_trie, source_mix, warc_seq
+from quillstack.llm import byte_bpe, chat_prefix, phrase_arrays, pivot_index, prefix_tokens, quality_ngram, residual_packing, secret_links, shard_split, simhash_trie, source_mix, warc_seq
 from quillstack.llm.oracles import SQL
 from quillstack.shipping import ensure_on_workers
 
@@ -71,6 +71,10 @@ def op12_phrase_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_arrays.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_prefix_token_counts,
         op10_sampled_splitters,
         op12_phrase_arrays,
+        op13_residual_packing,
     )
 }
 
