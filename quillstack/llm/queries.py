@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, chat_prefix, phrase_arrays, pivot_index, prefix_tokens, quality_ngram, residual_packing, secret_links, shard_split, simhash_trie, source_mix, warc_seq
+from quillstack.llm import byte_bpe, chat_prefix, phrase_arrays, pivot_index, prefix_tokens, quality_ngram, residual_packing, secret_links, shard_split, simhash_trie, source_mix, svd_whitening, warc_seq
 from quillstack.llm.oracles import SQL
 from quillstack.shipping import ensure_on_workers
 
@@ -67,6 +67,10 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return svd_whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_phrase_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_arrays.collocations(_table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_links,
         op9_prefix_token_counts,
         op10_sampled_splitters,
+        op11_svd_whitening,
         op12_phrase_arrays,
         op13_residual_packing,
     )
