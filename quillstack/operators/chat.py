@@ -22,17 +22,6 @@ class ChatModel(Protocol):
     def generate(self, messages: list[dict[str, str]]) -> str: ...
 
 
-@dataclass(frozen=True)
-class FirstSource:
-    """Answers with the first line of the context: deterministic, without a model."""
-
-    name: str = "first-source"
-
-    def generate(self, messages: list[dict[str, str]]) -> str:
-        lines = messages[-1]["content"].split("\n")
-        return next((x for x in lines if x.startswith("[")), "")
-
-
 @dataclass(frozen=True)
 class Answer:
     status: str  # ok, disabled, failed, no_match, no_data

@@ -1,16 +1,12 @@
 """Chunks that follow a document's structure: within one heading path, of a bounded number of tokens, with the pages they come from.
 
 Segments are Markdown. Their lines get the path of headings above them; neighbouring lines with the same path are a section, and sections are cut into windows
-of ``max_tokens`` tokens. Tokens are words, counted natively; token counts by another tokenizer come from ``token_counts``.
+of ``max_tokens`` tokens. Tokens are words, counted natively. A document is bounded by the size of an upload, so its lines are one window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Protocol
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,59 +16,6 @@ LEVELS = 6
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 
 
-class Tokenizer(Protocol):
-    def count_tokens(self, text: str) -> int: ...
-
-
-class TokenizerUnavailable(RuntimeError):
-    """The library or the file that a tokenizer needs isn't there."""
-
-
-class WordTokenizer:
-    def count_tokens(self, text: str) -> int:
-        return len(text.split())
-
-
-_made: dict[str, object] = {}
-
-
-def load_tokenizer(name: str) -> object:
-    """A tokenizer by name, made once in each process: ``words``, or the path of a tokenizers file."""
-    if name not in _made:
-        if name == "words":
-            _made[name] = WordTokenizer()
-        else:
-            try:
-                from tokenizers import Tokenizer as Loaded
-
-                _made[name] = Loaded.from_file(name)
-            except Exception as error:  # the library raises plain exceptions
-                raise TokenizerUnavailable(f"{name}: {error}") from error
-    return _made[name]
-
-
-def counter(tokenizer: object | None) -> Callable[[str], int] | None:
-    """``count_tokens`` if there is one, else the length of what ``encode`` gives (or its ``ids``); None without either."""
-    if hasattr(tokenizer, "count_tokens"):
-        return lambda text: int(tokenizer.count_tokens(text))
-    inner = getattr(tokenizer, "tokenizer", tokenizer)
-    if hasattr(inner, "encode"):
-        return lambda text: len(getattr(out := inner.encode(text), "ids", out))
-    return None
-
-
-def token_counts(text: Column, name: str) -> Column:
-    """Token counts by a tokenizer that each worker loads once; null texts have none."""
-
-    @F.pandas_udf("int")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(load_tokenizer(name))
-        for texts in batches:
-            yield pd.Series([None if t is None or count is None else count(t) for t in texts], index=texts.index, dtype="Int32")
-
-    return run(text)
-
-
 def lines(segments: DataFrame) -> DataFrame:
     """Lines of ``segments`` (parsed_document_id, sequence_index, page_no, text) that aren't headings, with their heading path and section."""
     every = segments.select("parsed_document_id", F.col("sequence_index").alias("segment"), "page_no", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))

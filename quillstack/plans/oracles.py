@@ -6,7 +6,8 @@ from quillstack.functions import text as t
 from quillstack import schema
 from quillstack.functions import labels
 from quillstack.operators import chat, ingest, jobs, logs, search, verify
-from quillstack.plans.queries import ALLOWED_EXTENSIONS, ALLOWED_TYPES, INLINE_LIMIT
+from quillstack import settings
+from quillstack.plans.queries import ALLOWED_EXTENSIONS, ALLOWED_TYPES, INLINE_LIMIT, NAMES, ODD_VALUES, OPENINGS, OVERRIDDEN
 from quillstack.sources import fixtures as fx
 
 SQL: dict[str, str] = {}
@@ -238,9 +239,9 @@ WITH {UPLOADS} SELECT id, CASE WHEN deleted_at IS NOT NULL THEN 'deleted' WHEN s
   WHEN NOT (coalesce(content_type, '') = '' OR content_type IN ({listed(ALLOWED_TYPES)}) OR (content_type = {q(t.LEGACY_PPT)} AND {safe_extension('original_filename')} = '.pptx')) THEN 'content_type'
   WHEN {fmt('original_filename', 'content_type')} IS NULL OR NOT (coalesce(content_type IN ({listed(ALLOWED_TYPES)}), false) OR {extension('original_filename')} IN ({listed(ALLOWED_EXTENSIONS)})) THEN 'format'
   ELSE 'admitted' END AS reason FROM uploads"""
-_NAMES = ["a.txt", ".bashrc", "x.", "a.b.PDF", "dir/x.tar.gz", "no", "", None, "x.é1", "x.a-b", "x.aaaaaaaaaaaaaaaa", "a/.b.c", "..a", "x. y", "trail.txt/"]
 SQL["upload_names"] = f"""
-SELECT CAST(id AS BIGINT) AS id, {extension('name')} AS ext, {safe_extension('name')} AS safe, upper(substr({strip("coalesce(name, '')")}, 1, 2)) AS initials FROM (VALUES {", ".join(f"({i}, {q(x)})" for i, x in enumerate(_NAMES))}) v(id, name)"""
+WITH n AS (SELECT doc_id AS id, {pick(["", "a/", "d.x/"], f'(doc_id // {len(NAMES)})')} || CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END || {pick(NAMES, 'doc_id')} AS name FROM documents)
+SELECT id, {extension('name')} AS ext, {safe_extension('name')} AS safe, upper(substr({strip("coalesce(name, '')")}, 1, 2)) AS initials FROM n"""
 _KEYS = ["", ".", "..", "a/../b", "a//b", "./a", "/a", "a/..b", None, "uploads/u/1/original.txt"]
 SQL["storage_key_guard"] = f"""
 WITH {UPLOADS}, k AS (SELECT id, 'uploads/' || owner_user_id || '/' || id || '/original' || {safe_extension('original_filename')} AS key FROM uploads
@@ -306,8 +307,8 @@ _FOLD = """f AS (
          count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1)"""
 _TITLES = f"{_FOLD}, ti AS (SELECT conv_id, {title("coalesce(first_question, '')")} AS made FROM f), titles AS (SELECT conv_id, CASE WHEN made = '' THEN 'Conversation ' || conv_id ELSE made END AS title FROM ti)"
 SQL["conversation_titles"] = f"WITH {_TITLES} SELECT conv_id, title FROM titles"
-_QUESTIONS = ["请帮我总结这篇文章。", "如何 使用  它？？", "帮我请解释", "什么是向量数据库", "我想知道天气", "想知道我要查", "关于合同", "请搜索合同", "告诉我答案！", "  ", "？？", "What is this, exactly: a very long question", "为什么", "能不能你来", "😀😀 question"]
-SQL["title_prefixes"] = f"SELECT CAST(id AS BIGINT) AS id, {title('m')} AS title FROM (VALUES {", ".join(f"({i}, {q(x)})" for i, x in enumerate(_QUESTIONS))}) v(id, m)"
+SQL["title_prefixes"] = f"""
+WITH m AS (SELECT conv_id, turn, {pick(OPENINGS, '(conv_id + turn)')} || CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE '' END AS m FROM conversations) SELECT conv_id, turn, {title('m')} AS title FROM m"""
 SQL["conversation_fold"] = f"WITH {_FOLD} SELECT conv_id, sha256(coalesce(first_question, '')) AS first_sha, sha256(coalesce(last_answer, '')) AS last_sha, n_messages, n_chars FROM f"
 SQL["conversation_history"] = f"WITH {_TITLES} SELECT conv_id, title FROM titles WHERE conv_id <> 5 ORDER BY conv_id DESC"
 SQL["conversation_state"] = """
@@ -354,8 +355,8 @@ SELECT conv_id * 1000 + turn AS id, CAST(CASE WHEN turn % 5 = 0 OR turn = 7 OR t
   CAST(CASE WHEN turn % 4 > 0 AND turn <> 7 THEN turn ELSE 0 END AS INTEGER) AS prompt_tokens, 0 AS total_tokens, CASE WHEN turn = 7 THEN 'not_json' WHEN turn % 5 = 0 THEN 'no_choices' END AS error_code FROM conversations"""
 _STATES = ["ready", "skipped", "loading", "unavailable", "shutting_down", "odd"]
 SQL["readiness_states"] = f"""
-WITH e AS (SELECT CAST(i AS BIGINT) AS id, {pick(_STATES, 'i')} AS a, {pick(_STATES, '(i // 6)')} AS b FROM range(72) r(i)),
-s AS (SELECT *, CASE WHEN id >= 36 OR 'shutting_down' IN (a, b) THEN 'shutting_down' WHEN 'unavailable' IN (a, b) THEN 'unavailable' WHEN 'loading' IN (a, b) THEN 'loading'
+WITH e AS (SELECT event_id AS id, {pick(_STATES, 'event_id')} AS a, {pick(_STATES, '(event_id // 6)')} AS b FROM events),
+s AS (SELECT *, CASE WHEN id % 72 >= 36 OR 'shutting_down' IN (a, b) THEN 'shutting_down' WHEN 'unavailable' IN (a, b) THEN 'unavailable' WHEN 'loading' IN (a, b) THEN 'loading'
   WHEN a = 'skipped' AND b = 'skipped' THEN 'skipped' WHEN a IN ('ready', 'skipped') AND b IN ('ready', 'skipped') THEN 'ready' ELSE 'unavailable' END AS status FROM e),
 g AS (SELECT *, CASE WHEN status IN ('ready', 'skipped') THEN NULL WHEN status = 'loading' THEN 'loading' ELSE 'unavailable' END AS gate FROM s)
 SELECT id, status, gate, CASE WHEN id % 2 = 1 THEN gate END AS admission FROM g"""
@@ -383,12 +384,6 @@ SELECT CASE WHEN hit THEN 'failed' ELSE status END AS status, CASE WHEN hit THEN
 
 # files, structure, settings and responses
 
-SQL["parse_office"] = r"""
-WITH d AS (SELECT doc_id AS id, doc_id % 2 = 0 AS word, coalesce(text, '') AS t, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
-e AS (SELECT *, (n + 19) // 20 AS slides, CASE WHEN id % 11 = 0 OR id % 13 = 0 THEN 'unsupported_format' WHEN NOT word AND (n + 19) // 20 > 30 THEN 'parse_failed' END AS code FROM d),
-f AS (SELECT *, coalesce(code, CASE WHEN regexp_matches(t, '[^\s]') THEN NULL ELSE 'parse_failed' END) AS error_code FROM e)
-SELECT id, error_code, CASE WHEN code IS NULL AND NOT word THEN CAST(slides AS INTEGER) END AS page_count, CASE WHEN code IS NULL AND NOT word THEN CAST(slides AS INTEGER) END AS n_pages,
-       CASE WHEN code IS NULL THEN sha256(t) END AS sha256 FROM f"""
 SQL["chunk_sections"] = r"""
 WITH l AS (
   SELECT doc_id AS p, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
@@ -453,12 +448,11 @@ WITH s AS (
   SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'no_data' WHEN turn % 4 = 0 THEN 'no_match' WHEN conv_id % 3 = 0 THEN 'disabled' WHEN conv_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM conversations)
 SELECT conv_id, turn, status, sha256(CASE status WHEN 'no_data' THEN {q(chat.NO_DATA)} WHEN 'no_match' THEN {q(chat.NO_MATCH)} WHEN 'disabled' THEN {q(chat.DISABLED)} WHEN 'failed' THEN {q(chat.FAILED)} ELSE coalesce(text, '') END) AS sha256,
        CASE WHEN status = 'ok' THEN 'm-1' END AS model, CASE status WHEN 'failed' THEN 'down' WHEN 'disabled' THEN 'Chat generation is disabled' END AS error FROM s"""
-SQL["chat_batch"] = "SELECT conv_id, turn, '[' || turn || '] ' || conv_id AS answer, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role = 'user'"
 SQL["request_faults"] = """
 SELECT conv_id, turn, CASE WHEN turn % 6 = 5 OR text IS NULL OR length(text) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN conv_id % 60 NOT BETWEEN 1 AND 50 THEN 'k' WHEN turn - 1 < 1 THEN 'max_tokens' END AS fault FROM conversations"""
 SQL["missing_models"] = """
-WITH e AS (SELECT CAST(i AS BIGINT) AS id, array_to_string(list_filter([CASE WHEN i % 2 <> 0 THEN 'layout' END, CASE WHEN i % 4 >= 2 THEN 'tables' END], lambda x: x IS NOT NULL), ',') AS missing FROM range(32) r(i))
-SELECT id, missing, CASE WHEN id >= 24 THEN 'Document models are still loading' WHEN missing <> '' THEN 'Document models are unavailable: ' || replace(missing, ',', ', ') END AS message FROM e"""
+WITH e AS (SELECT event_id AS id, array_to_string(list_filter([CASE WHEN event_id % 2 <> 0 THEN 'layout' END, CASE WHEN event_id % 4 >= 2 THEN 'tables' END], lambda x: x IS NOT NULL), ',') AS missing FROM events)
+SELECT id, missing, CASE WHEN id % 32 >= 24 THEN 'Document models are still loading' WHEN missing <> '' THEN 'Document models are unavailable: ' || replace(missing, ',', ', ') END AS message FROM e"""
 SQL["error_rows"] = """
 SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type ELSE 'Unknown error' END AS message, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 200 + 400 AS INTEGER) END AS status_code FROM events"""
 _LABELLED = [(n, labels.CHECK.get(n, n), "check") for n in (*verify.CHECKS, "other")] + [(n, labels.SOURCE.get(n, labels.SOURCE_UNKNOWN), "source") for n in ("inline", "file", "unavailable")]
@@ -467,19 +461,23 @@ WITH {JOBS}
 SELECT status AS name, {mapped('status', labels.STATUS)} AS label, CASE WHEN status = 'succeeded' THEN 'good' WHEN status = 'failed' THEN 'bad' WHEN {_OPEN} THEN 'open' ELSE 'neutral' END AS colour, count(*) AS n FROM jobs GROUP BY 1
 UNION ALL SELECT role, coalesce({mapped('role', labels.ROLE)}, role), 'role', count(*) FROM conversations GROUP BY 1
 UNION ALL SELECT *, 1 FROM (VALUES {", ".join(f"({listed(x)})" for x in _LABELLED)}) v(name, label, colour)"""
-_SNAPSHOTS = [
-    ("chunk", "tokenizer_model", "words"), ("chunk", "max_tokens", "256"), ("chunk", "merge_peers", "False"), ("chunk", "repeat_table_header", "True"), ("chunk", "inline_text_max_bytes", "2048"),
-    ("embedding", "api_base_url", ""), ("embedding", "model", "hash"), ("embedding", "dimensions", "2560"), ("embedding", "encoding_format", "float"), ("embedding", "batch_size", "7"),
-    ("chat", "api_base_url", ""), ("chat", "model", "m-1"), ("chat", "temperature", "0.5"), ("chat", "max_tokens", "1024"), ("chat", "request_timeout", "60.0"), ("chat", "max_retries", "3"), ("log", "format", "json"),
-]
-SQL["config_snapshots"] = f"SELECT * FROM (VALUES {', '.join(f'({listed(x)})' for x in _SNAPSHOTS)}) v(kind, name, value)"
+_KEPT = [(n, default) for n, (_, default) in settings.CHUNK.items()]
+SQL["config_snapshots"] = f"""
+WITH o AS (
+  SELECT user_id AS job_id, {pick(OVERRIDDEN, 'event_id')} AS name, CASE WHEN event_id % 4 = 0 THEN {pick(ODD_VALUES, '(event_id // 4)')} ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS value, ts, event_id FROM events),
+n AS (SELECT job_id, {', '.join(f"arg_max([value], (ts, event_id)) FILTER (name = '{n}')[1] AS g_{n}" for n, _ in _KEPT)} FROM o GROUP BY 1),
+v AS (SELECT *, {', '.join(f"CASE WHEN regexp_matches(g_{n}, '^\\s*[+-]?[0-9]{{1,9}}\\s*$') THEN CAST(trim(g_{n}) AS INTEGER) END AS v_{n}" for n, _ in _KEPT)} FROM n)
+SELECT job_id, {', '.join(f"coalesce(v_{n}, {d}) AS {n}" for n, d in _KEPT)},
+       array_to_string(list_filter([{', '.join(f"CASE WHEN g_{n} IS NOT NULL AND v_{n} IS NULL THEN '{n}' END" for n, _ in _KEPT)}], lambda x: x IS NOT NULL), ',') AS rejected FROM v"""
 SQL["uploads_written"] = f"WITH {UPLOADS} SELECT id, status, original_filename, byte_size, checksum_sha256 FROM uploads"
 SQL["parsed_written"] = "SELECT doc_id AS uploaded_file_id, 0 AS sequence_index, 'document' AS segment_type, CAST(NULL AS INTEGER) AS page_no, sha256(text) AS sha256 FROM documents"
 SQL["files_written"] = """
 SELECT 'parsed/u/' || doc_id || '/j/content.txt' AS storage_key, strlen(coalesce(text, '')) AS byte_size, strlen(coalesce(text, '')) > 20000 AS too_large, CASE WHEN strlen(coalesce(text, '')) <= 20000 THEN sha256(coalesce(text, '')) END AS checksum_sha256,
        CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars FROM documents"""
 SQL["active_users"] = "SELECT c_custkey AS id, c_name AS display_name FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"
-SQL["default_user"] = f"SELECT {q(schema.DEFAULT_USER)} AS id, 'Default user' AS display_name, 'active' AS status, '2024-01-01T00:00:00Z' AS created"
+SQL["default_user"] = f"""
+WITH u AS (SELECT {q(schema.DEFAULT_USER)} AS id, c_name AS display_name FROM customer WHERE c_custkey = 1 UNION ALL SELECT {q(schema.DEFAULT_USER)}, 'Default user')
+SELECT id, display_name, 'active' AS status, '2024-01-01T00:00:00Z' AS created, (SELECT count(*) + 1 FROM customer WHERE c_custkey % 3 <> 0) AS n_acting FROM u"""
 _GAPS = [("uploaded_files", c, "missing") for c in ("storage_key", "error_message", "updated_at")] + [("document_segments", c, "missing") for c in ("id", "owner_user_id", "segment_type", "page_no", "heading_path", "metadata")]
 SQL["schema_gaps"] = f"""SELECT * FROM (VALUES {', '.join(f'({listed(x)})' for x in _GAPS)}) v("table", "column", gap)"""
 SQL["conversation_edits"] = "SELECT DISTINCT conv_id AS id, 'n/new/x=because,y=?;o/old/' AS talks, 'o' AS active FROM conversations"

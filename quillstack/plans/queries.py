@@ -10,9 +10,8 @@ from pyspark.sql.window import Window
 
 from quillstack.functions import keys, labels, vectors
 from quillstack.functions import text as t
-from quillstack import schema
-from quillstack.operators import catalog, chat, chunk, convo, embed, flow, ingest, jobs, logs, parsers, search, structure, verify
-from quillstack.settings import Settings
+from quillstack import schema, settings
+from quillstack.operators import catalog, chat, chunk, convo, embed, flow, ingest, jobs, logs, search, structure, verify
 from quillstack.shipping import ensure_on_workers
 from quillstack.sources import fixtures as fx
 from quillstack.sources import sinks
@@ -296,10 +295,15 @@ def upload_rejections(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", F.coalesce("reason", F.lit("admitted")).alias("reason"))
 
 
+#: File names with odd extensions; ``upload_names`` has them behind each document's source.
+NAMES = ["a.txt", ".bashrc", "x.", "a.b.PDF", "dir/x.tar.gz", "no", "", None, "x.é1", "x.a-b", "x.aaaaaaaaaaaaaaaa", "a/.b.c", "..a", "x. y", "trail.txt/"]
+
+
 @query
 def upload_names(spark: SparkSession, d: str) -> DataFrame:
-    names = ["a.txt", ".bashrc", "x.", "a.b.PDF", "dir/x.tar.gz", "no", "", None, "x.é1", "x.a-b", "x.aaaaaaaaaaaaaaaa", "a/.b.c", "..a", "x. y", "trail.txt/"]
-    n = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    id_ = F.col("doc_id")
+    folder = fx.pick(["", "a/", "d.x/"], F.floor(id_ / len(NAMES)))
+    n = fx.table(spark, d, "documents").select(id_.alias("id"), F.concat(folder, F.when(id_ % 2 == 0, F.col("source")).otherwise(""), fx.pick(NAMES, id_)).alias("name"))
     return n.select("id", t.extension(F.col("name")).alias("ext"), t.safe_extension(F.col("name")).alias("safe"), t.initials(F.coalesce("name", F.lit(""))).alias("initials"))
 
 
@@ -471,10 +475,15 @@ def conversation_titles(spark: SparkSession, d: str) -> DataFrame:
     return convo.titles(fx.table(spark, d, "conversations"))
 
 
+#: Openings of questions; ``title_prefixes`` puts them before each turn.
+OPENINGS = ["请帮我总结这篇文章。", "如何 使用  它？？", "帮我请解释", "什么是向量数据库", "我想知道天气", "想知道我要查", "关于合同", "请搜索合同", "告诉我答案！", "  ", "？？", "What is this, exactly: a very long question", "为什么", "能不能你来", "😀😀 question"]
+
+
 @query
 def title_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["请帮我总结这篇文章。", "如何 使用  它？？", "帮我请解释", "什么是向量数据库", "我想知道天气", "想知道我要查", "关于合同", "请搜索合同", "告诉我答案！", "  ", "？？", "What is this, exactly: a very long question", "为什么", "能不能你来", "😀😀 question"]
-    return spark.createDataFrame(list(enumerate(texts)), "id long, m string").select("id", t.title(F.col("m")).alias("title"))
+    m = fx.table(spark, d, "conversations")
+    text = F.concat(fx.pick(OPENINGS, F.col("conv_id") + F.col("turn")), F.when(F.col("turn") % 2 == 0, F.coalesce("text", F.lit(""))).otherwise(""))
+    return m.select("conv_id", "turn", t.title(text).alias("title"))
 
 
 @query
@@ -608,8 +617,10 @@ def chat_responses(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def readiness_states(spark: SparkSession, d: str) -> DataFrame:
+    """What the states of two components come to, for each event that brings some."""
     names = ["ready", "skipped", "loading", "unavailable", "shutting_down", "odd"]
-    e = spark.range(72).select("id", fx.pick(names, F.col("id")).alias("a"), fx.pick(names, F.floor(F.col("id") / 6)).alias("b"), (F.col("id") >= 36).alias("stopping"))
+    id_ = F.col("event_id")
+    e = fx.table(spark, d, "events").select(id_.alias("id"), fx.pick(names, id_).alias("a"), fx.pick(names, F.floor(id_ / 6)).alias("b"), (id_ % 72 >= 36).alias("stopping"))
     s = e.withColumn("status", chat.readiness(F.col("a"), F.col("b"), F.col("stopping")))
     return s.select("id", "status", chat.gate(F.col("status")).alias("gate"), chat.gate(F.col("status"), fx.pick(["txt", "pdf"], F.col("id"))).alias("admission"))
 
@@ -673,36 +684,6 @@ def fail_one_job(spark: SparkSession, d: str) -> DataFrame:
 # files, structure, settings and responses
 
 
-def office_kind() -> Column:
-    return F.when(F.col("doc_id") % 2 == 0, "docx").otherwise("pptx")
-
-
-def office_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as a Word or a presentation file; some are cut short, some named as the other kind."""
-    rows = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), office_kind().alias("kind"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            made = []
-            for i, kind, lines in zip(*(b.column(n).to_pylist() for n in range(3))):
-                whole = parsers.docx([(None, x) for x in lines]) if kind == "docx" else parsers.pptx([lines[n : n + 20] for n in range(0, len(lines), 20)])
-                made.append(whole[:50] if i % 11 == 0 else whole)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "kind", "content"])
-
-    files = rows.mapInArrow(run, "id long, kind string, content binary")
-    other = F.when(F.col("kind") == "docx", "pptx").otherwise("docx")
-    return files.select("id", F.when(F.col("id") % 13 == 0, other).otherwise(F.col("kind")).alias("format"), "content")
-
-
-@query
-def parse_office(spark: SparkSession, d: str) -> DataFrame:
-    """Word and presentation files made of all documents, converted back; at most 30 slides."""
-    out = parsers.converted(office_files(spark, d), max_pages=30)
-    return out.select("id", "error_code", "page_count", F.size("pages").cast("int").alias("n_pages"), F.sha2("text", 256).alias("sha256"))
-
-
 def marked_segments(spark: SparkSession, d: str) -> DataFrame:
     """Documents as Markdown segments, a page each of eight lines: every fifth line is a heading of level 1 to 3."""
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("parsed_document_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))
@@ -825,15 +806,6 @@ def answer_rows(spark: SparkSession, d: str) -> DataFrame:
     return s.select("conv_id", "turn", "a.status", F.sha2(F.coalesce("a.text", F.lit("")), 256).alias("sha256"), "a.model", "a.error")
 
 
-@query
-def chat_batch(spark: SparkSession, d: str) -> DataFrame:
-    """A model over all conversations at once: it answers with the first source of its context."""
-    m = fx.table(spark, d, "conversations").where("role = 'user'")
-    content = F.concat(F.lit("Context:\n["), F.col("turn").cast("string"), F.lit("] "), F.col("conv_id").cast("string"))
-    prompts = m.select("conv_id", "turn", F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"))
-    return chat.generated(prompts, chat.FirstSource()).select("conv_id", "turn", "answer", "error")
-
-
 @query
 def request_faults(spark: SparkSession, d: str) -> DataFrame:
     m = fx.table(spark, d, "conversations")
@@ -843,10 +815,10 @@ def request_faults(spark: SparkSession, d: str) -> DataFrame:
 @query
 def missing_models(spark: SparkSession, d: str) -> DataFrame:
     """Gates with the models that aren't there."""
-    e = spark.range(32)
+    e = fx.table(spark, d, "events").select(F.col("event_id").alias("id"))
     have = F.filter(F.array(F.when(F.col("id") % 2 == 0, "layout"), F.when(F.col("id") % 4 < 2, "tables"), F.when(F.col("id") % 8 < 4, "extra")), lambda x: x.isNotNull())
     gone = chat.missing_models(F.array(F.lit("tables"), F.lit("layout")), have)
-    status = F.when(F.col("id") >= 24, "loading").when(F.size(gone) > 0, "unavailable").otherwise("ready")
+    status = F.when(F.col("id") % 32 >= 24, "loading").when(F.size(gone) > 0, "unavailable").otherwise("ready")
     return e.select("id", F.array_join(gone, ",").alias("missing"), chat.gate_message(status, gone).alias("message"))
 
 
@@ -866,13 +838,17 @@ def label_rows(spark: SparkSession, d: str) -> DataFrame:
     return j.unionByName(c).unionByName(r).unionByName(s).groupBy("name", "label", "colour").agg(F.count("*").alias("n"))
 
 
+#: What events name as parameters, of which two are unknown, and odd values.
+OVERRIDDEN, ODD_VALUES = ["max_tokens", "inline_bytes", "api_key", "max_tokens", "other"], [None, "many", "", "1e3", " 7 "]
+
+
 @query
 def config_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """What jobs keep of settings that were read from texts; no snapshot holds a key."""
-    given = {"CHUNK_MAX_TOKENS": " 256", "chunk_merge_peers": "off", "EMBEDDING_API_KEY": "hidden", "embedding_batch_size": "7", "chat_model": "m-1", "chat_temperature": "0.5", "debug": "production", "unknown": "x"}
-    s = Settings.read(given)
-    kinds = {"chunk": s.chunk_snapshot(), "embedding": s.embedding_snapshot(), "chat": s.chat_snapshot(), "log": {"format": s.effective_log_format}}
-    return spark.createDataFrame([(k, n, str(v)) for k, snapshot in kinds.items() for n, v in snapshot.items()], "kind string, name string, value string")
+    """What each user's job keeps of chunking parameters that events override; nothing else, as a key, is kept."""
+    id_ = F.col("event_id")
+    value = F.when(id_ % 4 == 0, fx.pick(ODD_VALUES, F.floor(id_ / 4))).otherwise(F.floor("value").cast("long").cast("string"))
+    o = fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), fx.pick(OVERRIDDEN, id_).alias("name"), value.alias("value"), F.col("ts").alias("at"), id_.alias("id"))
+    return settings.snapshots(o, settings.CHUNK)
 
 
 @query
@@ -918,8 +894,14 @@ def active_users(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def default_user(spark: SparkSession, d: str) -> DataFrame:
-    u = schema.seed_user(spark, F.lit("2024-01-01").cast("timestamp"))
-    return schema.current_user(u).select("id", "display_name", "status", t.utc_iso(F.col("created_at")).alias("created"))
+    """Customers as users with the default user put in where it isn't there; who of them acts under that id, and how many may act in all."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    c = fx.table(spark, d, "customer")
+    u = c.select(F.when(F.col("c_custkey") == 1, schema.DEFAULT_USER).otherwise(F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("display_name"), F.when(F.col("c_custkey") % 3 == 0, "disabled").otherwise("active").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"), at.alias("created_at"))
+    rows = schema.seeded(u, spark, at).unionByName(schema.seeded(u.where("id <> '" + schema.DEFAULT_USER + "'"), spark, at).where(F.col("id") == schema.DEFAULT_USER))
+    users = schema.current_user(rows).select("id", "display_name", "status", t.utc_iso(F.col("created_at")).alias("created"))
+    n = schema.acting(rows).agg(F.count("*").alias("n_acting"))  # one row
+    return users.crossJoin(F.broadcast(n))
 
 
 @query
@@ -951,5 +933,5 @@ def shipped(f: Query) -> Query:
     return run
 
 
-for name in ("embed_hash_udf", "reembed_all", "reembed_supersedes", "search_topk_many", "parse_office", "chat_batch", "files_written"):
+for name in ("embed_hash_udf", "reembed_all", "reembed_supersedes", "search_topk_many", "files_written"):
     QUERIES[name] = shipped(QUERIES[name])

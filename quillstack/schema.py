@@ -44,6 +44,12 @@ def seed_user(spark: SparkSession, as_of: Column) -> DataFrame:
         F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"), as_of.alias("created_at"), as_of.alias("updated_at"))
 
 
+def seeded(users: DataFrame, spark: SparkSession, as_of: Column) -> DataFrame:
+    """``users`` with the default user, whose own row stays where there is one; the same again if repeated."""
+    default = seed_user(spark, as_of).select(*users.columns)
+    return users.unionByName(default.join(users.select("id"), "id", "left_anti").select(*users.columns))
+
+
 def current_user(users: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
     return acting(users.where(F.col("id") == user))
 

@@ -1,4 +1,4 @@
-"""Conversion, structure, tokenizers, settings and calls of models."""
+"""Structure, settings, calls of models and files."""
 
 from __future__ import annotations
 
@@ -8,72 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack import schema
-from quillstack.operators import catalog, chat, embed, parsers, structure
+from quillstack import schema, settings
+from quillstack.operators import catalog, chat, embed, structure
 from quillstack.plans.queries import QUERIES
-from quillstack.settings import Settings
 from quillstack.sources import sinks
 
 SF = "/root/testdata/sf0.001"
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-
-
-def pdf(pages, flate=False, root="Pages"):
-    """A PDF of pages of content streams."""
-    out = [b"%PDF-1.4\n"]
-    kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(pages)))
-    out.append(f"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /{root} /Kids [{kids}] /Count {len(pages)}>> endobj\n".encode())
-    for i, stream in enumerate(pages):
-        data = zlib.compress(stream) if flate else stream
-        out.append(f"{10 + 2 * i} 0 obj <</Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R>> endobj\n".encode())
-        out.append(f"{11 + 2 * i} 0 obj <</Length {len(data)}{' /Filter /FlateDecode' if flate else ''}>>\nstream\n".encode() + data + b"\nendstream endobj\n")
-    return b"".join(out) + b"%%EOF"
-
-
-@pytest.mark.parametrize("flate", [False, True])
-def test_pdf(flate):
-    one = b"BT /F1 12 Tf 72 700 Td (Hello \\(there\\)) Tj 0 -14 Td [(Wo) -20 (rld) -300 (caf\\351)] TJ T* <4142> Tj ET"
-    got = parsers.convert(pdf([one, b"BT (two) Tj ET"], flate), "pdf", parsers.TextParser(), 5)
-    assert got["error_code"] is None and got["page_count"] == 2 and got["pages"] == ["Hello (there)\nWorld café\nAB", "two"]
-    assert parsers.convert(pdf([one] * 6, flate), "pdf", parsers.TextParser(), 5)["error_code"] == "parse_failed"
-    assert parsers.convert(pdf([b""], flate), "pdf", parsers.TextParser(), 5)["error_code"] == "parse_failed"
-    assert parsers.convert(b"no" + pdf([one]), "pdf", parsers.TextParser(), 5)["error_code"] == "unsupported_format"
-
-
-def test_docx_headings_tables_and_marks():
-    made = parsers.docx([("Title", "T"), ("Heading2", "A & B <c>"), (None, "x\ty"), (None, "")])
-    got = parsers.convert(made, "docx", parsers.TextParser(), 5)
-    assert (got["title"], got["markdown"], got["text"], got["page_count"]) == ("T", "T\n## A & B <c>\nx\ty\n", "T\nA & B <c>\nx\ty\n", None)
-    cell = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
-    table = f"<w:document {W}><w:body><w:tbl><w:tr>{cell.format(1)}{cell.format(2)}</w:tr></w:tbl></w:body></w:document>"
-    assert parsers.convert(parsers._package({"word/document.xml": table.encode()}), "docx", parsers.TextParser(), 5)["markdown"] == "| 1 | 2 |"
-    bomb = f'<!DOCTYPE d [<!ENTITY a "x">]><w:document {W}><w:body><w:p><w:r><w:t>&a;</w:t></w:r></w:p></w:body></w:document>'
-    assert parsers.convert(parsers._package({"word/document.xml": bomb.encode()}), "docx", parsers.TextParser(), 5)["error_code"] == "parse_failed"
-
-
-def test_packages_need_their_members():
-    for fmt, other in (("docx", "pptx"), ("pptx", "docx")):
-        made = {"docx": parsers.docx([(None, "x")]), "pptx": parsers.pptx([["x"]])}
-        assert parsers.convert(made[fmt], fmt, parsers.TextParser(), 5)["error_code"] is None
-        assert parsers.convert(made[other], fmt, parsers.TextParser(), 5)["error_code"] == "unsupported_format"
-        assert parsers.convert(made[fmt][:40], fmt, parsers.TextParser(), 5)["error_code"] == "unsupported_format"
-
-
-@pytest.mark.parametrize("content, text", [("é漢".encode(), "é漢"), ("汉字".encode("gbk"), "汉字"), (b"\xff\x80 x", "ÿ\x80 x"), ("𠀀".encode("gb18030"), "𠀀")])
-def test_texts_in_other_encodings(content, text):
-    assert parsers.convert(content, "txt", parsers.TextParser(), 5)["text"] == text
-
-
-def test_texts_and_unknown_formats():
-    convert = lambda c, f: parsers.convert(c, f, parsers.TextParser(), 5)["error_code"]
-    assert convert(b"a\x00b", "txt") == convert(b"x", "exe") == convert(b"x", None) == "unsupported_format"
-    assert convert(b" \n", "markdown") == convert(None, "txt") == "parse_failed"
-
-
-def test_results_are_filled_in():
-    out = parsers.normalised(parsers.Parsed(markdown="# m"))
-    assert (out["text"], out["doc_json"], out["page_count"]) == ("# m", '{"content": "# m"}', None)
-    assert parsers.normalised(parsers.Parsed(text="t", pages=["t"]))["page_count"] == 1 and parsers.normalised(parsers.Parsed())["markdown"] == ""
 
 
 def test_sections_follow_headings_and_pages(spark):
@@ -84,34 +24,14 @@ def test_sections_follow_headings_and_pages(spark):
     assert got[3].contextualized_text == "One\nSub\ng" and got[0].contextualized_text == "\nintro a b"
 
 
-def test_tokenizers(spark):
-    class Encoded:
-        ids = [1, 2, 3]
-
-    class Wrapped:
-        class tokenizer:
-            encode = staticmethod(lambda text: Encoded())
-
-    class Plain:
-        encode = staticmethod(lambda text: [0] * 7)
-
-    assert structure.counter(structure.WordTokenizer())("a b") == 2 and structure.counter(Wrapped())("x") == 3 and structure.counter(Plain())("x") == 7
-    assert structure.counter(None) is None and structure.load_tokenizer("words") is structure.load_tokenizer("words")
-    with pytest.raises(structure.TokenizerUnavailable):
-        structure.load_tokenizer("/nowhere/tokenizer.json")
-    df = spark.createDataFrame([("a b c",), (None,), ("",)], "t string")
-    assert [r.n for r in df.select(structure.token_counts(F.col("t"), "words").alias("n")).collect()] == [3, None, 0]
-
-
-def test_settings():
-    s = Settings.read({"DEBUG": "Release", "chunk_max_tokens": "9", "parse_allowed_extensions": " .PDF, ,.Md", "log_format": ""})
-    assert (s.debug, s.effective_log_format, s.chunk_max_tokens, s.parse_allowed_extensions) == (False, "json", 9, (".pdf", ".md"))
-    assert Settings().effective_log_format == "console" and Settings.read({"log_format": "json"}).effective_log_format == "json"
-    for name, value in (("chunk_max_tokens", "many"), ("chunk_merge_peers", "perhaps"), ("chat_temperature", "warm")):
-        with pytest.raises(ValueError, match=name):
-            Settings.read({name: value})
-    assert not any("key" in n for part in (s.chunk_snapshot(), s.embedding_snapshot(), s.chat_snapshot()) for n in part)
-    assert "max_retries" in s.chat_snapshot() and not {"max_retries", "request_timeout"} & set(s.embedding_snapshot())
+def test_settings(spark):
+    rows = [(1, "max_tokens", " 9 ", 1, 1), (1, "max_tokens", "many", 1, 0), (1, "api_key", "hidden", 2, 2), (2, "max_tokens", "7", 1, 1), (2, "max_tokens", "many", 2, 2), (2, "inline_bytes", None, 3, 3), (3, None, None, 1, 1), (None, "inline_bytes", "-4", 1, 1)]
+    o = spark.createDataFrame(rows, "job_id long, name string, value string, at long, id long")
+    got = {tuple(r) for r in settings.snapshots(o, settings.CHUNK).collect()}
+    assert got == {(1, 9, 2048, ""), (2, 512, 2048, "max_tokens"), (3, 512, 2048, ""), (None, 512, -4, "")}
+    reals = [(1, "max_distance", "0.25", 1, 1), (1, "max_best", "1e3", 1, 1), (1, "k", "2.5", 1, 1)]
+    assert tuple(settings.snapshots(spark.createDataFrame(reals, o.schema), settings.SEARCH).first()) == (1, 5, 0.25, 0.4, "k,max_best")
+    assert settings.snapshots(o.limit(0), settings.EMBED).collect() == []
 
 
 def test_calls_are_tried_again():

@@ -248,11 +248,17 @@ def test_answers_degrade():
         def generate(self, messages):
             raise RuntimeError("down")
 
+    class First:
+        name = "first"
+
+        def generate(self, messages):
+            return messages[-1]["content"].split("\n")[1]
+
     said = [{"role": "user", "content": "Context:\n[1] a\ntext"}]
-    assert chat.answer(0, 0, said, chat.FirstSource()).status == "no_data"
-    assert chat.answer(5, 0, said, chat.FirstSource()).status == "no_match"
+    assert chat.answer(0, 0, said, First()).status == "no_data"
+    assert chat.answer(5, 0, said, First()).status == "no_match"
     assert chat.answer(5, 1, said, None).status == "disabled"
-    assert chat.answer(5, 1, said, chat.FirstSource()).text == "[1] a"
+    assert chat.answer(5, 1, said, First()).text == "[1] a"
     failed = chat.answer(5, 1, said, Broken())
     assert (failed.status, failed.error) == ("failed", "down")
     for bad in (("", 5), ("x" * 2001, 5), ("x", 0), ("x", 51)):
@@ -264,6 +270,8 @@ def test_schema_and_users(spark):
     users = schema.seed_user(spark, F.lit("2024-01-01").cast("timestamp"))
     assert schema.missing(users, "users", spark) == [] and schema.missing(users.drop("email"), "users", spark) == ["email"]
     assert schema.current_user(users).count() == 1 and schema.current_user(users.withColumn("status", F.lit("off"))).count() == 0
+    once = schema.seeded(users.limit(0), spark, F.lit("2024-01-01").cast("timestamp"))
+    assert once.collect() == users.collect() == schema.seeded(once, spark, F.lit("2025-01-01").cast("timestamp")).collect()
     assert all(schema.empty(spark, n).count() == 0 for n in schema.TABLES) and len(schema.TABLES) == 9
 
 
