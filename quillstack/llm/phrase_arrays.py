@@ -32,7 +32,7 @@ from quillstack.llm._tables import written
 from quillstack.llm._text import mix
 
 LONGEST, MIN_COUNT, BEST = 5, 100, 2000
-SHARD = 8 << 20  # bytes of text in a suffix array
+SHARD = 4 << 20  # bytes of text in a suffix array
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 20, 29, 20
 SALT_BYTES = 8 << 30  # text whose buckets of one block are added up by one task
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -119,6 +119,8 @@ class Shard:
             joined = np.r_[joined[words[:-1]] & (np.diff(words) == 1), False] if len(words) else joined[:0]
         ids, at, count = self._ids(words)
         yield 1, at, count, self.word[at]
+        if longest < 2:
+            return
         if may is not None and len(words):
             joined[:-1] &= may(mix(self.word[words[:-1]] * _STEP + self.word[words[1:]]), 2)
         inside = np.flatnonzero(joined | np.r_[False, joined[:-1]]) if len(words) else np.zeros(0, np.int64)
@@ -261,7 +263,7 @@ def _full_buckets(texts: DataFrame, longest: int, min_count: int, bits: int, sal
     if salts > 1:
         sent = sent.groupBy("block", "salt").applyInArrow(some, "block int, counts binary")
     out, size = bytearray(1 << (bits - 2)), 1 << (BLOCK_BITS - 3)
-    for row in sent.groupBy("block").applyInArrow(all_, "block int, counts binary").toLocalIterator():
+    for row in written(sent.groupBy("block").applyInArrow(all_, "block int, counts binary"), "buckets").collect():  # as many bits as buckets
         out[row.block * size : (row.block + 1) * size] = row.counts
     return bytes(out)
 
