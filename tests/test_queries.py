@@ -8,8 +8,7 @@ import math
 import duckdb
 import pytest
 
-from quillstack.plans.oracles import SQL
-from quillstack.plans.queries import QUERIES
+from quillstack.plans.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
