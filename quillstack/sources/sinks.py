@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import keys
+from quillstack.sources.files import shared_folder
 
 
 def append(rows: DataFrame, path: str, partition: list[str] | None = None) -> None:
@@ -22,6 +23,13 @@ def replace(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: made once, and safe from lost executors."""
+    path = shared_folder(rows.sparkSession, name)
+    replace(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def artifacts(parsed: DataFrame) -> DataFrame:
     """The three artefacts of a parse as (storage_key, content): Markdown, text, JSON."""
     owner, upload, job = F.col("owner_user_id"), F.col("uploaded_file_id"), F.col("parse_job_id")
