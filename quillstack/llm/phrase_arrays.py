@@ -9,7 +9,7 @@ their piece, so no phrase crosses a border.
 Two passes give exact totals without moving every n-gram. The first adds up counts by hash bucket: a shard sends its non-empty buckets, sorted
 and as compressed differences, and blocks of buckets are added up. A bucket's total is at least the count of each n-gram in
 it, so buckets below ``min_count`` rule their n-grams out; nothing else is ruled out. The second pass sends the n-grams that are left, as
-text, and adds them up by key; it cuts the sequence at words and pairs that are ruled out before it sorts suffixes. The number of buckets follows
+text, in lists by range of their checksums, and adds them up by key, range by range; it cuts the sequence at words and pairs that are ruled out before it sorts suffixes. The number of buckets follows
 the size of the texts, up to twice 2^``MOST_BITS``, where the broadcast set of full buckets has 128 MB: with still more text fewer n-grams are ruled out, rare
 words last as they have buckets of their own, and the result is the same.
 
@@ -20,6 +20,7 @@ borders; texts without words give nothing; a doc_id isn't needed, extra columns
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,9 @@ from quillstack.llm._text import mix
 LONGEST, MIN_COUNT, BEST = 5, 100, 2000
 SHARD = 4 << 20  # bytes of text in a suffix array
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 20, 29, 20
+HELD = 300_000  # phrases whose counts a task adds up before it sends them
+RANGE_BYTES = 2 << 20  # text whose phrases, of one language, are added up by one call
+FEW = 10_000  # languages whose word counts are broadcast
 SALT_BYTES = 8 << 30  # text whose buckets of one block are added up by one task
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -275,31 +279,55 @@ def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT)
     texts = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"].alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size / 8, 1))), LEAST_BITS, MOST_BITS))
+    ranges = 1 + size // RANGE_BYTES
     full = spark.sparkContext.broadcast(_full_buckets(texts, longest, min_count, bits, max(1, size // SALT_BYTES)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, columns = np.frombuffer(full.value, np.uint8), ["lang", "words", "phrase", "f"]
+        bitmap = np.frombuffer(full.value, np.uint8)
 
         def may(h: np.ndarray, k: int) -> np.ndarray:
             bucket = _bucket(h, k, bits)
             return ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
 
+        def sums(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+            for lang, of in held.items():
+                parts: dict[int, tuple[list[bytes], list[int]]] = {}
+                for phrase, n in of.items():
+                    phrases, f = parts.setdefault(zlib.crc32(phrase) % ranges, ([], []))
+                    phrases.append(phrase)
+                    f.append(n)
+                columns = [pa.array([phrases for phrases, _ in parts.values()], pa.list_(pa.binary())), pa.array([f for _, f in parts.values()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array(list(parts), pa.int64()), *columns], names=["lang", "range", "phrases", "f"])
+
+        held: dict[str, dict[bytes, int]] = {}
         for shard in _shards(batches):
-            raw, names = shard.data.tobytes(), np.array(shard.langs, object)
-            totals = np.bincount(shard.lang, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(totals, pa.int64())], names=columns)
+            raw = shard.data.tobytes()
+            each = [held.setdefault(lang, {}) for lang in shard.langs]
+            for of, total in zip(each, np.bincount(shard.lang, minlength=len(each)).tolist()):
+                of[b""] = of.get(b"", 0) + total
             for k, at, count, _ in shard.grams(longest, may):
-                for low in range(0, len(at), 1 << 16):
-                    some = slice(low, low + (1 << 16))
-                    first, last = at[some], at[some] + k - 1
-                    phrase = [b" ".join(raw[a:b].split()) for a, b in zip(shard.start[first].tolist(), shard.end[last].tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[shard.lang[first]], pa.string()), pa.array(np.full(len(first), k, np.int32)), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count[some], pa.int64())],
-                        names=columns,
-                    )
+                for i, a, b, n in zip(shard.lang[at].tolist(), shard.start[at].tolist(), shard.end[at + k - 1].tolist(), count.tolist()):
+                    phrase = b" ".join(raw[a:b].split())
+                    of = each[i]
+                    of[phrase] = of.get(phrase, 0) + n
+            if sum(map(len, held.values())) > HELD:
+                yield from sums(held)
+                held = {}
+        yield from sums(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, total = "", {}
+        for batch in batches:
+            lang = batch.column("lang")[0].as_py()
+            for phrase, n in zip(batch.column("phrases").flatten().to_pylist(), batch.column("f").flatten().to_pylist()):
+                total[phrase] = total.get(phrase, 0) + n
+        enough = [(p, n) for p, n in total.items() if n >= min_count or not p]
+        phrases, f = [p for p, _ in enough], [n for _, n in enough]
+        words = [p.count(b" ") + 1 if p else 0 for p in phrases]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), pa.array(words, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "words", "phrase", "f"])
 
-    sent = texts.mapInArrow(send, "lang string, words int, phrase string, f long")
-    return sent.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
+    sent = texts.mapInArrow(send, "lang string, range long, phrases array<binary>, f array<long>")
+    return sent.groupBy("lang", "range").applyInArrow(add, "lang string, words int, phrase string, f long")
 
 
 def _part(begin, size):
@@ -314,6 +342,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_C
     known = written(counts(docs, longest, min_count), "phrases")
     phrases = known.where("words > 1").withColumn("__words", F.split("phrase", " "))
     total = known.where("words = 0").select("lang", F.col("f").alias("n"))
+    if total.count() <= FEW:
+        total = F.broadcast(total)
 
     cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "words", "__words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "words", "k", _part(F.lit(1), F.col("k")).alias("first"), _part(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
