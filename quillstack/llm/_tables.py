@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
@@ -73,11 +73,21 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def by_name(*names: str) -> list[Column]:
+    """Columns by their whole names, whatever signs these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def numbered(*names: str) -> tuple[list[Column], list[Column]]:
+    """Columns under plain names, for functions over Arrow batches, which take no others, and the expressions that give their own names back."""
+    return [c.alias(f"__k{i}") for i, c in enumerate(by_name(*names))], [F.col(f"__k{i}").alias(n) for i, n in enumerate(names)]
+
+
 def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list]:
     """``docs`` with all columns but ``needed`` put into one, ``__rest``, out of reach of any name that an operator produces, and
     the expressions that give the columns of ``docs`` back, in order."""
     used = {n.lower() for n in needed}
     rest = [c for c in docs.columns if c.lower() not in used]
-    slim = docs.select(*needed, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []))
+    slim = docs.select(*needed, *([F.struct(*by_name(*rest)).alias("__rest")] if rest else []))
     back = [F.col(c) if c.lower() in used else F.col("__rest").getField(c).alias(c) for c in docs.columns]
     return slim, back

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstack.llm._pieces import IntTable, read_ranks, ship, splitter
-from quillstack.llm._tables import fresh
+from quillstack.llm._tables import fresh, numbered
 
 LONG, CACHE, ROWS = 256, 200_000, 1 << 14
 _NONE = np.int32(2**31 - 1)
@@ -168,7 +168,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), *[T.StructField("decoded", T.BinaryType(), False)] * decoded]
     docs_kept = fresh(docs, *[f.name for f in made])
     kept = [c for c in docs_kept.columns if keep is None or c in keep]
-    schema = T.StructType([*docs_kept.select(*kept).schema.fields, *made])
+    held, back = numbered(*kept)
+    schema = T.StructType([*docs_kept.select(*held).schema.fields, *made])
     ship(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +185,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
                     columns.append(pa.array([codec.decode(np.frombuffer(x, "<i4")).tobytes() for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs_kept.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs_kept.select(*held, docs[text].alias("__text")).mapInArrow(run, schema).select(*back, *[f.name for f in made])
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds ``decoded``, the bytes of ``ids``."""
     encoded = fresh(encoded, "decoded")
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
+    held, back = numbered(*encoded.columns)
+    slim = encoded.select(*held)
+    schema = T.StructType([*slim.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
     at = encoded.columns.index("ids")
     ship(encoded.sparkSession, path)
 
@@ -202,7 +205,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [codec.decode(flat[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).select(*back, "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

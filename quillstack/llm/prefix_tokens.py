@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstack.llm._pieces import IntTable, read_json, ship, splitter
-from quillstack.llm._tables import fresh
+from quillstack.llm._tables import fresh, numbered
 from quillstack.llm._text import mix
 
 SHORT, CACHE, PAIRS = 32, 400_000, 1 << 20
@@ -236,7 +236,8 @@ def with_counts(docs: DataFrame, path: str, pattern: str, limit: int, text: str
     ship(docs.sparkSession, path)
     docs_kept = fresh(docs, *[f.name for f in made])
     kept = [c for c in docs_kept.columns if keep is None or c in keep]
-    schema = T.StructType([*docs_kept.select(*kept).schema.fields, *made])
+    held, back = numbered(*kept)
+    schema = T.StructType([*docs_kept.select(*held).schema.fields, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(path, pattern)
@@ -262,7 +263,7 @@ def with_counts(docs: DataFrame, path: str, pattern: str, limit: int, text: str
                     out.append(pa.array(bytes_, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=schema.names)
 
-    return docs_kept.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs_kept.select(*held, docs[text].alias("__text")).mapInArrow(run, schema).select(*back, *[f.name for f in made])
 
 
 def counts_of(steps: bytes) -> np.ndarray:

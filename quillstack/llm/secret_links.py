@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm._tables import fresh, written
+from quillstack.llm._tables import by_name, fresh, written
 
 SCOPE = 300
 
@@ -84,7 +84,7 @@ def with_parts(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.sort_array(F.concat(spans_of(t, ASSIGN, 0, _long_value), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2)))
     weak = F.concat(spans_of(t, NAMED_ID, 3), spans_of(t, BARE_ID, 3, _bare_id), spans_of(t, KEY, 4, _bare_key), spans_of(t, ENDPOINT, 5))
-    return docs.select(*kept, F.monotonically_increasing_id().alias("__row"), base.alias("__base"), weak.alias("__weak"))
+    return docs.select(*by_name(*kept), F.monotonically_increasing_id().alias("__row"), base.alias("__base"), weak.alias("__weak"))
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -150,4 +150,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataF
 
     done = F.aggregate("__spans", open_, step, lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substr(F.col(text), acc["at"] + 1, F.length(text))))
     clean = F.when(F.size("__spans") > 0, done).otherwise(F.col(text))
-    return here.withColumn(text, clean).select(*docs.columns)
+    return here.withColumn(text, clean).select(*by_name(*docs.columns))

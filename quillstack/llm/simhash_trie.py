@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstack.llm import shingle_sets
-from quillstack.llm._tables import drop_written, fresh, written
+from quillstack.llm._tables import by_name, drop_written, fresh, numbered, written
 from quillstack.llm._text import SEPARATOR, Words, blocks, utf8
 
 SHINGLE, MAX_DIFF, SEED = 4, 4, 42
@@ -89,17 +89,18 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     """``docs`` (or its columns ``keep``) with the fingerprint as a signed long in ``out``."""
     docs = fresh(docs, out)
     kept = [c for c in docs.columns if keep is None or c in keep]
-    carried = docs.select(*kept, F.col(text).alias("__text"))
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(out, T.LongType(), False)])
+    held, back = numbered(*kept)
+    carried = docs.select(*held, F.col(text).alias("__text"))
+    schema = T.StructType([*docs.select(*held).schema.fields, T.StructField(out, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.num_columns - 1))
             made = [fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets, BLOCK)]
             prints = np.concatenate(made) if made else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*kept, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=schema.names)
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema).select(*back, out)
 
 
 def _pairs(own: np.ndarray, depth: int, max_diff: int, lead_diff: int, leading: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -339,5 +340,5 @@ def keep_one(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
     # repeated rows share the name: of those one stays
     twice = rows.join(stay, rows["doc_id"].eqNullSafe(stay["id"]) & (rows["__name"] == stay["name"]), "left_semi")
     if twice.groupBy("doc_id", "__name").count().where("count > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "__name"]).select(*docs.columns)
+        return kept.select(*by_name(*docs.columns))
+    return kept.dropDuplicates(["doc_id", "__name"]).select(*by_name(*docs.columns))

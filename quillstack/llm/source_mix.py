@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstack.llm._tables import fresh, written
+from quillstack.llm._tables import by_name, fresh, written
 
 BLOCK_TOKENS = 1 << 14
 ROUNDS = 40
@@ -123,4 +123,4 @@ def mixed(docs: DataFrame, max_epochs: float = 2.0, target_entropy: float | None
     times = F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("int")
     out = out.withColumn("__times", times).where("__times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     out = out.withColumn("place", _order(seed, F.col("epoch"))).withColumn("block", _block(F.col("place")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "weight", "epoch", "block", "place")
+    return out.select(*by_name(*docs.columns), "n_tokens", "weight", "epoch", "block", "place")

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
 def odd_docs(spark):
-    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns that clash with produced names."""
+    """Nulls in every column, empty and very long texts, ties, repeated rows, columns that clash with produced names, one in another case, and names with a dot and a backtick."""
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     line = "the quick brown fox jumps over the lazy dog near the old river bank today"
     rows = [
@@ -18,7 +19,8 @@ def odd_docs(spark):
     ]
     names = "doc_id long, text string, lang string, source string, n_chars long"
     clash = "ids string"
-    return spark.createDataFrame(rows, f"{names}, {clash}")
+    docs = spark.createDataFrame(rows, f"{names}, {clash}")
+    return docs.withColumns({"a.b": F.lit("dot"), "back`tick": F.lit(1), "N_Tokens": F.lit("upper")})
 
 
 def rows_of(df):
