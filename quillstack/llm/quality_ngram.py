@@ -2,9 +2,9 @@
 
 Model: character 5-grams of every text, one model for each language. Letters are told apart in every script, without
 case; white space runs are one space, sentence punctuation is one symbol, other ASCII signs are one, digits are
-themselves. A symbol has 12 bits, so a 5-gram is a number. Spark counts the 5-grams of all documents and keeps those
-that two different texts hold: a text's own oddities say nothing about it. Lower orders are
-continuation counts; each language and order has three discounts of its own. The model is a table that grows with the
+themselves. A symbol has 12 bits, so a 5-gram is a number. Spark counts the 5-grams of all documents. Lower orders are
+continuation counts; each language and order has three discounts of its own, from all counts. What one text alone holds (or several
+equal ones) is looked up by that text alone, at every order: there its own count is left out, since a text's own oddities say nothing about it. The model is a table that grows with the
 corpus, and all of the estimation is joins and windows over it; nothing of it is collected or broadcast.
 
 Scoring: documents lie in chunks (``CHUNK_ROWS`` rows of one file). The 5-grams of a chunk meet the model in a join, and the chunk's share of
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillstack.llm._tables import delete, drop_written, filesystem, fresh, new_path, written
+from quillstack.llm._tables import by_name, delete, drop_written, filesystem, fresh, new_path, numbered, written
 from quillstack.llm._text import Words, blocks, code_points, hash_longs, mix, utf8
 
 ORDER, BITS = 5, 12
@@ -209,9 +209,15 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def known(counts: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each n-gram occurs, zero where all texts that hold it are equal."""
+    """(lang, gram, n, own): how often each n-gram occurs, and the hash of the text that holds it, if all that do are equal."""
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return total.select("lang", "gram", F.when(F.col("low") < F.col("high"), F.col("n")).otherwise(0).alias("n"))
+    return total.select("lang", "gram", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("own"))
+
+
+def _same(own: str, among) -> Column:
+    """The text that all rows of a group or window (``among`` turns an aggregate into a column) belong to; null if there is more than one."""
+    least, most = among(F.min(own)), among(F.max(own))
+    return F.when((least == most) & (among(F.count(own)) == among(F.count(F.lit(1)))), least)
 
 
 def _discounts(level: DataFrame) -> DataFrame:
@@ -223,17 +229,18 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 
 def _levels(top: DataFrame) -> list[DataFrame]:
-    """Continuation counts of every order from 1 up, below the written counts ``top`` (lang, gram, n) of the highest."""
+    """Continuation counts of every order from 1 up, below the written counts ``top`` (lang, gram, n, own) of the highest, of all n-grams."""
     levels = [top]
     for order in range(ORDER - 1, 0, -1):
         rest = F.col("gram").bitwiseAND((1 << BITS * order) - 1).alias("gram")
-        levels.insert(0, written(levels[0].groupBy("lang", rest).agg(F.count_if(F.col("n") > 0).alias("n")), f"order{order}"))
+        levels.insert(0, written(levels[0].groupBy("lang", rest).agg(F.count_if(F.col("n") > 0).alias("n"), _same("own", lambda c: c).alias("own")), f"order{order}"))
     return levels
 
 
 def probabilities(levels: list[DataFrame]) -> DataFrame:
     """(lang, gram, p) for every row of the highest of ``levels``: interpolated modified Kneser-Ney, where rows with
-    n = 0 were not counted and take what the orders below give them."""
+    n = 0 were not counted and take what the orders below give them. Discounts are those of all counts. A row that belongs to one text
+    is looked up by that text alone: its own count is left out, and so is a context that no other text holds."""
     below: DataFrame | None = None
     for order, level in enumerate(levels, 1):
         taken = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -241,7 +248,10 @@ def probabilities(levels: list[DataFrame]) -> DataFrame:
         # a language's rows are met in SALTS parts, since one language may have most of them
         cut = _discounts(level).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         now = level.withColumn("salt", F.pmod(F.hash("gram"), F.lit(SALTS))).join(cut, ["lang", "salt"]).withColumn("context", F.shiftright("gram", BITS)).withColumn("taken", taken)
-        now = now.withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("taken").over(context))
+        now = now.withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("taken").over(context)).withColumn("alone", _same("own", lambda c: c.over(context)).isNotNull())
+        mine = F.col("own").isNotNull()
+        now = now.withColumn("total", F.when(F.col("alone"), 0).when(mine, F.col("total") - F.col("n")).otherwise(F.col("total"))).withColumn("left", F.when(mine, F.col("left") - F.col("taken")).otherwise(F.col("left")))
+        now = now.withColumn("n", F.when(mine, 0).otherwise(F.col("n"))).withColumn("taken", F.when(mine, 0.0).otherwise(F.col("taken")))
         if below is None:
             now = now.withColumn("low", F.lit(1.0 / SYMBOLS))
         else:
@@ -299,9 +309,9 @@ def typical(loss: np.ndarray, n: np.ndarray) -> np.ndarray:
 def scored(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` (with __chunk, __lang, __seen, __text) with the counts of ``BASE``, n_grams and log_perplexity by the arrays below ``path``;
     __lang stays."""
-    kept = [c for c in docs.columns if c not in ("__chunk", "__seen", "__text", "__lang")]
+    held, back = numbered(*[c for c in docs.columns if c not in ("__chunk", "__seen", "__text", "__lang")])
     schema = T.StructType([
-        *docs.select(*kept).schema.fields,
+        *docs.select(*held).schema.fields,
         *[T.StructField(c, T.LongType(), False) for c in (*BASE, "n_grams")],
         T.StructField("log_perplexity", T.DoubleType(), False),
         T.StructField("__lang", T.LongType(), False),
@@ -327,7 +337,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
                 loss[a:b] = typical(-logp, cols["n_grams"][a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], *[pa.array(x) for x in cols.values()], pa.array(loss), batch.column(n - 2)], names=schema.names)
 
-    return docs.select(*kept, "__chunk", "__lang", "__text").mapInArrow(run, schema)
+    return docs.select(*held, "__chunk", "__lang", "__text").mapInArrow(run, schema).select(*back, *[f.name for f in schema.fields[len(held) :]])
 
 
 def with_scores(docs: DataFrame, lang: str = "lang", text: str = "text", keep: list[str] | None = None, corpus: DataFrame | None = None) -> DataFrame:
@@ -335,14 +345,14 @@ def with_scores(docs: DataFrame, lang: str = "lang", text: str = "text", keep: l
     The model is that of ``corpus`` (lang, text), or of the documents themselves."""
     mine = lambda d: (F.xxhash64(lang).alias("__lang"), F.hash(text).alias("__seen"), F.col(text).alias("__text"))
     slim = fresh(docs, *BASE, "n_grams", "log_perplexity", "__lang", "__seen", "__text", "__chunk")
-    slim = slim.select(*[F.col(f"`{c}`") for c in slim.columns if keep is None or c in keep], *mine(docs))
+    slim = slim.select(*by_name(*[c for c in slim.columns if keep is None or c in keep]), *mine(docs))
     chunks = _in_chunks(slim)
     counts = written(counted(chunks), "counts")
     if corpus is None:
         table = known(counts)
     else:
         other = known(counted(_in_chunks(corpus.select(*mine(corpus)))))
-        table = other.unionByName(counts.select("lang", "gram", F.lit(0).alias("n"))).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        table = other.drop("own").unionByName(counts.select("lang", "gram", F.lit(0).alias("n"))).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("own", F.lit(None).cast("int"))
     top = written(table, f"order{ORDER}")
     levels = _levels(top)
     path = model_arrays(counts, probabilities(levels))

@@ -38,39 +38,53 @@ def folded(text):
     return ["." if c in ".,;:!?'\"()-" else "#" if c.isascii() and not c.isalnum() and c != " " else c for c in low]
 
 
-def brute_model(texts):
-    """Interpolated modified Kneser-Ney over 5-grams that two different texts hold, by plain dictionaries."""
+def brute_levels(texts):
+    """Counts of 5-grams, continuation counts of the shorter ones, and the different texts that hold each."""
     top, held = Counter(), defaultdict(set)
     for t in texts:
         s = ["", "", "", "", *folded(t)]
         for i in range(4, len(s)):
-            top[tuple(s[i - 4 : i + 1])] += 1
-            held[tuple(s[i - 4 : i + 1])].add(t)
-    levels = [Counter({g: n for g, n in top.items() if len(held[g]) > 1})]
+            g = tuple(s[i - 4 : i + 1])
+            top[g] += 1
+            for k in range(5):
+                held[g[k:]].add(t)
+    levels = [top]
     for _ in range(4):
         levels.insert(0, Counter(g[1:] for g in levels[0]))
-    cuts, sums, left = [], [], []
+    return levels, held
+
+
+def brute_discounts(level):
+    n = Counter(level.values())
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+    d = [i - (i + 1) * y * n[i + 1] / n[i] if n[1] and n[i] else e for i, e in ((1, 0.5), (2, 1.0), (3, 1.5))]
+    return [min(max(x, 0.05), k - 0.05) if n[1] and n[k] else x for x, k in zip(d, (1, 2, 3))]
+
+
+def brute_model(texts, of_others=False):
+    """Interpolated modified Kneser-Ney by plain dictionaries, over all 5-grams; what one text alone holds doesn't count for that text (unless texts of others are scored)."""
+    levels, held = brute_levels(texts)
+    mine = lambda g: not of_others and len(held[g]) == 1
+    cuts, sums, left, alone = [], [], [], []
     for c in levels:
-        n = Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        d = [i - (i + 1) * y * n[i + 1] / n[i] if n[1] and n[i] else e for i, e in ((1, 0.5), (2, 1.0), (3, 1.5))]
-        d = [min(max(x, 0.05), k - 0.05) if n[1] and n[k] else x for x, k in zip(d, (1, 2, 3))]
+        d = brute_discounts(c)
         cut = lambda x, d=d: d[min(x, 3) - 1] if x else 0
-        total, taken = defaultdict(int), defaultdict(float)
+        total, taken, rows = defaultdict(int), defaultdict(float), defaultdict(set)
         for g, x in c.items():
             total[g[:-1]] += x
             taken[g[:-1]] += cut(x)
+            rows[g[:-1]].add(next(iter(held[g])) if mine(g) else None)
         cuts.append(cut), sums.append(total), left.append(taken)
+        alone.append({h for h, owners in rows.items() if len(owners) == 1 and None not in owners})
 
     def p(g):
         if not g:
             return 1 / 4096
-        n = len(g) - 1
-        total = sums[n].get(g[:-1], 0)
-        if not total:
-            return p(g[1:])
-        x = levels[n].get(g, 0)
-        return (x - cuts[n](x)) / total + left[n][g[:-1]] / total * p(g[1:])
+        n, h = len(g) - 1, g[:-1]
+        x, total, rest = levels[n].get(g, 0), sums[n].get(h, 0), left[n][h]
+        if x and mine(g):
+            total, rest, x = 0 if h in alone[n] else total - x, rest - cuts[n](x), 0
+        return (x - cuts[n](x)) / total + rest / total * p(g[1:]) if total else p(g[1:])
 
     def score(t):
         s = ["", "", "", "", *folded(t)]
@@ -81,6 +95,23 @@ def brute_model(texts):
     return score
 
 
+def test_discounts_are_estimated_for_each_language_and_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IN ('de', 'fr', 'es')")
+    rows = docs.select("lang", "text", F.xxhash64("lang").alias("number")).collect()
+    slim = docs.selectExpr("0L AS __chunk", "xxhash64(lang) AS __lang", "hash(text) AS __seen", "text AS __text")
+    levels = q._levels(q.written(q.known(q.counted(slim)), "test"))
+    top = set()
+    for lang, number in {(r.lang, r.number) for r in rows}:
+        want, held = brute_levels([r.text for r in rows if r.lang == lang])
+        for order in (0, 3, 4):
+            got = q._discounts(levels[order]).where(F.col("lang") == number).first()
+            assert list(got[1:]) == pytest.approx(brute_discounts(want[order]))
+        top.add(tuple(got[1:]))
+        sums = levels[4].where(F.col("lang") == number).agg(F.sum("n"), F.count("own")).first()
+        assert tuple(sums) == (sum(want[4].values()), sum(len(held[g]) == 1 for g in want[4]))
+    assert len(top) == 3 and (0.5, 1.0, 1.5) not in top
+
+
 def test_counts_and_perplexity_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de'")
     rows = docs.collect()
@@ -98,17 +129,17 @@ def test_scores_under_the_model_of_another_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'fr'")
     one, other = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     got = {r.doc_id: r.log_perplexity for r in q.judged(one, keep=["doc_id"], corpus=other).collect()}
-    score = brute_model([r.text for r in other.collect()])
+    score = brute_model([r.text for r in other.collect()], of_others=True)
     assert got == pytest.approx({r.doc_id: score(r.text) for r in one.collect()}, rel=1e-5)
 
 
 def test_probabilities_of_a_context_sum_to_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("0L AS __chunk", "xxhash64(lang) AS __lang", "hash(text) AS __seen", "text AS __text")
-    table = q.known(q.counted(docs))
+    table = q.known(q.counted(docs)).withColumn("own", F.lit(None).cast("int"))
     some = [(r.lang, r.gram >> q.BITS) for r in table.where("n > 0").orderBy(F.xxhash64("gram")).limit(5).collect()]
     some.append((some[0][0], int("".join(f"{ord(c):012b}" for c in "qxqx"), 2)))  # a context never seen falls back to shorter ones
     all_ = spark.createDataFrame(some, "lang long, context long").selectExpr("lang", f"context * {q.SYMBOLS} AS first").crossJoin(spark.range(q.SYMBOLS))
-    table = table.unionByName(all_.selectExpr("lang", "first + id AS gram", "0L AS n")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = table.unionByName(all_.selectExpr("lang", "first + id AS gram", "0L AS n"), allowMissingColumns=True).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.first("own").alias("own"))
     p = q.probabilities(q._levels(q.written(table, "test")))
     sums = p.join(all_.selectExpr("lang", "first + id AS gram").distinct(), ["lang", "gram"]).groupBy("lang", F.shiftright("gram", q.BITS)).agg(F.sum("p").alias("p")).collect()
     assert len(sums) == 6 and all(r.p == pytest.approx(1, rel=1e-9) for r in sums)
