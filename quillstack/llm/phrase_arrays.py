@@ -35,7 +35,7 @@ from quillstack.llm._text import mix
 LONGEST, MIN_COUNT, BEST = 5, 100, 2000
 SHARD = 4 << 20  # bytes of text in a suffix array
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 20, 29, 20
-HELD = 300_000  # phrases whose counts a task adds up before it sends them
+HELD = 150_000  # phrases whose counts a task adds up before it sends them
 RANGE_BYTES = 2 << 20  # text whose phrases, of one language, are added up by one call
 FEW = 10_000  # languages whose word counts are broadcast
 SALT_BYTES = 8 << 30  # text whose buckets of one block are added up by one task
