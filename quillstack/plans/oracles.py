@@ -474,6 +474,9 @@ SQL["parsed_written"] = "SELECT doc_id AS uploaded_file_id, 0 AS sequence_index,
 SQL["files_written"] = """
 SELECT 'parsed/u/' || doc_id || '/j/content.txt' AS storage_key, strlen(coalesce(text, '')) AS byte_size, strlen(coalesce(text, '')) > 20000 AS too_large, CASE WHEN strlen(coalesce(text, '')) <= 20000 THEN sha256(coalesce(text, '')) END AS checksum_sha256,
        CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars FROM documents"""
+SQL["artifacts_exported"] = """
+WITH f AS (SELECT 'parsed/' || coalesce(source, 'none') || '/' || coalesce(lang, 'und') || '.txt' AS storage_key, count(*) || ' é ' || CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS t FROM documents GROUP BY source, lang)
+SELECT storage_key, strlen(t) AS byte_size, strlen(t) > 9 AS too_large, CASE WHEN strlen(t) <= 9 THEN sha256(t) END AS checksum_sha256, CAST(length(t) AS INTEGER) AS n_chars FROM f"""
 SQL["active_users"] = "SELECT c_custkey AS id, c_name AS display_name FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"
 SQL["default_user"] = f"""
 WITH u AS (SELECT {q(schema.DEFAULT_USER)} AS id, c_name AS display_name FROM customer WHERE c_custkey = 1 UNION ALL SELECT {q(schema.DEFAULT_USER)}, 'Default user')

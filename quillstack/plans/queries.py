@@ -874,12 +874,13 @@ def parsed_written(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def files_written(spark: SparkSession, d: str) -> DataFrame:
-    """Artefacts of documents written as files below one folder, scanned as binary files and read as texts under their storage keys."""
-    texts = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+def artifacts_exported(spark: SparkSession, d: str) -> DataFrame:
+    """A summary of the documents of each source and language written as a file of its own, scanned as binary files and read as texts under their storage keys."""
+    docs = fx.table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
+    name = F.concat(F.coalesce("lang", F.lit("und")), F.lit(".txt"))
     path = shared_folder(spark, "files")
-    sinks.write_files(texts.select(keys.parsed_key(F.lit("u"), F.col("id"), F.lit("j"), "content.txt").alias("storage_key"), F.col("text").alias("content")), path)
-    scanned = binary(spark, path, 20_000).select(F.regexp_extract("path", "(parsed/.*)$", 1).alias("storage_key"), "byte_size", "too_large", "checksum_sha256")
+    sinks.write_files(docs.select(F.concat(F.lit("parsed/"), F.coalesce("source", F.lit("none")), F.lit("/"), name).alias("storage_key"), F.concat_ws(" é ", F.col("n").cast("string"), F.col("bytes").cast("string")).alias("content")), path)
+    scanned = binary(spark, path, 9).select(F.regexp_extract("path", "(parsed/.*)$", 1).alias("storage_key"), "byte_size", "too_large", "checksum_sha256")
     return scanned.join(file_texts(spark, path).withColumnRenamed("content", "t"), "storage_key").select("storage_key", "byte_size", "too_large", "checksum_sha256", F.length("t").alias("n_chars"))
 
 
@@ -933,5 +934,5 @@ def shipped(f: Query) -> Query:
     return run
 
 
-for name in ("embed_hash_udf", "reembed_all", "reembed_supersedes", "search_topk_many", "files_written"):
+for name in ("embed_hash_udf", "reembed_all", "reembed_supersedes", "search_topk_many", "artifacts_exported"):
     QUERIES[name] = shipped(QUERIES[name])
