@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstack.operators import ann, search
 from quillstack.operators import keywords as kw
 from quillstack.plans.oracles import SQL
-from quillstack.plans.queries import query
+from quillstack.plans.queries import QUERIES, query, shipped
 from quillstack.sources import fixtures as fx
 
-BEST = 10
+BEST, DIMS = 10, 64
 
 
 def first_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -58,3 +59,31 @@ bound AS (SELECT query, block, sum(best) AS bound FROM asked JOIN best USING (te
 placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bound DESC, block) AS place FROM bound),
 early AS (SELECT query, score FROM scores JOIN bl USING (doc) JOIN placed USING (query, block) WHERE place <= {kw.FIRST} QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) = {BEST})
 SELECT query, count(*) AS n_blocks, count(*) FILTER (place <= {kw.FIRST} OR bound >= coalesce(score, 0)) AS n_read FROM placed LEFT JOIN early USING (query) GROUP BY query"""
+
+
+def fiftieth(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest ten to every fiftieth vector, as the index finds them."""
+    i = ann.index(fx.table(spark, d, "embeddings"), "vec_id", "embedding", DIMS)
+    return ann.top_k(i, fiftieth(spark, d), BEST).select("query", "rank", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the index finds against exact search: every found distance is exact, at least nine tenths of the nearest ten are found."""
+    e, asked = fx.table(spark, d, "embeddings"), fiftieth(spark, d)
+    found = ann.top_k(ann.index(e, "vec_id", "embedding", DIMS), asked, BEST).select("query", F.col("key").alias("vec_id"), F.col("score").alias("found"))
+    both = search.top_k_many(e, asked, BEST, "vec_id").join(found, ["query", "vec_id"], "left")
+    hit = F.col("found").isNotNull()
+    return both.agg(F.count("*").alias("n"), (F.count_if(hit) >= 0.9 * F.count("*")).alias("is_enough"), (F.coalesce(F.max(F.abs(F.col("found") - F.col("score"))), F.lit(1.0)) < 1e-9).alias("is_exact"))
+
+
+SQL["ann_recall"] = f"""
+SELECT CAST(sum(least({BEST}, n)) AS BIGINT) AS n, true AS is_enough, true AS is_exact FROM (SELECT q.vec_id, count(*) AS n FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 GROUP BY 1)"""
+
+for _name in ("ann_topk", "ann_recall"):
+    QUERIES[_name] = shipped(QUERIES[_name])

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.operators import ann
 from quillstack.operators import keywords as kw
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -68,3 +69,59 @@ def test_scans_for_terms_are_pushed_down(spark, docs):
     index = kw.index(spark.createDataFrame(docs, SCHEMA))
     plan = index.table.where(F.col("term") == "w1").select("term", "best")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,w1)" in plan and "postings" not in plan.split("ReadSchema")[1]
+
+
+# approximate vectors
+
+
+def exact(vectors, queries, k):
+    ids, x = list(vectors), np.array(list(vectors.values()))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for name, q in queries.items():
+        d = 1 - x @ (np.array(q) / np.linalg.norm(q))
+        out[name] = [ids[i] for i in np.lexsort((ids, np.round(d, 12)))[:k]]
+    return out
+
+
+VECTORS = "key long, v array<double>"
+
+
+@pytest.mark.parametrize("clusters", [0, 12])
+def test_recall_and_exact_distances(spark, clusters, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(clusters or 1, 16)) * (4 if clusters else 0)
+    vectors = {i: (centres[i % len(centres)] + rng.normal(size=16)).tolist() for i in range(900)}
+    queries = {i: vectors[i] for i in range(0, 900, 30)}
+    index = ann.index(spark.createDataFrame(list(vectors.items()), VECTORS), "key", "v", 16, n_parts=8)
+    asked = spark.createDataFrame(list(queries.items()), "query long, vector array<double>")
+    got = ann.top_k(index, asked, 10).collect()
+    want = exact(vectors, queries, 10)
+    assert sum(r.key in want[r.query] for r in got) >= 0.9 * 10 * len(queries)
+    for r in got[:40]:
+        a, b = np.array(vectors[r.query]), np.array(vectors[r.key])
+        assert r.score == pytest.approx(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-9)
+    share = ann.visited(index, asked).agg(F.avg("share")).first()[0]
+    assert share < (0.35 if clusters else 0.95)
+    assert all(sorted(x.rank for x in got if x.query == q) == list(range(1, 11)) for q in queries)
+
+
+def test_every_cell_and_row_visited_is_exact_search(spark):
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(120)}
+    index = ann.index(spark.createDataFrame(list(vectors.items()), VECTORS), "key", "v", 8, n_cells=5, n_parts=4)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(9)], "query long, vector array<double>")
+    got = ann.top_k(index, asked, 7, probes=5, rerank=120).orderBy("query", "rank").collect()
+    want = exact(vectors, {i: vectors[i] for i in range(9)}, 7)
+    assert {q: [r.key for r in got if r.query == q] for q in range(9)} == want
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0]), (7, [None, 1.0]), (8, [1.0, 0.0]), (9, [2.0, 0.1])]
+    index = ann.index(spark.createDataFrame(rows, VECTORS), "key", "v", 2, n_parts=2)
+    asked = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query long, vector array<double>")
+    assert [(r.query, r.rank, r.key) for r in ann.top_k(index, asked, 5).orderBy("rank").collect()] == [(1, 1, 1), (1, 2, 8), (1, 3, 9)]
+    empty = ann.index(spark.createDataFrame([], VECTORS), "key", "v", 2, n_parts=2)
+    assert ann.top_k(empty, asked, 5).collect() == []
