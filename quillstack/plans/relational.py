@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.operators import asof
+from quillstack.operators import asof, cubes, sketches
 from quillstack.plans.oracles import SQL, mapped
 from quillstack.plans.queries import query
 from quillstack.sources import fixtures as fx
+from quillstack.sources import sinks
 
 #: Days from the first order to the time in which events lie.
 SHIFT = 28
@@ -55,3 +56,68 @@ def asof_all_in_one_key(spark: SparkSession, d: str) -> DataFrame:
 SQL["asof_all_in_one_key"] = """
 WITH v AS (SELECT * FROM events WHERE event_type = 'view'), p AS (SELECT * FROM events WHERE event_type = 'purchase')
 SELECT v.event_id, p.event_id AS bought_event_id, p.value AS bought_value FROM v ASOF LEFT JOIN p ON v.ts >= p.ts"""
+
+
+# cubes and sketches
+
+
+@query
+def cube_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, suppliers and quantities by every combination of flag, status and year."""
+    rows = fx.table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    c = cubes.cube(rows, ["l_returnflag", "l_linestatus", "year"], "l_suppkey", "l_quantity")
+    return c.withColumn("total", F.round("total", 2))
+
+
+SQL["cube_lineitem"] = """
+SELECT l_returnflag, l_linestatus, year, CAST(grouping_id(l_returnflag, l_linestatus, year) AS INTEGER) AS grouping, count(*) AS n, count(DISTINCT l_suppkey) AS n_distinct, round(sum(l_quantity), 2) AS total
+FROM (SELECT *, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem) GROUP BY CUBE (l_returnflag, l_linestatus, year)"""
+
+
+@query
+def rollup_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders, customers and sums by year, priority and status, each level rolled up."""
+    rows = fx.table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority", "o_orderstatus", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    return cubes.rollup(rows, ["year", "o_orderpriority", "o_orderstatus"], "o_custkey", "price").withColumn("total", F.col("total").cast("double"))
+
+
+SQL["rollup_orders"] = """
+SELECT year, o_orderpriority, o_orderstatus, CAST(grouping_id(year, o_orderpriority, o_orderstatus) AS INTEGER) AS grouping, count(*) AS n, count(DISTINCT o_custkey) AS n_distinct, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
+FROM (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders) GROUP BY ROLLUP (year, o_orderpriority, o_orderstatus)"""
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly summaries of events by type, stored."""
+    return sinks.stored(sketches.hourly(fx.table(spark, d, "events"), "ts", "event_type", "user_id", "value"), "hourly")
+
+
+@query
+def sketch_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of each event type from hourly summaries, next to exact figures: counts are equal, distinct users and the median's rank within bounds."""
+    days = sketches.merged(summaries(spark, d), F.to_date("hour").alias("day"), "key")
+    rows = fx.table(spark, d, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("key"), "user_id", F.col("value").alias("v"))
+    median = sketches.quantile(F.col("quantiles"), 0.5)
+    found = days.select("day", "key", F.col("n").alias("counted"), sketches.distinct(F.col("members")).alias("users"), median.alias("median"))
+    exact = rows.join(found, ["day", "key"]).groupBy("day", "key", "counted", "users", "median").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("v") <= F.col("median")).alias("below"), F.count_if(F.col("v") < F.col("median")).alias("under"))
+    near = lambda a, b, e: F.abs(a - b) <= e
+    rank = (F.col("below") >= (0.5 - sketches.RANK) * F.col("n")) & (F.col("under") <= (0.5 + sketches.RANK) * F.col("n"))
+    return exact.select("key", F.col("day").cast("string").alias("day"), "n", (F.col("counted") == F.col("n")).alias("same_count"), near(F.col("users"), F.col("n_users"), 0.05 * F.col("n_users")).alias("near_users"), rank.alias("near_median"))
+
+
+SQL["sketch_days"] = "SELECT event_type AS key, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, true AS same_count, true AS near_users, true AS near_median FROM events GROUP BY ALL"
+
+
+@query
+def sketch_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Users of the month's first ten days who did two things, from hourly summaries, for each pair of event types."""
+    low = F.lit("2024-01-01").cast("timestamp")
+    some = sketches.merged(sketches.within(summaries(spark, d), low, low + F.expr("INTERVAL 10 DAYS")), "key")  # a row for each type
+    pairs = some.alias("a").join(some.alias("b"), F.col("a.key") < F.col("b.key"))
+    return pairs.select(F.col("a.key").alias("one"), F.col("b.key").alias("other"), sketches.in_both(F.col("a.members"), F.col("b.members")).alias("n_both"), sketches.only_first(F.col("a.members"), F.col("b.members")).alias("n_one"))
+
+
+SQL["sketch_overlap"] = """
+WITH u AS (SELECT DISTINCT event_type AS key, user_id FROM events WHERE ts < TIMESTAMP '2024-01-11'), k AS (SELECT DISTINCT key FROM u)
+SELECT a.key AS one, b.key AS other, (SELECT count(*) FROM u x JOIN u y USING (user_id) WHERE x.key = a.key AND y.key = b.key) AS n_both,
+       (SELECT count(*) FROM u x WHERE x.key = a.key AND NOT EXISTS (SELECT 1 FROM u y WHERE y.key = b.key AND y.user_id = x.user_id)) AS n_one
+FROM k a JOIN k b ON a.key < b.key"""

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstack.operators import asof
+from quillstack.operators import asof, cubes, sketches
 
 
 def plain_asof(left, right, strict=False, tolerance=None):
@@ -68,3 +68,59 @@ def test_asof_of_empty_tables(spark):
     r = spark.createDataFrame([], "k long, t long")
     assert [tuple(x) for x in asof.asof_join(l, r, [("k", "k")], ("t", "t"), "t").collect()] == [(1, 5, None, None)]
     assert asof.asof_join(r, l, [("k", "k")], ("t", "t"), "t").collect() == []
+
+
+# cubes and sketches
+
+
+def plain_sets(rows, sets, n_dims):
+    out = []
+    for s in sets:
+        groups = {}
+        for r in rows:
+            groups.setdefault(tuple(r[i] if i in s else None for i in range(n_dims)), []).append(r)
+        if not s and not rows:
+            groups[(None,) * n_dims] = []
+        bits = sum(1 << (n_dims - 1 - i) for i in range(n_dims) if i not in s)
+        for k, mine in groups.items():
+            values = [r[-1] for r in mine if r[-1] is not None]
+            out.append((*k, bits, len(mine), len({r[-2] for r in mine if r[-2] is not None}), sum(values) if values else None))
+    return sorted(out, key=repr)
+
+
+def test_cubes_and_rollups_of_odd_rows(spark):
+    rows = [("a", 1, 5, 1), ("a", 1, 5, 2), ("a", None, 6, None), (None, 1, None, 4), (None, None, 5, 5), ("b", 2, 7, 6), ("b", 2, 7, 6)] + [("hot", 9, i % 3, 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "x string, y long, u long, v long")
+    got = sorted((tuple(r) for r in cubes.cube(df, ["x", "y"], "u", "v").collect()), key=repr)
+    assert got == plain_sets(rows, [{0, 1}, {0}, {1}, set()], 2)
+    got = sorted((tuple(r) for r in cubes.rollup(df, ["x", "y"], "u", "v").collect()), key=repr)
+    assert got == plain_sets(rows, [{0, 1}, {0}, set()], 2)
+    assert [tuple(r) for r in cubes.cube(df.limit(0), ["x", "y"], "u", "v").collect()] == plain_sets([], [set()], 2)
+
+
+def test_cubes_expand_what_is_added_up_and_not_the_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = cubes.cube(df, ["l_returnflag", "l_linestatus"], "l_suppkey", "l_quantity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    below = plan[plan.index("Generate") :]  # the first addition lies below the multiplication
+    assert "Aggregate" in below
+
+
+def test_sketches_stay_within_their_bounds(spark):
+    rows = spark.range(60_000).select(F.expr("timestamp_seconds(1704067200 + id)").alias("ts"), F.lit("k").alias("key"), (F.col("id") % 20_011).alias("u"), F.expr("CAST(pmod(hash(id), 100000) AS DOUBLE)").alias("v"))
+    hours = sketches.hourly(rows, "ts", "key", "u", "v")
+    assert hours.count() == 17
+    r = sketches.merged(hours, "key").select("n", sketches.distinct(F.col("members")).alias("d"), *[sketches.quantile(F.col("quantiles"), q).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.99))]).first()
+    assert r.n == 60_000 and abs(r.d - 20_011) <= 0.035 * 20_011
+    ranks = rows.agg(*[F.avg((F.col("v") <= r[f"q{i}"]).cast("double")) for i in range(3)]).first()
+    assert all(abs(a - b) <= sketches.RANK for a, b in zip(ranks, (0.1, 0.5, 0.99)))
+    low = F.lit("2024-01-01 02:00:00").cast("timestamp")
+    two = sketches.merged(sketches.within(hours, low, low + F.expr("INTERVAL 2 HOURS"))).select("n", sketches.distinct(F.col("members")).alias("d")).first()
+    assert two.n == 7200 and abs(two.d - 7200) <= 0.035 * 7200
+
+
+def test_sketches_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "a", 1, 1.0), ("2024-01-01 00:10:00", "a", None, None), ("2024-01-01 00:20:00", None, 3, 2.0), ("2024-01-01 00:30:00", None, 3, 4.0)], "ts string, key string, u long, v double")
+    got = {(r.key, r.hour is None): (r.n, r.d, r.total) for r in sketches.hourly(rows, "ts", "key", "u", "v").withColumn("d", sketches.distinct(F.col("members"))).collect()}
+    assert got == {("a", True): (1, 1, 1.0), ("a", False): (1, 0, None), (None, False): (2, 1, 6.0)}
+    assert sketches.hourly(rows.limit(0), "ts", "key", "u", "v").count() == 0
