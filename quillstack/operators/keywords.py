@@ -34,6 +34,7 @@ class Index:
 
     path: str
     table: DataFrame
+    places: DataFrame  # doc, block
 
 
 def spread(key: Column, n: Column) -> Column:
@@ -68,7 +69,8 @@ def index(docs: DataFrame, id_: str = "doc_id", text: str = "text", cluster: lis
     spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "keywords")
     rows = postings(docs, id_, text, cluster, per_block)
     rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(path)
-    return Index(path, spark.read.schema(rows.schema).parquet(path))
+    places = stored(blocks(docs, id_, text, cluster or [], per_block).select("doc", "block"), "places")
+    return Index(path, spark.read.schema(rows.schema).parquet(path), places)
 
 
 def _scores(index: Index, wanted: DataFrame, asked: DataFrame) -> DataFrame:
@@ -78,6 +80,13 @@ def _scores(index: Index, wanted: DataFrame, asked: DataFrame) -> DataFrame:
     return each.groupBy("query", F.col("p.doc").alias("doc")).agg(F.sum("p.share").alias("score"))
 
 
+def scores_of(index: Index, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, doc, score of given pairs (query, doc), of those that share a term; only the blocks that hold them are read."""
+    asked = queries.select("query", F.explode(F.array_distinct("words")).alias("term"))
+    wanted = pairs.join(index.places, "doc").select("query", "block").distinct()
+    return _scores(index, wanted, asked).join(pairs.select("query", "doc"), ["query", "doc"], "left_semi")
+
+
 def _best(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.operators import ann, search
+from quillstack.operators import ann, hybrid, search
 from quillstack.operators import keywords as kw
 from quillstack.plans.oracles import SQL
 from quillstack.plans.queries import QUERIES, query, shipped
@@ -87,3 +87,25 @@ SELECT CAST(sum(least({BEST}, n)) AS BIGINT) AS n, true AS is_enough, true AS is
 
 for _name in ("ann_topk", "ann_recall"):
     QUERIES[_name] = shipped(QUERIES[_name])
+
+
+WEIGHT = 5
+
+
+@query
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents by keywords and vectors together for every fiftieth document: the words of its first line and its own vector; fewer documents have vectors than texts."""
+    docs, e = fx.table(spark, d, "documents"), fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    asked = first_lines(spark, d).join(e.select(F.col("doc").alias("query"), "vector"), "query", "left")
+    return hybrid.top_k(kw.index(docs, cluster=["lang"]), e, asked, BEST, DIMS, WEIGHT).select("query", "rank", F.col("doc").alias("doc_id"), "score")
+
+
+SQL["hybrid_topk"] = f"""
+WITH {KEYWORDS},
+v AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT q.doc AS query, v.doc, CAST(greatest(round(1e6 * list_cosine_similarity(v.v, q.v)), 0) AS BIGINT) AS alike FROM v q JOIN w ON w.doc = q.doc JOIN v ON q.doc % 50 = 0),
+every AS (SELECT query, doc, coalesce(score, 0) + {WEIGHT} * coalesce(alike, 0) AS score FROM scores FULL JOIN near USING (query, doc))
+SELECT query, CAST(row_number() OVER o AS INTEGER) AS rank, doc AS doc_id, score FROM every WHERE score > 0
+WINDOW o AS (PARTITION BY query ORDER BY score DESC, doc) QUALIFY row_number() OVER o <= {BEST}"""
+
+QUERIES["hybrid_topk"] = shipped(QUERIES["hybrid_topk"])

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import ann
+from quillstack.operators import ann, hybrid
 from quillstack.operators import keywords as kw
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -125,3 +125,29 @@ def test_odd_vectors(spark):
     assert [(r.query, r.rank, r.key) for r in ann.top_k(index, asked, 5).orderBy("rank").collect()] == [(1, 1, 1), (1, 2, 8), (1, 3, 9)]
     empty = ann.index(spark.createDataFrame([], VECTORS), "key", "v", 2, n_parts=2)
     assert ann.top_k(empty, asked, 5).collect() == []
+
+
+# both
+
+
+def test_hybrid_against_scoring_everything(spark, docs):
+    rng = np.random.default_rng(11)
+    vectors = {i: rng.normal(size=6).tolist() for i in [*range(0, 150, 2), 203, 5000, 5001]}  # fewer than texts, and two without a text
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower())[:5] for i, t, _ in docs if i is not None}
+    queries = [(0, words[0], vectors[0]), (3, words[3], None), (4, [], vectors[4]), (5, ["nothing"], [0.0] * 6), (None, words[6], vectors[6]), (8, words[8], vectors[8]), (9, None, vectors[10])]
+    index = kw.index(spark.createDataFrame(docs, SCHEMA), cluster=["lang"], per_block=8)
+    table = spark.createDataFrame([*vectors.items(), (7000, None), (7001, [0.0] * 6)], "doc long, vector array<double>")
+    got = hybrid.top_k(index, table, spark.createDataFrame(queries, "query long, words array<string>, vector array<double>"), 6, 6, weight=3, depth=2).collect()
+    by_words = {(q, d): s for q, _, d, s in plain_bm25(docs, [(q, w or []) for q, w, _ in queries if q is not None], 10**6)}
+    want = []
+    for q, _, v in queries:
+        if q is None:
+            continue
+        scores = {d: s for (a, d), s in by_words.items() if a == q}
+        for d, x in vectors.items() if v is not None and any(v) else ():
+            cosine = np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)
+            scores[d] = scores.get(d, 0) + 3 * max(0, round(1e6 * cosine))
+        best = sorted(((-s, d) for d, s in scores.items() if s > 0))[:6]
+        want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(best)]
+    assert sorted((r.query, r["rank"], r.doc, r.score) for r in got) == sorted(want)
+    assert len({r.depth for r in got}) > 1  # some queries had to go deeper than others
