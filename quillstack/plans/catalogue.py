@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstack.plans import relational, retrieval, storage, streams  # noqa: F401
+from quillstack.plans import extensions, relational, retrieval, storage, streams  # noqa: F401
 from quillstack.plans.oracles import SQL
 from quillstack.plans.queries import QUERIES
 
