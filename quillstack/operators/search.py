@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quillstack.functions import text as t
 from quillstack.functions.vectors import cosine_distance
+from quillstack.sources.sinks import stored
 
 SYSTEM_RULES = (
     "Answer from the context alone. If it does not hold the answer, say: The documents do not answer this question. "
@@ -21,7 +22,7 @@ SYSTEM_RULES = (
 )
 USER_TEMPLATE = "Context:\n%s\nQuestion: %s"
 UNNAMED = "Unnamed document"
-BLOCK = 1 << 14  # vectors, or queries, of a block
+BLOCK_BYTES = 1 << 25  # vectors, or queries, of a block
 WIDEN, MOST = 8, 1 << 14  # growth and largest number of candidates that are tested for life one by one
 
 
@@ -36,7 +37,7 @@ def top_k(embeddings: DataFrame, query: list[float], k: int, key: str = "id") ->
 
 def _nearest(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """The k nearest of ``rows`` (__key, __v) for each of ``asked`` (query, __q), all of one length."""
-    x, q = (np.array(t[c].to_pylist(), np.float64).reshape(t.num_rows, -1) for t, c in ((rows, "__v"), (asked, "__q")))
+    x, q = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t, c in ((rows, "__v"), (asked, "__q")))
     key, size = rows["__key"].to_numpy(), (x * x).sum(axis=1)
     query, found, scores = [], [], []
     for name, v in zip(asked["query"].to_pylist(), q):
@@ -51,9 +52,9 @@ def _nearest(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
 
 def top_k_many(embeddings: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
     """``top_k`` for every row of ``queries`` (query long, vector): query, rank, key and unrounded score. Vectors of other lengths than a
-    query's are not compared with it."""
-    blocks = lambda d: max(1, -(-d.count() // BLOCK))
-    n, m = blocks(embeddings), blocks(queries)
+    query's are not compared with it. A block has some ``BLOCK_BYTES``, so vectors move once for each that many bytes of queries."""
+    size = lambda d, c: -(-(d.agg(F.sum(8 * F.size(c))).first()[0] or 1) // BLOCK_BYTES)
+    n, m = max(1, size(embeddings, "embedding")), max(1, size(queries, "vector"))
     of = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count))
     all_ = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     left = embeddings.select(F.col(key).cast("long").alias("__key"), F.col("embedding").alias("__v"), F.size("embedding").alias("__d"), of(key, n).alias("__row"), all_(m).alias("__ask"))
@@ -99,9 +100,12 @@ def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, uploa
         of = sorted({r["parsed_document_id"] for r in rows})
         mine = chunks.where(F.col("parsed_document_id").isin(of) & F.col("id").isin([r["chunk_id"] for r in rows]))
         alive = named(spark.createDataFrame(rows, near.schema), mine, documents.where(F.col("id").isin(of)), uploads)
-        hits = within(alive.orderBy("score", "id").limit(k), max_distance, max_best)
-        if len(rows) < n or alive.count() >= k:
-            return ranked(hits)
+        best = alive.orderBy("score", "id").limit(k)
+        if len(rows) < n:  # there are no more
+            return ranked(within(best, max_distance, max_best))
+        best = stored(best, "hits")  # counted and used, made once
+        if best.count() >= k:
+            return ranked(within(best, max_distance, max_best))
         n *= WIDEN
     known = named(embeddings.drop("preview"), chunks, documents, uploads)
     return ranked(within(top_k(known, query, k), max_distance, max_best).drop("embedding"))

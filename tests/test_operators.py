@@ -42,7 +42,7 @@ def test_many_queries_agree_with_single_ones(spark, monkeypatch):
     df = spark.createDataFrame([(i, [math.sin(i), math.cos(i * 3), 0.5]) for i in range(60)], "id long, embedding array<double>")
     asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0]), (2, [1.0, 0.0])], "query long, vector array<double>")
     many = search.top_k_many(df, asked, 4).collect()
-    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 500)
     assert sorted(search.top_k_many(df, asked, 4).collect()) == sorted(many) and all(r["query"] < 2 for r in many)
     for k, v in ((0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0])):
         assert [r.id for r in sorted((r for r in many if r["query"] == k), key=lambda r: r["rank"])] == values(search.top_k(df, v, 4), "id")
