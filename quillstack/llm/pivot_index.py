@@ -11,7 +11,8 @@ every run of ``RING`` rows of one pivot is an annulus, stored as one row with it
 Search: queries are keyed and cut into blocks likewise. A query's first bound is its k-th score in the sample; with it, a ball around the query holds all
 better vectors, and a block's balls reach an interval of distances from each pivot. Blocks meet the annuli that their intervals
 touch in a join of numbers. Only pairs left by it move vectors: neighbouring blocks and neighbouring annuli are joined to bundles of some
-``BUNDLE`` bytes, and each pair of bundles is one task's work, so that what moves falls with the size of a bundle. There annuli are expanded in order of their
+``BUNDLE`` bytes, and each pair of bundles is one task's work, so that what moves falls with the size of a bundle. Queries lie in as few partitions as
+their bytes need; annuli keep to the session's number of partitions, which is that of the tasks. There annuli are expanded in order of their
 lower bound, | d(q, pivot) - radius |, and the search stops once the triangle inequality shows that none left can hold a better score.
 
 Scores are sums of integer products in float64, exact below 2 ** 53; distances only prune, with slack. Vectors whose squared norm is
@@ -170,6 +171,8 @@ def runs(rows: DataFrame, found: dict[int, Guide], queries: bool, ring: int) ->
 
     base = rows.select("vec_id", "row", "dim", "norm", "top", "v").mapInArrow(keyed, "dim int, pivot int, dist double, vec_id long, row long, v binary")
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if queries:  # each annulus moves once for each bundle of queries that it meets, so these are filled
+        n = -(-int(rows.agg(F.sum(4 * F.col("dim") + 32)).first()[0] or 1) // BUNDLE)
     ranged = base.repartitionByRange(n, "dim", "pivot", "dist", "row").sortWithinPartitions("dim", "pivot", "dist", "row")
     # neighbours have neighbouring numbers; a bundle is a range of them within a partition
     number = F.monotonically_increasing_id()
