@@ -199,7 +199,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 name = hash_longs(gram, hash_longs(lang)[doc])
                 mine = parts.setdefault(chunk, [])
                 mine.append(_counts(name, lang, gram, seen[a:b], doc))
-                if len(mine) == 32:
+                if len(mine) == 12:  # some 3 MB of text
                     mine[:] = [_merged(mine)]
         for chunk, mine in parts.items():
             _, *columns = _merged(mine)
