@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While tables are written in it, Arrow batches of ``rows`` rows at most: whole texts need little memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written``."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

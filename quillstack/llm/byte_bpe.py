@@ -184,6 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
                 if decoded:
                     columns.append(pa.array([codec.decode(np.frombuffer(x, "<i4")).tobytes() for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        codec.cache.clear()  # the worker goes on to other tasks
 
     return docs_kept.select(*held, docs[text].alias("__text")).mapInArrow(run, schema).select(*back, *[f.name for f in made])
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillstack.llm._tables import by_name, delete, drop_written, filesystem, fresh, new_path, numbered, written
+from quillstack.llm._tables import batches_of, by_name, delete, drop_written, filesystem, fresh, new_path, numbered, written
 from quillstack.llm._text import Words, blocks, code_points, hash_longs, mix, utf8
 
 ORDER, BITS = 5, 12
@@ -45,9 +45,10 @@ SYMBOLS = 1 << BITS
 CHUNK_ROWS_BITS = 16
 CHUNK_ROWS = 1 << CHUNK_ROWS_BITS
 SPAN = 64  # characters of a window
-BLOCK = 1 << 18  # bytes of text counted together; memory is some hundred times that
+BLOCK = 1 << 17  # bytes of text counted together; memory is some hundred times that
 LOW_WIDTH, HIGH_WIDTH, SHORT, FEW = 4.0, 8.0, 3.0, 0.5
 STEP = 5e-4
+BATCH = 1000  # texts that a worker takes at once
 SALTS = 128
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
@@ -199,7 +200,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 name = hash_longs(gram, hash_longs(lang)[doc])
                 mine = parts.setdefault(chunk, [])
                 mine.append(_counts(name, lang, gram, seen[a:b], doc))
-                if len(mine) == 12:  # some 3 MB of text
+                if len(mine) == 24:  # some 3 MB of text
                     mine[:] = [_merged(mine)]
         for chunk, mine in parts.items():
             _, *columns = _merged(mine)
@@ -347,7 +348,8 @@ def with_scores(docs: DataFrame, lang: str = "lang", text: str = "text", keep: l
     slim = fresh(docs, *BASE, "n_grams", "log_perplexity", "__lang", "__seen", "__text", "__chunk")
     slim = slim.select(*by_name(*[c for c in slim.columns if keep is None or c in keep]), *mine(docs))
     chunks = _in_chunks(slim)
-    counts = written(counted(chunks), "counts")
+    with batches_of(docs.sparkSession, BATCH):
+        counts = written(counted(chunks), "counts")
     if corpus is None:
         table = known(counts)
     else:
@@ -358,7 +360,8 @@ def with_scores(docs: DataFrame, lang: str = "lang", text: str = "text", keep: l
     path = model_arrays(counts, probabilities(levels))
     for done in (counts, *levels):
         drop_written(done)
-    out = written(scored(chunks, path), "scores")
+    with batches_of(docs.sparkSession, BATCH):
+        out = written(scored(chunks, path), "scores")
     delete(docs.sparkSession, path)
     return out
 
