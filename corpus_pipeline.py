@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import byte_bpe, quality_ngram, secret_links, simhash_trie, source_mix
-from quillstack.llm._tables import aside, written
+from quillstack.llm._tables import aside, by_name, written
 from quillstack.shipping import ensure_on_workers
 
 
@@ -41,7 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim, back = aside(docs, "doc_id", "text")
     clean = secret_links.redact(slim).select(*back)
     size = F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
-    return clean.withColumn("n_chars", size).select(*docs.columns)
+    return clean.withColumn("n_chars", size).select(*by_name(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
