@@ -85,7 +85,7 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
 SQL["ann_recall"] = f"""
 SELECT CAST(sum(least({BEST}, n)) AS BIGINT) AS n, true AS is_enough, true AS is_exact FROM (SELECT q.vec_id, count(*) AS n FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 GROUP BY 1)"""
 
-for _name in ("ann_topk", "ann_recall"):
+for _name in ("keyword_topk", "keyword_blocks_read", "ann_topk", "ann_recall"):
     QUERIES[_name] = shipped(QUERIES[_name])
 
 
