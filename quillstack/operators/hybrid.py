@@ -2,13 +2,19 @@
 
 A document's score is its BM25 score (millionths) and ``weight`` times the millionths of its cosine similarity, where it has either: a document without a vector, or without a term of the query, has nothing
 there, and a negative similarity is nothing. Both lists are read to a depth, and every document that stands in one is scored in full by both. One that stands in neither scores at most what the
-last of each list does: a query whose k-th document scores more is done, the others go deeper by ``DEEPER``, until their lists end. The results are those of scoring everything.
+last of each list does: a query whose k-th document scores more is done. The others go deeper by ``DEEPER``, but lists no longer than ``LONGEST``; then that k-th score is a threshold: where a part of the index meets them and the vectors of its documents, both scores are
+added up in place, and only documents that reach the threshold, k of a part or a few more, move on. The results are those of scoring everything.
 
 Defined cases: of equal scores the smaller id comes first; documents that score nothing aren't found; a query with neither terms nor a sound vector finds nothing; ids are unique; null ids take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +24,7 @@ from quillstack.operators import ann, search
 from quillstack.operators import keywords as kw
 from quillstack.sources.sinks import stored
 
-DEPTH, DEEPER = 50, 4
+DEPTH, DEEPER, LONGEST = 50, 4, 100
 
 
 def _similar(a: str, b: str):
@@ -26,37 +32,89 @@ def _similar(a: str, b: str):
     return F.greatest(F.round(1e6 * (1 - cosine_distance(F.col(a), F.col(b)))), F.lit(0.0)).cast("long")
 
 
+def _reaching(k: int, weight: int) -> Callable:
+    """query, doc, bm25 of a part's documents that may reach a query's threshold and be among its k best. Rows of the index have a term, rows of vectors (docs of one, v) have none. The similarity is
+    within a millionth here; what passes is scored again."""
+
+    def run(_: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {c: [np.zeros(0, np.int64)] for c in ("query", "doc", "bm25")}
+        if rows.num_rows and asked.num_rows:
+            p, of, threshold = kw._Part(rows.filter(pc.is_valid(rows["term"])), asked), asked["query"].to_numpy(), asked["threshold"].to_numpy()
+            known, number, at_doc, share, _ = p.lists()
+            start = p.starts(number)
+            held = rows.filter(pc.is_valid(rows["v"]))
+            own = held["docs"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            ids = np.union1d(known, own)
+            at_doc, at_own = np.searchsorted(ids, known)[at_doc], np.searchsorted(ids, own)
+            x = held["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else np.zeros((0, 1))
+            for low, high, at, word in p.strips(asked.num_rows):
+                bm25 = np.maximum(kw._sums(at, word, at_doc, start, share, (high - low, len(ids))), 0)
+                least, most = bm25.copy(), bm25.copy()
+                some = asked["q"].slice(low, high - low).combine_chunks()
+                aimed = np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False))
+                if len(aimed) and len(own):
+                    similar = np.rint(1e6 * (some.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(aimed), -1) @ x.T)).astype(np.int64)
+                    cells = np.ix_(aimed, at_own)
+                    least[cells] += weight * np.maximum(similar - 1, 0)
+                    most[cells] += weight * np.maximum(similar + 1, 0)
+                for i in range(high - low):
+                    enough = max(threshold[low + i], 1)
+                    if len(ids) > k:
+                        enough = max(enough, np.partition(least[i], len(ids) - k)[len(ids) - k])
+                    best = np.flatnonzero(most[i] >= enough)
+                    for c, v in (("query", np.full(len(best), of[low + i])), ("doc", ids[best]), ("bm25", bm25[i][best])):
+                        out[c].append(v)
+        return pa.table({c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()})
+
+    return run
+
+
 def top_k(index: kw.Index, vectors: DataFrame, queries: DataFrame, k: int, dims: int, weight: int = 5, depth: int = DEPTH) -> DataFrame:
-    """query, rank, doc, score, depth for each of ``queries`` (query, words, vector); ``vectors`` has doc and vector, ``depth`` is how far the query's lists were read."""
+    """query, rank, doc, score, depth for each of ``queries`` (query, words, vector); ``vectors`` has doc and vector, ``depth`` is how far the query's lists were read, null: to their ends."""
     units = stored(ann.unit(vectors, "doc", "vector", dims).select(F.col("key").alias("doc"), "v"), "units")
     asked = stored(queries.where("query IS NOT NULL").select(F.col("query").cast("long").alias("query"), "words", "vector"), "queries")
     aimed = stored(ann.unit(asked, "query", "vector", dims).select(F.col("key").alias("query"), "v"), "aimed")
+    empty = F.array().cast("array<string>")
     done: list[DataFrame] = []
-    while asked.limit(1).count():
-        words = asked.select("query", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-        aims = aimed.join(asked.select("query"), "query", "left_semi")
+
+    def scored(found: DataFrame) -> DataFrame:
+        """With ``score`` and ``similar``; ``found`` has query, doc and bm25."""
+        similar = found.select("query", "doc").join(units, "doc").join(aimed.withColumnRenamed("v", "q"), "query").select("query", "doc", _similar("v", "q").alias("similar"))
+        every = found.join(similar, ["query", "doc"], "left").withColumn("similar", F.coalesce("similar", F.lit(0)))
+        return every.withColumn("score", F.col("bm25") + weight * F.col("similar"))
+
+    def best(every: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+        return every.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "doc", "score")
+
+    while True:
+        words = asked.select("query", F.coalesce("words", empty).alias("words"))
         by_words = stored(kw.top_k(index, words, depth).select("query", "rank", "doc", "score"), "by_words")
-        near = search.top_k_many(units.select("doc", F.col("v").alias("embedding")), aims.select("query", F.col("v").alias("vector")), depth, "doc")
+        near = search.top_k_many(units.select("doc", F.col("v").alias("embedding")), aimed.join(asked.select("query"), "query", "left_semi").select("query", F.col("v").alias("vector")), depth, "doc")
         by_vectors = stored(near.select("query", "rank", "doc"), "by_vectors")
         pairs = stored(by_words.select("query", "doc").union(by_vectors.select("query", "doc")).distinct(), "pairs")
         both = pairs.join(kw.scores_of(index, pairs, words), ["query", "doc"], "left")
-        similar = pairs.join(units, "doc").join(aimed.withColumnRenamed("v", "q"), "query").select("query", "doc", _similar("v", "q").alias("similar"))
-        every = both.join(similar, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0)).alias("bm25"), F.coalesce("similar", F.lit(0)).alias("similar"))
-        every = stored(every.withColumn("score", F.col("bm25") + weight * F.col("similar")), "scored")
+        every = stored(scored(both.select("query", "doc", F.coalesce("score", F.lit(0)).alias("bm25"))), "scored")
         # what the last of each full list scores in it; a list that has ended has nothing more
         last = lambda ranked, part: ranked.where(F.col("rank") == depth).join(every, ["query", "doc"]).select("query", F.col(part).alias(f"last_{part}"))
         limit = asked.select("query").join(last(by_words.select("query", "rank", "doc"), "bm25"), "query", "left").join(last(by_vectors, "similar"), "query", "left")
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-        best = stored(every.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).withColumn("depth", F.lit(depth)).select("query", "rank", "doc", "score", "depth"), "best")
-        kth = best.where(F.col("rank") == k).select("query", F.col("score").alias("kth"))
+        early = stored(best(every), "best")
+        kth = early.where(F.col("rank") == k).select("query", F.col("score").alias("kth"))
         ended = F.col("last_bm25").isNull() & F.col("last_similar").isNull()
         sure = F.coalesce(F.col("kth") > F.coalesce("last_bm25", F.lit(0)) + weight * F.coalesce("last_similar", F.lit(0)), F.lit(False))
-        sure = limit.join(kth, "query", "left").where(ended | sure).select("query")
-        sure = stored(sure, "sure")
-        done.append(best.join(sure, "query", "left_semi"))
-        asked = stored(asked.join(sure, "query", "left_anti"), "queries")
+        limit = stored(limit.join(kth, "query", "left").select("query", (ended | sure).alias("sure"), F.coalesce("kth", F.lit(1)).alias("threshold")), "limit")
+        done.append(early.join(limit.where("sure"), "query", "left_semi").withColumn("depth", F.lit(depth)))
+        asked = stored(asked.join(limit.where("NOT sure"), "query", "left_semi"), "queries")
         depth *= DEEPER
-    out = done[0] if done else None
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query long, rank int, doc long, score long, depth int")
+        if depth > LONGEST:
+            break
+    open_ = stored(limit.where("NOT sure").join(words, "query").join(aimed.withColumnRenamed("v", "q"), "query", "left").select("query", F.array_distinct("words").alias("words"), "threshold", "q"), "open")
+    of_words = kw._rows(index, open_, "docs", "shares").withColumn("docs", F.col("docs").cast("array<long>")).withColumn("v", F.lit(None).cast("array<double>"))
+    of_vectors = units.join(index.places.select(F.col("doc").cast("long").alias("doc"), "block"), "doc", "left").withColumn("block", F.coalesce("block", F.col("doc").cast("string")))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("term", "string"), ("shares", "array<long>"))]
+    of_vectors = of_vectors.select(none[0], "block", F.array("doc").alias("docs"), none[1], kw.part_of(index, F.col("block")).alias("__part"), "v")
+    found = kw._meet(of_words.unionByName(of_vectors), open_, _reaching(k, weight), "query long, doc long, bm25 long", index.parts)
+    late = best(scored(stored(found, "found"))).withColumn("depth", F.lit(None).cast("int"))
+    for rows in done:
+        late = late.unionByName(rows)
+    return late
