@@ -2,8 +2,9 @@
 
 Vectors are taken at length 1, so that squared distance is twice the cosine distance. Centroids of cells and of the residuals' sub-spaces are fitted on the driver on at most ``SAMPLE`` vectors, those
 whose ids have the smallest hashes; then every vector is indexed: its cell, and a byte for each sub-space of what is left of it. A query visits its nearest cells, as many as hold ``TARGET`` of the nearest of some rows of the sample among all of it (so few where vectors
-lie in clusters, and about half of all where they have no structure). Cells are dealt in blocks of about
-``BLOCK`` rows, so a crowded cell is several tasks. In a block the codes give estimates by table look-up; the ``rerank`` best of each query over all its cells are scored exactly.
+lie in clusters, and about half of all where they have no structure). Vectors are dealt in blocks of about
+``BLOCK`` rows of any cells, so a crowded cell is several tasks, and queries in groups of about ``ASKED``. Where a block meets a group, the codes of a query's cells give estimates, and only the ``rerank`` best of the block
+move on: a row for a query and a block's best, not for its best in each cell. The best over all blocks are scored exactly.
 
 Defined cases: vectors that are null, of another length than ``dims``, zero or with null or non-finite entries take no part, neither in the index nor as queries; of equal distances the smaller id comes first; with fewer
 vectors than cells or codes every vector is a centroid; an empty table finds nothing.
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 from quillstack.functions.vectors import cosine_distance
 from quillstack.sources.sinks import stored
 
-SAMPLE, ROUNDS, CODES, BLOCK = 20_000, 12, 256, 1 << 16
+SAMPLE, ROUNDS, CODES, BLOCK, ASKED, AT_ONCE = 20_000, 12, 256, 1 << 15, 1 << 10, 64
 TARGET, TRIED = 0.97, 200
 
 
@@ -75,10 +76,13 @@ class Quantiser:
         place = np.argsort(self.probes(q, len(self.cells)), axis=1)  # of each cell in a query's order
         return int(np.quantile(np.take_along_axis(place, _nearest(x, self.cells)[near], axis=1), TARGET, method="higher")) + 1
 
-    def estimates(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of a query from coded rows of a cell."""
-        rest = np.array_split(q - self.cells[cell], len(self.parts))
-        return sum(((c - r) ** 2).sum(axis=1)[codes[:, i]] for i, (r, c) in enumerate(zip(rest, self.parts)))
+    def restored(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that coded rows stand for."""
+        return self.cells[cell] + np.concatenate([c[codes[:, i]] for i, c in enumerate(self.parts)], axis=1)
+
+    def estimates(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Squared distances of queries from restored rows."""
+        return (q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)
 
 
 def unit(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -100,6 +104,7 @@ class Index:
     table: DataFrame
     dims: int
     probes: int
+    n_blocks: int
 
 
 def index(vectors: DataFrame, key: str, vector: str, dims: int, n_cells: int | None = None, n_parts: int = 16, sample: int = SAMPLE) -> Index:
@@ -116,37 +121,42 @@ def index(vectors: DataFrame, key: str, vector: str, dims: int, n_cells: int | N
 
     coded = units.mapInArrow(encode, "key long, v array<double>, cell int, codes binary")
     sized = stored(coded, "coded")
-    blocks = sized.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("__n"))  # a row a cell
-    return Index(quantiser, stored(sized.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("key"), "__n").cast("int")).drop("__n"), "cells"), dims, quantiser.needed(x))
+    n_blocks = max(1, -(-n // BLOCK))
+    return Index(quantiser, sized.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")), dims, quantiser.needed(x), n_blocks)
 
 
 def candidates(index: Index, queries: DataFrame, probes: int, rerank: int) -> DataFrame:
     """query, key, estimate: the best by estimate in the visited cells; ``queries`` has query (long) and v (of length 1)."""
     quantiser, dims = index.quantiser, index.dims
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = quantiser.probes(_matrix(b.column(1), dims), probes)
-            row = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(cells.ravel(), pa.int32())], names=["query", "v", "cell"])
-
     def score(_: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        query, key, estimate = [], [], []
+        query, key, estimate = [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
         if rows.num_rows and asked.num_rows:
-            keys, codes = rows["key"].to_numpy(), np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            cell = rows["cell"][0].as_py()
-            for name, q in zip(asked["query"].to_pylist(), _matrix(asked["v"].combine_chunks(), dims)):
-                d = quantiser.estimates(q, cell, codes)
-                best = np.lexsort((keys, d))[:rerank]
-                query.append(np.full(len(best), name)), key.append(keys[best]), estimate.append(d[best])
-        empty = [np.zeros(0)]
-        return pa.table({"query": np.concatenate(query or empty).astype(np.int64), "key": np.concatenate(key or empty).astype(np.int64), "estimate": np.concatenate(estimate or empty)})
-
-    asked = queries.select("query", "v").mapInArrow(probe, "query long, v array<double>, cell int")
-    blocks = index.table.select("cell", "block").distinct()
-    asked = asked.join(blocks, "cell").select("query", "v", F.col("cell").alias("cell"), F.col("block").alias("block"))
-    rows = index.table.select("cell", "block", "key", "codes")
-    found = rows.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(score, "query long, key long, estimate double")
+            rows = rows.sort_by([("cell", "ascending"), ("key", "ascending")])
+            keys, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
+            x = quantiser.restored(cell, np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1))
+            own, of = asked["query"].to_numpy(), _matrix(asked["v"].combine_chunks(), dims)
+            edge = np.searchsorted(cell, np.arange(len(quantiser.cells) + 1))
+            for low in range(0, len(own), AT_ONCE):
+                q = of[low : low + AT_ONCE]
+                visits = np.zeros((len(q), len(quantiser.cells)), bool)
+                np.put_along_axis(visits, quantiser.probes(q, probes), True, axis=1)
+                d = np.full((len(q), len(keys)), np.inf)
+                for c in np.flatnonzero(visits.any(axis=0) & (edge[1:] > edge[:-1])):
+                    some = np.flatnonzero(visits[:, c])
+                    d[some, edge[c] : edge[c + 1]] = quantiser.estimates(q[some], x[edge[c] : edge[c + 1]])
+                for i, row in enumerate(d):
+                    most = np.partition(row, rerank - 1)[rerank - 1] if len(row) > rerank else np.inf
+                    best = np.flatnonzero((row <= most) & (row < np.inf))
+                    best = best[np.lexsort((keys[best], row[best]))][:rerank]
+                    query.append(np.full(len(best), own[low + i])), key.append(keys[best]), estimate.append(row[best])
+        return pa.table({"query": np.concatenate(query).astype(np.int64), "key": np.concatenate(key).astype(np.int64), "estimate": np.concatenate(estimate)})
+
+    m = max(1, -(-queries.count() // ASKED))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(m)).cast("int").alias("group"), all_(index.n_blocks).alias("block"))
+    rows = index.table.select("block", "cell", "key", "codes", all_(m).alias("group"))
+    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(score, "query long, key long, estimate double")
     place = F.row_number().over(Window.partitionBy("query").orderBy("estimate", "key"))
     return found.withColumn("__p", place).where(F.col("__p") <= rerank).drop("__p")
 
