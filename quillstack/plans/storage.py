@@ -35,13 +35,14 @@ def packed_by_key(spark: SparkSession, d: str) -> DataFrame:
     """Offloaded chunk texts packed in two writes, the second of which has every fifth again; texts are then resolved by key for the chunks of every third document."""
     all_ = fx.chunks(spark, d)
     stored = chunk.hybrid_storage(all_, INLINE_LIMIT, F.lit(JOB))
-    files = sinks.offloaded(stored, all_)
+    whole = all_.withColumns({"__text": F.col("text"), "__context": F.col("contextualized_text")})
+    files = sinks.offloaded_rows(chunk.hybrid_storage(whole, INLINE_LIMIT, F.lit(JOB)), "__text", "__context")
     path = shared_folder(spark, "packed")
     packed.write(files, path, 0)
     packed.write(files.where(F.octet_length("content") % 5 == 0).withColumn("content", F.concat("content", F.lit("!"))), path, 1)
     wanted = stored.where("parsed_document_id % 3 = 0 AND text_storage_key IS NOT NULL").select("id", F.col("text_storage_key").alias("storage_key"))
-    found = packed.get(spark, path, wanted)
-    return wanted.join(found, "storage_key").select("id", F.col("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    found = packed.get(spark, path, wanted, digest=F.sha2("content", 256)).select("storage_key", "n_bytes", "digest")
+    return wanted.join(found, "storage_key").select("id", "n_bytes", F.col("digest").alias("sha256"))
 
 
 SQL["packed_by_key"] = f"""

@@ -32,9 +32,9 @@ def write(rows: DataFrame, root: str, number: int = 0, size: int = SIZE) -> None
     w.option("parquet.page.size", PAGE).option("parquet.block.size", size).parquet(f"{root.rstrip('/')}/write={number}")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All artefacts; of a key written twice the newest."""
-    rows = spark.read.schema(f"{SCHEMA}, write long").parquet(root.rstrip("/"))
+def scan(spark: SparkSession, root: str, **more: Column) -> DataFrame:
+    """All artefacts; of a key written twice the newest. ``more`` are columns made of an artefact where it is read."""
+    rows = spark.read.schema(f"{SCHEMA}, write long").parquet(root.rstrip("/")).withColumns(more)
     if len(_writes(spark, root)) < 2:
         return rows.drop("write")
     # only keys and numbers move to find the newest
@@ -48,9 +48,9 @@ def _writes(spark: SparkSession, root: str) -> list[str]:
     return [f.getPath().getName() for f in found if f.getPath().getName().startswith("write=")]
 
 
-def get(spark: SparkSession, root: str, keys: list[str] | DataFrame) -> DataFrame:
-    """The artefacts of some keys: a list goes to the scan as a filter, a table (storage_key) is joined."""
-    all_ = scan(spark, root)
+def get(spark: SparkSession, root: str, keys: list[str] | DataFrame, **more: Column) -> DataFrame:
+    """The artefacts of some keys: a list goes to the scan as a filter, a table (storage_key) is joined. Who needs only a digest of contents names it in ``more`` and selects it, then contents don't move."""
+    all_ = scan(spark, root, **more)
     return all_.where(F.col("storage_key").isin(keys)) if isinstance(keys, list) else all_.join(keys.select("storage_key").distinct(), "storage_key", "left_semi")
 
 

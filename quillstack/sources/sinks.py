@@ -47,9 +47,14 @@ def documents_and_segments(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def offloaded(stored: DataFrame, whole: DataFrame) -> DataFrame:
     """(storage_key, content) of texts that threshold storage moved out; ``whole`` has id and the full texts."""
     both = stored.select("id", "text_storage_key", "contextualized_text_storage_key").join(whole.select("id", "text", "contextualized_text"), "id")
-    pair = lambda n: F.struct(F.col(f"{n}_storage_key").alias("storage_key"), F.col(n).alias("content"))
-    rows = both.select(F.explode(F.array(pair("text"), pair("contextualized_text"))).alias("f")).select("f.*")
-    return rows.where(F.col("storage_key").isNotNull())
+    return offloaded_rows(both, "text", "contextualized_text")
+
+
+def offloaded_rows(rows: DataFrame, text: str, context: str) -> DataFrame:
+    """As ``offloaded``, of rows that have the keys and the whole texts in the columns named: nothing is joined."""
+    pair = lambda key, whole: F.struct(F.col(key).alias("storage_key"), F.col(whole).alias("content"))
+    each = rows.select(F.explode(F.array(pair("text_storage_key", text), pair("contextualized_text_storage_key", context))).alias("f")).select("f.*")
+    return each.where(F.col("storage_key").isNotNull())
 
 
 def write_files(rows: DataFrame, root: str) -> None:
