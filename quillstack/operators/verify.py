@@ -37,7 +37,10 @@ def with_files(paired: DataFrame, files: DataFrame) -> DataFrame:
     """Adds text_there and context_there: whether the file of an offloaded text is among ``files`` (storage_key)."""
     for name, key in (("text_there", "text_storage_key"), ("context_there", "contextualized_text_storage_key")):
         have = files.select(F.col("storage_key").alias("__key")).distinct().withColumn("__there", F.lit(True))
-        paired = paired.join(have, F.col("chunk")[key] == F.col("__key"), "left").withColumn(name, F.coalesce("__there", F.lit(False))).drop("__key", "__there")
+        own = F.col("chunk")[key]
+        # rows without a key, most of all, would meet in one task: each goes by its place instead
+        paired = paired.withColumn("__own", F.coalesce(own, F.concat_ws("/", F.lit("\0"), *[F.col(c).cast("string") for c in KEY])))
+        paired = paired.join(have, F.col("__own") == F.col("__key"), "left").withColumn(name, own.isNotNull() & F.coalesce("__there", F.lit(False))).drop("__own", "__key", "__there")
     return paired
 
 
