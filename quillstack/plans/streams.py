@@ -17,12 +17,15 @@ DAYS = 30
 
 
 def arriving(rows: DataFrame, part: Column, parts: int, name: str) -> DataFrame:
-    """A stream of ``rows`` in ``parts`` micro-batches: files written one after the other, those of lower ``part`` first."""
+    """A stream of ``rows`` in ``parts`` micro-batches: parts are written one after the other, those of lower ``part`` first, each by all cores and as the same number of files."""
     spark = rows.sparkSession
-    path = shared_folder(spark, name)
+    path, files = shared_folder(spark, name), min(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    nothing = spark.createDataFrame([], rows.schema).coalesce(1)
     for p in range(parts):
-        rows.where(part == p).coalesce(1).write.parquet(f"{path}/part={p}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+        rows.where(part == p).coalesce(files).write.parquet(f"{path}/part={p}")
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(f"{path}/part={p}").inputFiles())):  # tasks without rows write no file
+            nothing.write.mode("append").parquet(f"{path}/part={p}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
 
 
 def by_time(ts: Column, parts: int) -> Column:
@@ -71,7 +74,8 @@ def job_lifecycle_stream(spark: SparkSession, d: str) -> DataFrame:
     end = rows.agg(F.lit(-1).cast("long").alias("parent_id"), F.lit(-1).cast("long").alias("id"), F.lit("superseded").alias("status"), (F.max("created_at") + F.expr("INTERVAL 400 DAYS")).alias("created_at"), F.lit(None).cast("long").alias("declared_count"))
     part = F.when(F.col("parent_id") == -1, PARTS).otherwise(by_time(F.col("created_at"), PARTS))
     stream = arriving(rows.unionByName(end), part, PARTS + 1, "jobs")
-    out = lifecycle.run(stream, shared_folder(spark, "lifecycle"), stale="2 days", late="1 day", keep="500 days")
+    parents = rows.agg(F.approx_count_distinct("parent_id")).first()[0]
+    out = lifecycle.run(stream, shared_folder(spark, "lifecycle"), stale="2 days", late="1 day", keep="500 days", buckets=max(512, parents // 128))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return out.where("parent_id >= 0").select("parent_id", "status", "attempt_count", iso("started_at"), iso("finished_at"), "count", "error_code")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillstack.operators import jobs
+from quillstack.plans import streams
 from quillstack.streaming import lifecycle, sessions
 
 START = datetime.datetime(2024, 3, 1, tzinfo=datetime.timezone.utc)
@@ -120,3 +122,81 @@ def test_job_states_are_those_of_a_fold_after_a_restart(spark, tmp_path, job_eve
         assert got == wanted(spark, job_events)
         stale = {r.parent_id: (r.status, r.error_code) for r in out.collect()}
         assert stale[40] == ("failed", "process_shutdown") and stale[41] == ("succeeded", None)
+
+
+class Handle:
+    """A bucket's state and timers, and how often they are asked."""
+
+    def __init__(self):
+        self.calls, self.jobs, self.timers = 0, [], set()
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.jobs)
+
+    def put(self, jobs):
+        self.calls, self.jobs = self.calls + 1, jobs
+
+    def clear(self):
+        self.calls, self.jobs = self.calls + 1, []
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_state_is_called_as_often_for_many_parents_as_for_one():
+    handle, bucket = Handle(), lifecycle.Lifecycle(stale_ms=1000, keep_ms=5000, code="stopped")
+    bucket.init(handle)
+    batch = lambda parents, status, ms: pd.DataFrame([(p, False, p, status, 1000 * (ms + p), 0, True) for p in parents], columns=lifecycle._EVENT)
+    rows = lambda frames: sorted((r.parent_id, r.status, r.error_code) for f in frames for r in f.itertuples())
+    assert len(rows(bucket.handleInputRows((7,), iter([batch(range(500), "running", 0)]), Now(0)))) == 500
+    assert handle.timers == {1000} and handle.calls <= 4
+    # all but the first have ended by the next batch; nothing of the first arrives, and it fails by time
+    got = rows(bucket.handleInputRows((7,), iter([batch(range(1, 500), "succeeded", 2000)]), Now(2000)))
+    assert got[0] == (0, "failed", "stopped") and [r[1] for r in got[1:]] == ["succeeded"] * 499
+    assert handle.timers == {6000} and handle.calls <= 8
+    handle.timers.remove(6000)  # as Spark does
+    assert rows(bucket.handleExpiredTimer((7,), Now(7100), None)) == []
+    assert len(handle.jobs) == 399 and handle.timers == {7101} and handle.calls <= 12
+
+
+def test_jobs_of_many_parents_in_few_buckets_are_those_of_a_fold(spark, tmp_path):
+    from quillstack.shipping import ensure_on_workers
+
+    ensure_on_workers(spark)
+    r = random.Random(8)
+    big = (1 << 53) + 1  # no double
+    rows = [(r.choice([None, *range(40)]), i, r.choice(["queued", "running", "succeeded", "failed", None]), at(i // 2), r.choice([None, big, big + 2])) for i in range(400)]
+    stream = lambda: spark.readStream.schema(JOBS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for part in (rows[:150], rows[150:], [(-1, -1, "superseded", at(10 * 24 * 60), None)]):
+        spark.createDataFrame(part, JOBS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = lifecycle.run(stream(), str(tmp_path / "s"), stale="1 day", late="2 days", keep="90 days", buckets=3)
+    got = sorted((tuple(r) for r in out.where("parent_id IS NULL OR parent_id >= 0").collect()), key=repr)
+    assert len(got) == 41 and {g[5] for g in got} >= {None, big, big + 2}
+    assert got == wanted(spark, rows)
+
+
+def test_parts_arrive_whole_and_in_order_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 4).withColumn("part", F.when(F.col("id") == 7, 2).otherwise(1 - F.col("id") % 2))
+    batches = {}
+
+    def take(df, n):
+        got = df.collect()
+        batches[n] = (len({x.file for x in got}), {x.part for x in got}, len(got))
+
+    stream = streams.arriving(rows, F.col("part"), 4, "parts").withColumn("file", F.col("_metadata.file_path"))
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert batches == {0: (4, {0}, 499), 1: (4, {1}, 500), 2: (1, {2}, 1), 3: (0, set(), 0)}
