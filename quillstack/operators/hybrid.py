@@ -32,37 +32,41 @@ def _similar(a: str, b: str):
     return F.greatest(F.round(1e6 * (1 - cosine_distance(F.col(a), F.col(b)))), F.lit(0.0)).cast("long")
 
 
-def _reaching(k: int, weight: int) -> Callable:
-    """query, doc, bm25 of a part's documents that may reach a query's threshold and be among its k best. Rows of the index have a term, rows of vectors (docs of one, v) have none. The similarity is
+def _reaching(k: int, weight: int, mean: float) -> Callable:
+    """query, doc, bm25 of a part's documents that may reach a query's threshold and be among its k best. Besides the part's rows there is a row for each of its vectors (doc, v). The similarity is
     within a millionth here; what passes is scored again."""
 
-    def run(_: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = {c: [np.zeros(0, np.int64)] for c in ("query", "doc", "bm25")}
         if rows.num_rows and asked.num_rows:
-            p, of, threshold = kw._Part(rows.filter(pc.is_valid(rows["term"])), asked), asked["query"].to_numpy(), asked["threshold"].to_numpy()
-            known, number, at_doc, share, _ = p.lists()
-            start = p.starts(number)
-            held = rows.filter(pc.is_valid(rows["v"]))
-            own = held["docs"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            g, of_part, held = kw._Group(asked), rows.filter(pc.is_null(rows["v"])), rows.filter(pc.is_valid(rows["v"]))
+            p = kw._Part(of_part, g, mean) if of_part.num_rows else None
+            known, own = p.docs if p else np.zeros(0, np.int64), held["doc"].to_numpy()
             ids = np.union1d(known, own)
-            at_doc, at_own = np.searchsorted(ids, known)[at_doc], np.searchsorted(ids, own)
+            at_known, at_own = np.searchsorted(ids, known), np.searchsorted(ids, own)
             x = held["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else np.zeros((0, 1))
-            for low, high, at, word in p.strips(asked.num_rows):
-                bm25 = np.maximum(kw._sums(at, word, at_doc, start, share, (high - low, len(ids))), 0)
-                least, most = bm25.copy(), bm25.copy()
-                some = asked["q"].slice(low, high - low).combine_chunks()
-                aimed = np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False))
+            q = g.q.reshape(g.similar.sum(), -1) if g.similar.any() else np.zeros((0, 1))
+            place = np.cumsum(g.similar) - 1
+            step = max(1, min(kw.AT_ONCE, kw.CELLS // max(1, len(ids))))
+            for low in range(0, g.n, step):
+                high = min(g.n, low + step)
+                least = np.zeros((high - low, len(ids)), np.int64)
+                if p:
+                    a, b = np.searchsorted(g.at, (low, high))
+                    least[:, at_known] = np.maximum(kw._sums(g.at[a:b] - low, g.word[a:b], p.at, p.start, p.share, p.most, (high - low, p.n)), 0)
+                bm25, most = least.copy(), least.copy()
+                aimed = np.flatnonzero(g.similar[low:high])
                 if len(aimed) and len(own):
-                    similar = np.rint(1e6 * (some.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(aimed), -1) @ x.T)).astype(np.int64)
+                    similar = np.rint(1e6 * (q[place[low:high][aimed]] @ x.T)).astype(np.int64)
                     cells = np.ix_(aimed, at_own)
                     least[cells] += weight * np.maximum(similar - 1, 0)
                     most[cells] += weight * np.maximum(similar + 1, 0)
                 for i in range(high - low):
-                    enough = max(threshold[low + i], 1)
-                    if len(ids) > k:
-                        enough = max(enough, np.partition(least[i], len(ids) - k)[len(ids) - k])
+                    enough = max(g.threshold[low + i], 1)
                     best = np.flatnonzero(most[i] >= enough)
-                    for c, v in (("query", np.full(len(best), of[low + i])), ("doc", ids[best]), ("bm25", bm25[i][best])):
+                    if len(best) > k:
+                        best = best[most[i][best] >= np.partition(least[i][best], len(best) - k)[len(best) - k]]
+                    for c, v in (("query", np.full(len(best), g.query[low + i])), ("doc", ids[best]), ("bm25", bm25[i][best])):
                         out[c].append(v)
         return pa.table({c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()})
 
@@ -108,12 +112,10 @@ def top_k(index: kw.Index, vectors: DataFrame, queries: DataFrame, k: int, dims:
         depth *= DEEPER
         if depth > LONGEST:
             break
-    open_ = stored(limit.where("NOT sure").join(words, "query").join(aimed.withColumnRenamed("v", "q"), "query", "left").select("query", F.array_distinct("words").alias("words"), "threshold", "q"), "open")
-    of_words = kw._rows(index, open_, "docs", "shares").withColumn("docs", F.col("docs").cast("array<long>")).withColumn("v", F.lit(None).cast("array<double>"))
-    of_vectors = units.join(index.places.select(F.col("doc").cast("long").alias("doc"), "block"), "doc", "left").withColumn("block", F.coalesce("block", F.col("doc").cast("string")))
-    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("term", "string"), ("shares", "array<long>"))]
-    of_vectors = of_vectors.select(none[0], "block", F.array("doc").alias("docs"), none[1], kw.part_of(index, F.col("block")).alias("__part"), "v")
-    found = kw._meet(of_words.unionByName(of_vectors), open_, _reaching(k, weight), "query long, doc long, bm25 long", index.parts)
+    open_ = limit.where("NOT sure").join(kw._asked(index, words), "query", "left").join(aimed.withColumnRenamed("v", "q"), "query", "left")
+    open_ = stored(open_.select("query", F.coalesce("words", empty).alias("words"), F.coalesce("idfs", F.array().cast("array<double>")).alias("idfs"), "threshold", "q"), "open")
+    of_vectors = units.join(index.places, "doc", "left").select(kw.part_of(index, F.coalesce("block", F.col("doc").cast("string"))).alias("part"), "doc", "v")
+    found = kw._meet(index, open_, _reaching(k, weight, index.mean), "query long, doc long, bm25 long", more=of_vectors)
     late = best(scored(stored(found, "found"))).withColumn("depth", F.lit(None).cast("int"))
     for rows in done:
         late = late.unionByName(rows)
