@@ -98,7 +98,8 @@ def top_k(index: kw.Index, vectors: DataFrame, queries: DataFrame, k: int, dims:
         by_vectors = stored(near.select("query", "rank", "doc"), "by_vectors")
         pairs = stored(by_words.select("query", "doc").union(by_vectors.select("query", "doc")).distinct(), "pairs")
         both = pairs.join(kw.scores_of(index, pairs, words), ["query", "doc"], "left")
-        every = stored(scored(both.select("query", "doc", F.coalesce("score", F.lit(0)).alias("bm25"))), "scored")
+        both = stored(both.select("query", "doc", F.coalesce("score", F.lit(0)).alias("bm25")), "both")  # read twice
+        every = stored(scored(both), "scored")
         # what the last of each full list scores in it; a list that has ended has nothing more
         last = lambda ranked, part: ranked.where(F.col("rank") == depth).join(every, ["query", "doc"]).select("query", F.col(part).alias(f"last_{part}"))
         limit = asked.select("query").join(last(by_words.select("query", "rank", "doc"), "bm25"), "query", "left").join(last(by_vectors, "similar"), "query", "left")

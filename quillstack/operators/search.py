@@ -35,18 +35,42 @@ def top_k(embeddings: DataFrame, query: list[float], k: int, key: str = "id") ->
     return embeddings.withColumn("score", cosine_distance(F.col("embedding"), literal(query))).orderBy("score", key).limit(k)
 
 
+TOGETHER = 64  # queries
+
+
+def _near(x: np.ndarray, size: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray | slice]:
+    """For each of ``q`` the rows of ``x`` that may be among its k nearest, by a product that is off by less than 1e-9; all where too few have a distance or squares leave a double's range."""
+    own = (q * q).sum(axis=1)
+    with np.errstate(all="ignore"):
+        score = -((q / np.sqrt(own)[:, None]) @ (x / np.sqrt(size)[:, None]).T)
+        least, most = size.min(initial=np.inf, where=size > 0) * own, size.max(initial=0) * own
+    out: list[np.ndarray | slice] = []
+    for i in range(len(q)):
+        sound = np.isfinite(score[i])
+        if sound.sum() <= k or not (1e-290 < least[i] and most[i] < 1e290):
+            out.append(slice(None))
+        else:
+            row = np.where(sound, score[i], np.inf)
+            out.append(np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 1e-9))
+    return out
+
+
 def _nearest(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """The k nearest of ``rows`` (__key, __v) for each of ``asked`` (query, __q), all of one length."""
     x, q = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t, c in ((rows, "__v"), (asked, "__q")))
     key, size = rows["__key"].to_numpy(), (x * x).sum(axis=1)
     query, found, scores = [], [], []
-    for name, v in zip(asked["query"].to_pylist(), q):
-        norm = np.sqrt(size * (v * v).sum())
+    for i, (name, v) in enumerate(zip(asked["query"].to_pylist(), q)):
+        if i % TOGETHER == 0:
+            some = q[i : i + TOGETHER]
+            near = _near(x, size, some, k)
+        at = near[i % TOGETHER]
+        norm = np.sqrt(size[at] * (v * v).sum())
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(norm == 0, np.nan, 1 - (x * v).sum(axis=1) / norm)
-        best = np.lexsort((key, score))[:k]  # NaN comes last, as in Spark
+            score = np.where(norm == 0, np.nan, 1 - (x[at] * v).sum(axis=1) / norm)
+        best = np.lexsort((key[at], score))[:k]  # NaN comes last, as in Spark
         query += [name] * len(best)
-        found.append(key[best]), scores.append(score[best])
+        found.append(key[at][best]), scores.append(score[best])
     return pa.table({"query": pa.array(query, pa.int64()), "__key": np.concatenate(found), "score": np.concatenate(scores)})
 
 
